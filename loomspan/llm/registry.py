@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomspan.llm import lines, shards, tiff
+from loomspan.llm import lines, shards, sketches, substrings, tiff
 
 
 def queries():
     return {
         "op1_tiff_pages": tiff.op1_tiff_pages,
         "op3_line_dedup": lines.op3_line_dedup,
+        "op6_setsketch_groups": sketches.op6_setsketch_groups,
+        "op8_substring_dedup": substrings.op8_substring_dedup,
         "op10_minimax_shards": shards.op10_minimax_shards,
     }
 
 
 def oracle_sql():
-    return {"op3_line_dedup": lines.OP3_SQL}
+    return {
+        "op3_line_dedup": lines.OP3_SQL,
+        "op6_setsketch_groups": sketches.OP6_SQL,
+        "op8_substring_dedup": substrings.OP8_SQL,
+    }
