@@ -1 +1,72 @@
-STAGES=[]
+"""A corpus pipeline of five operators: quality, line dedup, near-dedup, decontamination, encoding.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of
+documents: doc_id, text, lang, source, n_chars. ``run`` applies them in order,
+each to what the one before kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.llm import bpe, decontaminate, lines, quality, sketches
+from loomspan.plans.lineage import cut, read
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose Bradley-Terry score reaches the threshold stay, unchanged."""
+    model = quality.learn(docs, read(spark, sf_dir, "labels"))
+    return quality.score_documents(docs.select(*COLUMNS), model).where(F.col("quality_score") >= quality.AT_THRESHOLD).select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines in five documents or more stay in the last of them only; a text that loses none is unchanged."""
+    bitmaps = lines.keep_bitmaps(docs).withColumnsRenamed({"doc_id": "bitmap_id", "row_hash": "bitmap_hash"}).drop("dropped")
+    own = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
+    same = own.doc_id.eqNullSafe(bitmaps.bitmap_id) & (own.row_hash == bitmaps.bitmap_hash)
+    both = own.join(bitmaps.hint("shuffle_hash"), same, "left")
+    kept = F.array_join(lines.apply_runs(lines.text_lines(F.col("text")), F.col("keep_runs")), "\n")
+    text = F.when(F.col("keep_runs").isNull(), F.col("text")).otherwise(kept)
+    return both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by sets of five-word shingles at 80 % similarity, the document with the least doc_id stays."""
+    groups = sketches.near_duplicate_groups(docs, shingle=5, percent=80)
+    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded text."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("near-dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("byte-level BPE", encode_stage),
+]
+
+#: The trained classifier can't be put in SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs
