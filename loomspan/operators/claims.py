@@ -55,7 +55,7 @@ SILENT_EVENTS = ("reasoning", "turn_context")
 def segments(x: Column) -> Column:
     """Pieces between line ends, bars and spaced dashes, of 12 bytes or more, trimmed of blanks and bullets."""
     pieces = F.split(x, r"\n|\|| - ", -1)
-    long = F.filter(F.transform(pieces, F.trim), lambda s: F.octet_length(s) >= 12)
+    long = F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: F.octet_length(s) >= 12)
     bare = F.transform(long, lambda s: F.trim(F.regexp_replace(s, "^[-*•]+|[-*•]+$", "")))
     return F.filter(bare, lambda s: s != "")
 

@@ -218,10 +218,13 @@ def merge_edges_with_metadata(edges: DataFrame, order: str = "position") -> Data
     A newcomer of better evidence, or of the same and a larger weight, adds its
     keys over the edge's; any other newcomer is dropped with its metadata.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("p"), evidence_rank(F.col("evidence")).alias("r"), "evidence", "weight", "metadata")))
+    listed = F.collect_list(F.struct(F.col(order).alias("p"), evidence_rank(F.col("evidence")).alias("r"), "evidence", "weight", "metadata"))
+    seq = F.array_sort(listed, lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(0))
     grouped = edges.groupBy("source", "target", "relation").agg(seq.alias("s"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    join = lambda a, b: F.map_from_entries(F.array_distinct(F.concat(F.filter(F.map_entries(a), lambda e: ~F.map_contains_key(b, e["key"])), F.map_entries(b))))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).cast("map<string,string>")
+    join = lambda a, b: F.map_from_entries(F.array_distinct(F.concat(F.filter(F.map_entries(a), lambda e: ~F.map_contains_key(b, e["key"])), F.map_entries(b)))).cast("map<string,string>")
+
+    kind = "struct<r:int,evidence:string,weight:double,metadata:map<string,string>>"
 
     def step(s, x):
         m = F.coalesce(x["metadata"], empty)
@@ -229,9 +232,9 @@ def merge_edges_with_metadata(edges: DataFrame, order: str = "position") -> Data
         return F.struct(
             F.when(better, x["r"]).otherwise(s["r"]).alias("r"), F.when(better, x["evidence"]).otherwise(s["evidence"]).alias("evidence"),
             F.greatest(s["weight"], x["weight"]).alias("weight"), F.when(better | heavier, join(s["metadata"], m)).otherwise(s["metadata"]).alias("metadata"),
-        )
+        ).cast(kind)
 
-    start = F.struct(F.lit(-1).alias("r"), F.lit("").alias("evidence"), F.lit(-1e308).alias("weight"), empty.alias("metadata"))
+    start = F.struct(F.lit(-1).alias("r"), F.lit("").alias("evidence"), F.lit(-1e308).alias("weight"), empty.alias("metadata")).cast(kind)
     folded = grouped.withColumn("x", F.aggregate("s", start, step))
     return folded.select("source", "target", "relation", "x.evidence", "x.weight", "x.metadata")
 
