@@ -141,9 +141,9 @@ def confidence(verification_: Column, from_summary: Column) -> Column:
 
 
 def derivation(kind: Column, from_summary: Column) -> Column:
-    short = F.when(kind == "implementation_detail", "implementation").otherwise(kind)
-    plain = F.when(kind.isin("summary", "risk", "change_log"), "pckc_claim_v1").otherwise(F.concat(F.lit("pckc_"), short, F.lit("_claim_v1")))
-    return F.when(from_summary, "pckc_summary_claim_v1").otherwise(plain)
+    """What made a claim: its type's rule, or a session's summary."""
+    plain = F.when(kind.isin("summary", "risk", "change_log"), "claim").otherwise(F.concat(kind, F.lit("_claim")))
+    return F.when(from_summary, "summary_claim").otherwise(plain)
 
 
 def atomic_claims(events: DataFrame, summaries: DataFrame | None = None) -> DataFrame:

@@ -199,3 +199,28 @@ def advice(items: DataFrame, intent: str = "hybrid", request: str = "request_id"
         F.when(asks_repo & ~repo, "Refresh repository sync or query repository knowledge directly."),
     )
     return flags.select(request, F.array_compact(unknowns).alias("unknowns"), F.array_compact(steps).alias("recommended"))
+
+
+def graph_items(nodes: DataFrame, source: str = "repository") -> DataFrame:
+    """Graph nodes as context items: item_id, title, summary of what is known of each, tokens."""
+    from loomspan.functions.text import estimate_tokens
+
+    facts = [F.concat(F.lit("type "), "node_type"), F.concat(F.lit("in "), "source_file") if "source_file" in nodes.columns else None, F.concat(F.lit("from "), "source_type")]
+    summary = F.concat_ws("; ", F.col("label"), *[f for f in facts if f is not None])
+    return nodes.select(F.col("id").alias("item_id"), F.col("label").alias("title"), summary.alias("summary"), F.lit(source).alias("source_class"), estimate_tokens(summary).alias("tokens"))
+
+
+def repository_items(nodes: DataFrame, query: str, paths: tuple[str, ...] = (), n: int = 10) -> DataFrame:
+    """Context items of the nodes that answer a query, and of exactly named files."""
+    from loomspan.operators.traverse import search_nodes
+
+    found = search_nodes(nodes, query, n).select(*nodes.columns)
+    named = nodes.where(F.col("id").isin(*[f"file:{p}" for p in paths])) if paths else nodes.limit(0)
+    return graph_items(found.unionByName(named).dropDuplicates(["id"]))
+
+
+def conflict_split(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits as memory items, and those with active conflicts or contradicted as conflict items."""
+    bad = (F.coalesce(F.col("conflicts"), F.lit(0)) > 0) | (F.coalesce(F.col("verification"), F.lit("")) == "contradicted")
+    kind = hits.withColumn("source_class", F.when(bad, "conflict").otherwise("memory"))
+    return kind.where("source_class = 'memory'"), kind.where("source_class = 'conflict'")

@@ -255,3 +255,14 @@ def is_continuation(query: str) -> bool:
 def goal_share(goals: Column, text: Column) -> Column:
     """The share of goals that a text holds."""
     return F.when(F.size(goals) > 0, F.size(F.filter(goals, lambda g: text.contains(g))) / F.size(goals)).otherwise(0.0)
+
+
+def bag_cosine(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
+    """key, cosine, overlap: bag-of-words cosine and distinct shared tokens of two texts of one key."""
+    words = lambda df: df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    a, b = words(left), words(right)
+    dots = a.join(b.withColumnRenamed("n", "m"), [key, "w"]).groupBy(key).agg(F.sum(F.col("n") * F.col("m")).alias("dot"), F.count("*").alias("overlap"))
+    norm = lambda df, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(name))
+    both = norm(a, "_x").join(norm(b, "_y"), key, "full").join(dots, key, "left")
+    cosine_ = F.when(F.col("_x") * F.col("_y") > 0, F.col("dot") / (F.col("_x") * F.col("_y")))
+    return both.select(key, F.round(F.coalesce(cosine_, F.lit(0.0)), 6).alias("cosine"), F.coalesce("overlap", F.lit(0)).alias("overlap"))

@@ -169,3 +169,14 @@ def test_query_cues():
     assert [retrieval.intent_of(q) for q in ("", "which function", "last session history", "the decision", "decision in file")] == ["none", "repository_only", "session_graph_only", "memory_only", "hybrid"]
     assert retrieval.is_continuation("Where did we leave it?") and not retrieval.is_continuation("parquet")
     assert ranking.Request().intent == "hybrid"
+
+
+def test_items_and_bags(spark):
+    nodes = spark.createDataFrame([("file:a/b.py", "b.py", "file", "repository", "a/b.py", "a/b.py"), ("symbol:x", "x", "symbol", "repository", "a/b.py", "a/b.py")], "id string, label string, node_type string, source_type string, source_id string, source_file string")
+    got = {r.item_id: r.summary for r in context.repository_items(nodes, "x", ("a/b.py",)).collect()}
+    assert got["file:a/b.py"] == "b.py; type file; in a/b.py; from repository" and "symbol:x" in got
+    a, b = spark.createDataFrame([(1, "a b a"), (2, "c")], "id int, t string"), spark.createDataFrame([(1, "a b"), (3, "d")], "id int, t string")
+    out = {r.id: (r.cosine, r.overlap) for r in retrieval.bag_cosine(a, b, "id", "t").collect()}
+    assert out == {1: (0.948683, 2), 2: (0.0, 0), 3: (0.0, 0)}
+    hits = spark.createDataFrame([(1, 0, "verified"), (2, 2, "verified"), (3, None, "contradicted")], "id int, conflicts int, verification string")
+    assert [df.count() for df in context.conflict_split(hits)] == [1, 2]
