@@ -22,6 +22,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds:
     pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null and a <> b")
     both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     loops = edges.where(f"`{left}` = `{right}`").select(F.col(left).alias("node"), F.col(left).alias("component"))
+    if both.isEmpty():
+        return loops.distinct()
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     label = cut(label)
     for _ in range(max_rounds):

@@ -124,28 +124,31 @@ def companion_edges(memories: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(items: DataFrame, id_: str, tokens: str, block: list[str], least: float = 0.5, shared: int = 4, common: int | None = None) -> DataFrame:
+def similar_pairs(items: DataFrame, id_: str, tokens: str, block: list[str], least: float = 0.5, shared: int = 4) -> DataFrame:
     """Pairs of a block whose token sets have Jaccard similarity ``least`` and ``shared`` tokens in common, or more.
 
     Prefix filtering: tokens are ordered by rarity, and two sets of similarity
     ``least`` must share one of their first n - ceil(least * n) + 1 tokens, so
-    only these meet in an equi-join, and counts are exact on the survivors.
-    ``common`` caps nothing; it is the df beyond which a token is never a
-    prefix's first choice, as rarity orders it last.
+    only these meet, as 64-bit hashes, in an equi-join. Counts are exact on the
+    hashed sets of the pairs that met; token texts are fetched for what is left.
     """
-    del common
-    exploded = items.select(*block, F.col(id_).alias("_id"), F.explode(F.array_distinct(tokens)).alias("_t"))
+    exploded = items.select(*block, F.col(id_).alias("_id"), F.explode(F.array_distinct(tokens)).alias("_w")).withColumn("_t", F.xxhash64("_w"))
     frequency = exploded.groupBy(*block, "_t").agg(F.count("*").alias("_df"))
     ranked = exploded.join(frequency, [*block, "_t"]).groupBy(*block, "_id").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_s"))
     sets = ranked.select(*block, "_id", F.transform("_s", lambda x: x["_t"]).alias("_set"), F.size("_s").alias("_n"))
     reach = F.greatest(F.lit(1), F.col("_n") - F.ceil(F.col("_n") * least).cast("int") + 1)
-    prefix = sets.select(*block, "_id", "_n", "_set", F.explode(F.slice("_set", F.lit(1), reach)).alias("_t"))
-    a = prefix.select(*block, "_t", F.col("_id").alias("left"), F.col("_n").alias("_na"), F.col("_set").alias("_sa"))
-    b = prefix.select(*block, "_t", F.col("_id").alias("right"), F.col("_n").alias("_nb"), F.col("_set").alias("_sb"))
-    near = a.join(b, [*block, "_t"]).where((F.col("left") < F.col("right")) & (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb")))
-    both = near.withColumn("shared_tokens", F.array_sort(F.array_intersect("_sa", "_sb"))).withColumn("shared", F.size("shared_tokens"))
-    scored = both.withColumn("similarity", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared")))
-    return scored.where((F.col("shared") >= shared) & (F.col("similarity") >= least)).select(*block, "left", "right", "shared", "shared_tokens", "similarity").dropDuplicates([*block, "left", "right"])
+    prefix = sets.select(*block, "_id", "_n", F.explode(F.slice("_set", F.lit(1), reach)).alias("_t"))
+    a = prefix.select(*block, "_t", F.col("_id").alias("left"), F.col("_n").alias("_na"))
+    b = prefix.select(*block, "_t", F.col("_id").alias("right"), F.col("_n").alias("_nb"))
+    close = (F.col("left") < F.col("right")) & (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb"))
+    near = a.join(b, [*block, "_t"]).where(close).select(*block, "left", "right", "_na", "_nb").distinct()
+    own = sets.select("_id", "_set")
+    both = near.join(own.withColumnsRenamed({"_id": "left", "_set": "_sa"}), "left").join(own.withColumnsRenamed({"_id": "right", "_set": "_sb"}), "right")
+    counted = both.withColumn("shared", F.size(F.array_intersect("_sa", "_sb"))).withColumn("similarity", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared")))
+    kept = counted.where((F.col("shared") >= shared) & (F.col("similarity") >= least)).select(*block, "left", "right", "shared", "similarity")
+    texts = items.select(F.col(id_).alias("_id"), F.array_distinct(tokens).alias("_w"))
+    named = kept.join(texts.withColumnsRenamed({"_id": "left", "_w": "_wa"}), "left").join(texts.withColumnsRenamed({"_id": "right", "_w": "_wb"}), "right")
+    return named.select(*block, "left", "right", "shared", F.array_sort(F.array_intersect("_wa", "_wb")).alias("shared_tokens"), "similarity")
 
 
 def similarity_edges(memories: DataFrame, block: list[str], degree: int = 2) -> DataFrame:

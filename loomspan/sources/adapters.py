@@ -73,7 +73,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("quality") == 1, "verified").when(F.col("quality") == 0, "unverified").otherwise("inferred").alias("verification"),
         F.when(F.col("toxic") == 1, "rejected").when(i % 13 == 0, "pinned").otherwise("active").alias("governance"), (i % 5 != 0).alias("admitted"),
         F.when(i % 17 == 0, (i + 1).cast("string")).alias("superseded_by"), F.lit(None).cast("timestamp").alias("superseded_at"), F.lit(None).cast("timestamp").alias("valid_to"),
-        polarity(F.left("text", F.lit(200))).alias("polarity"), F.concat_ws(":", F.lit("fact"), F.col("source"), claim_text(F.left("text", F.lit(40)))).alias("claim_key"),
+        polarity(F.col("text")).alias("polarity"), F.concat_ws(":", F.lit("fact"), F.col("source"), claim_text(F.col("text"))).alias("claim_key"),
         F.concat(F.lit("s"), (i % 50).cast("string")).alias("subject"),
         ((i % 10) / 10.0).alias("importance"), ((i % 8) / 8.0).alias("confidence"), (i % 4).alias("conflicts"),
         F.array((i % 20).cast("string")).alias("session_ids"), F.concat(F.lit("b"), (i % 3).cast("string")).alias("branch"),
@@ -90,8 +90,8 @@ mem AS (
     CASE WHEN quality = 1 THEN 'verified' WHEN quality = 0 THEN 'unverified' ELSE 'inferred' END AS verification,
     CASE WHEN toxic = 1 THEN 'rejected' WHEN d.doc_id % 13 = 0 THEN 'pinned' ELSE 'active' END AS governance, d.doc_id % 5 <> 0 AS admitted,
     CASE WHEN d.doc_id % 17 = 0 THEN CAST(d.doc_id + 1 AS VARCHAR) END AS superseded_by, CAST(NULL AS TIMESTAMP) AS superseded_at, CAST(NULL AS TIMESTAMP) AS valid_to,
-    CASE WHEN regexp_matches(lower(left(text, 200)), 'do not|should not|not |disabled|rejected|fallback only') THEN 'negative' ELSE 'positive' END AS polarity,
-    'fact:' || source || ':' || array_to_string(list_filter(regexp_extract_all(lower(left(text, 40)), '[a-z0-9_]+'), lambda t: length(t) >= 3)[1:10], '_') AS claim_key,
+    CASE WHEN regexp_matches(lower(text), 'do not|should not|not |disabled|rejected|fallback only') THEN 'negative' ELSE 'positive' END AS polarity,
+    'fact:' || source || ':' || array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) >= 3)[1:10], '_') AS claim_key,
     's' || (d.doc_id % 50) AS subject,
     (d.doc_id % 10) / 10.0::DOUBLE AS importance, (d.doc_id % 8) / 8.0::DOUBLE AS confidence, d.doc_id % 4 AS conflicts,
     [CAST(d.doc_id % 20 AS VARCHAR)] AS session_ids, 'b' || (d.doc_id % 3) AS branch, (d.doc_id % 6) / 6.0::DOUBLE AS graph_proximity,
@@ -101,11 +101,10 @@ mem AS (
 """
 
 
-def order_graph(spark: SparkSession, sf_dir: str, orders: int = 400) -> tuple[DataFrame, DataFrame]:
-    """Customers, nations, regions and the first orders as a property graph."""
-    o = read(spark, sf_dir, "orders").where(F.col("o_orderkey") < orders)
+def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers, nations, regions and orders as a property graph."""
+    o = read(spark, sf_dir, "orders")
     c, n, r = (read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    c = c.join(o.select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_semi")
     name = lambda kind, key: F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
     node = lambda df, kind, key, label: df.select(name(kind, key).alias("id"), label.alias("label"), F.lit(kind).alias("node_type"), F.lit("table").alias("source_type"), F.col(key).cast("string").alias("source_id"), F.lit(None).cast("string").alias("source_file"))
     nodes = (
@@ -122,8 +121,8 @@ def order_graph(spark: SparkSession, sf_dir: str, orders: int = 400) -> tuple[Da
 
 
 GRAPH_SQL = """
-o AS (SELECT * FROM orders WHERE o_orderkey < 400),
-c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)),
+o AS (SELECT * FROM orders),
+c AS (SELECT * FROM customer),
 nodes AS (
   SELECT 'order:' || o_orderkey AS id, 'Order ' || o_orderkey AS label, 'order' AS node_type FROM o
   UNION ALL SELECT 'customer:' || c_custkey, c_name, 'customer' FROM c

@@ -24,7 +24,7 @@ def test_sessions_events_and_graphs(spark, sf, tmp_path):
     assert [(r.status, r.provider, r.branch) for r in engine.sessions().collect()] == [("completed", "cli", "main")]
     parts = engine.derive()
     assert parts["memories"].where("memory_type = 'decision'").count() == 1 and parts["nodes"].count() > 0
-    nodes, edges = order_graph(spark, sf, 40)
+    nodes, edges = order_graph(spark, sf)
     engine.build_graph("repository", "one", nodes, edges, T0)
     engine.build_graph("repository", "two", nodes.limit(5), edges, T0 - timedelta(days=1))
     assert engine.graph("repository")[0].count() == nodes.count()
