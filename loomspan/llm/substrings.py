@@ -6,11 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.llm.filters import bit_of, flags, is_set
 from loomspan.llm.kernel import BLANK, Splitter, chunks, signed, split, texts, windows, within
-from loomspan.plans.lineage import read
+from loomspan.plans.lineage import cut, read
 
 #: A perfect difference set: every residue modulo the period is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -45,36 +46,65 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
 
 
-def _anchor_rows(rows: DataFrame, size: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """doc_id, row_hash, anchor: each distinct anchor of each document once."""
+def _groups(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key and document, and each row's group's least and largest document, in that order."""
+    order = np.lexsort((doc, keys))
+    k, d = keys[order], doc[order]
+    if not len(k):
+        return order, d, d
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(start, append=len(k))
+    return order, np.repeat(d[start], size), np.repeat(d[start + size - 1], size)
+
+
+def _anchor_rows(rows: DataFrame, size: int, period: int, cover: tuple[int, ...], settled: bool) -> DataFrame:
+    """doc_id, row_hash, anchor: distinct anchors of documents, combined within each batch.
+
+    settled: those that two documents of the batch hold, which need no further
+    search. Else one row for each anchor of the batch, of its least document,
+    with ``known``: whether it is settled here.
+    """
 
     def run(batches):
         tables = _WORDS[0].tables()
         for batch in batches:
             data, offsets = texts(batch.column(2))
-            ids, row = batch.column(0), batch.column(1)
+            ids = batch.column(0).to_numpy()
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
             for i, j in chunks(offsets):
                 w = split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _WORDS[0], tables)
                 at, anchors = _anchors(w.first, w.hashes, size, period, cover)
-                doc = np.searchsorted(w.first, at, "right") - 1
-                order = np.lexsort((anchors, doc))
-                doc, anchors = doc[order], anchors[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (anchors[1:] != anchors[:-1])
-                take = pa.array(doc[new] + i)
-                yield pa.RecordBatch.from_arrays([ids.take(take), row.take(take), signed(anchors[new])], ["doc_id", "row_hash", "anchor"])
-
-    return rows.where("doc_id is not null").select("doc_id", "row_hash", "text").mapInArrow(run, "doc_id long, row_hash long, anchor long")
-
-
-def _window_rows(found: DataFrame, window: int, size: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """doc_id, row_hash, start, w1, w2: the windows around the anchors that a document shares, with 128-bit fingerprints."""
+                found.append((np.searchsorted(w.first, at, "right") - 1 + i, anchors))
+            row, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, low, high = _groups(anchor, ids[row])
+            row, anchor, known = row[order], anchor[order], low < high
+            if settled:
+                keep = known & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])[: len(row)]
+            else:
+                keep = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(row)]
+                keep |= ~known & np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+            take = pa.array(row[keep])
+            columns = [batch.column(0).take(take), batch.column(1).take(take), signed(anchor[keep])]
+            yield pa.RecordBatch.from_arrays(columns + ([] if settled else [pa.array(known[keep])]), ["doc_id", "row_hash", "anchor", "known"][: len(columns) + (not settled)])
+
+    kinds = "doc_id long, row_hash long, anchor long" + ("" if settled else ", known boolean")
+    return rows.where("doc_id is not null").select("doc_id", "row_hash", "text").mapInArrow(run, kinds)
+
+
+def _window_rows(found: DataFrame, window: int, size: int, period: int, cover: tuple[int, ...], settled: bool) -> DataFrame:
+    """doc_id, row_hash, start: windows around the anchors that a document shares, combined within each batch.
+
+    settled: those that also start in a smaller document of the batch, which
+    are removed whatever the others hold. Else the rest, with w1 and w2: 128-bit
+    fingerprints.
+    """
 
     def run(batches):
         tables = [s.tables() for s in _WORDS]
         for batch in batches:
             data, offsets = texts(batch.column(2))
-            shared = batch.column(3)
+            ids, shared = batch.column(0).to_numpy(), batch.column(3)
+            found_ = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
             for k in range(batch.num_rows):
                 part = data[offsets[k] : offsets[k + 1]]
                 one = np.array([0, len(part)])
@@ -90,63 +120,91 @@ def _window_rows(found: DataFrame, window: int, size: int, period: int, cover: t
                 np.add.at(mark, np.maximum(at - period + 1, 0), 1)
                 np.add.at(mark, at + 1, -1)
                 starts = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
-                if not len(starts):
-                    continue
-                w1 = windows(w.hashes, window)[starts]
                 w2 = windows(split(part, one, _WORDS[1], tables[1]).hashes, window)[starts]
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(batch.column(0)[k], n), pa.repeat(batch.column(1)[k], n), pa.array(starts.astype(np.int32)), signed(w1), signed(w2)],
-                    ["doc_id", "row_hash", "start", "w1", "w2"],
-                )
+                found_.append((np.full(len(starts), k), starts, windows(w.hashes, window)[starts], w2))
+            row, start, w1, w2 = (np.concatenate(x) for x in zip(*found_, strict=True))
+            # Both fingerprints as one: equal pairs are equal sums of odd multiples but for a chance of 2**-64 a pair.
+            order, low, _ = _groups(w1 + w2 * np.uint64(0x9E3779B97F4A7C15), ids[row])
+            row, start, w1, w2 = row[order], start[order], w1[order], w2[order]
+            later = ids[row] > low
+            keep = later if settled else ~later
+            take = pa.array(row[keep])
+            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(start[keep].astype(np.int32))] + ([] if settled else [signed(w1[keep]), signed(w2[keep])])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "start", "w1", "w2"][: len(columns)])
 
-    return found.select("doc_id", "row_hash", "text", "anchors").mapInArrow(run, "doc_id long, row_hash long, start int, w1 long, w2 long")
+    kinds = "doc_id long, row_hash long, start int" + ("" if settled else ", w1 long, w2 long")
+    return found.select("doc_id", "row_hash", "text", "anchors").mapInArrow(run, kinds)
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """Per document, the starts of the windows that also start in a document with a smaller doc_id.
+def shared_anchors(rows: DataFrame, size: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """doc_id, row_hash, anchors: the anchors of each document that another document holds as well."""
+    settled = _anchor_rows(rows, size, period, cover, True)
+    single = _anchor_rows(rows, size, period, cover, False)
+    # A batch sends an anchor once, so a group has a row a batch at most, however many documents hold the anchor.
+    w = Window.partitionBy("anchor")
+    judged = single.repartition("anchor").withColumns({"low": F.min("doc_id").over(w), "high": F.max("doc_id").over(w)})
+    across = judged.where("low < high and not known").select("doc_id", "row_hash", "anchor")
+    return settled.unionByName(across).groupBy("doc_id", "row_hash").agg(F.collect_list("anchor").alias("anchors"))
 
-    Returns ``doc_id, row_hash, starts`` for documents that have any. A window
-    is a run of ``window`` words. Only words at cover positions modulo the
-    period begin an anchor, a shorter window that is hashed: for any two places
-    some shift below the period brings both to cover positions, so two equal
-    windows always share an aligned anchor. Anchors are grouped by hash (with
-    map-side combine); those in two documents at least go back to their
-    documents, where each is extended to all windows that hold it. These carry
-    128-bit fingerprints, which decide.
 
-    Nulls: a null text has no words; a row with a null doc_id neither removes
-    nor loses anything. Rows that repeat a doc_id count as one document, so they
-    never remove from one another, and each is judged by its own text. Texts
-    shorter than a window have none. No rows give no rows.
-    """
-    if not is_difference_cover(period, cover):
-        raise ValueError("the cover does not reach every difference")
-    size = anchor_size(window, period)
-    rows = _rows(docs)
-    anchors = _anchor_rows(rows, size, period, cover)
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    found = anchors.join(shared, "anchor").groupBy("doc_id", "row_hash").agg(F.collect_list("anchor").alias("anchors"))
-    candidates = rows.join(found.hint("shuffle_hash"), ["doc_id", "row_hash"])
-    spans = _window_rows(candidates, window, size, period, cover)
-    least = spans.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    again = spans.join(least, ["w1", "w2"]).where("doc_id > low")
-    return again.groupBy("doc_id", "row_hash").agg(F.collect_set("start").alias("starts"))
+def _candidates(rows: DataFrame, known) -> tuple[DataFrame, DataFrame]:
+    """rows that share an anchor (with a few that don't), and the others: by a filter of fixed size, map-side."""
+
+    def part(inside: bool):
+        def run(batches):
+            bits = known.value
+            for batch in batches:
+                key = batch.column(3).to_numpy()
+                on = is_set(bits, key)
+                yield batch.filter(pa.array(on if inside else ~on)).select([0, 1, 2])
+
+        return rows.select("doc_id", "row_hash", "text", bit_of("doc_id", "row_hash").alias("bit")).mapInArrow(run, "doc_id long, row_hash long, text string")
+
+    return part(True), part(False)
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 
 
 def dedup_substrings(docs: DataFrame, window: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """Every document with the words that repeated windows cover removed.
+    """Every document without the words of windows that also start in a document with a smaller doc_id.
 
     Returns ``doc_id, n_words, n_removed, kept, kept_sha256``; ``kept`` is the
-    remaining words joined by one space. See ``repeated_windows``.
+    remaining words joined by one space. A window is a run of ``window`` words,
+    and windows are judged on the input.
+
+    Only words at cover positions modulo the period begin an anchor, a shorter
+    window that is hashed: for any two places some shift below the period brings
+    both to cover positions, so two equal windows always share an aligned
+    anchor. Anchors are combined in each batch, then grouped by hash. Documents
+    that share none are done. The others meet their shared anchors, and each
+    anchor extends to all windows that hold it; these carry 128-bit fingerprints,
+    are combined in each batch again, and of each fingerprint the document with
+    the least doc_id keeps its windows.
+
+    Nulls: a null text has no words; a row with a null doc_id neither removes
+    nor loses anything. Rows that repeat a doc_id count as one document, so they
+    never remove from one another, and each is judged by its own text. Texts
+    shorter than a window have none. No rows give no rows; other columns are
+    ignored.
     """
+    if not is_difference_cover(period, cover):
+        raise ValueError("the cover does not reach every difference")
+    size = anchor_size(window, period)
     rows = _rows(docs)
-    found = repeated_windows(docs, window, period, cover).withColumnsRenamed({"doc_id": "found_id", "row_hash": "found_hash"})
-    both = rows.join(found.hint("shuffle_hash"), (rows.doc_id == found.found_id) & (rows.row_hash == found.found_hash), "left")
-
+    found = cut(shared_anchors(rows, size, period, cover))
+    near, far = _candidates(rows, docs.sparkSession.sparkContext.broadcast(flags(found, "doc_id", "row_hash")))
+    held = near.join(found.hint("shuffle_hash"), ["doc_id", "row_hash"])
+    here = _window_rows(held, window, size, period, cover, True)
+    rest = _window_rows(held, window, size, period, cover, False)
+    first = F.first("doc_id").over(Window.partitionBy("w1", "w2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    across = rest.repartition("w1").withColumn("low", first).where("doc_id > low").select("doc_id", "row_hash", "start")
+    gone = here.unionByName(across).groupBy("doc_id", "row_hash").agg(F.collect_set("start").alias("starts")).withColumnsRenamed({"doc_id": "gone_id", "row_hash": "gone_hash"})
+    both = near.join(gone.hint("shuffle_hash"), (near.doc_id == gone.gone_id) & (near.row_hash == gone.gone_hash), "left").select("doc_id", "text", "starts")
+    return _kept(both.unionByName(far.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))), window)
+
+
+def _kept(both: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = texts(batch.column(1))
