@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.llm.filters import bit_of, flags, is_set
 from loomspan.llm.kernel import BLANK, LOWER, Splitter, chunks, mix, signed, split, texts, windows
 from loomspan.operators.components import components
 from loomspan.plans.lineage import cut, read
@@ -151,22 +152,33 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full shingle sets."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = classes.join(wanted, "rep", "left_semi").select(F.col("rep").alias("doc_id"), "row_hash")
+def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """rep, shingles (sorted 64-bit values as bytes) of the wanted classes (column rep).
 
-    def sets(batches):
+    A filter of fixed size picks their documents where they are read, so no
+    other text is shingled and no text is shuffled.
+    """
+    rows = cut(classes.join(wanted.distinct(), "rep", "left_semi").select("rep", "row_hash"))
+    known = docs.sparkSession.sparkContext.broadcast(flags(rows, "rep", "row_hash"))
+
+    def run(batches):
         tables = _WORDS.tables()
         for batch in batches:
+            batch = batch.filter(pa.array(is_set(known.value, batch.column(3).to_numpy())))
             data, offsets = texts(batch.column(1))
             for i, j in chunks(offsets):
                 w = split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _WORDS, tables)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_hashes(w, shingle)], pa.binary())], ["doc_id", "shingles"]
-                )
+                found = pa.array([s.tobytes() for s in shingle_hashes(w, shingle)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), found], ["rep", "row_hash", "shingles"])
 
-    full = _identified(docs).join(wanted, ["doc_id", "row_hash"], "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary")
+    own = _identified(docs).where("doc_id is not null").withColumn("bit", bit_of("doc_id", "row_hash"))
+    full = own.select("doc_id", "text", "row_hash", "bit").mapInArrow(run, "rep long, row_hash long, shingles binary")
+    return full.join(rows, ["rep", "row_hash"], "left_semi").select("rep", "shingles")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union, on full shingle sets."""
+    full = _sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), classes, shingle)
 
     def check(batches):
         for batch in batches:
@@ -177,8 +189,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = full.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
@@ -197,9 +209,10 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
        one before it in size order: as many pairs as members. Pairs whose sizes or joint
        likelihood estimate exclude a link go, the rest is verified on full sets.
     4. Verified links join members to components. A bucket whose members are
-       then in one component is done. In the others all pairs across components
-       are estimated, in blocks for large buckets, and likely ones verified, so
-       no link that could join two components is left out.
+       then in one component is done, and of buckets with the same members one
+       is. In the others every pair across components is compared on full sets,
+       in blocks for large buckets; only links that join two components leave
+       the task, fewer than it has members, and no such link is left out.
     5. Components of all links give component_id.
 
     Null text is empty, and an empty document is linked with nothing. A row
@@ -217,7 +230,10 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
     classes = cut(exact.withColumn("nth", one).where("nth = 1").drop("nth", "digest"))
     least = percent / 100 - SLACK
     banded = _bands(classes)
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
+    h = F.xxhash64("rep")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot"), F.sum(h % (1 << 40)).alias("_sum"), F.bit_xor(h).alias("_xor")).where("members > 1")
+    # Bands often gather the same members: one bucket of each such set is enough.
+    buckets = buckets.groupBy("members", "pivot", "_sum", "_xor").agg(F.min("bucket").alias("bucket")).select("bucket", "members", "pivot")
     members = cut(banded.join(buckets, "bucket"))
     part = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / (BLOCK // 2)))).otherwise(0)
     near = members.withColumn("part", part).withColumn("prior", F.lag("rep").over(Window.partitionBy("bucket", "part").orderBy("n_shingles", "rep")))
@@ -225,14 +241,20 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
     chains = near.where("prior is not null").select(F.least("rep", "prior").alias("a"), F.greatest("rep", "prior").alias("b"))
     pairs = stars.union(chains).where("a < b").distinct()
     first = cut(_verified(cut(_likely(pairs, classes, least)), classes, docs, shingle, percent))
-    label = components(first)
+    label = cut(components(first))
     # Buckets that still hold several components; two or three members were all paired above.
     open_ = members.where("members > 2").join(label, members.rep == label.node, "left").select("bucket", "rep", "n_shingles", "members", F.coalesce("component", "rep").alias("component"))
     mixed = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = open_.join(mixed, "bucket").join(classes.select("rep", "registers"), "rep")
-    across = cut(_across(rest, least).join(first, ["a", "b"], "left_anti"))
-    second = _verified(across, classes, docs, shingle, percent)
-    final = components(first.union(second).distinct()).withColumnRenamed("node", "rep")
+    rest = cut(open_.join(mixed, "bucket"))
+    second = _across(rest.join(_sets(docs, rest.select("rep"), classes, shingle), "rep"), percent)
+    # Later links join whole components, so they are few: their ends are components' names.
+    name = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_to"))
+    ends = second.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
+    joined = components(ends.distinct())
+    onto = joined.select(F.col("node").alias("component"), F.col("component").alias("onto"))
+    known = label.select(F.col("node").alias("rep"), "component")
+    lone = joined.join(known.select(F.col("rep").alias("node")), "node", "left_anti").select(F.col("node").alias("rep"), "component")
+    final = known.join(onto, "component", "left").select("rep", F.coalesce("onto", "component").alias("component")).unionByName(lone)
     of_class = exact.select("digest", "n_shingles", "rep").join(final, "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
     named = sketched.join(of_class, ["digest", "n_shingles"], "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
@@ -240,40 +262,50 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _across(rest: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components within each bucket.
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within each bucket, found on full sets.
 
     A bucket is dealt into blocks of about BLOCK members and each pair of
-    blocks is a group, so a task holds two blocks of 16-bit registers at most.
+    blocks is a group, so a task holds the sets of two blocks. A group's links
+    are folded as they are found: each one joins two parts of its members.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
     own = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = own.withColumn("other", other).select(
-        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n_shingles", "component", "registers"
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "shingles"
     )
 
-    def pairs(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def links(key, frame: pd.DataFrame) -> pd.DataFrame:
         low, high = key[1], key[2]
-        r = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(len(frame), REGISTERS)
-        rep, n, component, block = (frame[c].to_numpy() for c in ("rep", "n_shingles", "component", "block"))
+        sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+        n = np.array([len(x) for x in sets])
+        at = np.concatenate([[0], np.cumsum(n)])
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        rep, block = frame["rep"].to_numpy(), frame["block"].to_numpy()
+        part = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+        mark = np.zeros(len(known), bool)
         out = []
         for i in range(len(frame)):
             # Within one block each pair once; between two blocks from the lower one.
-            if low == high:
-                other_ = np.arange(i + 1, len(frame))
-            elif block[i] == low:
-                other_ = np.flatnonzero(block == high)
-            else:
+            if low != high and block[i] != low:
+                continue
+            near = np.arange(i + 1, len(frame)) if low == high else np.flatnonzero(block == high)
+            near = near[(part[near] != part[i]) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))]
+            if not len(near):
                 continue
-            other_ = other_[component[other_] != component[i]]
-            other_ = other_[np.minimum(n[other_], n[i]) >= least * np.maximum(n[other_], n[i])]
-            if len(other_):
-                close = likeliest(np.broadcast_to(r[i], (len(other_), REGISTERS)), r[other_], np.full(len(other_), float(n[i])), n[other_].astype(float), 40) >= least
-                out += [(min(rep[i], x), max(rep[i], x)) for x in rep[other_[close]]]
+            mark[flat[at[i] : at[i + 1]]] = True
+            ends = np.cumsum(n[near])
+            places = np.arange(ends[-1]) + np.repeat(at[near] - (ends - n[near]), n[near])
+            both = np.add.reduceat(mark[flat[places]].astype(np.int64), ends - n[near])
+            mark[flat[at[i] : at[i + 1]]] = False
+            for j in near[100 * both >= percent * (n[near] + n[i] - both)]:
+                if part[j] != part[i]:
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    part[part == part[j]] = part[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(pairs, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "low", "high").applyInPandas(links, "a long, b long").distinct()
 
 
 def op6_setsketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
