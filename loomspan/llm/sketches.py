@@ -22,8 +22,8 @@ ROWS, BANDS = 3, 22
 REGISTERS = ROWS * BANDS
 #: A candidate whose most likely similarity is this far below the threshold is not verified: over five standard errors.
 SLACK = 0.25
-#: Buckets with more members than this are ranked in parts, and are compared in blocks of this size.
-BLOCK = 1024
+#: Buckets with more members, or more bytes of sets, than this are compared in blocks; larger ones are ranked in parts.
+BLOCK, BLOCK_BYTES = 8192, 1 << 24
 _WORDS = Splitter(BLANK, LOWER, seed=6)
 _RNG = np.random.default_rng(66)
 _A = _RNG.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -231,9 +231,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
     least = percent / 100 - SLACK
     banded = _bands(classes)
     h = F.xxhash64("rep")
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot"), F.sum(h % (1 << 40)).alias("_sum"), F.bit_xor(h).alias("_xor")).where("members > 1")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot"), F.sum("n_shingles").alias("volume"), F.sum(h % (1 << 40)).alias("_sum"), F.bit_xor(h).alias("_xor")).where("members > 1")
     # Bands often gather the same members: one bucket of each such set is enough.
-    buckets = buckets.groupBy("members", "pivot", "_sum", "_xor").agg(F.min("bucket").alias("bucket")).select("bucket", "members", "pivot")
+    buckets = buckets.groupBy("members", "pivot", "volume", "_sum", "_xor").agg(F.min("bucket").alias("bucket")).select("bucket", "members", "pivot", "volume")
     members = cut(banded.join(buckets, "bucket"))
     part = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / (BLOCK // 2)))).otherwise(0)
     near = members.withColumn("part", part).withColumn("prior", F.lag("rep").over(Window.partitionBy("bucket", "part").orderBy("n_shingles", "rep")))
@@ -243,10 +243,10 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
     first = cut(_verified(cut(_likely(pairs, classes, least)), classes, docs, shingle, percent))
     label = cut(components(first))
     # Buckets that still hold several components; two or three members were all paired above.
-    open_ = members.where("members > 2").join(label, members.rep == label.node, "left").select("bucket", "rep", "n_shingles", "members", F.coalesce("component", "rep").alias("component"))
+    open_ = members.where("members > 2").join(label, members.rep == label.node, "left").select("bucket", "rep", "members", "volume", F.coalesce("component", "rep").alias("component"))
     mixed = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     rest = cut(open_.join(mixed, "bucket"))
-    second = _across(rest.join(_sets(docs, rest.select("rep"), classes, shingle), "rep"), percent)
+    second = cut(_across(rest.join(_sets(docs, rest.select("rep"), classes, shingle), "rep"), percent))
     # Later links join whole components, so they are few: their ends are components' names.
     name = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_to"))
     ends = second.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
@@ -265,11 +265,11 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
 def _across(rest: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join different components within each bucket, found on full sets.
 
-    A bucket is dealt into blocks of about BLOCK members and each pair of
-    blocks is a group, so a task holds the sets of two blocks. A group's links
+    A bucket is dealt into blocks of about BLOCK members or BLOCK_BYTES of sets,
+    and each pair of blocks is a group, so a task holds the sets of two blocks. A group's links
     are folded as they are found: each one joins two parts of its members.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK), F.ceil(F.col("volume") * 8 / BLOCK_BYTES)).cast("int")
     own = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = own.withColumn("other", other).select(
