@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.kernel import chunks, texts
-from loomspan.plans.lineage import cut, read
+from loomspan.plans.lineage import read
 
 #: Characters below this are split with explicit classes and the standard library's faster matcher.
 _NEAR = 0x250
 #: The White_Space property.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of text in a block: the unit within which a pre-token is named by a local number.
 BLOCK_BYTES = 1 << 25
 
@@ -119,7 +119,7 @@ def _bucket(word: bytes, buckets: int) -> int:
 
 
 def blocks_of(docs: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Blocks of documents: kind 0 is a block's sequences of local numbers, kind 1 its words that need merges, by bucket.
+    """Blocks of documents: kind 1 is a block's sequences of local numbers, kind 0 its words that need merges, by bucket.
 
     A pre-token that is itself a token needs no merge, and its id is known at once.
     """
@@ -163,21 +163,24 @@ def blocks_of(docs: DataFrame, path: str, buckets: int) -> DataFrame:
                 name = int.from_bytes(hashlib.blake2b(main, digest_size=8).digest(), "little", signed=True)
                 blobs = [main] + [_squeeze(pack(np.array(at)), pack(np.array([len(w) for w in found])), b"".join(found)) for at, found in parts.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(blobs)), pa.array([0] + [1] * len(parts), pa.int32()), pa.array([0, *parts], pa.int32()), pa.array(blobs, pa.binary())], names
+                    [pa.array([name] * len(blobs)), pa.array([1] + [0] * len(parts), pa.int32()), pa.array([name % buckets, *parts], pa.int32()), pa.array(blobs, pa.binary())], names
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block long, kind int, bucket int, data binary")
 
 
 def _encode_words(parts: DataFrame, path: str) -> DataFrame:
-    """block, data: numbers and ids of the words. Within a partition each distinct word is encoded once."""
+    """block, kind, data: numbers and ids in place of words. Within a partition each distinct word is encoded once; sequences pass."""
 
     def run(batches):
         encode = encoder(path).encode_ordinary
         done: dict[bytes, list[int]] = {}
         for batch in batches:
             blobs = []
-            for blob in batch.column(1):
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if kind:
+                    blobs.append(blob.as_py())
+                    continue
                 at, sizes, joined = _expand(blob.as_py())
                 ends = np.cumsum(unpack(sizes))
                 words = [joined[a:b] for a, b in zip((ends - unpack(sizes)).tolist(), ends.tolist(), strict=True)]
@@ -190,9 +193,9 @@ def _encode_words(parts: DataFrame, path: str) -> DataFrame:
                     found.append(ids)
                 flat = np.fromiter((x for ids in found for x in ids), np.uint32)
                 blobs.append(_squeeze(at, pack(np.array([len(x) for x in found])), pack(flat)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["block", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["block", "kind", "data"])
 
-    return parts.select("block", "data").mapInArrow(run, "block long, data binary")
+    return parts.select("block", "kind", "data").mapInArrow(run, "block long, kind int, data binary")
 
 
 def _documents(main: bytes, encoded: list[bytes], table: list[bytes]) -> Iterator[tuple]:
@@ -247,11 +250,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     path = path or tokenizer_path()
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = cut(blocks_of(docs, path, buckets))
-    back = _encode_words(blocks.where("kind = 1").repartition(buckets, "bucket"), path)
-    both = blocks.where("kind = 0").select("block", F.lit(1).alias("kind"), "data").union(back.select("block", F.lit(0), "data"))
-    # A block's encoded words come before its sequences. Equal blocks fold into as many as there are.
-    gathered = both.repartition(buckets, "block").sortWithinPartitions("block", "kind")
+    # One shuffle deals words by hash and sequences by block, one brings a block together, its words before its
+    # sequences. Equal blocks fold into as many as there are.
+    encoded = _encode_words(blocks_of(docs, path, buckets).repartition(buckets, "bucket"), path)
+    gathered = encoded.repartition(buckets, "block").sortWithinPartitions("block", "kind")
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
