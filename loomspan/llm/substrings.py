@@ -57,13 +57,35 @@ def _groups(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, np.repeat(d[start], size), np.repeat(d[start + size - 1], size)
 
 
-def _anchor_rows(rows: DataFrame, size: int, period: int, cover: tuple[int, ...], settled: bool) -> DataFrame:
-    """doc_id, row_hash, anchor: distinct anchors of documents, combined within each batch.
+def _packed(row: np.ndarray, values: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+    """The distinct rows and the list of each one's values, of values in order of row."""
+    new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+    return row[new], pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), values)
 
-    settled: those that two documents of the batch hold, which need no further
-    search. Else one row for each anchor of the batch, of its least document,
-    with ``known``: whether it is settled here.
+
+def _both(batch: pa.RecordBatch, row: np.ndarray, columns: list[pa.Array], settled_row: np.ndarray, settled: pa.ListArray, names: list[str]) -> pa.RecordBatch:
+    """One batch of unsettled rows, with null lists, then a row of each document with settled ones, with nulls elsewhere.
+
+    The first column deals the rows out: a settled row goes by its document,
+    so that no common anchor or window gathers them.
     """
+    ids, hashes = (batch.column(k).take(pa.array(np.concatenate([row, settled_row]))) for k in (0, 1))
+    n, m = len(row), len(settled_row)
+    by = hashes.slice(n).to_numpy().view(np.uint64) + ids.slice(n).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = [ids, hashes, pa.concat_arrays([columns[0], signed(by)])]
+    out += [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in columns[1:]]
+    return pa.RecordBatch.from_arrays([*out, pa.concat_arrays([pa.nulls(n, settled.type), settled])], names)
+
+
+def _anchor_rows(rows: DataFrame, size: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """Distinct anchors of documents, combined within each batch, all from one pass over it.
+
+    Anchors that two documents of the batch hold need no further search: each
+    document has them in ``settled`` of a row of its own. The others have a row
+    each; so has each settled anchor once, of the batch's least document, with
+    ``known``.
+    """
+    names = ["doc_id", "row_hash", "anchor", "known", "settled"]
 
     def run(batches):
         tables = _WORDS[0].tables()
@@ -78,26 +100,24 @@ def _anchor_rows(rows: DataFrame, size: int, period: int, cover: tuple[int, ...]
             row, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
             order, low, high = _groups(anchor, ids[row])
             row, anchor, known = row[order], anchor[order], low < high
-            if settled:
-                keep = known & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])[: len(row)]
-            else:
-                keep = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(row)]
-                keep |= ~known & np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
-            take = pa.array(row[keep])
-            columns = [batch.column(0).take(take), batch.column(1).take(take), signed(anchor[keep])]
-            yield pa.RecordBatch.from_arrays(columns + ([] if settled else [pa.array(known[keep])]), ["doc_id", "row_hash", "anchor", "known"][: len(columns) + (not settled)])
+            own = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])[: len(row)]
+            single = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(row)] | (~known & own)
+            held = np.flatnonzero(known & own)
+            held = held[np.argsort(row[held], kind="stable")]
+            yield _both(batch, row[single], [signed(anchor[single]), pa.array(known[single])], *_packed(row[held], signed(anchor[held])), names)
 
-    kinds = "doc_id long, row_hash long, anchor long" + ("" if settled else ", known boolean")
-    return rows.where("doc_id is not null").select("doc_id", "row_hash", "text").mapInArrow(run, kinds)
+    return rows.where("doc_id is not null").select("doc_id", "row_hash", "text").mapInArrow(run, "doc_id long, row_hash long, anchor long, known boolean, settled array<long>")
 
 
-def _window_rows(found: DataFrame, window: int, size: int, period: int, cover: tuple[int, ...], settled: bool) -> DataFrame:
-    """doc_id, row_hash, start: windows around the anchors that a document shares, combined within each batch.
+def _window_rows(found: DataFrame, window: int, size: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """Windows around the anchors that a document shares, combined within each batch, all from one pass over it.
 
-    settled: those that also start in a smaller document of the batch, which
-    are removed whatever the others hold. Else the rest, with w1 and w2: 128-bit
+    Windows that also start in a smaller document of the batch are removed
+    whatever the others hold: a document has their starts in ``settled`` of a
+    row of its own. The rest have a row each, with w1 and w2: 128-bit
     fingerprints.
     """
+    names = ["doc_id", "row_hash", "w1", "w2", "start", "settled"]
 
     def run(batches):
         tables = [s.tables() for s in _WORDS]
@@ -125,42 +145,60 @@ def _window_rows(found: DataFrame, window: int, size: int, period: int, cover: t
             row, start, w1, w2 = (np.concatenate(x) for x in zip(*found_, strict=True))
             # Both fingerprints as one: equal pairs are equal sums of odd multiples but for a chance of 2**-64 a pair.
             order, low, _ = _groups(w1 + w2 * np.uint64(0x9E3779B97F4A7C15), ids[row])
-            row, start, w1, w2 = row[order], start[order], w1[order], w2[order]
+            row, start, w1, w2 = row[order], start[order].astype(np.int32), w1[order], w2[order]
             later = ids[row] > low
-            keep = later if settled else ~later
-            take = pa.array(row[keep])
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(start[keep].astype(np.int32))] + ([] if settled else [signed(w1[keep]), signed(w2[keep])])
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "start", "w1", "w2"][: len(columns)])
+            held = np.flatnonzero(later)
+            held = held[np.argsort(row[held], kind="stable")]
+            columns = [signed(w1[~later]), signed(w2[~later]), pa.array(start[~later])]
+            yield _both(batch, row[~later], columns, *_packed(row[held], pa.array(start[held])), names)
+
+    return found.select("doc_id", "row_hash", "text", "anchors").mapInArrow(run, "doc_id long, row_hash long, w1 long, w2 long, start int, settled array<int>")
 
-    kinds = "doc_id long, row_hash long, start int" + ("" if settled else ", w1 long, w2 long")
-    return found.select("doc_id", "row_hash", "text", "anchors").mapInArrow(run, kinds)
+
+def _gathered(judged: DataFrame, column: str, name: str, distinct: bool) -> DataFrame:
+    """doc_id, row_hash and the list of a document's settled and judged values; nulls are in neither."""
+    own = (F.collect_set if distinct else F.collect_list)(column)
+    return judged.groupBy("doc_id", "row_hash").agg(F.concat(own, F.flatten(F.collect_list("settled"))).alias(name))
 
 
 def shared_anchors(rows: DataFrame, size: int, period: int, cover: tuple[int, ...]) -> DataFrame:
     """doc_id, row_hash, anchors: the anchors of each document that another document holds as well."""
-    settled = _anchor_rows(rows, size, period, cover, True)
-    single = _anchor_rows(rows, size, period, cover, False)
     # A batch sends an anchor once, so a group has a row a batch at most, however many documents hold the anchor.
     w = Window.partitionBy("anchor")
-    judged = single.repartition("anchor").withColumns({"low": F.min("doc_id").over(w), "high": F.max("doc_id").over(w)})
-    across = judged.where("low < high and not known").select("doc_id", "row_hash", "anchor")
-    return settled.unionByName(across).groupBy("doc_id", "row_hash").agg(F.collect_list("anchor").alias("anchors"))
+    judged = _anchor_rows(rows, size, period, cover).repartition("anchor").withColumns({"low": F.min("doc_id").over(w), "high": F.max("doc_id").over(w)})
+    across = judged.where("settled is not null or (low < high and not known)")
+    return _gathered(across.withColumn("anchor", F.when(F.col("settled").isNull(), F.col("anchor"))), "anchor", "anchors", False)
+
+
+def repeated_windows(held: DataFrame, window: int, size: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """doc_id, row_hash, starts: the windows that also start in a document with a smaller doc_id.
+
+    ``held`` comes out of a shuffle, whose fetch order is random. What a batch
+    settles and what it leaves to the others are therefore one output of one
+    pass, and rows are sorted first, so that a task that runs again after the
+    loss of an executor forms the same batches.
+    """
+    passed = _window_rows(held.sortWithinPartitions("doc_id", "row_hash"), window, size, period, cover)
+    first = F.first("doc_id").over(Window.partitionBy("w1", "w2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    across = passed.repartition("w1").withColumn("low", first).where("settled is not null or doc_id > low")
+    return _gathered(across, "start", "starts", True)
 
 
 def _candidates(rows: DataFrame, known) -> tuple[DataFrame, DataFrame]:
-    """rows that share an anchor (with a few that don't), and the others: by a filter of fixed size, map-side."""
+    """rows that share an anchor (with a few that don't), and the others, those with null ids too: by a filter of fixed size, map-side."""
 
     def part(inside: bool):
         def run(batches):
             bits = known.value
             for batch in batches:
                 key = batch.column(3).to_numpy()
-                on = is_set(bits, key)
+                on = is_set(bits, key) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(on if inside else ~on)).select([0, 1, 2])
 
         return rows.select("doc_id", "row_hash", "text", bit_of("doc_id", "row_hash").alias("bit")).mapInArrow(run, "doc_id long, row_hash long, text string")
 
-    return part(True), part(False)
+    # Both joins of the first meet the same filter, which an inner join adds by itself, so that they read one shuffle.
+    return part(True).where("doc_id is not null and row_hash is not null"), part(False)
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
@@ -180,7 +218,10 @@ def dedup_substrings(docs: DataFrame, window: int = 50, period: int = PERIOD, co
     that share none are done. The others meet their shared anchors, and each
     anchor extends to all windows that hold it; these carry 128-bit fingerprints,
     are combined in each batch again, and of each fingerprint the document with
-    the least doc_id keeps its windows.
+    the least doc_id keeps its windows. Each of the two searches is one pass
+    over its batches, so the order of rows plays no part; only an input that is
+    itself read in another order when a lost task runs again should be
+    checkpointed first.
 
     Nulls: a null text has no words; a row with a null doc_id neither removes
     nor loses anything. Rows that repeat a doc_id count as one document, so they
@@ -195,11 +236,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, period: int = PERIOD, co
     found = cut(shared_anchors(rows, size, period, cover))
     near, far = _candidates(rows, docs.sparkSession.sparkContext.broadcast(flags(found, "doc_id", "row_hash")))
     held = near.join(found.hint("shuffle_hash"), ["doc_id", "row_hash"])
-    here = _window_rows(held, window, size, period, cover, True)
-    rest = _window_rows(held, window, size, period, cover, False)
-    first = F.first("doc_id").over(Window.partitionBy("w1", "w2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    across = rest.repartition("w1").withColumn("low", first).where("doc_id > low").select("doc_id", "row_hash", "start")
-    gone = here.unionByName(across).groupBy("doc_id", "row_hash").agg(F.collect_set("start").alias("starts")).withColumnsRenamed({"doc_id": "gone_id", "row_hash": "gone_hash"})
+    gone = repeated_windows(held, window, size, period, cover).withColumnsRenamed({"doc_id": "gone_id", "row_hash": "gone_hash"})
     both = near.join(gone.hint("shuffle_hash"), (near.doc_id == gone.gone_id) & (near.row_hash == gone.gone_hash), "left").select("doc_id", "text", "starts")
     return _kept(both.unionByName(far.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))), window)
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from loomspan.llm import substrings
@@ -38,3 +39,23 @@ def test_edges(spark, empty, odd):
     rows = spark.createDataFrame([(None, text), (4, text), (4, text), (9, text + " end")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_removed) for r in substrings.dedup_substrings(rows).collect())
     assert got == [("4", 0), ("4", 0), ("9", 60), ("None", 0)]
+
+
+def test_row_order_that_changes_with_each_evaluation(spark):
+    """Rows reach the batches in a new random order whenever they are read, as out of a shuffle."""
+    size = 60
+
+    def dealt(frames):
+        import pandas as pd
+
+        rows = pd.concat(list(frames))
+        yield rows.sample(frac=1, random_state=np.random.default_rng())
+
+    rows = [(i, " ".join(f"t{i % 100}x{k}" for k in range(size))) for i in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).mapInPandas(dealt, "doc_id long, text string")
+        got = {r.doc_id: r.n_removed for r in substrings.dedup_substrings(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: 0 if i < 100 else size for i in range(200)}
