@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,9 @@ _NEAR = 0x250
 #: The White_Space property.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of text in a block: the unit within which a pre-token is named by a local number.
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 24
+#: Bytes beyond which a word is merged by a heap.
+LONG_WORD = 128
 
 
 def tokenizer_path() -> str:
@@ -39,25 +43,6 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@functools.lru_cache(2)
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table by id; its size is the vocabulary's, whatever the corpus."""
-    table = ranks(path)
-    out = [b""] * (max(table.values()) + 1)
-    for token, k in table.items():
-        out[k] = token
-    return out
-
-
-@functools.lru_cache(2)
-def encoder(path: str):
-    import tiktoken
-
-    import public_tokenizers
-
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
-
-
 @functools.cache
 def _splitters():
     import public_tokenizers
@@ -114,19 +99,59 @@ def _expand(data: bytes) -> list[bytes]:
     return out
 
 
-def _bucket(word: bytes, buckets: int) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=4).digest(), "little") % buckets
-
-
-def blocks_of(docs: DataFrame, path: str, buckets: int) -> DataFrame:
-    """Blocks of documents: kind 1 is a block's sequences of local numbers, kind 0 its words that need merges, by bucket.
-
-    A pre-token that is itself a token needs no merge, and its id is known at once.
-    """
+def merge(word: bytes, table: dict[bytes, int]) -> list[int]:
+    """The ids of a pre-token: of the neighbouring parts whose join has the least rank, the leftmost are joined, until no join has one."""
+    whole = table.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) > LONG_WORD:
+        return _merge_long(word, table)
+    none = len(table) + (1 << 32)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pair = [table.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+    while pair:
+        least = min(pair)
+        if least == none:
+            break
+        i = pair.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pair[i]
+        if i < len(pair):
+            pair[i] = table.get(parts[i] + parts[i + 1], none)
+        if i:
+            pair[i - 1] = table.get(parts[i - 1] + parts[i], none)
+    return [table[x] for x in parts]
+
+
+def _merge_long(word: bytes, table: dict[bytes, int]) -> list[int]:
+    """The same joins by a heap over a linked list, so that a word of n bytes takes n log n steps."""
+    n = len(word)
+    size, after, before = [1] * n, [*range(1, n), -1], [*range(-1, n - 1)]
+
+    def rank(i: int):
+        j = after[i]
+        return None if j < 0 else table.get(word[i : j + size[j]])
+
+    heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        if not size[i] or rank(i) != r:
+            continue
+        j = after[i]
+        size[i], size[j], after[i] = size[i] + size[j], 0, after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0 and (r := rank(k)) is not None:
+                heapq.heappush(heap, (r, k))
+    return [table[word[i : i + size[i]]] for i in range(n) if size[i]]
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """block, main, words: a block's sequences of local numbers, and its distinct pre-tokens, by number."""
 
     def run(batches):
-        known = ranks(path)
-        names = ["block", "kind", "bucket", "data"]
         for batch in batches:
             data, offsets = texts(batch.column(1))
             raw = data.tobytes()
@@ -135,88 +160,136 @@ def blocks_of(docs: DataFrame, path: str, buckets: int) -> DataFrame:
                 local.default_factory = local.__len__
                 counts, sequences = [], []
                 for k in range(i, j):
-                    words = pretokens(raw[offsets[k] : offsets[k + 1]].decode())
-                    counts.append(len(words))
-                    sequences.append(np.fromiter(map(local.__getitem__, words), np.uint32, len(words)))
+                    found = pretokens(raw[offsets[k] : offsets[k + 1]].decode())
+                    counts.append(len(found))
+                    sequences.append(np.fromiter(map(local.__getitem__, found), np.uint32, len(found)))
                 sequence = np.concatenate(sequences)
                 # Frequent words get small numbers, so that their positions pack into a byte.
                 order = np.argsort(-np.bincount(sequence, minlength=len(local)), kind="stable")
                 rank = np.empty(len(local), np.uint32)
                 rank[order] = np.arange(len(local), dtype=np.uint32)
-                words = list(local)
-                ready: tuple[list, list] = ([], [])
-                parts: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-                for r, k in enumerate(order.tolist()):
-                    word = words[k].encode()
-                    if word in known:
-                        ready[0].append(r)
-                        ready[1].append(known[word])
-                    else:
-                        at, found = parts[_bucket(word, buckets)]
-                        at.append(r)
-                        found.append(word)
+                listed = list(local)
+                words = [listed[k].encode() for k in order.tolist()]
                 ids = batch.column(0).slice(i, j - i)
                 valid = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), np.uint8).tobytes()
                 values = ids.fill_null(0).to_numpy().astype(np.int64).tobytes()
-                main = _squeeze(valid, values, pack(np.array(counts)), pack(rank[sequence]), pack(np.array(ready[0])), pack(np.array(ready[1])), len(words).to_bytes(8, "little"))
+                main = _squeeze(valid, values, pack(np.array(counts)), pack(rank[sequence]), len(words).to_bytes(8, "little"))
+                joined = _squeeze(pack(np.array([len(w) for w in words])), b"".join(words))
                 # A block is named by its content, which is all that its parts must agree on.
-                name = int.from_bytes(hashlib.blake2b(main, digest_size=8).digest(), "little", signed=True)
-                blobs = [main] + [_squeeze(pack(np.array(at)), pack(np.array([len(w) for w in found])), b"".join(found)) for at, found in parts.values()]
+                name = int.from_bytes(hashlib.blake2b(main + joined, digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([main], pa.binary()), pa.array([joined], pa.binary())], ["block", "main", "words"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block long, main binary, words binary")
+
+
+def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, data: a block's words and their numbers, dealt to buckets by the words' hash."""
+
+    def run(batches):
+        for batch in batches:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                parts: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+                for r, word in enumerate(_listed(*_expand(blob.as_py()))):
+                    at, found = parts[int.from_bytes(hashlib.blake2b(word, digest_size=4).digest(), "little") % buckets]
+                    at.append(r)
+                    found.append(word)
+                blobs = [_squeeze(pack(np.array(at)), pack(np.array([len(w) for w in found])), b"".join(found)) for at, found in parts.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(blobs), pa.int64()), pa.array(list(parts), pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "data"])
+
+    return blocks.mapInArrow(run, "block long, bucket int, data binary")
+
+
+def _listed(sizes: bytes, joined: bytes) -> list[bytes]:
+    ends = np.cumsum(unpack(sizes))
+    return [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _exploded(dealt: DataFrame) -> DataFrame:
+    """block, at, word: a row for each distinct word of a block, with its number there."""
+
+    def run(batches):
+        for batch in batches:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                at, *words = _expand(blob.as_py())
+                numbers = unpack(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(blobs)), pa.array([1] + [0] * len(parts), pa.int32()), pa.array([name % buckets, *parts], pa.int32()), pa.array(blobs, pa.binary())], names
+                    [pa.array(np.full(len(numbers), name)), pa.array(numbers.astype(np.int32)), pa.array(_listed(*words), pa.binary())], ["block", "at", "word"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block long, kind int, bucket int, data binary")
+    return dealt.mapInArrow(run, "block long, at int, word binary")
 
 
-def _encode_words(parts: DataFrame, path: str) -> DataFrame:
-    """block, kind, data: numbers and ids in place of words. Within a partition each distinct word is encoded once; sequences pass."""
+def _encoded(words: DataFrame, path: str) -> DataFrame:
+    """block, at, pos, id of sorted words: each run of one word is encoded once, and its ids go to all its rows."""
 
     def run(batches):
-        encode = encoder(path).encode_ordinary
-        done: dict[bytes, list[int]] = {}
+        table = ranks(path)
+        last, ids = None, []
         for batch in batches:
-            blobs = []
-            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if kind:
-                    blobs.append(blob.as_py())
-                    continue
-                at, sizes, joined = _expand(blob.as_py())
-                ends = np.cumsum(unpack(sizes))
-                words = [joined[a:b] for a, b in zip((ends - unpack(sizes)).tolist(), ends.tolist(), strict=True)]
-                found = []
-                for w in words:
-                    ids = done.get(w)
-                    if ids is None:
-                        # Splitting a pre-token again gives itself.
-                        ids = done[w] = encode(w.decode())
-                    found.append(ids)
-                flat = np.fromiter((x for ids in found for x in ids), np.uint32)
-                blobs.append(_squeeze(at, pack(np.array([len(x) for x in found])), pack(flat)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["block", "kind", "data"])
-
-    return parts.select("block", "kind", "data").mapInArrow(run, "block long, kind int, data binary")
-
-
-def _documents(main: bytes, encoded: list[bytes], table: list[bytes]) -> Iterator[tuple]:
+            found = []
+            for word in batch.column(2).to_pylist():
+                if word != last:
+                    last, ids = word, merge(word, table)
+                found.append(ids)
+            size = np.array([len(x) for x in found], np.int64)
+            row = np.repeat(np.arange(len(found)), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            flat = np.fromiter(chain.from_iterable(found), np.int32, len(row))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(row)) for k in (0, 1)], pa.array(pos.astype(np.int32)), pa.array(flat)], ["block", "at", "pos", "id"])
+
+    return words.mapInArrow(run, "block long, at int, pos int, id int")
+
+
+def _packed(decoded: DataFrame) -> DataFrame:
+    """block, data of rows (block, at, pos, id, token) sorted by block, number and place: numbers, counts of ids, ids, and tokens."""
+
+    def blob(parts: list[tuple]) -> bytes:
+        at, pos, ids, tokens = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        # Equal blocks have one name, so their rows come twice.
+        own = np.append(True, (at[1:] != at[:-1]) | (pos[1:] != pos[:-1]))
+        at, ids, tokens = at[own], ids[own], tokens[own]
+        new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        return _squeeze(pack(at[new]), pack(np.diff(new, append=len(at))), pack(ids), pack(np.fromiter(map(len, tokens), np.int64, len(tokens))), b"".join(tokens.tolist()))
+
+    def run(batches):
+        name, held = None, []
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))[: len(block)]
+            out: tuple[list, list] = ([], [])
+            for i, j in zip(cuts, np.append(cuts[1:], len(block)), strict=True):
+                if held and block[i] != name:
+                    out[0].append(name)
+                    out[1].append(blob(held))
+                    held = []
+                name = block[i]
+                tokens = np.empty(j - i, object)
+                tokens[:] = batch.column(4).slice(i, j - i).to_pylist()
+                held.append((*[batch.column(k).slice(i, j - i).to_numpy() for k in (1, 2, 3)], tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["block", "data"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([blob(held)], pa.binary())], ["block", "data"])
+
+    return decoded.select("block", "at", "pos", "id", "token").mapInArrow(run, "block long, data binary")
+
+
+def _documents(main: bytes, encoded: list[bytes]) -> Iterator[tuple]:
     """doc_id, number of ids, ids in decimal, decoded bytes of each document of a block."""
-    valid, values, counts, sequence, known_at, known_id, words = _expand(main)
+    valid, values, counts, sequence, words = _expand(main)
     n = int.from_bytes(words, "little")
     size = np.zeros(n, np.int64)
     decimal: list[bytes] = [b""] * n
     decoded: list[bytes] = [b""] * n
-    for r, k in zip(unpack(known_at).tolist(), unpack(known_id).tolist(), strict=True):
-        size[r], decimal[r], decoded[r] = 1, b"%d" % k, table[k]
     for blob in encoded:
-        at, lengths, flat = _expand(blob)
-        at, lengths, flat = unpack(at), unpack(lengths), unpack(flat).tolist()
+        at, lengths, ids, sizes, joined = _expand(blob)
+        at, lengths = unpack(at), unpack(lengths)
         size[at] = lengths
+        texts_, tokens = [b"%d" % x for x in unpack(ids).tolist()], _listed(sizes, joined)
         low = 0
         for r, m in zip(at.tolist(), lengths.tolist(), strict=True):
-            ids = flat[low : low + m]
+            decimal[r] = b" ".join(texts_[low : low + m])
+            decoded[r] = b"".join(tokens[low : low + m])
             low += m
-            decimal[r] = b" ".join([b"%d" % x for x in ids])
-            decoded[r] = b"".join([table[x] for x in ids])
     if n and not size.min():
         raise RuntimeError("a word of a block was not encoded")
     ids, ok = np.frombuffer(values, np.int64).tolist(), np.frombuffer(valid, np.uint8).tolist()
@@ -229,19 +302,28 @@ def _documents(main: bytes, encoded: list[bytes], table: list[bytes]) -> Iterato
         yield (ids[k] if ok[k] else None), int(size[part].sum()), b" ".join([decimal[r] for r in listed]), b"".join([decoded[r] for r in listed])
 
 
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """id, token: as many rows as the vocabulary has, whatever the corpus."""
+    table = ranks(path)
+    return spark.createDataFrame(pa.table({"id": pa.array(list(table.values()), pa.int32()), "token": pa.array(list(table), pa.binary())}))
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Encode each text and decode the ids again.
 
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for,
     ``ids`` (array) and ``decoded``.
 
-    Texts are split into pre-tokens; within a block each distinct one gets a
-    number, and positions are kept as these numbers. The block's distinct words
-    that need merges are exploded into buckets by hash, a global shuffle in
-    which each distinct word of a bucket is encoded once. Numbers and ids
-    return to the block, where sequences are put together by position. Decoding
-    joins ids with the token-byte table, which has the vocabulary's fixed size
-    and is read by each worker. A word in every document is one entry a block.
+    Texts are split into pre-tokens; within a block of BLOCK_BYTES of texts each
+    distinct one gets a number, and positions are kept as these numbers. All
+    distinct words of a block are dealt to buckets by hash, a global shuffle,
+    exploded there to rows (block, number, word) and sorted by word within the
+    partition, where Spark's sort spills: each run of equal words, from however
+    many blocks, is encoded once. The ids join the token-byte table, which has
+    the vocabulary's fixed size and is broadcast, and go back to their blocks,
+    where documents are put together by position. Blocks meet their words by an
+    equi-join; blocks and words come from one shuffle, whose partitions follow
+    from bytes. A word in every document is one entry a block.
 
     Null is empty text and gives no ids; a row with a null or repeated doc_id
     gives its own row. Texts of any length are encoded whole. Special tokens
@@ -249,11 +331,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     """
     path = path or tokenizer_path()
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # One shuffle deals words by hash and sequences by block, one brings a block together, its words before its
-    # sequences. Equal blocks fold into as many as there are.
-    encoded = _encode_words(blocks_of(docs, path, buckets).repartition(buckets, "bucket"), path)
-    gathered = encoded.repartition(buckets, "block").sortWithinPartitions("block", "kind")
+    buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Both uses take all columns, so that no pruning makes two shuffles of this one.
+    blocks = blocks_of(docs).repartition("block")
+    words = _exploded(_dealt(blocks, buckets).repartition("bucket")).sortWithinPartitions("word")
+    # Broadcast: one row a token of the vocabulary.
+    decoded = _encoded(words, path).join(F.broadcast(token_table(spark, path)), "id").sortWithinPartitions("block", "at", "pos")
+    encoded = _packed(decoded).groupBy("block").agg(F.collect_list("data").alias("encoded"))
+    gathered = blocks.join(encoded, "block", "left").select("main", "words", "encoded")
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
@@ -261,18 +346,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
         kinds += ", ids array<int>, decoded string"
 
     def run(batches):
-        table = token_bytes(path)
-        held: list[bytes] = []
-        name = None
         for batch in batches:
-            for block, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if block != name:
-                    name, held = block, []
-                if not kind:
-                    held.append(blob.as_py())
-                    continue
+            for k in range(batch.num_rows):
                 rows = []
-                for key, n, decimal, decoded in _documents(blob.as_py(), held, table):
+                for key, n, decimal, decoded in _documents(batch.column(0)[k].as_py(), batch.column(2)[k].as_py() or []):
                     row = (key, n, hashlib.sha256(decimal).hexdigest(), hashlib.sha256(decoded).hexdigest())
                     rows.append(row + ((list(map(int, decimal.split())), decoded.decode()) if keep_ids else ()))
                 if rows:
