@@ -10,6 +10,7 @@ stores any payload without loss as 8-bit samples.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -36,15 +37,18 @@ class TiffError(ValueError):
 # --- compression -----------------------------------------------------------
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def packbits_decode(data: bytes, most: float = math.inf) -> bytes:
+    """No more is decoded once ``most`` bytes are there."""
+    out, i, n, size = [], 0, len(data), 0
+    while i < n and size < most:
         k = data[i]
         if k < 128:
             out.append(data[i + 1 : i + 2 + k])
+            size += k + 1
             i += k + 2
         elif k > 128:
             out.append(data[i + 1 : i + 2] * (257 - k))
+            size += 257 - k
             i += 2
         else:
             i += 1
@@ -119,9 +123,10 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(((value[owner] >> (ends[owner] - 1 - at)) & 1).astype(np.uint8)).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: float = math.inf) -> bytes:
+    """No segment is decoded once ``most`` bytes are there."""
     padded = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
-    total, at, out = len(data) * 8, 0, []
+    total, at, out, size = len(data) * 8, 0, [], 0
     base = [bytes([i]) for i in range(256)] + [b"", b""]
 
     def codes(start: int) -> np.ndarray:
@@ -132,7 +137,7 @@ def lzw_decode(data: bytes) -> bytes:
         word = padded[byte] << 16 | padded[byte + 1] << 8 | padded[byte + 2]
         return (word >> (24 - (begin & 7) - widths).astype(np.uint32)) & ((1 << widths) - 1).astype(np.uint32)
 
-    while at + 9 <= total:
+    while at + 9 <= total and size < most:
         found = codes(at)
         stop = np.flatnonzero((found == _CLEAR) | (found == _END))
         k = int(stop[0]) if len(stop) else len(found)
@@ -149,6 +154,7 @@ def lzw_decode(data: bytes) -> bytes:
                     raise TiffError("a code beyond the LZW table")
                 table.append(previous + entry[:1])
             out.append(entry)
+            size += len(entry)
             previous = entry
         if k == len(found) or found[k] == _END:
             break
@@ -166,16 +172,17 @@ def compress(data: bytes, how: int) -> bytes:
     return zlib.compress(data, 6)
 
 
-def expand(data: bytes, how: int) -> bytes:
+def expand(data: bytes, how: int, most: float = math.inf) -> bytes:
+    """The stored bytes in the clear; decoding ends soon after ``most`` bytes."""
     if how == NONE:
         return data
     if how == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if how == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     if how in (DEFLATE, 32946):
         try:
-            return zlib.decompress(data)
+            return zlib.decompressobj().decompress(data, 0 if most == math.inf else max(1, int(most)))
         except zlib.error as e:
             raise TiffError(f"deflate: {e}") from None
     raise TiffError(f"compression {how}")
@@ -212,36 +219,46 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
         raise TiffError("a directory beyond the end of the file") from None
 
 
+def _first(tags: dict[int, tuple], tag: int, default=None):
+    """A tag's first value; a tag without values is as good as none."""
+    return (tags.get(tag) or (default,))[0]
+
+
 def page_samples(data: bytes, tags: dict[int, tuple]) -> np.ndarray:
     """Samples of one directory as an array of height, width, samples a pixel."""
-    get = lambda tag, default=None: tags.get(tag, (default,))[0]
-    width, height, per = get(256), get(257), get(277, 1)
-    bits = tags.get(258, (1,))
-    if not width or not height or len(set(bits)) != 1 or bits[0] not in (8, 16) or get(284, 1) != 1 or get(317, 1) not in (1, 2):
+    width, height, per = _first(tags, 256), _first(tags, 257), _first(tags, 277, 1)
+    bits, how, predictor = tags.get(258) or (1,), _first(tags, 259, 1), _first(tags, 317, 1)
+    if not width or not height or not per or len(set(bits)) != 1 or bits[0] not in (8, 16) or _first(tags, 284, 1) != 1 or predictor not in (1, 2):
         raise TiffError("a layout that is not read: chunky 8- or 16-bit samples are")
     kind = np.dtype(np.uint8 if bits[0] == 8 else tags[0][0] + "u2")
-    how, predictor = get(259, 1), get(317, 1)
 
     def block(k: int, rows: int, columns: int, offsets: tuple, counts: tuple) -> np.ndarray:
-        raw = expand(data[offsets[k] : offsets[k] + counts[k]], how)
+        if k >= min(len(offsets), len(counts)):
+            raise TiffError("a strip or tile has no place")
         need = rows * columns * per * kind.itemsize
+        raw = expand(data[offsets[k] : offsets[k] + counts[k]], how, need)
         if len(raw) < need:
             raise TiffError("a strip or tile is short")
         x = np.frombuffer(raw, kind, rows * columns * per).reshape(rows, columns, per)
         return np.add.accumulate(x, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else x
 
-    out = np.empty((height, width, per), kind.newbyteorder("="))
-    if 322 in tags:
-        wide, high = get(322), get(323)
-        across = -(-width // wide)
-        for k in range(across * -(-height // high)):
-            y, x = k // across * high, k % across * wide
-            tile = block(k, high, wide, tags[324], tags[325])
-            out[y : y + high, x : x + wide] = tile[: height - y, : width - x]
+    # Blocks are decoded before the page is laid out, so sizes that the data don't bear out take no memory.
+    if 322 in tags or 323 in tags:
+        wide, high = _first(tags, 322), _first(tags, 323)
+        if not wide or not high:
+            raise TiffError("tiles without a size")
+        across, offsets, counts = -(-width // wide), tags.get(324, ()), tags.get(325, ())
+        places = [(k // across * high, k % across * wide) for k in range(min(across * -(-height // high), len(offsets) + 1))]
+        blocks = [block(k, high, wide, offsets, counts)[: height - y, : width - x] for k, (y, x) in enumerate(places)]
     else:
-        rows = min(get(278, height), height)
-        for k, y in enumerate(range(0, height, rows)):
-            out[y : y + rows] = block(k, min(rows, height - y), width, tags[273], tags[279])
+        rows, offsets, counts = min(_first(tags, 278, height), height), tags.get(273, ()), tags.get(279, ())
+        if not rows:
+            raise TiffError("strips without rows")
+        places = [(y, 0) for y in range(0, min(height, rows * (len(offsets) + 1)), rows)]
+        blocks = [block(k, min(rows, height - y), width, offsets, counts) for k, (y, _) in enumerate(places)]
+    out = np.empty((height, width, per), kind.newbyteorder("="))
+    for (y, x), b in zip(places, blocks, strict=True):
+        out[y : y + b.shape[0], x : x + b.shape[1]] = b
     return out
 
 
@@ -296,14 +313,16 @@ def pages_of(data: bytes | None) -> Iterator[dict]:
         return
     page = 0
     try:
-        for page, tags in enumerate(directories(data)):
-            found = {"page": page, "compression": tags.get(259, (1,))[0], "predictor": tags.get(317, (1,))[0], "tiled": 322 in tags}
+        for tags in directories(data):
+            found = {"page": page, "compression": _first(tags, 259, 1), "predictor": _first(tags, 317, 1), "tiled": 322 in tags}
             try:
                 x = page_samples(data, tags)
                 found |= {"height": x.shape[0], "width": x.shape[1], "samples": x.shape[2], "bits": x.dtype.itemsize * 8, "pixels": x.tobytes()}
-            except (TiffError, IndexError, KeyError) as e:
+            except (ValueError, LookupError, ArithmeticError, TypeError, MemoryError) as e:  # TiffError is a ValueError
                 found["error"] = f"{type(e).__name__}: {e}"
-            yield found
+            # Tags of an odd type are not passed on.
+            yield {k: v for k, v in found.items() if k not in ("compression", "predictor") or isinstance(v, int) and v < 1 << 31}
+            page += 1
     except TiffError as e:
         yield {"page": page, "error": str(e)}
 
@@ -313,7 +332,10 @@ def tiff_pages(df: DataFrame, data: str = "data", key: str = "id") -> DataFrame:
 
     Returns ``key, page, width, height, samples, bits, compression, predictor,
     tiled, pixels, error``. Null data gives no row; bytes that are not TIFF and
-    pages of an unread layout give a row with ``error`` and null pixels.
+    pages of an unread or broken layout (no samples, no sizes, missing or short
+    strips) give a row with ``error`` and null pixels, and a link beyond the file
+    gives one after its good pages, with the number that the next page would
+    have. No page takes more memory than its data decode to.
     Repeated rows give repeated pages. Other columns of ``df`` are left out, so
     clashing names don't matter. Map-side only: no shuffle.
     """
