@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -31,10 +32,23 @@ def test_query_columns(spark, tmp_path, docs, corpus):
 
 
 def test_runs(spark):
-    for at, runs in (([0, 1, 4], [0, 2, 2, 1]), ([2], [2, 1]), ([0], [0, 1]), ([1, 2, 3], [1, 3])):
-        df = spark.createDataFrame([(at, list("abcdef"))], "at array<int>, x array<string>").withColumn("runs", lines.runs_of(F.col("at")))
-        row = df.select("runs", lines.apply_runs(F.col("x"), F.col("runs")).alias("kept")).first()
-        assert row.runs == runs and row.kept == [c for i, c in enumerate("abcdef") if i not in at]
+    for at, runs in (([0, 1, 4], [(0, 2), (4, 1)]), ([2], [(2, 1)]), ([0, 0], [(0, 1)]), ([3, 1, 2], [(1, 3)]), ([5, 0], [(0, 1), (5, 1)]), (list(range(6)), [(0, 6)])):
+        got = lines.runs_of(spark.createDataFrame([(1, p) for p in at], "k long, pos int"), "k").withColumn("x", F.lit(list("abcdef")))
+        row = lines.apply_runs(got, "x", "runs", "kept").first()
+        assert [tuple(r) for r in row.runs] == runs and row.dropped == len(set(at)) and row.kept == [c for i, c in enumerate("abcdef") if i not in at]
+    none = spark.createDataFrame([(list("ab"), None)], "x array<string>, runs array<struct<start:int,size:int>>")
+    assert lines.apply_runs(none, "x", "runs", "kept").first().kept == ["a", "b"]
+
+
+def test_very_long_text(spark):
+    """Time follows the lines: 60,000 of them, every other one dropped."""
+    common = "a line that is common to all of the documents"
+    long = "\n".join(common if i % 2 else f"own line {i}" for i in range(60_000))
+    rows = [(i, long if i == 0 else common) for i in range(6)]
+    began = time.time()
+    kept = {r.doc_id: r.kept for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept[0] == [f"own line {i}" for i in range(0, 60_000, 2)] and kept[5] == [common] and kept[3] == []
+    assert time.time() - began < 30
 
 
 def test_edges(spark, empty, odd):
