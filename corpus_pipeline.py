@@ -24,12 +24,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines in five documents or more stay in the last of them only; a text that loses none is unchanged."""
-    bitmaps = lines.keep_bitmaps(docs).withColumnsRenamed({"doc_id": "bitmap_id", "row_hash": "bitmap_hash"}).drop("dropped")
+    bitmaps = lines.keep_bitmaps(docs).select(F.col("doc_id").alias("bitmap_id"), F.col("row_hash").alias("bitmap_hash"), "runs")
     own = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
     same = own.doc_id.eqNullSafe(bitmaps.bitmap_id) & (own.row_hash == bitmaps.bitmap_hash)
-    both = own.join(bitmaps.hint("shuffle_hash"), same, "left")
-    kept = F.array_join(lines.apply_runs(lines.text_lines(F.col("text")), F.col("keep_runs")), "\n")
-    text = F.when(F.col("keep_runs").isNull(), F.col("text")).otherwise(kept)
+    both = lines.apply_runs(own.join(bitmaps, same, "left").withColumn("_lines", lines.text_lines(F.col("text"))), "_lines", "runs", "_kept")
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
     return both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
