@@ -8,9 +8,11 @@ import hashlib
 import heapq
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLOCK_BYTES = 1 << 24
 #: Bytes beyond which a word is merged by a heap.
 LONG_WORD = 128
+#: Rows of encoded words that a task holds before it passes them on.
+HELD = 1 << 19
 
 
 def tokenizer_path() -> str:
@@ -43,6 +47,16 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@functools.lru_cache(2)
+def token_bytes(path: str) -> list[bytes]:
+    """The token-byte table by id; its size is the vocabulary's, whatever the corpus."""
+    table = ranks(path)
+    out = [b""] * (max(table.values()) + 1)
+    for token, k in table.items():
+        out[k] = token
+    return out
+
+
 @functools.cache
 def _splitters():
     import public_tokenizers
@@ -190,7 +204,7 @@ def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 parts: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
                 for r, word in enumerate(_listed(*_expand(blob.as_py()))):
-                    at, found = parts[int.from_bytes(hashlib.blake2b(word, digest_size=4).digest(), "little") % buckets]
+                    at, found = parts[zlib.crc32(word) % buckets]
                     at.append(r)
                     found.append(word)
                 blobs = [_squeeze(pack(np.array(at)), pack(np.array([len(w) for w in found])), b"".join(found)) for at, found in parts.values()]
@@ -220,57 +234,39 @@ def _exploded(dealt: DataFrame) -> DataFrame:
 
 
 def _encoded(words: DataFrame, path: str) -> DataFrame:
-    """block, at, pos, id of sorted words: each run of one word is encoded once, and its ids go to all its rows."""
-
-    def run(batches):
-        table = ranks(path)
-        last, ids = None, []
-        for batch in batches:
-            found = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, ids = word, merge(word, table)
-                found.append(ids)
-            size = np.array([len(x) for x in found], np.int64)
-            row = np.repeat(np.arange(len(found)), size)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            flat = np.fromiter(chain.from_iterable(found), np.int32, len(row))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(row)) for k in (0, 1)], pa.array(pos.astype(np.int32)), pa.array(flat)], ["block", "at", "pos", "id"])
-
-    return words.mapInArrow(run, "block long, at int, pos int, id int")
+    """block, data of rows sorted by word: numbers, counts of ids, ids, and decoded words.
 
+    Each run of one word is encoded once, and its ids meet the token-byte table
+    once; both go to all its rows. Rows are held by block, HELD at most.
+    """
 
-def _packed(decoded: DataFrame) -> DataFrame:
-    """block, data of rows (block, at, pos, id, token) sorted by block, number and place: numbers, counts of ids, ids, and tokens."""
+    def run(batches):
+        table, tokens = ranks(path), token_bytes(path)
+        held: defaultdict[int, tuple[list, list, list, list]] = defaultdict(lambda: ([], [], [], []))
+        last, ids, decoded, rows = None, [], b"", 0
 
-    def blob(parts: list[tuple]) -> bytes:
-        at, pos, ids, tokens = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        # Equal blocks have one name, so their rows come twice.
-        own = np.append(True, (at[1:] != at[:-1]) | (pos[1:] != pos[:-1]))
-        at, ids, tokens = at[own], ids[own], tokens[own]
-        new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        return _squeeze(pack(at[new]), pack(np.diff(new, append=len(at))), pack(ids), pack(np.fromiter(map(len, tokens), np.int64, len(tokens))), b"".join(tokens.tolist()))
+        def blobs() -> pa.RecordBatch:
+            data = [_squeeze(pack(np.array(at)), pack(np.array(n)), pack(np.fromiter(chain.from_iterable(ids), np.uint32)), pack(np.fromiter(map(len, back), np.int64, len(back))), b"".join(back)) for at, n, ids, back in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
 
-    def run(batches):
-        name, held = None, []
         for batch in batches:
-            block = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))[: len(block)]
-            out: tuple[list, list] = ([], [])
-            for i, j in zip(cuts, np.append(cuts[1:], len(block)), strict=True):
-                if held and block[i] != name:
-                    out[0].append(name)
-                    out[1].append(blob(held))
-                    held = []
-                name = block[i]
-                tokens = np.empty(j - i, object)
-                tokens[:] = batch.column(4).slice(i, j - i).to_pylist()
-                held.append((*[batch.column(k).slice(i, j - i).to_numpy() for k in (1, 2, 3)], tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["block", "data"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([blob(held)], pa.binary())], ["block", "data"])
-
-    return decoded.select("block", "at", "pos", "id", "token").mapInArrow(run, "block long, data binary")
+            for name, at, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if word != last:
+                    last, ids = word, merge(word, table)
+                    decoded = b"".join([tokens[k] for k in ids])
+                own = held[name]
+                own[0].append(at)
+                own[1].append(len(ids))
+                own[2].append(ids)
+                own[3].append(decoded)
+            rows += batch.num_rows
+            if rows > HELD:
+                yield blobs()
+                held.clear()
+                rows = 0
+        yield blobs()
+
+    return words.mapInArrow(run, "block long, data binary")
 
 
 def _documents(main: bytes, encoded: list[bytes]) -> Iterator[tuple]:
@@ -282,13 +278,11 @@ def _documents(main: bytes, encoded: list[bytes]) -> Iterator[tuple]:
     decoded: list[bytes] = [b""] * n
     for blob in encoded:
         at, lengths, ids, sizes, joined = _expand(blob)
-        at, lengths = unpack(at), unpack(lengths)
+        at, lengths, digits = unpack(at), unpack(lengths), [b"%d" % x for x in unpack(ids).tolist()]
         size[at] = lengths
-        texts_, tokens = [b"%d" % x for x in unpack(ids).tolist()], _listed(sizes, joined)
         low = 0
-        for r, m in zip(at.tolist(), lengths.tolist(), strict=True):
-            decimal[r] = b" ".join(texts_[low : low + m])
-            decoded[r] = b"".join(tokens[low : low + m])
+        for r, m, back in zip(at.tolist(), lengths.tolist(), _listed(sizes, joined), strict=True):
+            decimal[r], decoded[r] = b" ".join(digits[low : low + m]), back
             low += m
     if n and not size.min():
         raise RuntimeError("a word of a block was not encoded")
@@ -298,14 +292,8 @@ def _documents(main: bytes, encoded: list[bytes]) -> Iterator[tuple]:
     for k, m in enumerate(unpack(counts).tolist()):
         part = numbers[at : at + m]
         at += m
-        listed = part.tolist()
-        yield (ids[k] if ok[k] else None), int(size[part].sum()), b" ".join([decimal[r] for r in listed]), b"".join([decoded[r] for r in listed])
-
-
-def token_table(spark: SparkSession, path: str) -> DataFrame:
-    """id, token: as many rows as the vocabulary has, whatever the corpus."""
-    table = ranks(path)
-    return spark.createDataFrame(pa.table({"id": pa.array(list(table.values()), pa.int32()), "token": pa.array(list(table), pa.binary())}))
+        pick = itemgetter(*part.tolist()) if m > 1 else lambda x, part=part: [x[r] for r in part]
+        yield (ids[k] if ok[k] else None), int(size[part].sum()), b" ".join(pick(decimal)), b"".join(pick(decoded))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -319,10 +307,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     distinct words of a block are dealt to buckets by hash, a global shuffle,
     exploded there to rows (block, number, word) and sorted by word within the
     partition, where Spark's sort spills: each run of equal words, from however
-    many blocks, is encoded once. The ids join the token-byte table, which has
-    the vocabulary's fixed size and is broadcast, and go back to their blocks,
-    where documents are put together by position. Blocks meet their words by an
-    equi-join; blocks and words come from one shuffle, whose partitions follow
+    many blocks, is encoded once, and its ids meet the token-byte table, which
+    has the vocabulary's fixed size and is held by each worker. Ids and bytes go
+    back to the blocks by an equi-join, where documents are put together by
+    position. Blocks and words come from one shuffle, whose partitions follow
     from bytes. A word in every document is one entry a block.
 
     Null is empty text and gives no ids; a row with a null or repeated doc_id
@@ -335,9 +323,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     # Both uses take all columns, so that no pruning makes two shuffles of this one.
     blocks = blocks_of(docs).repartition("block")
     words = _exploded(_dealt(blocks, buckets).repartition("bucket")).sortWithinPartitions("word")
-    # Broadcast: one row a token of the vocabulary.
-    decoded = _encoded(words, path).join(F.broadcast(token_table(spark, path)), "id").sortWithinPartitions("block", "at", "pos")
-    encoded = _packed(decoded).groupBy("block").agg(F.collect_list("data").alias("encoded"))
+    encoded = _encoded(words, path).groupBy("block").agg(F.collect_list("data").alias("encoded"))
     gathered = blocks.join(encoded, "block", "left").select("main", "words", "encoded")
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

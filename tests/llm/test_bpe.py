@@ -5,18 +5,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe
+from tests_llm_helpers import library
 
 TEXTS = ["", "a", "Hello world's  end\n\n  x", "  ", "\n", "tabs\t\there \n ", "naïve café 123 ½ ², x²", "日本語 and العربية 12٣", "it's we'll I'D", "e\u0301 \u00a0 \u2003z", "<|endoftext|> x", "😀😀 zz", "a" * 3000]
 
 
-def library():
-    import tiktoken
-
-    import public_tokenizers
-
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(bpe.tokenizer_path()), special_tokens={})
-
-
 def naive(word, table):
     parts = [bytes([b]) for b in word]
     while True:

@@ -1,8 +1,8 @@
 import hashlib
 
 import corpus_pipeline
-from loomspan.llm import bpe, decontaminate
-from tests_llm_helpers import brute_components, brute_contaminated, brute_lines
+from loomspan.llm import decontaminate
+from tests_llm_helpers import brute_components, brute_contaminated, brute_lines, library
 
 
 def test_stages_against_brute_force(spark):
@@ -29,7 +29,7 @@ def test_stages_against_brute_force(spark):
         if k == 3:
             assert {r.doc_id for r in rows} == set(texts) - brute_contaminated(texts, bench)
         if k == 4:
-            enc = bpe.encoder(bpe.tokenizer_path())
+            enc = library()
             want = {i: hashlib.sha256(" ".join(map(str, enc.encode_ordinary(t or ""))).encode()).hexdigest() for i, t in texts.items()}
             assert {r.doc_id: r.ids_sha256 for r in rows} == want
             whole = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, sf).collect()}

@@ -2,6 +2,7 @@
 
 import re
 
+from loomspan.llm import bpe
 from loomspan.llm import decontaminate as d
 
 
@@ -61,3 +62,11 @@ def brute_contaminated(texts, bench):
                     if b + s >= 0 and b + s + n <= len(w) and sum(same[b : b + n]) >= n - d.allowed(n):
                         found.add(i)
     return found
+
+
+def library():
+    import tiktoken
+
+    import public_tokenizers
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(bpe.tokenizer_path()), special_tokens={})
