@@ -32,7 +32,7 @@ BLOCK_BYTES = 1 << 24
 #: Bytes beyond which a word is merged by a heap.
 LONG_WORD = 128
 #: Rows of encoded words that a task holds before it passes them on.
-HELD = 1 << 19
+HELD = 1 << 17
 
 
 def tokenizer_path() -> str:
@@ -168,13 +168,12 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = texts(batch.column(1))
-            raw = data.tobytes()
             for i, j in chunks(offsets, BLOCK_BYTES):
                 local: defaultdict[str, int] = defaultdict()
                 local.default_factory = local.__len__
                 counts, sequences = [], []
                 for k in range(i, j):
-                    found = pretokens(raw[offsets[k] : offsets[k + 1]].decode())
+                    found = pretokens(data[offsets[k] : offsets[k + 1]].tobytes().decode())
                     counts.append(len(found))
                     sequences.append(np.fromiter(map(local.__getitem__, found), np.uint32, len(found)))
                 sequence = np.concatenate(sequences)
