@@ -1,4 +1,4 @@
-"""A filter of fixed size for documents, so that only those in question are read on."""
+"""A filter for documents, so that only those in question are read on."""
 
 from __future__ import annotations
 
@@ -6,21 +6,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the filter: 8 MB, whatever the number of documents.
-FILTER_BITS = 26
+#: Bits of a filter, as a power of two: 16 a row at least, and 32 MB at most, beyond which more rows pass that no row set.
+LEAST_BITS, MOST_BITS = 16, 28
 
 
-def bit_of(*key: str) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
+def bit_of(size: int, *key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(1 << size))
 
 
-def flags(found: DataFrame, *key: str) -> np.ndarray:
-    """Packed bits that the rows of ``found`` set: at most 2**FILTER_BITS / 64 rows reach the driver, one at a time."""
-    words = found.select(bit_of(*key).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("set"))
-    out = np.zeros(1 << FILTER_BITS >> 6, np.int64)
+def flags(found: DataFrame, *key: str) -> tuple[np.ndarray, int]:
+    """Packed bits that the rows of ``found`` (checkpointed) set, and their number as a power of two.
+
+    At most 2**MOST_BITS / 64 words reach the driver, one at a time.
+    """
+    size = min(MOST_BITS, max(LEAST_BITS, (16 * found.count()).bit_length()))
+    words = found.select(bit_of(size, *key).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("set"))
+    out = np.zeros(1 << size >> 6, np.int64)
     for r in words.toLocalIterator():
         out[r["word"]] = r["set"]
-    return out.view(np.uint8)
+    return out.view(np.uint8), size
 
 
 def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -158,8 +158,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, shingle: int)
     A filter of fixed size picks their documents where they are read, so no
     other text is shingled and no text is shuffled.
     """
-    rows = cut(classes.join(wanted.distinct(), "rep", "left_semi").select("rep", "row_hash"))
-    known = docs.sparkSession.sparkContext.broadcast(flags(rows, "rep", "row_hash"))
+    rows = cut(classes.join(wanted.distinct(), "rep", "left_semi").select("rep", "doc", "row_hash"))
+    bits, size = flags(rows, "doc", "row_hash")
+    known = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         tables = _WORDS.tables()
@@ -169,11 +170,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, shingle: int)
             for i, j in chunks(offsets):
                 w = split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _WORDS, tables)
                 found = pa.array([s.tobytes() for s in shingle_hashes(w, shingle)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), found], ["rep", "row_hash", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), found], ["doc", "row_hash", "shingles"])
 
-    own = _identified(docs).where("doc_id is not null").withColumn("bit", bit_of("doc_id", "row_hash"))
-    full = own.select("doc_id", "text", "row_hash", "bit").mapInArrow(run, "rep long, row_hash long, shingles binary")
-    return full.join(rows, ["rep", "row_hash"], "left_semi").select("rep", "shingles")
+    own = _identified(docs).where("doc_id is not null").withColumn("bit", bit_of(size, "doc_id", "row_hash"))
+    full = own.select("doc_id", "text", "row_hash", "bit").mapInArrow(run, "doc long, row_hash long, shingles binary")
+    # A row that is there several times is one set; joins on rep follow, so this deals no further.
+    return full.join(rows, ["doc", "row_hash"]).select("rep", "shingles").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -197,8 +199,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
 def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
     """Group documents that are linked by shingle sets of ``percent`` similarity at least.
 
-    Returns ``doc_id, n_shingles, component_id, kept``, a row for each row of
-    ``docs``. Sets are of distinct runs of ``shingle`` lower-cased words.
+    Returns ``doc_id, row_hash, n_shingles, component_id, kept``, a row for each
+    row of ``docs``; row_hash tells texts of one doc_id apart. Sets are of distinct runs of ``shingle`` lower-cased words.
 
     1. Documents with equal sets form a class, named by its least doc_id; from
        here on only classes count, so thousands of copies are one row.
@@ -217,17 +219,18 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
 
     Null text is empty, and an empty document is linked with nothing. A row
     with a null doc_id is linked with nothing and gives a null component and
-    kept false. Rows that repeat a doc_id are classed each by its own text; if
-    one doc_id names several classes, its largest set takes part in links and
-    the others join by equal sets only. No rows give no rows; other columns are
-    ignored.
+    kept false. Rows that repeat a doc_id are classed and linked each by its own
+    text, so one doc_id may be in several components. No rows give no rows; other
+    columns are ignored.
     """
     sketched = cut(sketch_documents(docs, shingle))
     usable = sketched.where("doc_id is not null and n_shingles > 0")
-    exact = usable.groupBy("digest", "n_shingles").agg(F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.first("registers").alias("registers"))
-    exact = cut(exact.select("digest", "n_shingles", F.col("rep.doc_id").alias("rep"), F.col("rep.row_hash").alias("row_hash"), "registers"))
-    one = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n_shingles"), "digest"))
-    classes = cut(exact.withColumn("nth", one).where("nth = 1").drop("nth", "digest"))
+    exact = usable.groupBy("digest", "n_shingles").agg(F.min(F.struct("doc_id", "row_hash")).alias("least"), F.first("registers").alias("registers"))
+    exact = exact.select("digest", "n_shingles", F.col("least.doc_id").alias("doc"), F.col("least.row_hash").alias("row_hash"), "registers")
+    # A class is named by its document; of a document with several texts the further classes by a hash of their sets.
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n_shingles"), "digest"))
+    exact = cut(exact.withColumn("rep", F.when(nth == 1, F.col("doc")).otherwise(F.bitwise_not(F.shiftrightunsigned(F.xxhash64("digest"), 2)))))
+    classes = exact.drop("digest")
     least = percent / 100 - SLACK
     banded = _bands(classes)
     h = F.xxhash64("rep")
@@ -255,11 +258,14 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
     known = label.select(F.col("node").alias("rep"), "component")
     lone = joined.join(known.select(F.col("rep").alias("node")), "node", "left_anti").select(F.col("node").alias("rep"), "component")
     final = known.join(onto, "component", "left").select("rep", F.coalesce("onto", "component").alias("component")).unionByName(lone)
-    of_class = exact.select("digest", "n_shingles", "rep").join(final, "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    # Components are named by their least document.
+    joint = final.join(exact.select("rep", "doc"), "rep")
+    joint = joint.join(joint.groupBy("component").agg(F.min("doc").alias("least")), "component").select("rep", "least")
+    of_class = exact.select("digest", "n_shingles", "rep", "doc").join(joint, "rep", "left").select("digest", "n_shingles", F.coalesce("least", "doc").alias("component"))
     named = sketched.join(of_class, ["digest", "n_shingles"], "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     named = named.withColumn("component_id", F.when(linked, F.col("component")).otherwise(F.col("doc_id")))
-    return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return named.select("doc_id", "row_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def _across(rest: DataFrame, percent: int) -> DataFrame:
@@ -309,7 +315,7 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
 
 
 def op6_setsketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(read(spark, sf_dir, "documents"), 3, 85)
+    return near_duplicate_groups(read(spark, sf_dir, "documents"), 3, 85).drop("row_hash")
 
 
 OP6_SQL = r"""

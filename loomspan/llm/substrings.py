@@ -184,8 +184,8 @@ def repeated_windows(held: DataFrame, window: int, size: int, period: int, cover
     return _gathered(across, "start", "starts", True)
 
 
-def _candidates(rows: DataFrame, known) -> tuple[DataFrame, DataFrame]:
-    """rows that share an anchor (with a few that don't), and the others, those with null ids too: by a filter of fixed size, map-side."""
+def _candidates(rows: DataFrame, known, size: int) -> tuple[DataFrame, DataFrame]:
+    """rows that share an anchor (with a few that don't), and the others, those with null ids too: by a filter, map-side."""
 
     def part(inside: bool):
         def run(batches):
@@ -195,7 +195,7 @@ def _candidates(rows: DataFrame, known) -> tuple[DataFrame, DataFrame]:
                 on = is_set(bits, key) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(on if inside else ~on)).select([0, 1, 2])
 
-        return rows.select("doc_id", "row_hash", "text", bit_of("doc_id", "row_hash").alias("bit")).mapInArrow(run, "doc_id long, row_hash long, text string")
+        return rows.select("doc_id", "row_hash", "text", bit_of(size, "doc_id", "row_hash").alias("bit")).mapInArrow(run, "doc_id long, row_hash long, text string")
 
     # Both joins of the first meet the same filter, which an inner join adds by itself, so that they read one shuffle.
     return part(True).where("doc_id is not null and row_hash is not null"), part(False)
@@ -234,10 +234,11 @@ def dedup_substrings(docs: DataFrame, window: int = 50, period: int = PERIOD, co
     size = anchor_size(window, period)
     rows = _rows(docs)
     found = cut(shared_anchors(rows, size, period, cover))
-    near, far = _candidates(rows, docs.sparkSession.sparkContext.broadcast(flags(found, "doc_id", "row_hash")))
-    held = near.join(found.hint("shuffle_hash"), ["doc_id", "row_hash"])
+    bits, size_ = flags(found, "doc_id", "row_hash")
+    near, far = _candidates(rows, docs.sparkSession.sparkContext.broadcast(bits), size_)
+    held = near.join(found, ["doc_id", "row_hash"])
     gone = repeated_windows(held, window, size, period, cover).withColumnsRenamed({"doc_id": "gone_id", "row_hash": "gone_hash"})
-    both = near.join(gone.hint("shuffle_hash"), (near.doc_id == gone.gone_id) & (near.row_hash == gone.gone_hash), "left").select("doc_id", "text", "starts")
+    both = near.join(gone, (near.doc_id == gone.gone_id) & (near.row_hash == gone.gone_hash), "left").select("doc_id", "text", "starts")
     return _kept(both.unionByName(far.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))), window)
 
 

@@ -65,3 +65,14 @@ def test_edges(empty, odd):
     got = sketches.near_duplicate_groups(odd).collect()
     assert len(got) == 6 and all(r.component_id is None and not r.kept for r in got if r.doc_id is None)
     assert all(r.kept for r in got if r.doc_id is not None)
+
+
+def test_texts_of_one_id(spark):
+    """Each text of a repeated doc_id is linked by itself, and repeated rows are one set."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, other = " ".join(words), " ".join(words[:59] + ["x"]), " ".join(f"q{i}" for i in range(30))
+    near = " ".join(f"q{i}" for i in range(29)) + " z"
+    rows = [(5, a), (5, other), (5, other), (2, b), (9, near), (9, near), (7, "alone in here we are")]
+    got = sketches.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got)
+    assert found == [(2, 58, 2, True), (5, 28, 5, True), (5, 28, 5, True), (5, 58, 2, False), (7, 3, 7, True), (9, 28, 5, False), (9, 28, 5, False)]
