@@ -213,8 +213,9 @@ def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _listed(sizes: bytes, joined: bytes) -> list[bytes]:
-    ends = np.cumsum(unpack(sizes))
-    return [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    size = unpack(sizes)
+    ends = np.cumsum(size)
+    return [joined[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
 
 
 def _exploded(dealt: DataFrame) -> DataFrame:
