@@ -99,12 +99,14 @@ def apply_runs(df: DataFrame, lines: str, runs: str, out: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Each document's row with ``lines``, ``kept`` (arrays) and ``dropped`` besides doc_id, text and row_hash.
 
-    The bitmaps meet the texts on (doc_id, row_hash); the planner picks the join by the bitmaps' size.
+    The bitmaps meet the texts on (doc_id, row_hash). They are the side that is
+    hashed, so texts stream by unsorted: a run takes 8 bytes for a line of
+    ``min_chars`` or more, so a partition's bitmaps are a fraction of its texts.
     """
     bitmaps = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "bitmap_id", "row_hash": "bitmap_hash"})
     own = _identified(docs)
     same = own.doc_id.eqNullSafe(bitmaps.bitmap_id) & (own.row_hash == bitmaps.bitmap_hash)
-    both = own.join(bitmaps, same, "left").withColumn("lines", text_lines(F.col("text")))
+    both = own.join(bitmaps.hint("shuffle_hash"), same, "left").withColumn("lines", text_lines(F.col("text")))
     return apply_runs(both, "lines", "runs", "kept").select("doc_id", "text", "row_hash", "lines", F.coalesce("dropped", F.lit(0)).alias("dropped"), "kept")
 
 
