@@ -236,9 +236,10 @@ def dedup_substrings(docs: DataFrame, window: int = 50, period: int = PERIOD, co
     found = cut(shared_anchors(rows, size, period, cover))
     bits, size_ = flags(found, "doc_id", "row_hash")
     near, far = _candidates(rows, docs.sparkSession.sparkContext.broadcast(bits), size_)
-    held = near.join(found, ["doc_id", "row_hash"])
+    # The lists are the side that is hashed, so texts stream by unsorted: 8 bytes an anchor and 4 a window's start, of as many words' texts.
+    held = near.join(found.hint("shuffle_hash"), ["doc_id", "row_hash"])
     gone = repeated_windows(held, window, size, period, cover).withColumnsRenamed({"doc_id": "gone_id", "row_hash": "gone_hash"})
-    both = near.join(gone, (near.doc_id == gone.gone_id) & (near.row_hash == gone.gone_hash), "left").select("doc_id", "text", "starts")
+    both = near.join(gone.hint("shuffle_hash"), (near.doc_id == gone.gone_id) & (near.row_hash == gone.gone_hash), "left").select("doc_id", "text", "starts")
     return _kept(both.unionByName(far.select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))), window)
 
 
