@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.kernel import PUNCT, Splitter, chunks, mix, split, texts
+from loomspan.llm.kernel import PUNCT, Splitter, chunks, mix, split, texts, windows
 from loomspan.plans.lineage import cut, read
 
 #: Each mask names the token positions that count; those between are ignored.
@@ -18,15 +18,19 @@ MASKS = ((0, 1, 4, 5, 6), (0, 1, 2, 4, 7), (0, 2, 4, 5, 7))
 SPAN = 1 + max(map(max, MASKS))
 #: A contaminated document holds this many aligned words of an item (or all of a shorter one) with at most a fifth substituted.
 WINDOW, SUBSTITUTED, SHORTEST = 13, 0.2, 8
+#: Items of EXACT to SHORTEST - 1 words must occur as they are.
+EXACT = 5
 #: Bits of the filter that benchmark seeds set: 2 MB, whatever the benchmark's size.
 FILTER_BITS = 24
 _WORDS = Splitter(PUNCT, seed=2)
-#: Blanks and punctuation beyond ASCII that separate words.
+#: Blanks and punctuation beyond ASCII that separate words, and scripts without blanks, whose characters are words each.
 _BEYOND = "[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]"
+_ALONE = "([\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff])"
 
 
 def allowed(words: int) -> int:
-    return int(words * SUBSTITUTED + 1e-9)
+    """Words of a window that may be substituted; none of a short item's."""
+    return int(words * SUBSTITUTED + 1e-9) if words >= SHORTEST else 0
 
 
 def masks_cover(words: int, masks: tuple[tuple[int, ...], ...] = MASKS) -> bool:
@@ -36,10 +40,10 @@ def masks_cover(words: int, masks: tuple[tuple[int, ...], ...] = MASKS) -> bool:
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of the texts in lower case with blanks for punctuation beyond ASCII."""
+    """Bytes and offsets of the texts in lower case with blanks for punctuation beyond ASCII and around characters that are words."""
     if column.null_count:
         column = pc.fill_null(column, "")
-    return texts(pc.replace_substring_regex(pc.utf8_lower(column), _BEYOND, " "))
+    return texts(pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(column), _BEYOND, " "), _ALONE, r" \1 "))
 
 
 def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
@@ -53,22 +57,28 @@ def seeds(hashes: np.ndarray, mask: int) -> np.ndarray:
     return mix(out)
 
 
+def runs(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The hash of each run of words, with their number in it."""
+    return mix(windows(hashes, words) + np.uint64(words))
+
+
 def _bits(h: np.ndarray) -> list[np.ndarray]:
     keep = np.uint64((1 << FILTER_BITS) - 1)
     return [(h >> np.uint64(s)) & keep for s in (0, 20, 40)]
 
 
-def _benchmark(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items (item_id, row, tokens as bytes) and their seeds (seed, item_id, row, at)."""
+def _benchmark(benchmark: DataFrame) -> tuple[DataFrame, list[int], DataFrame]:
+    """Items (item_id, row, tokens as bytes), the numbers of words of short ones, and their seeds (seed, item_id, row, at)."""
 
     def run(batches):
         tables = _WORDS.tables()
         for batch in batches:
             data, offsets = tokens(batch.column(1))
             w = split(data, offsets, _WORDS, tables)
-            kept = [k for k in range(batch.num_rows) if w.first[k + 1] - w.first[k] >= SHORTEST]
+            kept = [k for k in range(batch.num_rows) if w.first[k + 1] - w.first[k] >= EXACT]
             each = [w.hashes[w.first[k] : w.first[k + 1]] for k in kept]
-            found = [[(s, at) for m in range(len(MASKS)) for at, s in enumerate(seeds(h, m).view(np.int64).tolist())] for h in each]
+            laid = [[seeds(h, m) for m in range(len(MASKS))] if len(h) >= SHORTEST else [runs(h, len(h))] for h in each]
+            found = [[(s, at) for x in own for at, s in enumerate(x.view(np.int64).tolist())] for own in laid]
             kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(kept, pa.int64())), batch.column(2).take(pa.array(kept, pa.int64())), pa.array([h.tobytes() for h in each], pa.binary()),
@@ -79,7 +89,8 @@ def _benchmark(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("item_row"))
     items = cut(source.dropDuplicates().mapInArrow(run, "item_id long, item_row long, words binary, seeds array<struct<seed:long,at:int>>"))
-    return items.select("item_id", "item_row", "words"), items.select("item_id", "item_row", F.explode("seeds").alias("s")).select("item_id", "item_row", "s.seed", "s.at")
+    short = [n for (n,) in items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(F.col("n") < SHORTEST).distinct().collect()]
+    return items.select("item_id", "item_row", "words"), short, items.select("item_id", "item_row", F.explode("seeds").alias("s")).select("item_id", "item_row", "s.seed", "s.at")
 
 
 def _filter(seeds_: DataFrame) -> np.ndarray:
@@ -97,27 +108,36 @@ def _filter(seeds_: DataFrame) -> np.ndarray:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs of a document and a benchmark item of which it holds a passage.
+    """Pairs of a document and a benchmark item of which it holds a passage: doc_id, item_id, window_words, matched_words; see contaminated_rows."""
+    return contaminated_rows(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("window_words").alias("window_words"), F.max("matched_words").alias("matched_words"))
+
 
-    Returns ``doc_id, item_id, window_words, matched_words``: the document has a
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Pairs of a document's text and a benchmark item of which it holds a passage.
+
+    Returns ``doc_id, row_hash, item_id, window_words, matched_words``; row_hash
+    tells texts of one doc_id apart. The document has a
     run of window_words = min(WINDOW, item's words) words aligned with as many
     of the item's, at most a fifth of them substituted; matched_words is the
-    best such run's. Words are lower-case runs of letters and digits.
+    best such run's. Words are lower-case runs of letters and digits, and single
+    characters of Chinese and Japanese.
 
     Every mask of MASKS is laid at every word of documents and items. The three
-    masks reach every pattern of allowed substitutions (``masks_cover``).
-    Document seeds pass a filter of fixed size made from the benchmark's, so
-    few rows are shuffled; these meet the benchmark's seeds in an equi-join,
-    whose hits name a diagonal (a shift of the item against the document).
-    Each distinct diagonal is verified on the words around its hits.
-
-    Items of fewer than SHORTEST words are not tested; a null text is empty;
-    rows with a null id give nothing; rows that repeat an id are tested each and
-    give one result. Other columns are ignored. No rows on a side: no result.
+    masks reach every pattern of allowed substitutions (``masks_cover``). Items
+    of EXACT to SHORTEST - 1 words have one seed, all their words, and must occur
+    as they are. Document seeds pass a filter of fixed size made from the
+    benchmark's, so few rows are shuffled; these meet the benchmark's seeds in an
+    equi-join, whose hits name a diagonal (a shift of the item against the
+    document). The distinct diagonals of an item and the words around a
+    document's hits are verified together.
+
+    Items of fewer than EXACT words are no passage and are not tested; a null text is empty;
+    rows with a null id give nothing; rows that repeat an id are tested each.
+    Other columns are ignored. No rows on a side: no result.
     """
-    items, item_seeds = _benchmark(benchmark)
+    items, short, item_seeds = _benchmark(benchmark)
     flags = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(item_seeds)))
-    names = ["doc_id", "region", "words", "hits"]
+    names = ["doc_id", "row_hash", "region", "words", "hits"]
 
     def scan(batches):
         tables = _WORDS.tables()
@@ -129,8 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for i, j in chunks(offsets):
                 w = split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _WORDS, tables)
                 found, values = [], []
-                for m in range(len(MASKS)):
-                    h = seeds(w.hashes, m)
+                for h in [seeds(w.hashes, m) for m in range(len(MASKS))] + [runs(w.hashes, n) for n in short if n <= len(w.hashes)]:
                     a, b, c = _bits(h)
                     hit = np.flatnonzero(known[a])
                     hit = hit[known[b[hit]] & known[c[hit]]]
@@ -154,41 +173,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     rows.append((i + d, low - int(w.first[d]), w.hashes[low:high].tobytes(), hits))
             take = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], kind)], names
+                [batch.column(0).take(take), batch.column(2).take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], kind)], names
             )
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"))
-    regions = source.mapInArrow(scan, "doc_id long, region int, words binary, hits array<struct<seed:long,pos:int>>")
-    # A region is known by its document, place and words, so repeated rows fold into one.
-    regions = cut(regions.withColumn("words_hash", F.xxhash64("words")))
-    key = ["doc_id", "region", "words_hash"]
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
+    regions = source.mapInArrow(scan, "doc_id long, row_hash long, region int, words binary, hits array<struct<seed:long,pos:int>>")
+    # A region is known by its document, text and place, so repeated rows fold into one.
+    regions = cut(regions)
+    key = ["doc_id", "row_hash", "region"]
     hits = regions.select(*key, F.explode("hits").alias("h")).select(*key, "h.seed", "h.pos")
-    diagonals = hits.join(item_seeds, "seed").select(*key, "item_id", "item_row", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    diagonals = hits.join(item_seeds, "seed").groupBy(*key, "item_id", "item_row").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
     aligned = (
         diagonals.join(regions.select(*key, "words").dropDuplicates(key), key)
         .join(items.withColumnRenamed("words", "item_words"), ["item_id", "item_row"])
-        .select("doc_id", "item_id", "shift", "words", "item_words")
+        .select("doc_id", "row_hash", "item_id", "shifts", "words", "item_words")
     )
 
+    def best_run(x: np.ndarray, y: np.ndarray, shift: int, n: int) -> int:
+        low, high = max(0, -shift), min(len(y), len(x) - shift)
+        if high - low < n:
+            return 0
+        sums = np.concatenate([[0], np.cumsum(x[low + shift : high + shift] == y[low:high])])
+        return int((sums[n:] - sums[:-n]).max())
+
     def verify(batches):
         for batch in batches:
             sizes, best = [], []
-            for shift, a, b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for shifts, a, b in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                n = min(WINDOW, len(y))
-                low, high = max(0, -shift), min(len(y), len(x) - shift)
-                matched = 0
-                if high - low >= n:
-                    sums = np.concatenate([[0], np.cumsum(x[low + shift : high + shift] == y[low:high])])
-                    matched = int((sums[n:] - sums[:-n]).max())
-                sizes.append(n)
-                best.append(matched)
+                sizes.append(min(WINDOW, len(y)))
+                best.append(max(best_run(x, y, shift, sizes[-1]) for shift in shifts))
             keep = [m >= n - allowed(n) for n, m in zip(sizes, best, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(best, pa.int32())], ["doc_id", "item_id", "window_words", "matched_words"]).filter(pa.array(keep, pa.bool_()))
+            columns = [*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(best, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "item_id", "window_words", "matched_words"]).filter(pa.array(keep, pa.bool_()))
 
-    passed = aligned.mapInArrow(verify, "doc_id long, item_id long, window_words int, matched_words int")
-    return passed.groupBy("doc_id", "item_id").agg(F.max("window_words").alias("window_words"), F.max("matched_words").alias("matched_words"))
+    passed = aligned.mapInArrow(verify, "doc_id long, row_hash long, item_id long, window_words int, matched_words int")
+    return passed.groupBy("doc_id", "row_hash", "item_id").agg(F.max("window_words").alias("window_words"), F.max("matched_words").alias("matched_words"))
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,14 +218,14 @@ def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[\x{00A0}-\x{00BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]', ' ', 'g'),
+  SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[\x{00A0}-\x{00BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]', ' ', 'g'), '([\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}])', ' \1 ', 'g'),
     '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
 b AS (
-  SELECT item_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[\x{00A0}-\x{00BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]', ' ', 'g'),
+  SELECT item_id, regexp_extract_all(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[\x{00A0}-\x{00BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]', ' ', 'g'), '([\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}])', ' \1 ', 'g'),
     '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
 dw AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
-bw AS (SELECT item_id, least(len(w), 13) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM b WHERE len(w) >= 8),
--- With at most a fifth of 8 to 13 words substituted, three in a row are not.
+bw AS (SELECT item_id, least(len(w), 13) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM b WHERE len(w) >= 5),
+-- With at most a fifth of 8 to 13 words substituted, three in a row are not; of 5 to 7 words none may be.
 dg AS (SELECT doc_id, p, t || ' ' || lead(t) OVER x || ' ' || lead(t, 2) OVER x AS g FROM dw WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
 bg AS (SELECT item_id, n, p, t || ' ' || lead(t) OVER x || ' ' || lead(t, 2) OVER x AS g FROM bw WINDOW x AS (PARTITION BY item_id ORDER BY p)),
 diagonals AS (SELECT DISTINCT doc_id, item_id, dg.p - bg.p AS shift FROM dg JOIN bg USING (g)),
@@ -217,5 +238,5 @@ summed AS (
     count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN n - 1 PRECEDING AND CURRENT ROW) AS words
   FROM aligned)
 SELECT doc_id, item_id, max(n)::INT AS window_words, max(matched)::INT AS matched_words
-FROM summed WHERE words = n AND matched >= n - floor(n * 0.2 + 1e-9) GROUP BY doc_id, item_id
+FROM summed WHERE words = n AND matched >= n - CASE WHEN n < 8 THEN 0 ELSE floor(n * 0.2 + 1e-9) END GROUP BY doc_id, item_id
 """

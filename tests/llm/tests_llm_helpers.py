@@ -55,7 +55,7 @@ def brute_contaminated(texts, bench):
             places.setdefault(x, []).append(p)
         for y in items:
             n = min(d.WINDOW, len(y))
-            shifts = {p - b for b, x in enumerate(y) for p in places.get(x, ())} if len(y) >= d.SHORTEST else ()
+            shifts = {p - b for b, x in enumerate(y) for p in places.get(x, ())} if len(y) >= d.EXACT else ()
             for s in shifts:
                 same = [0 <= b + s < len(w) and w[b + s] == x for b, x in enumerate(y)]
                 for b in range(len(y) - n + 1):
