@@ -38,3 +38,27 @@ def test_stages_against_brute_force(spark):
         docs = spark.createDataFrame(rows, out.schema)
         before = {r.doc_id: r for r in rows}
     assert decontaminate.WINDOW == 13
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, several texts of one id and no rows pass every stage."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(f"word{i}" for i in range(40))
+    item = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    rows = [(None, words), (None, None), (1, None), (2, ""), (3, words), (3, words), (3, "another text of this id, quite unlike the first"), (4, words), (4, f"so {item} ends"), (4, "clean text of the same id that has nothing of it")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], kinds)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for one in (docs, docs.limit(0)):
+        one.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        out = {}
+        for name, stage in corpus_pipeline.STAGES:
+            out[name] = [tuple(r) for r in stage(spark, one, str(tmp_path)).collect()]
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == (0 if not out["quality classifier"] else 8)
+        if out["quality classifier"]:
+            texts = lambda name: sorted((str(r[0]), str(r[1])) for r in out[name])
+            every = sorted((str(i), str(t)) for i, t in rows)
+            assert texts("quality classifier") == texts("line dedup") == every
+            assert texts("near-dedup") == sorted(r for r in every if r != ("4", words))
+            assert texts("benchmark decontamination") == sorted(r for r in every if "quick brown" not in r[1])
+            assert len(out["byte-level BPE"]) == len(rows)
