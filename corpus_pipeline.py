@@ -27,22 +27,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bitmaps = lines.keep_bitmaps(docs).select(F.col("doc_id").alias("bitmap_id"), F.col("row_hash").alias("bitmap_hash"), "runs")
     own = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
     same = own.doc_id.eqNullSafe(bitmaps.bitmap_id) & (own.row_hash == bitmaps.bitmap_hash)
-    both = lines.apply_runs(own.join(bitmaps, same, "left").withColumn("_lines", lines.text_lines(F.col("text"))), "_lines", "runs", "_kept")
+    both = lines.apply_runs(own.join(bitmaps.hint("shuffle_hash"), same, "left").withColumn("_lines", lines.text_lines(F.col("text"))), "_lines", "runs", "_kept")
     text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
     return both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names by doc_id and row_hash, a hash of the text."""
+    own = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"))
+    return own.join(gone.select("doc_id", "row_hash").distinct(), ["doc_id", "row_hash"], "left_anti").select(*COLUMNS)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by sets of five-word shingles at 80 % similarity, the document with the least doc_id stays."""
-    groups = sketches.near_duplicate_groups(docs, shingle=5, percent=80)
-    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group linked by sets of five-word shingles at 80 % similarity, the document with the least doc_id stays.
+
+    Rows go by doc_id and text, so of a repeated doc_id only linked texts do; null ids are in no group.
+    """
+    return without(docs, sketches.near_duplicate_groups(docs, shingle=5, percent=80).where(~F.col("kept") & F.col("doc_id").isNotNull()))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Texts that hold a benchmark passage go; rows with a null doc_id are not tested and stay."""
+    return without(docs, decontaminate.contaminated_rows(docs, read(spark, sf_dir, "benchmark")))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
