@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from loomspan.operators.components import components
 from loomspan.operators.graph import both_ways, damped
+from loomspan.operators.relational import numbered
 
 MAX_NODES, MAX_EDGES = 100_000, 200_000
+#: Components of fewer nodes are one community.
+WHOLE = 20
 
 
 def greedy_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, passes: int = 20) -> np.ndarray:
@@ -132,7 +135,7 @@ def _per_component(nodes: DataFrame, links: DataFrame, method: str, resolution:
 
 
 def propagate(nodes: DataFrame, links: DataFrame, rounds: int = 10) -> DataFrame:
-    """id, label by synchronous label propagation: the way for components too large for one task."""
+    """id, label by synchronous label propagation, for graphs of any size; it need not settle on trees and bipartite graphs."""
     from loomspan.plans.lineage import cut
 
     label = nodes.select("id", F.col("id").alias("label"))
@@ -149,10 +152,15 @@ def propagate(nodes: DataFrame, links: DataFrame, rounds: int = 10) -> DataFrame
 def communities(nodes: DataFrame, edges: DataFrame, method: str = "greedy", resolution: float = 1.0, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> DataFrame:
     """id, community (dense, larger first), parent: communities within connected components, oversized ones split once.
 
-    Components of fewer than three nodes stay whole. A component beyond
-    max_nodes or max_edges is labelled by distributed propagation, the others
-    by the method, one component a task call. A community of more than
-    max(10, a quarter of all nodes) is clustered again on its inner edges.
+    Components of fewer than WHOLE nodes stay whole, the others are clustered by
+    the method, one component a task call. A community of more than max(10, a
+    quarter of all nodes) is clustered again on its inner edges, and the split
+    stays if there is one; ``parent`` names the community before that.
+
+    The methods go through a component's nodes in order, so one task holds it:
+    a component of more than max_nodes nodes or max_edges edges is left
+    unclustered, its community and parent null. ``propagate`` labels graphs of
+    any size, by another method. No nodes give no rows.
     """
     from loomspan.plans.lineage import cut
 
@@ -161,18 +169,17 @@ def communities(nodes: DataFrame, edges: DataFrame, method: str = "greedy", reso
     own = cut(ids.join(components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     ends = links.join(own.withColumnRenamed("id", "a"), "a")
     load = own.groupBy("component").agg(F.count("*").alias("n")).join(ends.groupBy("component").agg(F.count("*").alias("e")), "component", "left")
-    large = cut(load.where((F.col("n") > max_nodes) | (F.col("e") > 2 * max_edges)).select("component"))
-    big = own.join(large, "component", "left_semi")
-    big_links = ends.join(large, "component", "left_semi").select("a", "b", "w")
-    small = own.join(large, "component", "left_anti")
-    small_links = ends.join(large, "component", "left_anti").select("a", "b", "w")
-    label = cut(_per_component(small, small_links, method, resolution).select("id", "label").unionByName(propagate(big, big_links)))
-    total = ids.count()
-    wide = label.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > max(10, total // 4)).select("label")
-    over = label.join(wide, "label", "left_semi")
+    beyond = (F.col("n") > max_nodes) | (F.coalesce("e", F.lit(0)) > 2 * max_edges)
+    load = cut(load.withColumn("fate", F.when(beyond, "left").when(F.col("n") < WHOLE, "whole").otherwise("clustered")).select("component", "fate"))
+    clustered = load.where("fate = 'clustered'").select("component")
+    found = _per_component(own.join(clustered, "component", "left_semi"), ends.join(clustered, "component", "left_semi").select("a", "b", "w"), method, resolution).select("id", "label")
+    whole = own.join(load.where("fate = 'whole'"), "component", "left_semi").select("id", F.col("component").alias("label"))
+    label = cut(found.unionByName(whole))
+    wide = label.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > max(10, ids.count() // 4)).select("label")
+    over = cut(label.join(wide, "label", "left_semi"))
     inner = links.join(over.withColumnsRenamed({"id": "a", "label": "la"}), "a").join(over.withColumnsRenamed({"id": "b", "label": "lb"}), "b").where("la = lb").select("a", "b", "w")
-    again = _per_component(over.select("id"), inner, "leiden", 2 * resolution).select("id", F.col("label").alias("fine"))
-    both = label.join(again, "id", "left").select("id", F.col("label").alias("parent"), F.coalesce("fine", "label").alias("label"))
+    again = _per_component(over.select("id"), inner, method, resolution).select("id", F.col("label").alias("fine"))
+    both = cut(label.join(again, "id", "left").select("id", F.col("label").alias("parent"), F.coalesce("fine", "label").alias("label")))
     size = both.groupBy("label").agg(F.count("*").alias("n"))
-    dense = size.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)
-    return both.join(dense, "label").select("id", "community", "parent")
+    dense = numbered(size, [F.desc("n"), F.asc("label")], "community").select("label", "community")
+    return ids.join(both.join(dense, "label").select("id", "community", "parent"), "id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import contains_any
 from loomspan.operators.claims import is_truth
+from loomspan.plans.lineage import cut
 from loomspan.schemas import lookup
 
 # Fixed values.
@@ -126,49 +127,92 @@ def proof_density() -> Column:
 
 
 def admissible() -> Column:
-    """Not model-derived, contradicted or superseded."""
-    return (F.coalesce(F.col("authority"), F.lit("")) != "model_derived") & ~F.coalesce(F.col("verification"), F.lit("")).isin("contradicted", "unverified") & F.col("superseded_by").isNull()
+    """Of memory, not model-derived, contradicted, unverified or superseded; what comes from other sources always is."""
+    good = (F.coalesce(F.col("authority"), F.lit("")) != "model_derived") & ~F.coalesce(F.col("verification"), F.lit("")).isin("contradicted", "unverified") & F.col("superseded_by").isNull()
+    return (F.coalesce(F.col("source_class"), F.lit("")) != "memory") | good
 
 
-def compile_cover(items: DataFrame, budget: int, intent: str = "hybrid", request: str = "request_id") -> DataFrame:
+def _text(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
+
+
+def compile_cover(items: DataFrame, budget: int, intent: str = "hybrid", request: str = "request_id", order: str = "item_id") -> DataFrame:
     """A minimal proof set of each request, then filler: request, item_id, stage, place, covers.
 
-    Weighted set cover: again and again the admissible item with the most new
-    goals for its weight a token, until goals or budget end (an item that does
-    not fit ends it); the rest is filled by priority with skips. An item covers
-    the goal of its type only, so the best few hundred of each goal and source
-    are all that can be chosen: they bound the rows of a request's call.
+    Items come in ``order``; of the admissible ones with one claim key (or
+    source, title and summary) the first counts. Weighted set cover: again and
+    again the item with the most weight a token that covers an open goal, until
+    goals or candidates end, or until an item does not fit, which ends it. What
+    has none of the chosen keys (claim key, or source and title) is then taken
+    by filler priority, in order, each item that still fits. Items of no tokens
+    cover nothing but can be filler.
+
+    An item covers the goal of its type alone, so of each goal as many
+    candidates as there are goals are enough, however many there are: the others
+    can only be passed over for keys already chosen. Of filler items of t tokens
+    the first budget // t are enough, as once one of them does not fit no later
+    one does. So no request's rows are cut, and a call has some budget * ln
+    budget rows at most besides items of no tokens, which take no part in it.
+
+    Nulls: a null authority counts half, a null type or source covers nothing, null tokens are
+    none. Requests whose items are all inadmissible give no rows; nor do empty tables.
     """
-    per = 200
-    filler = lookup(F.col("source_class"), _of(FILLER, intent), 0.0) * authority_factor() * freshness()
-    weighed = items.where(admissible()).withColumns({"goal": covers(), "weight": freshness() * authority_factor() * proof_density(), "filler": filler})
-    rate = F.col("weight") / F.greatest(F.lit(1), "tokens")
-    near = Window.partitionBy(request, "source_class", "memory_type")
-    weighed = weighed.withColumns({"_a": F.row_number().over(near.orderBy(F.desc(rate), "item_id")), "_b": F.row_number().over(near.orderBy(F.desc("filler"), "tokens", "item_id"))})
-    few = weighed.where((F.col("_a") <= per) | (F.col("_b") <= per)).select(request, "goals", "item_id", "goal", "weight", "filler", "tokens")
+    claim = F.col("claim_key").cast("string")
+    long_key = F.concat_ws("\x01", F.col("source_class"), F.lower(F.trim(_text(items, "title"))), F.lower(F.trim(_text(items, "summary"))), F.col("item_id").cast("string") if "title" not in items.columns else F.lit(""))
+    short_key = F.concat_ws("\x01", F.col("source_class"), F.col("title") if "title" in items.columns else F.col("item_id").cast("string"))
+    filler = F.coalesce(lookup(F.col("source_class"), _of(FILLER, intent), 0.0) * authority_factor() * freshness(), F.lit(0.0))
+    able = items.where(admissible()).withColumns(
+        {
+            "tokens": F.coalesce(F.col("tokens").cast("long"), F.lit(0)), "_goal": covers(), "_weight": freshness() * authority_factor() * proof_density(), "_filler": filler,
+            "_long": F.coalesce(claim, long_key), "_key": F.coalesce(claim, short_key), "_order": F.col(order),
+        }
+    )
+    per = lambda *by: Window.partitionBy(request, *by)
+    first = F.row_number().over(per("_long").orderBy("_order", "item_id"))
+    open_ = able.withColumn("_n", first).where((F.col("_n") == 1) & (F.col("tokens") > 0) & F.array_contains("goals", F.col("_goal")))
+    best = (F.desc(F.col("_weight") / F.col("tokens")), F.asc("_order"), F.asc("item_id"))
+    goals = len(GOAL_OF_TYPE)
+    one = open_.withColumn("_n", F.row_number().over(per("_goal", "_key").orderBy(*best))).where("_n = 1")
+    few = one.withColumn("_n", F.row_number().over(per("_goal").orderBy(*best))).where(F.col("_n") <= goals).select(request, "item_id", "_goal", "_key", "_weight", "tokens", "_order")
     kind = dict(items.dtypes)
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("item_id").to_dict("records")
-        open_, used, out, taken = set(rows[0]["goals"]), 0, [], set()
-        while open_:
-            best = max(((r["weight"] / max(1, r["tokens"]), -i) for i, r in enumerate(rows) if i not in taken and r["goal"] in open_ and r["weight"] > 0), default=None)
-            if best is None:
-                break
-            r = rows[-best[1]]
-            if used + r["tokens"] > budget:
+        frame = frame.assign(rate=frame["_weight"] / frame["tokens"]).sort_values(["rate", "_order", "item_id"], ascending=[False, True, True], kind="stable")
+        used, done, keys, out = 0, set(), set(), []
+        while True:
+            r = next((r for r in frame.to_dict("records") if r["_goal"] not in done and r["_key"] not in keys), None)
+            if r is None or used + r["tokens"] > budget:
                 break
-            taken.add(-best[1])
             used += r["tokens"]
-            open_.discard(r["goal"])
-            out.append((r[request], r["item_id"], "proof", len(out), r["goal"]))
-        for i, r in sorted(enumerate(rows), key=lambda x: (-x[1]["filler"], x[1]["tokens"], x[0])):
-            if i not in taken and r["filler"] > 0 and used + r["tokens"] <= budget:
-                used += r["tokens"]
-                out.append((r[request], r["item_id"], "filler", len(out), r["goal"]))
-        return pd.DataFrame(out, columns=[request, "item_id", "stage", "place", "covers"])
-
-    return few.groupBy(request).applyInPandas(choose, f"{request} {kind[request]}, item_id {kind['item_id']}, stage string, place int, covers string")
+            done.add(r["_goal"])
+            keys.add(r["_key"])
+            out.append((r[request], r["item_id"], len(out), r["_goal"], r["_key"], used))
+        return pd.DataFrame(out, columns=[request, "item_id", "place", "covers", "_key", "used"])
+
+    cover = cut(few.groupBy(request).applyInPandas(choose, f"{request} {kind[request]}, item_id {kind['item_id']}, place int, covers string, _key string, used long"))
+    spent = cover.groupBy(request).agg(F.max("used").alias("_used"), F.count("*").cast("int").alias("_places"))
+    rest = able.join(cover.select(request, "_key"), [request, "_key"], "left_anti")
+    sort = (F.desc("_filler"), F.asc("_order"), F.asc("item_id"))
+    none = rest.where("tokens = 0")
+    some = rest.where((F.col("tokens") > 0) & (F.col("tokens") <= budget)).withColumn("_n", F.row_number().over(per("tokens").orderBy(*sort))).where(F.col("_n") <= F.floor(F.lit(budget) / F.col("tokens")))
+    some = some.join(spent, request, "left").select(request, "item_id", "tokens", "_filler", "_order", F.coalesce("_used", F.lit(0)).alias("_used"))
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_filler", "_order", "item_id"], ascending=[False, True, True], kind="stable")
+        used, keep = int(frame["_used"].iloc[0]), []
+        for t in frame["tokens"]:
+            keep.append(used + t <= budget)
+            used += t if keep[-1] else 0
+        return frame.loc[keep, [request, "item_id", "_filler", "_order"]]
+
+    order_kind = able.schema["_order"].dataType.simpleString()
+    filled = some.groupBy(request).applyInPandas(fill, f"{request} {kind[request]}, item_id {kind['item_id']}, _filler double, _order {order_kind}")
+    filled = filled.unionByName(none.select(request, "item_id", "_filler", "_order")).join(spent.select(request, "_places"), request, "left")
+    placed = filled.withColumn("place", F.coalesce("_places", F.lit(0)) + F.row_number().over(per().orderBy(*sort)) - 1)
+    both = cover.select(request, "item_id", F.lit("proof").alias("stage"), "place", "covers").unionByName(
+        placed.select(request, "item_id", F.lit("filler").alias("stage"), F.col("place").cast("int"), F.lit(None).cast("string").alias("covers"))
+    )
+    return both
 
 
 def proof_gaps(requests: DataFrame, chosen: DataFrame, request: str = "request_id") -> DataFrame:

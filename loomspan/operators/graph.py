@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import basename, capitalised, contains_any, distinctive, error_signature, similarity_tokens
 from loomspan.operators.events import event_text
+from loomspan.plans.lineage import cut
 from loomspan.schemas import EVIDENCE_RANK, lookup
 
 NODE_COLUMNS = ("id", "label", "node_type", "source_type", "source_id")
@@ -151,56 +152,124 @@ def similar_pairs(items: DataFrame, id_: str, tokens: str, block: list[str], lea
     return named.select(*block, "left", "right", "shared", F.array_sort(F.array_intersect("_wa", "_wb")).alias("shared_tokens"), "similarity")
 
 
+def matched(pairs: DataFrame, degree: int = 2) -> DataFrame:
+    """Greedy matching of pairs (left, right, similarity), the closest first, ties by left and right, each end in ``degree`` at most.
+
+    In rounds: a pair that is, among the open pairs of each of its ends, within
+    what that end may still take, is taken, as going through all pairs in order
+    would; ends that are full lose their open pairs. The closest open pair is
+    always taken, so rounds end.
+    """
+    open_, taken = cut(pairs.select("left", "right", "similarity").distinct()), None
+    full = None
+    while not open_.isEmpty():
+        order = (F.desc("similarity"), F.asc("left"), F.asc("right"))
+        ends = open_.select(F.explode(F.array("left", "right")).alias("end"), "left", "right", "similarity")
+        ranked = ends.withColumn("nth", F.row_number().over(Window.partitionBy("end").orderBy(*order)))
+        if full is not None:
+            ranked = ranked.join(full, "end", "left")
+        room = F.lit(degree) - (F.coalesce("used", F.lit(0)) if full is not None else F.lit(0))
+        both = ranked.groupBy("left", "right", "similarity").agg(F.bool_and(F.col("nth") <= room).alias("ok"))
+        now = cut(both.where("ok").drop("ok"))
+        taken = now if taken is None else cut(taken.unionByName(now))
+        full = cut(taken.select(F.explode(F.array("left", "right")).alias("end")).groupBy("end").agg(F.count("*").cast("int").alias("used")))
+        done = full.where(F.col("used") >= degree)
+        left = open_.join(now.select("left", "right"), ["left", "right"], "left_anti")
+        for side in ("left", "right"):
+            left = left.join(done.select(F.col("end").alias(side)), side, "left_anti")
+        open_ = cut(left.select("left", "right", "similarity"))
+    return open_ if taken is None else taken
+
+
+def relationship_policy(a: str, b: str) -> Column:
+    """How two memories may be related: a and b are structs of session_id, episode and memory_type.
+
+    same_episode_only for those of one episode, skip for those of two, strong_only if one is a bug, else allow_ambiguous.
+    """
+    x, y = (F.struct(f"{c}.session_id", f"{c}.episode") for c in (a, b))
+    placed = F.col(f"{a}.session_id").isNotNull() & F.col(f"{b}.session_id").isNotNull()
+    return F.when(placed & x.eqNullSafe(y), "same_episode_only").when(placed, "skip").when((F.col(f"{a}.memory_type") == "bug") | (F.col(f"{b}.memory_type") == "bug"), "strong_only").otherwise("allow_ambiguous")
+
+
 def similarity_edges(memories: DataFrame, block: list[str], degree: int = 2) -> DataFrame:
-    """related_to between similar memories of a block, the closest first, each memory in ``degree`` at most.
+    """related_to between memories of a block with similar contents, the closest first, each memory in ``degree`` at most.
 
     Memories of two episodes of sessions are not related; of one episode they
-    need two distinctive shared tokens. The cap depends on order, so the pairs of
-    each block, not its texts, are matched in one grouped call.
+    need two distinctive shared tokens.
     """
-    text = F.concat_ws(" ", "title", "content")
-    items = memories.withColumn("_tokens", similarity_tokens(text))
+    items = memories.withColumn("_tokens", similarity_tokens(F.col("content")))
     pairs = similar_pairs(items, "memory_id", "_tokens", block)
-    side = memories.select("memory_id", F.when(F.col("session_id").isNotNull() | F.col("episode").isNotNull(), F.struct("session_id", "episode")).alias("place"))
+    kind = F.col("memory_type") if "memory_type" in memories.columns else F.lit(None).cast("string")
+    side = memories.select("memory_id", F.struct("session_id", "episode", kind.alias("memory_type")).alias("place"))
     both = pairs.join(side.withColumnsRenamed({"memory_id": "left", "place": "_p"}), "left").join(side.withColumnsRenamed({"memory_id": "right", "place": "_q"}), "right")
-    placed = F.col("_p.session_id").isNotNull() & F.col("_q.session_id").isNotNull()
-    same = placed & F.col("_p").eqNullSafe(F.col("_q"))
-    allowed = both.where(~placed | (same & (distinctive(F.col("shared_tokens")) >= 2)))
-
-    def match(frame):
-        import pandas as pd
-
-        taken: dict = {}
-        keep = []
-        for row in frame.sort_values(["similarity", "left", "right"], ascending=[False, True, True]).itertuples():
-            if taken.get(row.left, 0) < degree and taken.get(row.right, 0) < degree:
-                taken[row.left] = taken.get(row.left, 0) + 1
-                taken[row.right] = taken.get(row.right, 0) + 1
-                keep.append((str(row.left), str(row.right), row.similarity))
-        return pd.DataFrame(keep, columns=["left", "right", "similarity"])
-
-    picked = allowed.select(*block, "left", "right", "similarity").groupBy(*block).applyInPandas(match, "left string, right string, similarity double")
+    policy = relationship_policy("_p", "_q")
+    # Pairs of less than half are dropped under every policy, so strong_only and allow_ambiguous come to the same.
+    allowed = both.where((policy != "skip") & ((policy != "same_episode_only") | (distinctive(F.col("shared_tokens")) >= 2)))
+    picked = matched(allowed, degree)
     return picked.select(
-        F.concat(F.lit("memory:"), "left").alias("source"), F.concat(F.lit("memory:"), "right").alias("target"), F.lit("related_to").alias("relation"),
+        F.concat(F.lit("memory:"), F.col("left").cast("string")).alias("source"), F.concat(F.lit("memory:"), F.col("right").cast("string")).alias("target"), F.lit("related_to").alias("relation"),
         F.lit("inferred").alias("evidence"), F.round(F.least(F.lit(1.0), 0.6 + F.col("similarity") * 0.8), 3).alias("weight"),
     )
 
 
-def mention_edges(memories: DataFrame, files: DataFrame) -> DataFrame:
-    """references (0.7) from memories to the files whose path or base name their text has as a token run.
+def _grams(x: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def mentions(texts: DataFrame, names: DataFrame, id_: str, text: str, name: str, block: tuple[str, ...] = ()) -> DataFrame:
+    """block, id_, name: which texts contain which names, anywhere; names are distinct and not empty.
 
-    Paths and names are tokens of the text between blanks and quotes, so the
-    lookup is an equi-join instead of a scan of every text for every file.
+    Each name is looked up by its run of three characters (or fewer, of shorter
+    names) that the fewest texts hold, so texts meet only names whose rarest run
+    they have; containment is then checked. Null texts and names match nothing.
     """
-    tokens = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "title", "content"), F.lit("([A-Za-z0-9_./-]{3,})"), F.lit(1)))
-    words = memories.select("memory_id", F.explode(F.transform(tokens, lambda t: F.regexp_replace(t, "[.]+$", ""))).alias("word"))
-    names = files.select("path", F.explode(F.array_distinct(F.array("path", basename(F.col("path"))))).alias("word"))
-    return words.join(names, "word").select("memory_id", "path").distinct().select(
+    wanted = names.where(F.length(name) > 0).select(*block, name).distinct().withColumn("_g", F.least(F.lit(3), F.length(name)))
+    found = None
+    for n in (1, 2, 3):
+        of_name = cut(wanted.where(F.col("_g") == n).select(*block, name, F.explode(_grams(F.col(name), n)).alias("_gram")))
+        if of_name.isEmpty():
+            continue
+        of_text = texts.select(*block, id_, F.explode(_grams(F.col(text), n)).alias("_gram")).join(of_name.select(*block, "_gram").distinct(), [*block, "_gram"], "left_semi")
+        of_text = cut(of_text)
+        often = of_text.groupBy(*block, "_gram").agg(F.count("*").alias("_n"))
+        rarest = of_name.join(often, [*block, "_gram"], "left").groupBy(*block, name).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
+        near = of_text.join(rarest.select(*block, name, F.col("_r._gram").alias("_gram")), [*block, "_gram"]).select(*block, id_, name)
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return texts.select(*block, id_, F.lit("").alias(name)).limit(0)
+    return found.join(texts.select(*block, id_, text), [*block, id_]).where(F.contains(text, F.col(name))).select(*block, id_, name).distinct()
+
+
+def mention_edges(memories: DataFrame, files: DataFrame, block: tuple[str, ...] = ()) -> DataFrame:
+    """references (0.7) from memories to the files whose base name, and so perhaps whose path, their title and content contain.
+
+    With ``block`` (as session_id) only files of the same block count. A path
+    that ends in / names no file.
+    """
+    own = files.where(F.trim("path") != "").select(*block, "path", basename(F.col("path")).alias("_name"))
+    said = memories.select(*block, "memory_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("_text"))
+    found = mentions(said, own, "memory_id", "_text", "_name", block).join(own, [*block, "_name"])
+    return found.select("memory_id", "path").distinct().select(
         F.concat(F.lit("memory:"), F.col("memory_id").cast("string")).alias("source"), F.concat(F.lit("file:"), "path").alias("target"),
         F.lit("references").alias("relation"), F.lit("inferred").alias("evidence"), F.lit(0.7).alias("weight"),
     )
 
 
+def continuity_edges(sessions: DataFrame, most: int = 20, key: str = "session_id", block: str = "project_id") -> DataFrame:
+    """continuity (0.8) from each of the ``most`` sessions before one of a project to it, if it touched files; shared_files is how many.
+
+    sessions: key, block, ended_at, files (array of paths; blank ones don't count).
+    """
+    n = F.size(F.array_distinct(F.filter("files", lambda x: F.trim(x) != "")))
+    before = Window.partitionBy(block).orderBy("ended_at", key).rowsBetween(-most, -1)
+    prior = sessions.withColumn("_prior", F.collect_list(key).over(before)).withColumn("shared_files", n).where("shared_files > 0")
+    name = lambda c: F.concat(F.lit("session:"), c)
+    return prior.select(F.explode("_prior").alias("_from"), key, "shared_files").select(
+        name(F.col("_from")).alias("source"), name(F.col(key)).alias("target"), F.lit("continuity").alias("relation"), F.lit("inferred").alias("evidence"), F.lit(0.8).alias("weight"), "shared_files"
+    )
+
+
 def first_nodes(nodes: DataFrame, order: tuple[str, ...]) -> DataFrame:
     return nodes.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("_n = 1").drop("_n")
 

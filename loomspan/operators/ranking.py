@@ -94,9 +94,19 @@ def continuation_boost(superseded: Column, kind: Column, recency_: Column) -> Co
 
 
 def merge_hybrid(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
-    """Outer merge by id. lexical: id, score, ...; semantic: id, distance. Adds lexical_score, semantic_score, score."""
-    near = semantic.groupBy("id").agg((1.0 / (1.0 + F.min("distance"))).alias("semantic_score"))
-    out = lexical.withColumnRenamed("score", "lexical_score").join(near, "id", "full")
+    """Outer merge by id. lexical: id, score, ...; semantic: id, distance, and may have session_ids. Adds lexical_score, semantic_score, score.
+
+    Of several distances the least counts. Session ids of both sides are united,
+    those of the lexical side first.
+    """
+    united = "session_ids" in semantic.columns
+    sums = [(1.0 / (1.0 + F.min("distance"))).alias("semantic_score")]
+    sums += [F.array_sort(F.array_distinct(F.flatten(F.collect_list("session_ids")))).alias("_near_sessions")] if united else []
+    out = lexical.withColumnRenamed("score", "lexical_score").join(semantic.groupBy("id").agg(*sums), "id", "full")
+    if united:
+        none = F.array().cast("array<string>")
+        own = F.coalesce("session_ids", none) if "session_ids" in lexical.columns else none
+        out = out.withColumn("session_ids", F.array_union(own, F.coalesce("_near_sessions", none))).drop("_near_sessions")
     return out.withColumn("score", F.greatest(F.coalesce("lexical_score", F.lit(0.0)), F.coalesce("semantic_score", F.lit(0.0))))
 
 

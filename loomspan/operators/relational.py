@@ -132,6 +132,17 @@ def nearest_ranks(df: DataFrame, value: str, shares: dict[str, float]) -> DataFr
     return ranked.agg(*picks, F.max(value).alias("worst"), F.round(F.sum(F.col(value) * F.col("n")) / total, 6).alias("mean") if total else F.lit(None).cast("double").alias("mean"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
+    """Rows with their number, from 0, in an order: ranges are sorted apart, and offset by the rows before, one small row a range."""
+    from loomspan.plans.lineage import cut
+
+    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_m")).withColumn("_before", F.sum("_m").over(Window.orderBy("_p")) - F.col("_m")).drop("_m")
+    # Broadcast: a row a partition.
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(before), "_p").withColumn(name, place).drop("_p", "_before")
+
+
 def manifest_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """key, change: added, removed or changed between two manifests."""
     a, b = before.select(key, F.col(value).alias("_a")), after.select(key, F.col(value).alias("_b"))

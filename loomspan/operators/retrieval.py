@@ -156,39 +156,57 @@ def nearest_typed(vectors: DataFrame, query: list[float], k: int, types: list, k
     return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n").orderBy(F.desc("similarity"), key).limit(k)
 
 
-def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", query_key: str = "query_id", vector: str = "embedding", block: int = 256) -> DataFrame:
-    """The k nearest vectors of each query, exact: query_key, key, similarity.
-
-    Queries are dealt into blocks of ``block``; each map task meets every block
-    as a matrix and keeps k a query, so k rows a query and task are shuffled.
-    The queries are a stated set; a larger one takes more passes, not memory.
+def _packed(rows: DataFrame, key: str, vector: str, block: str) -> DataFrame:
+    """block, keys, matrix: up to 4096 unit vectors a row, map-side."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            of = batch.column(2).to_numpy()
+            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            for k in np.unique(of):
+                own = np.flatnonzero(of == k)
+                for i in range(0, len(own), 4096):
+                    part = own[i : i + 4096]
+                    keys = batch.column(0).take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), keys), pa.array([x[part].tobytes()], pa.binary())], ["block", "keys", "matrix"])
+
+    return rows.select(key, vector, F.col(block).cast("int")).mapInArrow(run, f"block int, keys array<{kind}>, matrix binary")
+
+
+def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", query_key: str = "query_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """The k nearest vectors of each query, exact: query_key, key, similarity; ties by key.
+
+    Queries, a stated set, are dealt into blocks of about ``block`` and packed as
+    matrices, vectors likewise map-side. Each packed row of vectors meets each
+    block in an equi-join on the block's number, which the planner broadcasts if
+    the queries are few, and leaves k rows a query. Nothing reaches the driver but
+    the number of queries. Null vectors and keys take no part.
     """
-    rows = sorted(queries.select(query_key, vector).toLocalIterator(), key=lambda r: r[query_key])
-    kinds = dict(vectors.dtypes)
-    out = None
-    for i in range(0, len(rows), block):
-        part = rows[i : i + block]
-        q = np.array([r[vector] for r in part], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        names = [r[query_key] for r in part]
-
-        def run(batches, q=q, names=names):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                s = np.round(np.maximum(0, (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q.T), 9)
-                top = np.argsort(-s, axis=0, kind="stable")[:k]
+    known = queries.where(F.col(query_key).isNotNull() & F.col(vector).isNotNull())
+    blocks = max(1, -(-known.count() // block))
+    asked = _packed(known.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(blocks))).repartition("_b"), query_key, vector, "_b").withColumnsRenamed({"keys": "asked", "matrix": "q"})
+    held = _packed(vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).withColumn("_b", F.lit(0)), key, vector, "_b")
+    pairs = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block").select("keys", "matrix", "asked", "q")
+    kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)[query_key]
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, names = batch.column(0)[r].values, batch.column(2)[r].values
+                x, q = (np.frombuffer(batch.column(c)[r].as_buffer(), np.float64).reshape(n, -1) for c, n in ((1, len(keys)), (3, len(names))))
+                s = np.round(np.maximum(0, x @ q.T), 9)
+                # Equal similarities by key, as in the end: sorted by key first, then stably.
+                order = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
+                top = order[np.argsort(-s[order], axis=0, kind="stable")[:k]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names, len(top)).tolist()), batch.column(0).take(pa.array(top.T.reshape(-1))), pa.array(np.take_along_axis(s, top, 0).T.reshape(-1))], [query_key, key, "similarity"]
+                    [names.take(pa.array(np.repeat(np.arange(len(names)), len(top)))), keys.take(pa.array(top.T.reshape(-1))), pa.array(np.take_along_axis(s, top, 0).T.reshape(-1))], [query_key, key, "similarity"]
                 )
 
-        found = vectors.select(key, vector).mapInArrow(run, f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {kinds[key]}, similarity double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.limit(0).select(F.lit(None).cast(dict(queries.dtypes)[query_key]).alias(query_key), key, F.lit(0.0).alias("similarity"))
+    found = pairs.mapInArrow(run, f"{query_key} {kinds[1]}, {key} {kinds[0]}, similarity double")
     w = Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)
-    return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
 def quantise(vector: Column, bits: int = 4) -> Column:

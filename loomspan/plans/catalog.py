@@ -13,7 +13,7 @@ from loomspan.functions import text
 from loomspan.operators import claims, cluster, components, context, events, graph, ranking, reconcile, relational, retrieval, traverse
 from loomspan.plans.lineage import read
 from loomspan.schemas import lookup
-from loomspan.sources.adapters import CHAT_SQL, GRAPH_SQL, MEMORIES_SQL, TELEMETRY_SQL, chat, memories, order_graph, telemetry
+from loomspan.sources.adapters import CHAT_SQL, GRAPH_SQL, MEMORIES_SQL, PAGE_NODES_SQL, TELEMETRY_SQL, chat, memories, order_graph, page_nodes, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -233,11 +233,6 @@ def b24(spark, sf):
     return memories(spark, sf).where(claims.is_truth(F.col("verification"), F.col("authority"))).select("id")
 
 
-@query("B20_admissible", f"WITH {MEMORIES_SQL} SELECT id FROM mem WHERE authority <> 'model_derived' AND verification NOT IN ('contradicted', 'unverified') AND superseded_by IS NULL")
-def b20(spark, sf):
-    return memories(spark, sf).where(context.admissible()).select("id")
-
-
 @query("C01_left_join", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def c01(spark, sf):
     c, o = read(spark, sf, "customer"), read(spark, sf, "orders")
@@ -699,10 +694,54 @@ def d11(spark, sf):
     return graph.community_figures(n.select("id", F.col("node_type").alias("community")), n, e).select("community", "node_count", "intra_edges", "label")
 
 
-@query("E35_node_search")
+SEARCHES = ("fr/4", "blog", "note", "see www html", "function", "About m")
+
+
+def _score_sql(q: str) -> str:
+    """The points of each rule, by hand, over lower-cased columns."""
+    q = q.lower()
+    path_like, name_like = any(c in q for c in "/\\."), all(c.isascii() and (c.isalnum() or c in "_:-.") for c in q)
+    has = lambda column, x: f"coalesce(contains({column}, '{x}'), false)"
+    tiers = lambda points, *columns: "CASE " + " ".join(
+        f"WHEN {' OR '.join(f'coalesce({test.format(c)}, false)' for c in columns)} THEN {n}" for test, n in zip((f"{{}} = '{q}'", f"starts_with({{}}, '{q}')", f"contains({{}}, '{q}')"), points, strict=True)
+    ) + " ELSE 0 END"
+    parts = [
+        f"CASE WHEN kind IN ('file', 'document') THEN CASE WHEN lid = 'file:{q}' OR lsource = '{q}' OR coalesce(lpath = '{q}', false) OR coalesce(lfile = '{q}', false) THEN 260 ELSE 0 END"
+        f" + CASE WHEN base = '{q}' THEN 220 ELSE 0 END + CASE WHEN ends_with(lpath, '{q}') THEN 170 ELSE 0 END + CASE WHEN starts_with(base, '{q}') THEN 140 ELSE 0 END"
+        f" + CASE WHEN contains(lpath, '{q}') THEN 110 ELSE 0 END + CASE WHEN ext = '{q.lstrip('.')}' THEN 40 ELSE 0 END + {24 if path_like else 0} ELSE {-48 if path_like else 0} END",
+        f"CASE WHEN kind = 'symbol' THEN {tiers((240, 180, 110), 'llabel')} + CASE WHEN symbol_kind = '{q}' THEN 36 ELSE 0 END + {18 if name_like else 0} ELSE 0 END",
+        f"CASE WHEN kind = 'module' THEN {tiers((210, 145, 90), 'llabel', 'limport')} ELSE 0 END",
+        f"CASE WHEN kind IN ('section', 'rationale', 'document') THEN {tiers((190, 135, 92), 'lheading', 'llabel')} ELSE 0 END",
+        f"CASE WHEN tag = '{q}' THEN 170 ELSE 0 END + CASE WHEN {has('lbody', q)} THEN 80 ELSE 0 END",
+        f"CASE WHEN hay = '{q}' THEN 12 WHEN contains(hay, '{q}') THEN 4 ELSE 0 END",
+        "CASE WHEN contains(coalesce(lpath, lfile, ''), 'build/') THEN -24 ELSE 0 END",
+    ]
+    for t in q.split():
+        parts.append(
+            f"CASE WHEN coalesce(base = '{t}', false) OR llabel = '{t}' THEN 18 ELSE 0 END + CASE WHEN {has('lpath', t)} THEN 11 ELSE 0 END"
+            f" + CASE WHEN {has('lheading', t)} OR {has('lbody', t)} THEN 9 ELSE 0 END + CASE WHEN contains(hay, '{t}') THEN {2 if len(t) > 3 else 1} ELSE 0 END"
+        )
+    return "(" + " + ".join(parts) + ")::DOUBLE"
+
+
+SEARCH_SQL = f"""{PAGE_NODES_SQL},
+low AS (SELECT *, lower(id) AS lid, lower(label) AS llabel, lower(source_id) AS lsource, lower(full_path) AS lpath, lower(source_file) AS lfile, lower(import_source) AS limport, lower(body) AS lbody,
+  lower(coalesce(heading, CASE WHEN kind IN ('section', 'rationale') THEN label END)) AS lheading, lower(id || ' ' || label || ' ' || meta) AS hay,
+  nullif(regexp_extract(lower(full_path), '([^/]*)/*$', 1), '') AS base, nullif(regexp_extract(regexp_extract(lower(full_path), '([^/]*)/*$', 1), '^.+\\.([^.]*)$', 1), '') AS ext FROM pn)"""
+
+
+@query("E34_node_score", f"WITH {SEARCH_SQL} " + " UNION ALL ".join(f"SELECT page_id, '{q}' AS query, {_score_sql(q)} AS score FROM low" for q in SEARCHES))
+def e34(spark, sf):
+    n = page_nodes(spark, sf)
+    return functools.reduce(DataFrame.union, [n.select("page_id", F.lit(q).alias("query"), traverse.node_score(n, q).alias("score")) for q in SEARCHES])
+
+
+@query("E35_node_search", f"""WITH {SEARCH_SQL}, s AS (""" + " UNION ALL ".join(f"SELECT '{q}' AS query, id, label, kind, source_file, source_id, {_score_sql(q)} AS score FROM low" for q in SEARCHES) + """),
+  d AS (SELECT * FROM s WHERE score > 0 QUALIFY CASE WHEN kind IN ('file', 'document') THEN 1 ELSE row_number() OVER (PARTITION BY query, kind IN ('file', 'document'), coalesce(source_file, source_id) ORDER BY score DESC, label, id) END <= 2)
+  SELECT query, id, score FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, label, id) <= 10""")
 def e35(spark, sf):
-    n, _ = order_graph(spark, sf)
-    return traverse.search_nodes(n, "nation_1").select("id", "score")
+    n = page_nodes(spark, sf)
+    return functools.reduce(DataFrame.union, [traverse.search_nodes(n, q).select(F.lit(q).alias("query"), "id", "score") for q in SEARCHES])
 
 
 # --- L: context ----------------------------------------------------------------------
@@ -721,29 +760,74 @@ def l02(spark, sf):
     return _items(spark, sf).select("item_id", context.priority("hybrid").alias("priority"))
 
 
-@query("L01_context_pack")
+ITEMS_SQL = f"""{MEMORIES_SQL},
+items AS (SELECT id % 20 AS request_id, id AS item_id, CASE WHEN id % 7 = 0 THEN 'repository' WHEN id % 11 = 0 THEN 'session_graph' WHEN id % 13 = 0 THEN 'conflict' ELSE 'memory' END AS source_class,
+  memory_type, claim_key, verification, authority, greatest(1, octet_length(encode(summary)) // 4)::BIGINT AS tokens, superseded_by, id % 3 AS proofs FROM mem)"""
+ADMISSIBLE_SQL = "(source_class <> 'memory' OR (authority <> 'model_derived' AND verification NOT IN ('contradicted', 'unverified') AND superseded_by IS NULL))"
+
+
+@query("B20_admissible", f"WITH {ITEMS_SQL} SELECT item_id FROM items WHERE {ADMISSIBLE_SQL}")
+def b20(spark, sf):
+    return _items(spark, sf).where(context.admissible()).select("item_id")
+
+
+@query("L01_context_pack", f"""WITH RECURSIVE {ITEMS_SQL},
+  scored AS (SELECT *, (CASE source_class WHEN 'repository' THEN 60 WHEN 'session_graph' THEN 30 WHEN 'conflict' THEN 45 ELSE 50 END + CASE verification WHEN 'verified' THEN 25 WHEN 'inferred' THEN 8 ELSE -4 END
+    + CASE authority WHEN 'repository' THEN 20 WHEN 'test_verified' THEN 18 WHEN 'tool_verified' THEN 16 WHEN 'user_confirmed' THEN 14 WHEN 'session_derived' THEN 4 ELSE -10 END
+    + CASE WHEN memory_type IN ('decision', 'fact', 'constraint', 'fix') THEN 14 WHEN memory_type IN ('task', 'bug') THEN 10 WHEN memory_type = 'implementation_detail' THEN 8 WHEN memory_type = 'open_question' THEN 6 ELSE -6 END)::INT AS priority,
+    CASE WHEN source_class = 'memory' THEN 'memory:' || memory_type ELSE source_class END AS bucket FROM items),
+  once AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY request_id, claim_key ORDER BY priority DESC, tokens DESC, item_id) = 1),
+  few AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY request_id, bucket ORDER BY priority DESC, tokens DESC, item_id) <= CASE WHEN bucket = 'repository' THEN 4 ELSE 2 END),
+  listed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY priority DESC, tokens DESC, item_id) AS n FROM few),
+  fold AS (SELECT DISTINCT request_id, 0::BIGINT AS n, 0::BIGINT AS used, false AS took FROM listed
+    UNION ALL SELECT f.request_id, l.n, CASE WHEN f.used + l.tokens <= 600 THEN f.used + l.tokens ELSE f.used END, f.used + l.tokens <= 600 FROM fold f JOIN listed l ON l.request_id = f.request_id AND l.n = f.n + 1)
+  SELECT l.request_id, item_id, CASE WHEN source_class <> 'memory' THEN source_class ELSE CASE memory_type WHEN 'decision' THEN 'decisions' WHEN 'task' THEN 'active_tasks' WHEN 'constraint' THEN 'constraints' WHEN 'fact' THEN 'facts' WHEN 'bug' THEN 'bugs'
+      WHEN 'fix' THEN 'fixes' WHEN 'open_question' THEN 'open_questions' WHEN 'implementation_detail' THEN 'implementation_details' WHEN 'risk' THEN 'risks' WHEN 'change_log' THEN 'change_log' ELSE 'summaries' END END AS section,
+    tokens, priority, max(f.used) OVER (PARTITION BY l.request_id) AS used_tokens FROM listed l JOIN fold f ON f.request_id = l.request_id AND f.n = l.n WHERE took""")
 def l01(spark, sf):
     return context.pack(_items(spark, sf), 600)
 
 
-@query("L06_set_cover")
+def _cover_sql(budget: int, goals: tuple[str, ...]) -> str:
+    """Each item covers one goal, so the greedy cover takes each goal's best item, best first, until one does not fit."""
+    return f"""{ITEMS_SQL},
+  able AS (SELECT *, CASE WHEN source_class = 'memory' THEN CASE memory_type WHEN 'decision' THEN 'decisions' WHEN 'task' THEN 'active_tasks' WHEN 'fact' THEN 'facts' WHEN 'bug' THEN 'bugs' WHEN 'fix' THEN 'fixes' WHEN 'constraint' THEN 'constraints'
+      WHEN 'implementation_detail' THEN 'implementation' WHEN 'open_question' THEN 'open_questions' END END AS goal,
+    CASE authority WHEN 'repository' THEN 1.0 WHEN 'user_confirmed' THEN 1.0 WHEN 'tool_verified' THEN 0.95 WHEN 'test_verified' THEN 0.95 WHEN 'session_derived' THEN 0.55 ELSE 0.0 END::DOUBLE AS factor FROM items WHERE {ADMISSIBLE_SQL}),
+  rated AS (SELECT *, factor * greatest(0.25, least(1.0, proofs / 2.0)) / tokens AS rate,
+    CASE source_class WHEN 'repository' THEN 0.8 WHEN 'memory' THEN 0.6 WHEN 'session_graph' THEN 0.5 ELSE 0.7 END::DOUBLE * factor AS filler FROM able),
+  first AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY request_id, claim_key ORDER BY item_id) = 1),
+  best AS (SELECT * FROM first WHERE goal IN {goals} QUALIFY row_number() OVER (PARTITION BY request_id, goal ORDER BY rate DESC, item_id) = 1),
+  cover AS (SELECT *, (row_number() OVER w - 1)::INT AS place, sum(tokens) OVER w AS used FROM best WINDOW w AS (PARTITION BY request_id ORDER BY rate DESC, item_id) QUALIFY sum(tokens) OVER w <= {budget}),
+  spent AS (SELECT request_id, max(used)::BIGINT AS used, count(*) AS places FROM cover GROUP BY 1),
+  listed AS (SELECT r.*, row_number() OVER (PARTITION BY r.request_id ORDER BY filler DESC, item_id) AS n FROM rated r ANTI JOIN cover c ON c.request_id = r.request_id AND c.claim_key = r.claim_key),
+  fold AS (SELECT DISTINCT l.request_id, 0::BIGINT AS n, coalesce(s.used, 0)::BIGINT AS used, false AS took FROM listed l LEFT JOIN spent s USING (request_id)
+    UNION ALL SELECT f.request_id, l.n, CASE WHEN f.used + l.tokens <= {budget} THEN f.used + l.tokens ELSE f.used END, f.used + l.tokens <= {budget} FROM fold f JOIN listed l ON l.request_id = f.request_id AND l.n = f.n + 1),
+  chosen AS (SELECT request_id, item_id, 'proof' AS stage, place, goal AS covers FROM cover
+    UNION ALL SELECT l.request_id, l.item_id, 'filler', (coalesce(s.places, 0) + row_number() OVER (PARTITION BY l.request_id ORDER BY l.n) - 1)::INT, NULL
+      FROM listed l JOIN fold f ON f.request_id = l.request_id AND f.n = l.n LEFT JOIN spent s ON s.request_id = l.request_id WHERE took)"""
+
+
+@query("L06_set_cover", f"WITH RECURSIVE {_cover_sql(500, ('decisions', 'active_tasks', 'facts', 'bugs', 'fixes'))} SELECT * FROM chosen")
 def l06(spark, sf):
     goals = context.goals_of(F.concat(F.lit("fix the bug in request "), F.col("request_id").cast("string")))
     return context.compile_cover(_items(spark, sf).withColumn("goals", goals), 500)
 
 
-@query("L07_sub_goals", "SELECT item_id, array_to_string(['decisions', 'active_tasks', 'facts'] || CASE WHEN regexp_matches(lower(text), 'bug|error|debug|fail') THEN ['bugs', 'fixes'] ELSE [] END || CASE WHEN regexp_matches(lower(text), 'constraint|must |requirement|invariant') THEN ['constraints'] ELSE [] END || CASE WHEN regexp_matches(lower(text), 'implement|refactor|build |code|module') THEN ['implementation'] ELSE [] END || CASE WHEN regexp_matches(lower(text), 'question|unknown|unclear|open ') THEN ['open_questions'] ELSE [] END, ',') AS goals FROM benchmark")
-def l07(spark, sf):
-    return read(spark, sf, "benchmark").select("item_id", F.array_join(context.goals_of(F.col("text")), ",").alias("goals"))
-
-
-@query("L10_proof_gaps")
+@query("L10_proof_gaps", f"""WITH RECURSIVE {_cover_sql(300, ('decisions', 'active_tasks', 'facts', 'bugs', 'fixes', 'open_questions'))}
+  SELECT r.request_id, array_to_string(list_sort(list_filter(['decisions', 'active_tasks', 'facts', 'bugs', 'fixes', 'open_questions'], lambda g: NOT list_contains(coalesce(c.got, []), g))), ',') AS gaps
+  FROM (SELECT DISTINCT request_id FROM items) r LEFT JOIN (SELECT request_id, list(covers) AS got FROM chosen WHERE covers IS NOT NULL GROUP BY 1) c USING (request_id)""")
 def l10(spark, sf):
     goals = context.goals_of(F.lit("fix the open bug"))
     items = _items(spark, sf).withColumn("goals", goals)
     return context.proof_gaps(items.select("request_id", "goals").distinct(), context.compile_cover(items, 300)).select("request_id", F.array_join("gaps", ",").alias("gaps"))
 
 
+@query("L07_sub_goals", "SELECT item_id, array_to_string(['decisions', 'active_tasks', 'facts'] || CASE WHEN regexp_matches(lower(text), 'bug|error|debug|fail') THEN ['bugs', 'fixes'] ELSE [] END || CASE WHEN regexp_matches(lower(text), 'constraint|must |requirement|invariant') THEN ['constraints'] ELSE [] END || CASE WHEN regexp_matches(lower(text), 'implement|refactor|build |code|module') THEN ['implementation'] ELSE [] END || CASE WHEN regexp_matches(lower(text), 'question|unknown|unclear|open ') THEN ['open_questions'] ELSE [] END, ',') AS goals FROM benchmark")
+def l07(spark, sf):
+    return read(spark, sf, "benchmark").select("item_id", F.array_join(context.goals_of(F.col("text")), ",").alias("goals"))
+
+
 # --- M: scalars ------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ def session(app: str = "loomspan", cores: str | int = "*", shuffle_partitions: i
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        # Checkpoints go once nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
@@ -33,12 +36,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and continue from a reliable checkpoint in the shared folder.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only where that is
-    unset, as in tests, a folder under the local temporary directory is used.
+    The folder is the one named by ``spark.checkpoint.dir``. Where that is unset,
+    a local session, as in tests, uses a folder under the local temporary
+    directory; on a cluster, whose machines do not share that, it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "loomspan-checkpoints"))
     return df.checkpoint(eager=True)

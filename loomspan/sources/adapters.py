@@ -136,3 +136,43 @@ ends AS (SELECT source AS id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT target,
 degree AS (SELECT n.id, n.node_type, n.label, coalesce(sum(i), 0)::BIGINT AS in_degree, coalesce(sum(o), 0)::BIGINT AS out_degree, count(e.id) AS degree
   FROM nodes n LEFT JOIN ends e ON n.id = e.id GROUP BY ALL)
 """
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as nodes of six kinds, with metadata as a repository's nodes have."""
+    url = F.col("url")
+    host = F.regexp_extract(url, "://([^/?#]*)", 1)
+    path = F.concat(F.when(F.col("page_id") % 7 == 0, "build/").otherwise(""), F.regexp_extract(url, "://[^/?#]*/?([^?#]*)", 1))
+    kind = F.element_at(F.array(*map(F.lit, ("file", "document", "symbol", "module", "section", "rationale"))), (F.col("page_id") % 6 + 1).cast("int"))
+    rows = read(spark, sf_dir, "pages").select("page_id", url, host.alias("host"), path.alias("p"), kind.alias("node_type"))
+    first = F.element_at(F.split("host", r"\."), 1)
+    of = lambda *kinds: F.col("node_type").isin(*kinds)
+    label = F.when(of("file", "document"), F.regexp_extract("p", "([^/]*)/*$", 1)).when(of("symbol"), first).when(of("module"), F.col("host")).when(of("section"), F.concat(F.lit("About "), first)).otherwise(F.concat(F.lit("note "), F.col("page_id").cast("string")))
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    own = (
+        F.when(of("file", "document"), F.array(entry("fullPath", F.col("p"))))
+        .when(of("symbol"), F.array(entry("sourceFile", F.col("p")), entry("symbolKind", F.when(F.col("page_id") % 4 == 0, "class").otherwise("function"))))
+        .when(of("module"), F.array(entry("importSource", F.concat("host", F.lit("/"), "p"))))
+        .when(of("section"), F.array(entry("heading", F.col("label")), entry("sourceFile", F.col("p"))))
+        .otherwise(F.array(entry("body", F.concat(F.lit("see "), "url")), entry("sourceFile", F.col("p")), entry("tag", F.lit("note"))))
+    )
+    rows = rows.withColumn("label", label).withColumn("metadata", F.map_from_entries(own))
+    return rows.select(
+        F.concat("node_type", F.lit(":"), "p", F.lit("#"), F.col("page_id").cast("string")).alias("id"), "label", "node_type", F.lit("repository").alias("source_type"),
+        F.when(of("file", "document"), F.col("p")).otherwise(F.col("host")).alias("source_id"), "metadata", "page_id",
+    )
+
+
+PAGE_NODES_SQL = r"""
+pg AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN page_id % 7 = 0 THEN 'build/' ELSE '' END || regexp_extract(url, '://[^/?#]*/?([^?#]*)', 1) AS p,
+  (['file','document','symbol','module','section','rationale'])[CAST(page_id % 6 + 1 AS INT)] AS kind FROM pages),
+pl AS (SELECT *, CASE WHEN kind IN ('file', 'document') THEN regexp_extract(p, '([^/]*)/*$', 1) WHEN kind = 'symbol' THEN split_part(host, '.', 1) WHEN kind = 'module' THEN host
+  WHEN kind = 'section' THEN 'About ' || split_part(host, '.', 1) ELSE 'note ' || page_id END AS label FROM pg),
+pn AS (SELECT *, kind || ':' || p || '#' || page_id AS id, CASE WHEN kind IN ('file', 'document') THEN p ELSE host END AS source_id,
+  CASE WHEN kind IN ('file', 'document') THEN p END AS full_path, CASE WHEN kind = 'symbol' THEN CASE WHEN page_id % 4 = 0 THEN 'class' ELSE 'function' END END AS symbol_kind,
+  CASE WHEN kind = 'module' THEN host || '/' || p END AS import_source, CASE WHEN kind = 'section' THEN label END AS heading, CASE WHEN kind = 'rationale' THEN 'note' END AS tag,
+  CASE WHEN kind = 'rationale' THEN 'see ' || url END AS body, CASE WHEN kind IN ('symbol', 'section', 'rationale') THEN p END AS source_file,
+  CASE WHEN kind IN ('file', 'document') THEN '{"fullPath":"' || p || '"}' WHEN kind = 'symbol' THEN '{"sourceFile":"' || p || '","symbolKind":"' || CASE WHEN page_id % 4 = 0 THEN 'class' ELSE 'function' END || '"}'
+    WHEN kind = 'module' THEN '{"importSource":"' || host || '/' || p || '"}' WHEN kind = 'section' THEN '{"heading":"' || label || '","sourceFile":"' || p || '"}'
+    ELSE '{"body":"see ' || url || '","sourceFile":"' || p || '","tag":"note"}' END AS meta FROM pl)
+"""
