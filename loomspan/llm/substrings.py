@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.filters import bit_of, flags, is_set
-from loomspan.llm.kernel import BLANK, Splitter, chunks, signed, split, texts, windows, within
+from loomspan.llm.kernel import BLANK, Splitter, chunks, mapped, signed, split, texts, windows, within
 from loomspan.plans.lineage import cut, read
 
 #: A perfect difference set: every residue modulo the period is a difference of two members.
@@ -57,6 +57,12 @@ def _groups(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, np.repeat(d[start], size), np.repeat(d[start + size - 1], size)
 
 
+def _by_row(row: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the chosen values in order of row: a document's are neighbours in the shuffle, where its id is stored once."""
+    at = np.flatnonzero(which)
+    return at[np.argsort(row[at], kind="stable")]
+
+
 def _packed(row: np.ndarray, values: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
     """The distinct rows and the list of each one's values, of values in order of row."""
     new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
@@ -102,11 +108,10 @@ def _anchor_rows(rows: DataFrame, size: int, period: int, cover: tuple[int, ...]
             row, anchor, known = row[order], anchor[order], low < high
             own = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])[: len(row)]
             single = np.concatenate([[True], anchor[1:] != anchor[:-1]])[: len(row)] | (~known & own)
-            held = np.flatnonzero(known & own)
-            held = held[np.argsort(row[held], kind="stable")]
+            held, single = _by_row(row, known & own), _by_row(row, single)
             yield _both(batch, row[single], [signed(anchor[single]), pa.array(known[single])], *_packed(row[held], signed(anchor[held])), names)
 
-    return rows.where("doc_id is not null").select("doc_id", "row_hash", "text").mapInArrow(run, "doc_id long, row_hash long, anchor long, known boolean, settled array<long>")
+    return mapped(rows.where("doc_id is not null").select("doc_id", "row_hash", "text"), run, "doc_id long, row_hash long, anchor long, known boolean, settled array<long>")
 
 
 def _window_rows(found: DataFrame, window: int, size: int, period: int, cover: tuple[int, ...]) -> DataFrame:
@@ -147,12 +152,11 @@ def _window_rows(found: DataFrame, window: int, size: int, period: int, cover: t
             order, low, _ = _groups(w1 + w2 * np.uint64(0x9E3779B97F4A7C15), ids[row])
             row, start, w1, w2 = row[order], start[order].astype(np.int32), w1[order], w2[order]
             later = ids[row] > low
-            held = np.flatnonzero(later)
-            held = held[np.argsort(row[held], kind="stable")]
-            columns = [signed(w1[~later]), signed(w2[~later]), pa.array(start[~later])]
-            yield _both(batch, row[~later], columns, *_packed(row[held], pa.array(start[held])), names)
+            held, first = _by_row(row, later), _by_row(row, ~later)
+            columns = [signed(w1[first]), signed(w2[first]), pa.array(start[first])]
+            yield _both(batch, row[first], columns, *_packed(row[held], pa.array(start[held])), names)
 
-    return found.select("doc_id", "row_hash", "text", "anchors").mapInArrow(run, "doc_id long, row_hash long, w1 long, w2 long, start int, settled array<int>")
+    return mapped(found.select("doc_id", "row_hash", "text", "anchors"), run, "doc_id long, row_hash long, w1 long, w2 long, start int, settled array<int>")
 
 
 def _gathered(judged: DataFrame, column: str, name: str, distinct: bool) -> DataFrame:
@@ -195,7 +199,7 @@ def _candidates(rows: DataFrame, known, size: int) -> tuple[DataFrame, DataFrame
                 on = is_set(bits, key) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(on if inside else ~on)).select([0, 1, 2])
 
-        return rows.select("doc_id", "row_hash", "text", bit_of(size, "doc_id", "row_hash").alias("bit")).mapInArrow(run, "doc_id long, row_hash long, text string")
+        return mapped(rows.select("doc_id", "row_hash", "text", bit_of(size, "doc_id", "row_hash").alias("bit")), run, "doc_id long, row_hash long, text string")
 
     # Both joins of the first meet the same filter, which an inner join adds by itself, so that they read one shuffle.
     return part(True).where("doc_id is not null and row_hash is not null"), part(False)
@@ -272,7 +276,7 @@ def _kept(both: DataFrame, window: int) -> DataFrame:
                 [f.split()[0] for f in _KEPT.split(", ")],
             )
 
-    return both.select("doc_id", "text", "starts").mapInArrow(run, _KEPT)
+    return mapped(both.select("doc_id", "text", "starts"), run, _KEPT)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
