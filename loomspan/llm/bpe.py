@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.kernel import chunks, texts
+from loomspan.llm.kernel import chunks, mapped, texts
 from loomspan.plans.lineage import read
 
 #: Characters below this are split with explicit classes and the standard library's faster matcher.
@@ -192,7 +192,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
                 name = int.from_bytes(hashlib.blake2b(main + joined, digest_size=8).digest(), "little", signed=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([main], pa.binary()), pa.array([joined], pa.binary())], ["block", "main", "words"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block long, main binary, words binary")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "block long, main binary, words binary")
 
 
 def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
                 blobs = [_squeeze(pack(np.array(at)), pack(np.array([len(w) for w in found])), b"".join(found)) for at, found in parts.values()]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(blobs), pa.int64()), pa.array(list(parts), pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "data"])
 
-    return blocks.mapInArrow(run, "block long, bucket int, data binary")
+    return mapped(blocks, run, "block long, bucket int, data binary")
 
 
 def _listed(sizes: bytes, joined: bytes) -> list[bytes]:
@@ -230,7 +230,7 @@ def _exploded(dealt: DataFrame) -> DataFrame:
                     [pa.array(np.full(len(numbers), name)), pa.array(numbers.astype(np.int32)), pa.array(_listed(*words), pa.binary())], ["block", "at", "word"]
                 )
 
-    return dealt.mapInArrow(run, "block long, at int, word binary")
+    return mapped(dealt, run, "block long, at int, word binary")
 
 
 def _encoded(words: DataFrame, path: str) -> DataFrame:
@@ -266,7 +266,7 @@ def _encoded(words: DataFrame, path: str) -> DataFrame:
                 rows = 0
         yield blobs()
 
-    return words.mapInArrow(run, "block long, data binary")
+    return mapped(words, run, "block long, data binary")
 
 
 def _documents(main: bytes, encoded: list[bytes]) -> Iterator[tuple]:
@@ -341,7 +341,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [f for f, _ in fields])
 
-    return gathered.mapInArrow(run, kinds)
+    return mapped(gathered, run, kinds)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

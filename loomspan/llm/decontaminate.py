@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.kernel import PUNCT, Splitter, chunks, mix, split, texts, windows
+from loomspan.llm.kernel import PUNCT, Splitter, chunks, mapped, mix, split, texts, windows
 from loomspan.plans.lineage import cut, read
 
 #: Each mask names the token positions that count; those between are ignored.
@@ -88,7 +88,7 @@ def _benchmark(benchmark: DataFrame) -> tuple[DataFrame, list[int], DataFrame]:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("item_row"))
-    items = cut(source.dropDuplicates().mapInArrow(run, "item_id long, item_row long, words binary, seeds array<struct<seed:long,at:int>>"))
+    items = cut(mapped(source.dropDuplicates(), run, "item_id long, item_row long, words binary, seeds array<struct<seed:long,at:int>>"))
     short = [n for (n,) in items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(F.col("n") < SHORTEST).distinct().collect()]
     return items.select("item_id", "item_row", "words"), short, items.select("item_id", "item_row", F.explode("seeds").alias("s")).select("item_id", "item_row", "s.seed", "s.at")
 
@@ -178,7 +178,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("row_hash"))
-    regions = source.mapInArrow(scan, "doc_id long, row_hash long, region int, words binary, hits array<struct<seed:long,pos:int>>")
+    regions = mapped(source, scan, "doc_id long, row_hash long, region int, words binary, hits array<struct<seed:long,pos:int>>")
     # A region is known by its document, text and place, so repeated rows fold into one.
     regions = cut(regions)
     key = ["doc_id", "row_hash", "region"]
@@ -208,7 +208,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             columns = [*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(best, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "item_id", "window_words", "matched_words"]).filter(pa.array(keep, pa.bool_()))
 
-    passed = aligned.mapInArrow(verify, "doc_id long, row_hash long, item_id long, window_words int, matched_words int")
+    passed = mapped(aligned, verify, "doc_id long, row_hash long, item_id long, window_words int, matched_words int")
     return passed.groupBy("doc_id", "row_hash", "item_id").agg(F.max("window_words").alias("window_words"), F.max("matched_words").alias("matched_words"))
 
 

@@ -8,15 +8,34 @@ chunks of whole texts, so memory follows the chunk (or one text, if longer).
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, after which a worker gives freed memory back, as it may wait long for its next task."""
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 _LONG = 256
 #: Space and \x09 to \x0D.
 BLANK = np.zeros(256, bool)

@@ -6,13 +6,12 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.filters import bit_of, flags, is_set
-from loomspan.llm.kernel import BLANK, LOWER, Splitter, chunks, mix, signed, split, texts, windows
+from loomspan.llm.kernel import BLANK, LOWER, Splitter, chunks, mapped, mix, signed, split, texts, windows
 from loomspan.operators.components import components
 from loomspan.plans.lineage import cut, read
 
@@ -116,7 +115,7 @@ def sketch_documents(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 ["doc_id", "row_hash", "n_shingles", "digest", "registers"],
             )
 
-    return _identified(docs).mapInArrow(run, "doc_id long, row_hash long, n_shingles long, digest binary, registers binary")
+    return mapped(_identified(docs), run, "doc_id long, row_hash long, n_shingles long, digest binary, registers binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             take = pa.array(np.repeat(np.arange(n), BANDS))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), signed(keys)], ["rep", "n_shingles", "bucket"])
 
-    return classes.select("rep", "n_shingles", "registers").mapInArrow(run, "rep long, n_shingles long, bucket long")
+    return mapped(classes.select("rep", "n_shingles", "registers"), run, "rep long, n_shingles long, bucket long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -149,7 +148,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             na, nb = (batch.column(k).to_numpy().astype(float) for k in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(likeliest(ra, rb, na, nb) >= least))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb"), run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -173,7 +172,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, shingle: int)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), found], ["doc", "row_hash", "shingles"])
 
     own = _identified(docs).where("doc_id is not null").withColumn("bit", bit_of(size, "doc_id", "row_hash"))
-    full = own.select("doc_id", "text", "row_hash", "bit").mapInArrow(run, "doc long, row_hash long, shingles binary")
+    full = mapped(own.select("doc_id", "text", "row_hash", "bit"), run, "doc long, row_hash long, shingles binary")
     # A row that is there several times is one set; joins on rep follow, so this deals no further.
     return full.join(rows, ["doc", "row_hash"]).select("rep", "shingles").dropDuplicates(["rep"])
 
@@ -193,7 +192,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
 
     left = full.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = full.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), check, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -282,21 +281,21 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
         "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "shingles"
     )
 
-    def links(key, frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = key[1], key[2]
-        sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+    def links(key: tuple, rows: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
         n = np.array([len(x) for x in sets])
         at = np.concatenate([[0], np.cumsum(n)])
         known, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        rep, block = frame["rep"].to_numpy(), frame["block"].to_numpy()
-        part = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+        rep, block = rows["rep"].to_numpy(), rows["block"].to_numpy()
+        part = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
         mark = np.zeros(len(known), bool)
         out = []
-        for i in range(len(frame)):
+        for i in range(len(n)):
             # Within one block each pair once; between two blocks from the lower one.
             if low != high and block[i] != low:
                 continue
-            near = np.arange(i + 1, len(frame)) if low == high else np.flatnonzero(block == high)
+            near = np.arange(i + 1, len(n)) if low == high else np.flatnonzero(block == high)
             near = near[(part[near] != part[i]) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))]
             if not len(near):
                 continue
@@ -307,11 +306,11 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
             mark[flat[at[i] : at[i + 1]]] = False
             for j in near[100 * both >= percent * (n[near] + n[i] - both)]:
                 if part[j] != part[i]:
-                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    out.append((int(min(rep[i], rep[j])), int(max(rep[i], rep[j]))))
                     part[part == part[j]] = part[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(links, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(links, "a long, b long").distinct()
 
 
 def op6_setsketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.kernel import texts
+from loomspan.llm.kernel import mapped, texts
 from loomspan.plans.lineage import read
 
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
@@ -351,7 +351,7 @@ def tiff_pages(df: DataFrame, data: str = "data", key: str = "id") -> DataFrame:
 
     schema = pa.schema([("key", to_arrow_type(kind)), *[f for f in _PAGE if f.name != "tiff_row"]])
     out = "key {}, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
-    return df.select(F.col(key), F.col(data)).mapInArrow(run, out.format(kind.simpleString())).withColumnRenamed("key", key)
+    return mapped(df.select(F.col(key), F.col(data)), run, out.format(kind.simpleString())).withColumnRenamed("key", key)
 
 
 def form_of(payload: bytes) -> dict:
@@ -404,7 +404,7 @@ def text_media(docs: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]], [f.split()[0] for f in _DIGEST.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _DIGEST)
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _DIGEST)
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
