@@ -39,6 +39,10 @@ FILLER = {
     "repository": {"repository_only": 0.8, "hybrid": 0.8, "*": 0.3}, "memory": {"*": 0.6},
     "session_graph": {"session_graph_only": 0.5, "hybrid": 0.5, "*": 0.2}, "conflict": {"*": 0.7},
 }
+PACK_SECTIONS = {
+    "project_facts": "fact", "recent_decisions": "decision", "active_tasks": "task", "constraints": "constraint", "known_bugs": "bug", "verified_fixes": "fix",
+    "open_questions": "open_question", "implementation_notes": "implementation_detail",
+}
 SECTIONS = {
     "decision": "decisions", "task": "active_tasks", "constraint": "constraints", "fact": "facts", "bug": "bugs", "fix": "fixes",
     "open_question": "open_questions", "implementation_detail": "implementation_details", "summary": "summaries", "risk": "risks", "change_log": "change_log",
@@ -70,37 +74,89 @@ def section() -> Column:
     return F.when(F.col("source_class") == "memory", lookup(F.col("memory_type"), SECTIONS, "summaries")).otherwise(F.col("source_class"))
 
 
-def take_with_skip(items: Column, budget: Column | int) -> Column:
-    """Fold over an array of structs with ``tokens``: take each that still fits, skip those that don't."""
-    limit = F.lit(budget) if isinstance(budget, int) else budget
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"), F.lit(0).alias("at"))
-
-    def step(s, x):
-        fits = s["used"] + x["tokens"] <= limit
-        return F.struct(
-            F.when(fits, s["used"] + x["tokens"]).otherwise(s["used"]).cast("long").alias("used"),
-            F.when(fits, F.array_append(s["taken"], s["at"])).otherwise(s["taken"]).alias("taken"), (s["at"] + 1).alias("at"),
-        )
-
-    return F.aggregate(items, start, step)
+def dedupe_key(items: DataFrame) -> Column:
+    """The claim key, else source, title and summary in lower case; where items have no titles, each is its own."""
+    own = F.lit("") if "title" in items.columns else F.col("item_id").cast("string")
+    parts = [F.lower(F.trim(_text(items, c))) for c in ("title", "summary")]
+    return F.coalesce(F.col("claim_key").cast("string"), F.concat_ws("\x01", F.lit(""), F.col("source_class"), *parts, own))
 
 
 def pack(items: DataFrame, budget: int, intent: str = "hybrid", request: str = "request_id") -> DataFrame:
-    """Items of each request that fit its budget, by priority and then size, larger first.
+    """Items of each request that fit its budget, by priority and then size, larger first: request, item_id, section, tokens, priority, used_tokens.
 
     items: request, item_id, source_class, memory_type, claim_key, verification,
-    authority, tokens. One item a claim key, quotas a bucket, then a fold with
-    skips. Quotas bound what a request's fold sees, whatever the candidates.
+    authority, tokens. One item a claim key, the first; then each that its
+    bucket's quota and the budget still admit is taken. What does not fit takes
+    nothing of its quota.
+
+    Of items of one bucket and as many tokens the first ``quota`` are enough: once
+    one does not fit, none of its size does. So a request's fold sees at most
+    quota rows for each bucket and each size up to the budget, however many its candidates.
     """
     w = lambda *by: Window.partitionBy(request, *by).orderBy(F.desc("priority"), F.desc("tokens"), "item_id")
-    scored = items.withColumns({"priority": priority(intent), "bucket": bucket(), "quota": quota(intent), "section": section()})
-    key = F.coalesce(F.col("claim_key"), F.concat(F.lit("\x01"), F.col("item_id").cast("string")))
-    once = scored.withColumn("_k", F.row_number().over(w(key))).where("_k = 1").drop("_k")
-    within = once.withColumn("_q", F.row_number().over(w("bucket"))).where(F.col("_q") <= F.col("quota")).drop("_q")
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), (-F.col("tokens")).alias("t"), "item_id", "tokens", "section")))
-    folded = within.groupBy(request).agg(ordered.alias("all")).withColumn("fold", take_with_skip(F.col("all"), budget))
-    taken = folded.select(request, F.col("fold.used").alias("used_tokens"), F.explode(F.transform("fold.taken", lambda i: F.get("all", i))).alias("x"))
-    return taken.select(request, "x.item_id", "x.section", "x.tokens", (-F.col("x.p")).alias("priority"), "used_tokens")
+    scored = items.withColumn("tokens", F.coalesce(F.col("tokens").cast("long"), F.lit(0)))
+    scored = scored.withColumns({"priority": priority(intent), "bucket": F.coalesce(bucket(), F.lit("")), "quota": F.coalesce(quota(intent), F.lit(0)), "section": section(), "_key": dedupe_key(items)})
+    once = scored.withColumn("_k", F.row_number().over(w("_key"))).where("_k = 1")
+    few = once.where(F.col("tokens") <= budget).withColumn("_q", F.row_number().over(w("bucket", "tokens"))).where(F.col("_q") <= F.col("quota"))
+    few = few.select(request, "item_id", "section", "tokens", "priority", "bucket", "quota")
+    kind = dict(items.dtypes)
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["priority", "tokens", "item_id"], ascending=[False, False, True], kind="stable")
+        used, counts, keep = 0, {}, []
+        for tokens, of, most in zip(frame["tokens"], frame["bucket"], frame["quota"], strict=True):
+            keep.append(counts.get(of, 0) < most and used + tokens <= budget)
+            if keep[-1]:
+                used += tokens
+                counts[of] = counts.get(of, 0) + 1
+        return frame.loc[keep, [request, "item_id", "section", "tokens", "priority"]].assign(used_tokens=used)
+
+    return few.groupBy(request).applyInPandas(fold, f"{request} {kind[request]}, item_id {kind['item_id']}, section string, tokens long, priority int, used_tokens long")
+
+
+def context_pack(items: DataFrame, chosen: DataFrame, truth: Column | None = None, request: str = "request_id") -> DataFrame:
+    """The sections of a request's pack as arrays of item ids, its unique proofs and sources, in order.
+
+    items may have ``proof_handles`` (array of structs source_ref, session_id,
+    session_event_id, proof_type, ...) and ``sources`` (session_id,
+    session_event_id, excerpt). chosen: request, item_id and, for an order of its
+    own, place. ``truth`` says what of memory is current truth: by default strong
+    verification or authority; ``verified_truth`` is the compiler's.
+    Repository items are truth, conflicts and session items never are.
+    """
+    place = F.col("place") if "place" in chosen.columns else F.struct(-F.col("priority"), -F.col("tokens"))
+    own = items.join(chosen.select(request, "item_id", place.alias("_place")), [request, "item_id"])
+    strong = is_truth(F.col("verification"), F.col("authority")) if truth is None else truth
+    memory = F.col("source_class") == "memory"
+    sections = {"current_truth": (F.col("source_class") == "repository") | (memory & strong)}
+    sections |= {name: memory & (F.col("memory_type") == kind) for name, kind in PACK_SECTIONS.items()}
+    sections |= {"repository_knowledge": F.col("source_class") == "repository", "session_continuity": F.col("source_class") == "session_graph"}
+    sections |= {"conflicts": (F.col("source_class") == "conflict") | F.coalesce(F.col("verification") == "contradicted", F.lit(False))}
+    listed = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("_place", "item_id")))), lambda x: x["item_id"])
+    columns = [listed(when).alias(name) for name, when in sections.items()]
+    for name, keys in (("proof_handles", ("source_ref", "session_id", "session_event_id", "proof_type")), ("sources", ("session_id", "session_event_id"))):
+        if name in items.columns:
+            columns.append(_last_by_key(name, keys).alias(name))
+    return own.groupBy(request).agg(*columns)
+
+
+def verified_truth() -> Column:
+    return F.coalesce(F.col("verification").isin("verified", "user_confirmed"), F.lit(False))
+
+
+def _last_by_key(name: str, keys: tuple[str, ...]) -> Column:
+    """Of an array column's structs, the last in item order of each key, by key."""
+    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_place", "item_id", F.coalesce(F.col(name), F.array()).alias("all")))), lambda x: x["all"]))
+    placed = F.array_sort(F.transform(in_order, lambda x, i: F.struct(*[x[k].alias(k) for k in keys], (-i).alias("back"), x.alias("x"))))
+    last = F.filter(placed, lambda x, i: (i == 0) | ~_same(x, F.get(placed, i - 1), keys))
+    return F.transform(last, lambda x: x["x"])
+
+
+def _same(a: Column, b: Column, keys: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
 
 
 def goals_of(objective: Column) -> Column:
@@ -158,13 +214,12 @@ def compile_cover(items: DataFrame, budget: int, intent: str = "hybrid", request
     none. Requests whose items are all inadmissible give no rows; nor do empty tables.
     """
     claim = F.col("claim_key").cast("string")
-    long_key = F.concat_ws("\x01", F.col("source_class"), F.lower(F.trim(_text(items, "title"))), F.lower(F.trim(_text(items, "summary"))), F.col("item_id").cast("string") if "title" not in items.columns else F.lit(""))
     short_key = F.concat_ws("\x01", F.col("source_class"), F.col("title") if "title" in items.columns else F.col("item_id").cast("string"))
     filler = F.coalesce(lookup(F.col("source_class"), _of(FILLER, intent), 0.0) * authority_factor() * freshness(), F.lit(0.0))
     able = items.where(admissible()).withColumns(
         {
             "tokens": F.coalesce(F.col("tokens").cast("long"), F.lit(0)), "_goal": covers(), "_weight": freshness() * authority_factor() * proof_density(), "_filler": filler,
-            "_long": F.coalesce(claim, long_key), "_key": F.coalesce(claim, short_key), "_order": F.col(order),
+            "_long": dedupe_key(items), "_key": F.coalesce(claim, short_key), "_order": F.col(order),
         }
     )
     per = lambda *by: Window.partitionBy(request, *by)
@@ -222,18 +277,22 @@ def proof_gaps(requests: DataFrame, chosen: DataFrame, request: str = "request_i
     return requests.join(got, request, "left").select(request, F.array_sort(F.array_except("goals", F.coalesce("covered", none))).alias("gaps"))
 
 
-def advice(items: DataFrame, intent: str = "hybrid", request: str = "request_id") -> DataFrame:
-    """unknowns and recommendations of each request, from what its items lack."""
+def advice(items: DataFrame, intent: str = "hybrid", request: str = "request_id", requests: DataFrame | None = None) -> DataFrame:
+    """unknowns and recommendations of each request, from what its items lack; ``requests`` names those without items too."""
     truth = is_truth(F.col("verification"), F.col("authority"))
     flags = items.groupBy(request).agg(
         F.bool_or(F.col("source_class") == "repository").alias("repo"), F.bool_or((F.col("source_class") == "memory") & truth).alias("truth"), F.bool_or(truth).alias("any_truth"),
         F.bool_or((F.col("source_class") == "conflict") | F.coalesce(F.col("verification") == "contradicted", F.lit(False))).alias("conflict"),
     )
+    flags = flags.withColumn("some", F.lit(True))
+    if requests is not None:
+        flags = requests.select(request).distinct().join(flags, request, "left").na.fill(False)
     repo, own = F.col("repo"), F.col("truth")
     lack = {
         "repository_only": (~repo, "Repository knowledge was requested but no repository proof was retrieved."),
         "memory_only": (~own, "Continuity was requested but only low-confidence or summary-style memory was available."),
         "hybrid": (~repo | ~own, "Hybrid retrieval did not produce both repository proof and verified continuity claims."),
+        "session_graph_only": (~F.col("some"), "Session history was requested but the session graph had no matching evidence."),
     }.get(intent, (F.lit(False), ""))
     unknowns = F.array(F.when(lack[0], lack[1]), F.when(F.col("conflict"), "Conflicting claims were retrieved and require verification."))
     asks_memory, asks_repo = F.lit(intent in ("memory_only", "hybrid")), F.lit(intent in ("repository_only", "hybrid"))

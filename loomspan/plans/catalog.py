@@ -777,10 +777,10 @@ def b20(spark, sf):
     + CASE WHEN memory_type IN ('decision', 'fact', 'constraint', 'fix') THEN 14 WHEN memory_type IN ('task', 'bug') THEN 10 WHEN memory_type = 'implementation_detail' THEN 8 WHEN memory_type = 'open_question' THEN 6 ELSE -6 END)::INT AS priority,
     CASE WHEN source_class = 'memory' THEN 'memory:' || memory_type ELSE source_class END AS bucket FROM items),
   once AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY request_id, claim_key ORDER BY priority DESC, tokens DESC, item_id) = 1),
-  few AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY request_id, bucket ORDER BY priority DESC, tokens DESC, item_id) <= CASE WHEN bucket = 'repository' THEN 4 ELSE 2 END),
-  listed AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY priority DESC, tokens DESC, item_id) AS n FROM few),
-  fold AS (SELECT DISTINCT request_id, 0::BIGINT AS n, 0::BIGINT AS used, false AS took FROM listed
-    UNION ALL SELECT f.request_id, l.n, CASE WHEN f.used + l.tokens <= 600 THEN f.used + l.tokens ELSE f.used END, f.used + l.tokens <= 600 FROM fold f JOIN listed l ON l.request_id = f.request_id AND l.n = f.n + 1)
+  listed AS (SELECT *, CASE WHEN bucket = 'repository' THEN 4 ELSE 2 END AS quota, row_number() OVER (PARTITION BY request_id ORDER BY priority DESC, tokens DESC, item_id) AS n FROM once),
+  fold AS (SELECT DISTINCT request_id, 0::BIGINT AS n, 0::BIGINT AS used, false AS took, []::VARCHAR[] AS held FROM listed
+    UNION ALL SELECT request_id, n, CASE WHEN ok THEN used + tokens ELSE used END, ok, CASE WHEN ok THEN held || [bucket] ELSE held END
+      FROM (SELECT f.request_id, l.n, f.used, f.held, l.tokens, l.bucket, f.used + l.tokens <= 600 AND len(list_filter(f.held, lambda x: x = l.bucket)) < l.quota AS ok FROM fold f JOIN listed l ON l.request_id = f.request_id AND l.n = f.n + 1))
   SELECT l.request_id, item_id, CASE WHEN source_class <> 'memory' THEN source_class ELSE CASE memory_type WHEN 'decision' THEN 'decisions' WHEN 'task' THEN 'active_tasks' WHEN 'constraint' THEN 'constraints' WHEN 'fact' THEN 'facts' WHEN 'bug' THEN 'bugs'
       WHEN 'fix' THEN 'fixes' WHEN 'open_question' THEN 'open_questions' WHEN 'implementation_detail' THEN 'implementation_details' WHEN 'risk' THEN 'risks' WHEN 'change_log' THEN 'change_log' ELSE 'summaries' END END AS section,
     tokens, priority, max(f.used) OVER (PARTITION BY l.request_id) AS used_tokens FROM listed l JOIN fold f ON f.request_id = l.request_id AND f.n = l.n WHERE took""")
