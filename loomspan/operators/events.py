@@ -41,9 +41,9 @@ def event_class() -> Column:
 
 
 def provider_id(x: Column) -> Column:
-    """Trimmed lower case; null unless 1 to 64 of a-z, 0-9, ., _ and -."""
-    name = F.lower(F.trim(x))
-    return F.when(name.rlike("^[a-z0-9._-]{1,64}$"), name)
+    """Lower case without white space around it; null unless 1 to 64 of a-z, 0-9, ., _ and -."""
+    name = F.lower(F.btrim(x, F.lit(" \t\n\v\f\r")))
+    return F.when(name.rlike(r"\A[a-z0-9._-]{1,64}\z"), name)
 
 
 def episodes_of(events: DataFrame, kind: Column | None = None, gap_seconds: int = 900, cap: int = 8, key: str = "session_id", order: tuple[str, ...] = ("created_at", "ordinal")) -> DataFrame:

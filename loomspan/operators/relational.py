@@ -82,6 +82,19 @@ def either_end_counts(edges: DataFrame, a: str, b: str) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("n"))
 
 
+def either_end_max(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
+    """id, weight: the largest weight of a node's edges."""
+    ends = edges.select(F.col(a).alias("id"), F.col(weight).alias("weight")).unionByName(edges.select(F.col(b).alias("id"), F.col(weight).alias("weight")))
+    return ends.groupBy("id").agg(F.max("weight").alias("weight"))
+
+
+def linked_max(edges: DataFrame, a: str, b: str, weight: str, ids: DataFrame) -> DataFrame:
+    """linked, weight: nodes at the other end of the ids' edges, either way, with the largest weight."""
+    out = edges.select(F.col(a).alias("id"), F.col(b).alias("linked"), F.col(weight).alias("weight"))
+    back = edges.select(F.col(b).alias("id"), F.col(a).alias("linked"), F.col(weight).alias("weight"))
+    return out.unionByName(back).join(ids, "id", "left_semi").groupBy("linked").agg(F.max("weight").alias("weight"))
+
+
 def other_ends(edges: DataFrame, a: str, b: str, ids: DataFrame) -> DataFrame:
     """id, other, direction of edges at the ids: two equi-joins instead of an OR."""
     out = edges.select(F.col(a).alias("id"), F.col(b).alias("other"), F.lit("out").alias("direction"))

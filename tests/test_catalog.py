@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from loomspan.plans.catalog import QUERIES, SQL, flagship
+from loomspan.plans.queries import QUERIES, SQL, flagship
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
