@@ -31,8 +31,6 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLOCK_BYTES = 1 << 24
 #: Bytes beyond which a word is merged by a heap.
 LONG_WORD = 128
-#: Rows of encoded words that a task holds before it passes them on.
-HELD = 1 << 17
 
 
 def tokenizer_path() -> str:
@@ -218,55 +216,36 @@ def _listed(sizes: bytes, joined: bytes) -> list[bytes]:
     return [joined[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
 
 
-def _exploded(dealt: DataFrame) -> DataFrame:
-    """block, at, word: a row for each distinct word of a block, with its number there."""
+def _encoded(dealt: DataFrame, path: str) -> DataFrame:
+    """block, data of blobs sorted by bucket: numbers, counts of ids, ids, and decoded words.
 
-    def run(batches):
-        for batch in batches:
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                at, *words = _expand(blob.as_py())
-                numbers = unpack(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(numbers), name)), pa.array(numbers.astype(np.int32)), pa.array(_listed(*words), pa.binary())], ["block", "at", "word"]
-                )
-
-    return mapped(dealt, run, "block long, at int, word binary")
-
-
-def _encoded(words: DataFrame, path: str) -> DataFrame:
-    """block, data of rows sorted by word: numbers, counts of ids, ids, and decoded words.
-
-    Each run of one word is encoded once, and its ids meet the token-byte table
-    once; both go to all its rows. Rows are held by block, HELD at most.
+    Within a bucket each distinct word, from however many blocks, is encoded
+    once, and its ids meet the token-byte table once. A bucket's words are held
+    until the next one: those of one bucket in twice ``spark.sql.shuffle.partitions``.
     """
 
     def run(batches):
         table, tokens = ranks(path), token_bytes(path)
-        held: defaultdict[int, tuple[list, list, list, list]] = defaultdict(lambda: ([], [], [], []))
-        last, ids, decoded, rows = None, [], b"", 0
-
-        def blobs() -> pa.RecordBatch:
-            data = [_squeeze(pack(np.array(at)), pack(np.array(n)), pack(np.fromiter(chain.from_iterable(ids), np.uint32)), pack(np.fromiter(map(len, back), np.int64, len(back))), b"".join(back)) for at, n, ids, back in held.values()]
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
-
+        known: dict[bytes, tuple[list[int], bytes]] = {}
+        last = None
         for batch in batches:
-            for name, at, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if word != last:
-                    last, ids = word, merge(word, table)
-                    decoded = b"".join([tokens[k] for k in ids])
-                own = held[name]
-                own[0].append(at)
-                own[1].append(len(ids))
-                own[2].append(ids)
-                own[3].append(decoded)
-            rows += batch.num_rows
-            if rows > HELD:
-                yield blobs()
-                held.clear()
-                rows = 0
-        yield blobs()
-
-    return mapped(words, run, "block long, data binary")
+            blobs = []
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                at, *packed = _expand(blob.as_py())
+                found = []
+                for word in _listed(*packed):
+                    one = known.get(word)
+                    if one is None:
+                        ids = merge(word, table)
+                        one = known[word] = (ids, b"".join([tokens[k] for k in ids]))
+                    found.append(one)
+                sizes, back = (np.fromiter((len(x[k]) for x in found), np.int64, len(found)) for k in (0, 1))
+                blobs.append(_squeeze(at, pack(sizes), pack(np.fromiter(chain.from_iterable(x[0] for x in found), np.uint32)), pack(back), b"".join([x[1] for x in found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["block", "data"])
+
+    return mapped(dealt, run, "block long, data binary")
 
 
 def _documents(main: bytes, encoded: list[bytes]) -> Iterator[tuple]:
@@ -304,13 +283,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
 
     Texts are split into pre-tokens; within a block of BLOCK_BYTES of texts each
     distinct one gets a number, and positions are kept as these numbers. All
-    distinct words of a block are dealt to buckets by hash, a global shuffle,
-    exploded there to rows (block, number, word) and sorted by word within the
-    partition, where Spark's sort spills: each run of equal words, from however
-    many blocks, is encoded once, and its ids meet the token-byte table, which
-    has the vocabulary's fixed size and is held by each worker. Ids and bytes go
-    back to the blocks by an equi-join, where documents are put together by
-    position. Blocks and words come from one shuffle, whose partitions follow
+    distinct words of a block are dealt with their numbers to buckets by hash, a
+    global shuffle in which equal words of all blocks meet. There each is encoded
+    once, and its ids meet the token-byte table, which has the vocabulary's fixed
+    size and is held by each worker. Ids and bytes go back to the blocks by an
+    equi-join, where documents are put together by position. Blocks and words come from one shuffle, whose partitions follow
     from bytes. A word in every document is one entry a block.
 
     Null is empty text and gives no ids; a row with a null or repeated doc_id
@@ -322,8 +299,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Both uses take all columns, so that no pruning makes two shuffles of this one.
     blocks = blocks_of(docs).repartition("block")
-    words = _exploded(_dealt(blocks, buckets).repartition("bucket")).sortWithinPartitions("word")
-    encoded = _encoded(words, path).groupBy("block").agg(F.collect_list("data").alias("encoded"))
+    dealt = _dealt(blocks, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    encoded = _encoded(dealt, path).groupBy("block").agg(F.collect_list("data").alias("encoded"))
     gathered = blocks.join(encoded, "block", "left").select("main", "words", "encoded")
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

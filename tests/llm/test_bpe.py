@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from loomspan.llm import bpe
 from tests_llm_helpers import library
@@ -30,12 +29,13 @@ def test_merges_as_a_naive_loop_and_the_library():
         assert bpe.merge(w.encode(), table) == enc.encode_ordinary(w)
 
 
-def test_a_word_is_encoded_once(spark, tmp_path):
+def test_equal_words_meet(spark):
+    """All blocks' copies of a word are in one bucket, and blocks and words come from one shuffle."""
     rows = [(i, "unlikelyword" * 2 + f" own{i}x ") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    words = bpe._exploded(bpe._dealt(bpe.blocks_of(docs).repartition("block"), 16).repartition("bucket"))
-    parts = words.where(F.col("word") == b"unlikelyword" * 2).groupBy(F.spark_partition_id()).count().collect()
-    assert len(parts) == 1 and parts[0]["count"] > 1
+    dealt = bpe._dealt(bpe.blocks_of(docs).repartition("block"), 16).collect()
+    held = [r.bucket for r in dealt if b"unlikelyword" * 2 in bpe._listed(*bpe._expand(bytes(r.data))[1:])]
+    assert len(held) > 1 and len(set(held)) == 1
     plan = bpe.encode_documents(docs)
     plan.collect()
     assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
