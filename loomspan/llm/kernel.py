@@ -23,9 +23,13 @@ U64 = np.uint64
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow(run, schema)``, after which a worker gives freed memory back, as it may wait long for its next task."""
+    """``df.mapInArrow(run, schema)``, after which a worker gives freed memory back, as it may wait long for its next task.
+
+    Arrow takes memory from the C library, as its own pool keeps what is freed.
+    """
 
     def lean(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
