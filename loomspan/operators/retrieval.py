@@ -9,112 +9,169 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from loomspan.functions.stemming import Wanted, lexemes
 from loomspan.functions.text import EMBEDDING_SIZE, embedding_terms
 
 # Weights of the fields title, summary and content.
 FIELD_WEIGHTS = {"title": 1.0, "summary": 0.4, "content": 0.2}
-# Common English words that full-text search leaves out.
-STOPWORDS = (
-    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "but",
-    "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "his", "how", "i", "if", "in", "into", "is",
-    "it", "its", "just", "me", "more", "most", "my", "no", "nor", "not", "now", "of", "on", "once", "only", "or", "other", "our",
-    "out", "over", "own", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there",
-    "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when",
-    "where", "which", "while", "who", "why", "will", "with", "you", "your",
-)
-_STEPS = (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("iveness", "ive"), ("ousness", "ous"), ("ement", "e"), ("ies", "y"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("sses", "ss"), ("es", "e"), ("s", ""))
-
 
-def stem(word: Column) -> Column:
-    """A light suffix stemmer: the first suffix that leaves three characters or more is replaced."""
-    out = F.when(word.endswith("ss"), word)
-    for suffix, put in _STEPS:
-        short = F.left(word, F.length(word) - len(suffix))
-        out = out.when(word.endswith(suffix) & (F.length(word) >= len(suffix) + 3), F.concat(short, F.lit(put)))
-    return F.regexp_replace(out.otherwise(word), r"([b-df-hj-km-np-rtv-xz])\1$", "$1")
 
+def index(docs: DataFrame, key: str = "id", fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+    """An inverted index: term, key, field, weight, positions. Positions of a term in a field are one row.
 
-def stem_word(word: str) -> str:
-    """The same for one word, for queries."""
-    out = word
-    if not word.endswith("ss"):
-        for suffix, put in _STEPS:
-            if word.endswith(suffix) and len(word) >= len(suffix) + 3:
-                out = word[: -len(suffix)] + put
-                break
-    return re.sub(r"([b-df-hj-km-np-rtv-xz])\1$", r"\1", out)
-
+    Positions go on from field to field, in order, as those of one text. Written
+    partitioned or sorted by term, it is what ``search_index`` reads.
+    """
+    kind = dict(docs.dtypes)[key]
+    names, weights = list(fields), list(fields.values())
 
-def terms(x: Column) -> Column:
-    """Stems of a text in order, stop words left out but counted in positions: array of (term, pos)."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    placed = F.transform(words, lambda w, i: F.struct(stem(w).alias("term"), (i + 1).alias("pos"), w.alias("word")))
-    return F.transform(F.filter(placed, lambda t: ~t["word"].isin(*STOPWORDS)), lambda t: F.struct(t["term"], t["pos"]))
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[int, str, int, list[int]]] = []
+            for i, texts in enumerate(zip(*(batch.column(k + 1).to_pylist() for k in range(len(names))), strict=True)):
+                found: dict[tuple[int, str], list[int]] = {}
+                for pos, field, term in placed_terms(texts):
+                    found.setdefault((field, term), []).append(pos)
+                out += [(i, term, field, at) for (field, term), at in found.items()]
+            rows = pa.array([r[0] for r in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[1] for r in out], pa.string()), batch.column(0).take(rows), pa.array([names[r[2]] for r in out], pa.string()), pa.array([weights[r[2]] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.list_(pa.int32()))],
+                ["term", key, "field", "weight", "positions"],
+            )
+
+    return docs.select(key, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in names]).mapInArrow(run, f"term string, {key} {kind}, field string, weight double, positions array<int>")
+
+
+def placed_terms(texts: tuple[str, ...], wanted: Wanted | None = None) -> list[tuple[int, int, str]]:
+    """(position, field, stem) of the lexemes of a document's fields, in order; each field goes on after the last lexeme of those before."""
+    out, offset = [], 0
+    for field, text in enumerate(texts):
+        own, last = wanted.lexemes(text) if wanted is not None else ((every := lexemes(text)), every[-1][0] if every else 0)
+        out += [(offset + n, field, term) for n, term in own]
+        offset += last
+    return out
 
 
-def index(docs: DataFrame, key: str = "id", fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """An inverted index: term, key, field, weight, positions. Positions of a term in a field are one row."""
-    out = None
-    for name, weight in fields.items():
-        part = docs.select(F.col(key), F.explode(terms(F.col(name))).alias("t")).groupBy(key, F.col("t.term").alias("term")).agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))
-        part = part.select("term", key, F.lit(name).alias("field"), F.lit(weight).alias("weight"), "positions")
-        out = part if out is None else out.unionByName(part)
-    return out
+Condition = tuple[bool, list[tuple[int, str]]]
 
 
-def parse_query(text: str) -> list[list[tuple[bool, list[str]]]]:
-    """Web-style queries as alternatives of conditions (negated, stems): words and -words, "phrases", or."""
-    found: list[list[tuple[bool, list[str]]]] = [[]]
+def parse_query(text: str) -> list[list[Condition]]:
+    """Web-style queries as alternatives of conditions (negated, lexemes by place): words and -words, "phrases", or."""
+    found: list[list[Condition]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text.lower()):
         if word == "or" and not minus:
             found.append([])
             continue
-        stems = [stem_word(w) for w in re.findall(r"\w+", phrase or word) if w not in STOPWORDS]
-        if stems:
-            found[-1].append((bool(minus), stems))
+        placed = lexemes(phrase or word)
+        if placed:
+            found[-1].append((bool(minus), placed))
     return [a for a in found if a]
 
 
+def _terms_of(parsed: list[list[Condition]], negated: bool) -> set[str]:
+    return {t for a in parsed for minus, placed in a if minus <= negated for _, t in placed}
+
+
+def _holds(placed: list[tuple[int, str]], at: dict[str, list[int]]) -> bool:
+    """Whether the lexemes stand at their distances somewhere."""
+    first, term = placed[0]
+    if len(placed) == 1:
+        return bool(at.get(term))
+    return any(all(p + n - first in at.get(t, ()) for n, t in placed[1:]) for p in at.get(term, ()))
+
+
+def _accepts(parsed: list[list[Condition]], at: dict[str, list[int]], negations: bool = True) -> bool:
+    """Whether an alternative holds; without ``negations`` what is negated counts as held."""
+    return any(all((not negations or not _holds(placed, at)) if minus else _holds(placed, at) for minus, placed in a) for a in parsed)
+
+
+def cover_density(parsed: list[list[Condition]], places: list[tuple[int, float, str]]) -> float:
+    """The rank of a document: over its shortest stretches that satisfy the query, words by their weights, less for the words between.
+
+    places: (position, weight, lexeme) of the query's lexemes, in order. Each
+    stretch of n lexemes counts n / sum(1 / weight) / (1 + other words inside);
+    the next one begins after the first lexeme of the last. Negations don't count.
+    """
+    total, begin = 0.0, 0
+    while begin < len(places):
+        at: dict[str, list[int]] = {}
+        end = begin
+        while end < len(places):
+            at.setdefault(places[end][2], []).append(places[end][0])
+            if _accepts(parsed, at, False):
+                break
+            end += 1
+        if end == len(places):
+            break
+        at, low = {}, end
+        while True:
+            at.setdefault(places[low][2], []).append(places[low][0])
+            if _accepts(parsed, at, False):
+                break
+            low -= 1
+        n = end - low + 1
+        noise = places[end][0] - places[low][0] - (end - low)
+        total += n / sum(1 / w for _, w, _ in places[low : end + 1]) / (1 + max(0, noise))
+        begin = low + 1
+    return total
+
+
 def match(docs: DataFrame, query: str, key: str = "id", fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """Matching documents with ``rank``: an approximation of cover density.
+    """Matching documents, all their columns, with ``rank``, their cover density.
 
     A document matches if all conditions of an alternative hold; a phrase needs
-    its stems on neighbouring places of a field. The rank sums, over the
-    matched stems, the field's weight and its reciprocal distance to the
-    nearest other matched stem of the field (1 for a lone stem).
+    its words at their distances. One pass over the texts, map-side; for many
+    queries, write ``index`` once and use ``search_index``. Null fields are
+    empty; a query without lexemes matches nothing.
     """
     parsed = parse_query(query)
     if not parsed:
         return docs.limit(0).withColumn("rank", F.lit(0.0))
-    placed = docs.withColumns({f"_{f}": terms(F.col(f)) for f in fields})
-    stems_of = lambda f: F.transform(F.col(f"_{f}"), lambda t: t["term"])
-    every = F.array_distinct(F.concat(*[stems_of(f) for f in fields]))
-
-    def holds(stems: list[str]) -> Column:
-        if len(stems) == 1:
-            return F.array_contains(every, stems[0])
-        # Neighbouring stems of a field, joined, hold the phrase.
-        near = [F.array_join(F.concat(F.array(F.lit("")), stems_of(f), F.array(F.lit(""))), "\x01").contains("\x01" + "\x01".join(stems) + "\x01") for f in fields]
-        out = near[0]
-        for n in near[1:]:
-            out = out | n
-        return out
-
-    accepted = F.lit(False)
-    for conditions in parsed:
-        one = F.lit(True)
-        for negated, stems in conditions:
-            one = one & (~holds(stems) if negated else holds(stems))
-        accepted = accepted | one
-    wanted = sorted({s for a in parsed for negated, stems in a if not negated for s in stems})
-    score = F.lit(0.0)
-    for f, weight in fields.items():
-        hits = F.filter(F.col(f"_{f}"), lambda t: t["term"].isin(*wanted))
-        places = F.transform(hits, lambda t: t["pos"])
-        near = F.transform(F.sequence(F.lit(1), F.size(places)), lambda i: 1.0 / F.when(i > 1, F.element_at(places, i) - F.element_at(places, F.greatest(F.lit(1), i - 1))).otherwise(1.0))
-        score = score + F.when(F.size(places) > 0, weight * F.aggregate(near, F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
-    return placed.where(accepted).withColumn("rank", F.round(score, 6)).drop(*[f"_{f}" for f in fields])
+    names, weights = list(fields), list(fields.values())
+    columns = [c for c in docs.columns if c != "rank"]
+    source = docs.select(*columns, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_text_{f}") for f in names])
+    stems = _terms_of(parsed, True)
+
+    def run(batches):
+        wanted = Wanted(stems)
+        for batch in batches:
+            ranks = []
+            for texts in zip(*(batch.column(len(columns) + k).to_pylist() for k in range(len(names))), strict=True):
+                placed = placed_terms(texts, wanted)
+                at: dict[str, list[int]] = {}
+                for pos, _, term in placed:
+                    at.setdefault(term, []).append(pos)
+                ranks.append(round(cover_density(parsed, [(p, weights[f], t) for p, f, t in placed]), 6) if _accepts(parsed, at) else None)
+            kept = pa.array(ranks, pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], kept], [*columns, "rank"]).filter(kept.is_valid())
+
+    schema = StructType([*source.schema.fields[: len(columns)], StructField("rank", DoubleType())])
+    return source.mapInArrow(run, schema)
+
+
+def search_index(indexed: DataFrame, query: str, key: str = "id") -> DataFrame:
+    """key, rank of the documents that match, from an index: only the query's terms are read, a document's rows meet in one shuffle."""
+    parsed = parse_query(query)
+    kind = indexed.schema[key].dataType.simpleString()
+    if not parsed:
+        return indexed.limit(0).select(key, F.lit(0.0).alias("rank"))
+    rows = indexed.where(F.col("term").isin(*sorted(_terms_of(parsed, True)))).groupBy(key).agg(F.collect_list(F.struct("term", "weight", "positions")).alias("_rows"))
+
+    def run(batches):
+        for batch in batches:
+            ranks = []
+            for listed in batch.column(1).to_pylist():
+                places = sorted((p, r["weight"], r["term"]) for r in listed for p in r["positions"])
+                at: dict[str, list[int]] = {}
+                for p, _, t in places:
+                    at.setdefault(t, []).append(p)
+                ranks.append(round(cover_density(parsed, places), 6) if _accepts(parsed, at) else None)
+            kept = pa.array(ranks, pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), kept], [key, "rank"]).filter(kept.is_valid())
+
+    return rows.select(key, "_rows").mapInArrow(run, f"{key} {kind}, rank double")
 
 
 def hash_embedding(df: DataFrame, key: str, text: str, size: int = EMBEDDING_SIZE) -> DataFrame:

@@ -476,7 +476,7 @@ def e39(spark, sf):
     return g.join(d, F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", six(retrieval.goal_share(F.col("goals"), F.col("t"))).alias("share"))
 
 
-@query("E03_text_match")
+@query("E03_text_match", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(quequ|queque|queques|quequed|quequing)($|[^\p{L}\p{N}_])')")
 def e03(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.lit("").alias("summary"), F.col("text").alias("content"))
     return retrieval.match(d, "queque").select(F.col("id").alias("doc_id"))

@@ -28,7 +28,8 @@ def hybrid_search(memories: DataFrame, request: ranking.Request, k: int = 10, qu
     hit of an asked type is left.
     """
     docs = with_defaults(memories)
-    lexical = retrieval.match(docs, request.query).select("id", F.col("rank").alias("score"))
+    # The texts alone go through the matcher; the other columns are read for the hits.
+    lexical = retrieval.match(docs.select("id", *retrieval.FIELD_WEIGHTS), request.query).select("id", F.col("rank").alias("score"))
     if vectors is not None and query_vector is not None:
         near = retrieval.nearest(vectors, query_vector, 3 * k).select("id", "distance")
     else:

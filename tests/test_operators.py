@@ -110,9 +110,7 @@ def test_text_search(spark):
     docs = spark.createDataFrame([(1, "Parquet tables", "", "we store tables"), (2, "", "", "storing the tables in rows"), (3, "rows", "", "nothing")], "id long, title string, summary string, content string")
     ids = lambda q: [r.id for r in retrieval.match(docs, q).orderBy(F.desc("rank"), "id").collect()]
     assert ids("table") == [1, 2] and ids("tables -rows") == [1] and ids("parquet or rows") == [1, 3, 2] and ids('"store tables"') == [1] and ids("") == []
-    assert retrieval.index(docs).where("term = 'table'").count() == 3
-    word = spark.range(1).select(F.lit("running").alias("w"))
-    assert word.select(retrieval.stem(F.col("w"))).first()[0] == retrieval.stem_word("running") == "run"
+    assert retrieval.index(docs).where("term = 'tabl'").count() == 3
 
 
 def test_embeddings(spark):
