@@ -9,10 +9,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions.text import estimate_tokens
 from loomspan.operators import claims, cluster, context, events, graph, ranking, reconcile, relational, traverse
 from loomspan.plans import search
-from loomspan.plans.report import knowledge_report
+from loomspan.plans.lineage import cut
+from loomspan.plans.report import knowledge_report, unified_report
 from loomspan.schemas import EVENT_TYPES, GOVERNANCE, INTENTS
+from loomspan.sources import code, repository
 from loomspan.sources.store import Store, node_link
 
 
@@ -58,7 +61,8 @@ class Engine:
         active = self.sessions().where("status = 'active'").select("session_id").withColumn("_active", F.lit(True))
         marked = events.append_once(stored, batch, order="ordinal").join(active, "session_id", "left")
         known = F.col("event_type").isin(*EVENT_TYPES)
-        out = marked.withColumn("accepted", F.coalesce("_active", F.lit(False)) & known & ~F.col("duplicate")).drop("_active").cache()
+        out = marked.withColumn("accepted", F.coalesce("_active", F.lit(False)) & known & ~F.col("duplicate")).drop("_active")
+        out = cut(out)
         self.store.append("events", out.where("accepted").select(*batch.columns))
         return out
 
@@ -117,5 +121,70 @@ class Engine:
     def report(self, layer: str) -> str:
         return knowledge_report(*self.graph(layer))
 
+    def communities(self, layer: str) -> DataFrame:
+        """The communities of a layer's head, largest first; no rows where the layer has no graph."""
+        found = self.store.load_part(self.project, layer, "communities")
+        need(found is not None, f"no {layer} graph")
+        return found.orderBy(F.desc("node_count"), F.desc("cohesion_score"), "community")
+
+    def unified_report(self) -> str:
+        """A report across layers, of those that there are."""
+        return unified_report(*[self.store.load_snapshot(self.project, layer) for layer in ("repository", "session")])
+
+    def repository_sync(self, files: list[dict], removed: list[str], at: datetime) -> tuple[DataFrame, DataFrame]:
+        """Parse files (path, hash, content), put their parts in the place of what stems from them and from removed ones, and save the graph."""
+        need(all(f.get("path") and f.get("hash") for f in files), "files need a path and a hash")
+        spark = self.store.spark
+        given = spark.createDataFrame([(f["path"], f.get("content")) for f in files], "path string, text string")
+        given = given.where(~repository.is_ignored(F.col("path")) & (F.octet_length(F.coalesce("text", F.lit(""))) <= repository.TEXT_CAP)).withColumn("language", repository.language(F.col("path")))
+        nodes, edges = code.code_graph(given.select("path"), code.parts_of(given))
+        known = self.store.load_snapshot(self.project, "repository")
+        if known is not None:
+            touched = spark.createDataFrame([(p,) for p in {f["path"] for f in files} | set(removed)], "path string")
+            nodes, edges = graph.incremental_sync(known[0].select(*nodes.columns), known[1].select(*edges.columns), nodes, edges, touched)
+        nodes, edges = cut(nodes), cut(edges)
+        self.build_graph("repository", f"sync-{at.isoformat()}", nodes, edges, at)
+        return nodes, edges
+
+    def dashboard_graph(self, layer: str, memories: DataFrame, links: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
+        """A layer's graph; where there is none, the newest memories as nodes, with the links (source, target, relation, weight) among them."""
+        found = self.store.load_snapshot(self.project, layer)
+        if found is not None:
+            return found
+        newest = memories.orderBy(F.desc("created_at"), "memory_id").limit(most)
+        nodes = graph.memory_graph(newest)[0]
+        ids = nodes.select("id")
+        inside = links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+        return nodes, inside.orderBy(F.desc("weight"), "source", "target").limit(most)
+
+    def context_for(self, memories: DataFrame, objective: str, budget: int, intent: str = "hybrid", now: datetime | None = None, queries: tuple[str, ...] = (), compiled: bool = False) -> DataFrame:
+        """From an objective to the sections of its pack: memories that answer it, nodes of the repository's graph, conflicts apart.
+
+        ``compiled`` takes the smallest proof set in place of the pack by priority.
+        """
+        need(bool(objective.strip()) and budget > 0, "an objective and a budget")
+        request = ranking.Request(query=objective, intent=intent, now=now or datetime(1970, 1, 1))
+        hits = search.context_hits(memories, request, queries)
+        own, bad = context.conflict_split(hits)
+        columns = ["item_id", "source_class", "memory_type", "claim_key", "title", "summary", "verification", "authority", "tokens", "valid_to", "superseded_by", "proofs"]
+        none = F.lit(None).cast("string")
+        has = lambda name: F.col(name).cast("string") if name in hits.columns else none
+        items = own.unionByName(bad).select(
+            F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("item_id"), "source_class", "memory_type", has("claim_key").alias("claim_key"), "title", "summary", "verification", "authority",
+            estimate_tokens(F.coalesce("summary", F.lit(""))).alias("tokens"), has("valid_to").alias("valid_to"), has("superseded_by").alias("superseded_by"), (F.size("provenance") if "provenance" in hits.columns else F.lit(0)).alias("proofs"),
+        )
+        known = self.store.load_snapshot(self.project, "repository") if intent in ("repository_only", "hybrid") else None
+        if known is not None:
+            found = context.repository_items(known[0], objective)
+            items = items.unionByName(found.withColumns({c: none for c in columns if c not in (*found.columns, "proofs")} | {"proofs": F.lit(0)}).select(*columns))
+        items = cut(items.withColumns({"request_id": F.lit("r"), "goals": context.goals_of(F.lit(objective))}))
+        chosen = context.compile_cover(items, budget, intent) if compiled else context.pack(items, budget, intent)
+        return context.context_pack(items, chosen, context.verified_truth() if compiled else None)
+
+    def health(self) -> dict:
+        """Whether the store's root can be read, and which tables it has."""
+        tables = ("sessions", "events", "graph_heads", "vectors", "audit_log")
+        return {"ready": True, "project": self.project, "tables": [t for t in tables if self.store.exists(t)]}
+
     def export(self, layer: str) -> DataFrame:
         return node_link(*self.graph(layer))

@@ -48,12 +48,17 @@ class Store:
         return self.read("graph_heads").groupBy("project_id", "layer").agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("snapshot_id"))
 
     def load_snapshot(self, project: str, layer: str) -> tuple[DataFrame, DataFrame] | None:
-        """The head's nodes and edges: partition filters, so other snapshots are not read."""
+        """The head's nodes and edges."""
+        nodes = self.load_part(project, layer, "nodes")
+        return None if nodes is None else (nodes, self.load_part(project, layer, "edges"))
+
+    def load_part(self, project: str, layer: str, part: str) -> DataFrame | None:
+        """The head's nodes, edges or communities: partition filters, so other snapshots are not read."""
         head = self.heads().where((F.col("project_id") == project) & (F.col("layer") == layer)).first() if self.exists("graph_heads") else None
         if head is None:
             return None
         at = (F.col("project_id") == project) & (F.col("layer") == layer) & (F.col("snapshot_id") == head["snapshot_id"])
-        return tuple(self.read(f"graph_{t}").where(at).drop("project_id", "layer", "snapshot_id") for t in ("nodes", "edges"))
+        return self.read(f"graph_{part}").where(at).drop("project_id", "layer", "snapshot_id")
 
     # --- vectors ---
 

@@ -2,8 +2,10 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from loomspan import tools
 from loomspan.api import Engine, RequestError
 from loomspan.operators.ranking import Request
+from loomspan.plans import report
 from loomspan.sources.adapters import memories, order_graph
 from loomspan.sources.store import Store, node_link_document
 
@@ -35,6 +37,56 @@ def test_sessions_events_and_graphs(spark, sf, tmp_path):
         engine.graph("session")
 
 
+def test_tools_by_name(spark, sf, tmp_path):
+    """Every tool runs by name, with a default project, and refuses broken arguments."""
+    engine = Engine(Store(spark, str(tmp_path / "tools")), "p1")
+    run = lambda name, args, **given: tools.call(engine, name, args, **given)
+    assert len(tools.definitions()) == 16 and all(d["inputSchema"]["type"] == "object" for d in tools.definitions())
+    for name, args in (("nothing", {}), ("session_start", {"provider": "cli"}), ("knowledge_query", {"query": "odd"}), ("memory_get_batch", {"ids": []}), ("mem_search", {"query": "x", "limit": 99}), ("mem_search", {"query": "x"}), ("knowledge_query", {"query": "neighbors"})):
+        with pytest.raises(RequestError):
+            run(name, args)
+    run("session_start", {"provider": "cli", "externalSessionId": "s", "at": T0})
+    event = {"sessionId": "s", "eventId": "e", "idempotencyKey": "k", "eventType": "prompt", "eventTime": T0, "payload": {"message": "hello"}}
+    assert [r.accepted for r in run("session_event_append", event).collect()] == [True] and [r.accepted for r in run("session_event_append", event).collect()] == [False]
+    run("session_end", {"sessionId": "s", "at": T0 + timedelta(hours=1)})
+    files = [{"path": "a/main.py", "hash": "1", "content": "import b\ndef run():\n    helper()\n# TODO: mend this\n"}, {"path": "a/b.py", "hash": "2", "content": "def helper():\n    pass\n"}, {"path": "node_modules/x.js", "hash": "3", "content": "x"}]
+    nodes, _ = run("repository_sync", {"files": files, "at": T0})
+    assert {r.id for r in nodes.where("node_type = 'file'").collect()} == {"file:a/main.py", "file:a/b.py"}
+    nodes, _ = run("repository_sync", {"files": [{"path": "a/c.py", "hash": "4", "content": "class C:\n    pass\n"}], "removedPaths": ["a/b.py"], "at": T0 + timedelta(days=1)})
+    assert {r.id for r in nodes.where("node_type = 'file'").collect()} == {"file:a/main.py", "file:a/c.py"}
+    assert run("knowledge_query", {"query": "search", "text": "main.py", "layer": "repository"}).first().id == "file:a/main.py"
+    assert run("knowledge_query", {"query": "communities", "layer": "repository"}).count() == run("knowledge_communities", {"layer": "repository"}).count() > 0
+    assert run("graph_snapshot", {}).count() == 1 and run("knowledge_graph_export", {"layer": "repository"}).count() > 3
+    assert "### Architectural Hubs" in run("knowledge_report", {"layer": "unified"}) and run("knowledge_report", {"layer": "repository"}).startswith("# ")
+    assert run("health_check", {})["project"] == "p1" and "events" in run("health_check", {})["tables"]
+    with pytest.raises(RequestError):
+        run("knowledge_report", {"layer": "repository", "projectId": "other"})
+    m = memories(spark, sf).drop("lexical_score", "semantic_score")
+    assert run("mem_search", {"query": "the or der or queque", "limit": 3}, memories=m).count() <= 3
+    assert [r.id for r in run("memory_get", {"id": "7"}, memories=m).collect()] == [7] and run("memory_get_batch", {"ids": [1, 2]}, memories=m).count() == 2
+    after, history = run("claim_govern", {"claimId": "3", "newState": "archived", "at": T0}, claims=m.select("claim_id", "governance"))
+    assert after.where("claim_id = '3' and governance = 'archived'").count() == 1 and history.count() == 1
+    items = m.limit(40).selectExpr("'r' request_id", "id item_id", "'memory' source_class", "memory_type", "claim_key", "title", "summary", "verification", "authority", "50 tokens", "valid_to", "superseded_by", "1 proofs")
+    pack = {"provider": "cli", "objective": "fix the bug", "maxTokenBudget": 200}
+    assert 0 < run("context_build", pack, items=items)[0].count() <= 4 and run("context_compile_v2", pack, items=items)[0].count() <= 4
+    for compiled in (False, True):
+        one = engine.context_for(m, "queque or main.py helper", 2000, now=datetime(2026, 1, 1), compiled=compiled).collect()
+        assert len(one) == 1 and any(x.startswith("file:a/main.py") for x in one[0].repository_knowledge) and set(one[0].repository_knowledge) <= set(one[0].current_truth)
+
+
+def test_fallback_and_unified_reports(spark, tmp_path):
+    engine = Engine(Store(spark, str(tmp_path / "f")))
+    m = spark.createDataFrame([(i, "s", "fact", f"t{i}", T0 + timedelta(days=i)) for i in range(5)], "memory_id int, session_id string, memory_type string, title string, created_at timestamp")
+    links = spark.createDataFrame([("memory:4", "memory:3", "related_to", 0.5), ("memory:4", "memory:0", "related_to", 0.9)], "source string, target string, relation string, weight double")
+    nodes, edges = engine.dashboard_graph("session", m, links, 2)
+    assert {r.id for r in nodes.collect()} == {"memory:3", "memory:4"} and [(r.source, r.target) for r in edges.collect()] == [("memory:4", "memory:3")]
+    assert engine.unified_report() == "No cross-layer data available."
+    n = spark.createDataFrame([("file:a.py", "a.py", "file"), ("d", "Use tables", "decision")], "id string, label string, node_type string")
+    e = spark.createDataFrame([("session:1", "file:a.py", "modifies"), ("file:a.py", "session:1", "touched_by")], "source string, target string, relation string")
+    said = report.unified_report(None, (n, e))
+    assert "- `a.py` (2 sessions)" in said and "### Active Decisions (1)" in said and "Open Tasks" not in said
+
+
 def test_search_and_vectors(spark, sf, tmp_path):
     engine = Engine(Store(spark, str(tmp_path / "v")))
     m = memories(spark, sf).drop("lexical_score", "semantic_score")
