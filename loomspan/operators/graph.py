@@ -130,7 +130,8 @@ def similar_pairs(items: DataFrame, id_: str, tokens: str, block: list[str], lea
 
     Prefix filtering: tokens are ordered by rarity, and two sets of similarity
     ``least`` must share one of their first n - ceil(least * n) + 1 tokens, so
-    only these meet, as 64-bit hashes, in an equi-join. Counts are exact on the
+    only these meet, as 64-bit hashes, in an equi-join, and only where the tokens
+    after the shared one are enough. Counts are exact on the
     hashed sets of the pairs that met; token texts are fetched for what is left.
     """
     exploded = items.select(*block, F.col(id_).alias("_id"), F.explode(F.array_distinct(tokens)).alias("_w")).withColumn("_t", F.xxhash64("_w"))
@@ -138,10 +139,13 @@ def similar_pairs(items: DataFrame, id_: str, tokens: str, block: list[str], lea
     ranked = exploded.join(frequency, [*block, "_t"]).groupBy(*block, "_id").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_s"))
     sets = ranked.select(*block, "_id", F.transform("_s", lambda x: x["_t"]).alias("_set"), F.size("_s").alias("_n"))
     reach = F.greatest(F.lit(1), F.col("_n") - F.ceil(F.col("_n") * least).cast("int") + 1)
-    prefix = sets.select(*block, "_id", "_n", F.explode(F.slice("_set", F.lit(1), reach)).alias("_t"))
-    a = prefix.select(*block, "_t", F.col("_id").alias("left"), F.col("_n").alias("_na"))
-    b = prefix.select(*block, "_t", F.col("_id").alias("right"), F.col("_n").alias("_nb"))
-    close = (F.col("left") < F.col("right")) & (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb"))
+    prefix = sets.select(*block, "_id", "_n", F.posexplode(F.slice("_set", F.lit(1), reach)).alias("_p", "_t"))
+    a = prefix.select(*block, "_t", F.col("_id").alias("left"), F.col("_n").alias("_na"), F.col("_p").alias("_pa"))
+    b = prefix.select(*block, "_t", F.col("_id").alias("right"), F.col("_n").alias("_nb"), F.col("_p").alias("_pb"))
+    # At the first token that two sets share, all others that they share come later in both.
+    most = F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb"))
+    need = F.greatest(F.lit(float(shared)), (F.col("_na") + F.col("_nb")) * (least / (1 + least)) - 1e-6)
+    close = (F.col("left") < F.col("right")) & (F.least("_na", "_nb") >= least * F.greatest("_na", "_nb")) & (most >= need)
     near = a.join(b, [*block, "_t"]).where(close).select(*block, "left", "right", "_na", "_nb").distinct()
     own = sets.select("_id", "_set")
     both = near.join(own.withColumnsRenamed({"_id": "left", "_set": "_sa"}), "left").join(own.withColumnsRenamed({"_id": "right", "_set": "_sb"}), "right")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,41 +77,57 @@ def reconcile_in_order(claims: DataFrame, order: tuple[str, ...] = ("valid_from"
     """Exact sequential reconciliation: each claim sees what the ones before it changed.
 
     Only claims linked by key or subject can meet, so each connected group of
-    keys and subjects is folded on its own, in order, one group a task call.
-    For groups too large for that, use ``reconcile_edges``, which sees the
-    state before the pass only.
+    keys and subjects is folded on its own, in order. Groups are sorted within
+    partitions, where Spark's sort spills, and streamed: a task holds the newest
+    claims of each key and subject of the group at hand, and no more. The fold
+    itself is one after another by its meaning; ``reconcile_edges`` is the
+    set-based pass, which sees the state before it only.
     """
     admitted = claims.where("admitted")
     ends = admitted.select(F.concat_ws("\x01", F.lit("k"), "project_id", "claim_key").alias("a"), F.concat_ws("\x01", F.lit("s"), "project_id", "subject").alias("b"))
     group = components(ends.distinct())
     keyed = admitted.withColumn("node", F.concat_ws("\x01", F.lit("k"), "project_id", "claim_key")).join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values(list(order), kind="stable").to_dict("records")
-        out, seen = [], []
-
-        def power(r) -> int:
-            return AUTHORITY_SCORE.get(r["authority"], 10) + VERIFICATION_SCORE.get(r["verification"], 1)
-
-        for r in rows:
-            near = [p for p in seen if p["claim_key"] == r["claim_key"] or p["subject"] == r["subject"]]
-            for p in sorted(near, key=lambda x: (x["valid_from"], x["created_at"], x["claim_id"]), reverse=True)[:CANDIDATES]:
-                mine, other = power(r), power(p)
-                if (r["claim_type"], p["claim_type"]) in SUPERSEDES and mine >= other:
-                    out.append((r["claim_id"], p["claim_id"], "supersedes", WEIGHTS["supersedes"]))
-                if r["polarity"] and p["polarity"] and r["polarity"] != p["polarity"]:
-                    out.append((r["claim_id"], p["claim_id"], "contradicts", WEIGHTS["contradicts"]))
-                    if mine > other:
-                        p["verification"] = "contradicted"
-                    elif mine < other:
-                        r["verification"] = "contradicted"
-                else:
-                    out.append((r["claim_id"], p["claim_id"], "confirms", WEIGHTS["confirms"]))
-            seen.append(r)
-        return pd.DataFrame(out, columns=["claim_id", "prior_claim_id", "relation", "weight"])
-
-    need = ["claim_id", "claim_key", "subject", "claim_type", "polarity", "authority", "verification", "valid_from", "created_at"]
-    return keyed.select("component", *need).groupBy("component").applyInPandas(fold, "claim_id string, prior_claim_id string, relation string, weight double")
+    need = ["component", "claim_id", "claim_key", "subject", "claim_type", "polarity", "authority", "verification", "valid_from", "created_at"]
+
+    def power(r: dict) -> int:
+        return AUTHORITY_SCORE.get(r["authority"], 10) + VERIFICATION_SCORE.get(r["verification"], 1)
+
+    def newest(r: dict) -> tuple:
+        return tuple((r[c] is not None, r[c]) if r[c] is not None else (False, 0) for c in ("valid_from", "created_at", "claim_id"))
+
+    def meet(r: dict, p: dict, out: list[tuple]) -> None:
+        mine, other = power(r), power(p)
+        if (r["claim_type"], p["claim_type"]) in SUPERSEDES and mine >= other:
+            out.append((r["claim_id"], p["claim_id"], "supersedes", WEIGHTS["supersedes"]))
+        if r["polarity"] and p["polarity"] and r["polarity"] != p["polarity"]:
+            out.append((r["claim_id"], p["claim_id"], "contradicts", WEIGHTS["contradicts"]))
+            if mine > other:
+                p["verification"] = "contradicted"
+            elif mine < other:
+                r["verification"] = "contradicted"
+        else:
+            out.append((r["claim_id"], p["claim_id"], "confirms", WEIGHTS["confirms"]))
+
+    def fold(batches):
+        at, held = None, {}
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                if r["component"] != at:
+                    at, held = r["component"], {}
+                lists = [held.setdefault((c, r[c]), []) for c in ("claim_key", "subject")]
+                near = {id(p): p for own in lists for p in own}.values()
+                for p in sorted(near, key=newest, reverse=True)[:CANDIDATES]:
+                    meet(r, p, out)
+                for own in lists:
+                    own.append(r)
+                    if len(own) > CANDIDATES:
+                        own.remove(min(own, key=newest))
+            columns = zip(*out, strict=True) if out else [[] for _ in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], ["claim_id", "prior_claim_id", "relation", "weight"])
+
+    rows = keyed.select(*need).repartition("component").sortWithinPartitions("component", *order)
+    return rows.mapInArrow(fold, "claim_id string, prior_claim_id string, relation string, weight double")
 
 
 def outcome(edges: DataFrame) -> DataFrame:
