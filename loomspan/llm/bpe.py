@@ -194,7 +194,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, data: a block's words and their numbers, dealt to buckets by the words' hash."""
+    """block, bucket, data: a block's words and the steps between their numbers, dealt to buckets by the words' hash."""
 
     def run(batches):
         for batch in batches:
@@ -204,7 +204,7 @@ def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
                     at, found = parts[zlib.crc32(word) % buckets]
                     at.append(r)
                     found.append(word)
-                blobs = [_squeeze(pack(np.array(at)), pack(np.array([len(w) for w in found])), b"".join(found)) for at, found in parts.values()]
+                blobs = [_squeeze(pack(np.diff(at, prepend=0)), pack(np.array([len(w) for w in found])), b"".join(found)) for at, found in parts.values()]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(blobs), pa.int64()), pa.array(list(parts), pa.int32()), pa.array(blobs, pa.binary())], ["block", "bucket", "data"])
 
     return mapped(blocks, run, "block long, bucket int, data binary")
@@ -217,7 +217,7 @@ def _listed(sizes: bytes, joined: bytes) -> list[bytes]:
 
 
 def _encoded(dealt: DataFrame, path: str) -> DataFrame:
-    """block, data of blobs sorted by bucket: numbers, counts of ids, ids, and decoded words.
+    """block, data of blobs sorted by bucket: steps of numbers, counts of ids, ids, and decoded words.
 
     Within a bucket each distinct word, from however many blocks, is encoded
     once, and its ids meet the token-byte table once. A bucket's words are held
@@ -257,7 +257,7 @@ def _documents(main: bytes, encoded: list[bytes]) -> Iterator[tuple]:
     decoded: list[bytes] = [b""] * n
     for blob in encoded:
         at, lengths, ids, sizes, joined = _expand(blob)
-        at, lengths, digits = unpack(at), unpack(lengths), [b"%d" % x for x in unpack(ids).tolist()]
+        at, lengths, digits = np.cumsum(unpack(at)), unpack(lengths), [b"%d" % x for x in unpack(ids).tolist()]
         size[at] = lengths
         low = 0
         for r, m, back in zip(at.tolist(), lengths.tolist(), _listed(sizes, joined), strict=True):
