@@ -89,6 +89,17 @@ def claim_projection(memories: DataFrame) -> DataFrame:
     )
 
 
+def backfill(memories: DataFrame, claims: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims, with ids made from their memories', and proofs of the memories that have no claim yet; running it again gives none.
+
+    memories: memory_id, session_id, memory_type, metadata, provenance_event_ids; claims: memory_id.
+    """
+    missing = memories.join(claims.select("memory_id").distinct(), "memory_id", "left_anti")
+    claim_id = F.left(F.sha2(F.concat_ws(":", F.lit("claim"), F.col("memory_id").cast("string")), 256), F.lit(32))
+    made = claim_projection(missing).withColumn("claim_id", claim_id)
+    return made, proof_rows(missing.withColumn("claim_id", claim_id), events)
+
+
 def belief_admitted(metadata: Column) -> Column:
     """Whether a draft's belief gate let it in; where it says nothing, it did."""
     return F.coalesce(metadata["belief.admit"].try_cast("boolean"), F.lit(True))

@@ -202,6 +202,13 @@ def b14(spark, sf):
     return proofs.hit_projection(m).select("memory_id", "claim_key", "proof_type")
 
 
+@query("I08_claims_backfill", f"WITH {PROOF_SQL} SELECT p.memory_id, left(sha256('claim:' || p.memory_id), 32) AS claim_id, coalesce(claim_key, 'fact:' || p.memory_id) AS claim_key, greatest(len(ids), 1) AS proofs FROM pm p WHERE p.memory_id % 6 <> 0")
+def i08(spark, sf):
+    m = _proof_memories(spark, sf).drop("claim_id").withColumns({"session_id": F.lit("s"), "memory_type": F.lit("fact")})
+    made, rows = proofs.backfill(m, m.where("memory_id % 6 = 0").select("memory_id"), telemetry(spark, sf))
+    return made.join(rows.groupBy("claim_id").agg(F.count("*").alias("proofs")), "claim_id").select("memory_id", "claim_id", "claim_key", "proofs")
+
+
 @query("A38_memory_details", f"""WITH {PROOF_SQL}, k AS (SELECT 'c' || (doc_id % 40) AS source, 'c' || (doc_id % 9) AS target FROM documents WHERE doc_id % 3 = 0), ends AS (SELECT source AS id FROM k UNION ALL SELECT target FROM k WHERE source <> target)
   SELECT p.memory_id, 'c' || p.memory_id AS claim_id, (SELECT count(*) FROM ends WHERE id = 'c' || p.memory_id) AS active_conflicts, coalesce((SELECT string_agg(session_event_id, ',' ORDER BY place) FROM prov v WHERE v.memory_id = p.memory_id), '') AS provenance,
     (SELECT string_agg(DISTINCT r, ',' ORDER BY r) FROM (SELECT coalesce('session_event:' || n.event_id, p.claim_key, 'memory') AS r FROM (SELECT 1) LEFT JOIN named n ON n.memory_id = p.memory_id)) AS proofs

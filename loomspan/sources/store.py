@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass
 
@@ -67,13 +68,33 @@ class Store:
         self.append("vectors", fan_out(items, scope).withColumn("version", F.lit(version)), ["collection"])
 
     def vectors(self) -> DataFrame:
+        """The live items: of each collection and id the latest version, unless that deletes it. Reads the last compacted base and what came after."""
         rows = self.read("vectors")
+        if self.exists("vector_bases"):
+            last = self.read("vector_bases").agg(F.max("upto")).first()[0]
+            rows = self.read(f"vector_base_{last}").unionByName(rows.where(F.col("version") > last))
         live = upsert(rows.limit(0), rows, ["collection", "id"], ["version"])
         return live.where("not coalesce(deleted, false)")
 
+    def compact_vectors(self, upto: int) -> None:
+        """Write the live items of versions up to ``upto`` as a base, which readers take from then on in place of those versions.
+
+        The base is complete before it is named, and earlier ones stay, so readers are never without one.
+        """
+        rows = self.read("vectors").where(F.col("version") <= upto)
+        live = upsert(rows.limit(0), rows, ["collection", "id"], ["version"]).where("not coalesce(deleted, false)")
+        live.write.mode("overwrite").partitionBy("collection").parquet(self.path(f"vector_base_{upto}"))
+        self.append("vector_bases", self.spark.createDataFrame([(upto,)], "upto int"))
+
     def search_vectors(self, query: list[float], k: int, types: list[str] | None = None, scope: str = "") -> DataFrame:
+        """The k nearest of the asked collections; vectors of another size than the query's are an error."""
         names = types or ["all"]
-        return nearest_typed(self.vectors(), query, k, [f"{n}_{scope}" for n in names] if scope else names)
+        asked = [f"{n}_{scope}" for n in names] if scope else names
+        live = self.vectors().where(F.col("collection").isin(*asked))
+        other = live.where(F.size("embedding") != len(query)).first()
+        if other is not None:
+            raise ValueError(f"vector {other['id']} has {len(other['embedding'])} dimensions, the query has {len(query)}")
+        return nearest_typed(live, query, k, asked)
 
     def get_vector(self, id_: str, collection: str = "all") -> DataFrame:
         return self.vectors().where((F.col("collection") == collection) & (F.col("id") == id_))
@@ -100,3 +121,32 @@ def node_link_document(nodes: DataFrame, edges: DataFrame, most: int = 20_000) -
         raise ValueError(f"more than {most} nodes and links: export node_link() instead")
     part = lambda k: [json.loads(r["json"]) for r in rows if r["kind"] == k]
     return json.dumps({"directed": True, "multigraph": True, "nodes": part("node"), "links": part("link")}, sort_keys=True)
+
+
+def id_map_faults(forward: DataFrame, backward: DataFrame, records: DataFrame) -> DataFrame:
+    """fault, id: what is wrong with the id maps of a vector index; no rows if they are one to one and records have their own keys.
+
+    forward: uuid, number; backward: number, uuid; records: key, id.
+    """
+    uuid = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    there = forward.join(backward.select("number", F.col("uuid").alias("back")), "number", "left")
+    back = backward.join(forward.select("uuid", F.col("number").alias("there")), "uuid", "left")
+    faults = (
+        forward.where(~F.col("uuid").rlike(uuid)).select(F.lit("not a uuid").alias("fault"), F.col("uuid").alias("id")),
+        there.where("back is null").select(F.lit("no reverse mapping"), F.col("uuid")), there.where("back <> uuid").select(F.lit("maps to another uuid"), F.col("uuid")),
+        back.where("there is null").select(F.lit("no forward mapping"), F.col("uuid")), back.where("there <> number").select(F.lit("maps to another number"), F.col("uuid")),
+        records.where("key <> id").select(F.lit("record key"), F.col("key")),
+    )
+    return functools.reduce(DataFrame.unionAll, faults)
+
+
+def normalised_maps(forward: DataFrame, backward: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Both id maps, made of an old one (number, uuid) where the new ones are empty, and the next free number.
+
+    Of several numbers of a uuid in the old map the least counts.
+    """
+    if backward.isEmpty():
+        backward = old.select("number", "uuid").dropDuplicates(["number"])
+        forward = backward.groupBy("uuid").agg(F.min("number").alias("number")).unionByName(forward)
+    most = backward.agg(F.max("number")).first()[0] or 0
+    return forward, backward, max(1, most + 1)

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from loomspan.operators.events import append_once, event_class
 from loomspan.operators.relational import upsert
+from loomspan.plans.lineage import cut
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -37,15 +38,21 @@ _OUT = "session_id string, event_id string, created_at timestamp, episode_type s
 _STATE = "episode long, size int, kind string, last timestamp"
 
 
-def streaming_episodes(stream: DataFrame, gap_seconds: int = 900, cap: int = 8) -> DataFrame:
+def streaming_episodes(stream: DataFrame, gap_seconds: int = 900, cap: int = 8, delay: str = "1 hour", idle_seconds: int = 30 * 86400) -> DataFrame:
     """The episodes of a session's events as they come: class changes, gaps and the cap start new ones.
 
     State is one row a session: the open episode's number, size, class and last
-    time. Events of a batch are taken in the order of time and ordinal.
+    time. Events of a batch are taken in the order of time and ordinal; events
+    behind the watermark (``delay``) are dropped, as their place is settled. A
+    session without events for ``idle_seconds`` beyond the watermark loses its state;
+    should it go on after that, its episodes count from 1 again.
     """
-    typed = stream.withColumn("episode_type", event_class()).select("session_id", "event_id", "ordinal", "created_at", "episode_type")
+    typed = stream.withWatermark("created_at", delay).withColumn("episode_type", event_class()).select("session_id", "event_id", "ordinal", "created_at", "episode_type")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         episode, size, kind, last = state.get if state.exists else (0, 0, None, None)
         last = pd.Timestamp(last) if last is not None else None
         rows = pd.concat(list(frames)).sort_values(["created_at", "ordinal"], kind="stable")
@@ -57,26 +64,35 @@ def streaming_episodes(stream: DataFrame, gap_seconds: int = 900, cap: int = 8)
             size, kind, last = size + 1, row.episode_type, row.created_at
             numbers.append(episode)
         state.update((episode, size, kind, last.to_pydatetime()))
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1000 * idle_seconds)
         yield rows.assign(episode=numbers)[["session_id", "event_id", "created_at", "episode_type", "episode"]]
 
-    return typed.groupBy("session_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return typed.groupBy("session_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Folders by hash of the session, so that a batch is held against its sessions' history only.
+BUCKETS = 64
 
 
 def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that appends the events which are not stored yet; a repeated batch changes nothing.
 
-    Rows land in a folder of their batch, which a retry overwrites, and earlier
-    folders alone are searched for duplicates.
+    Rows land in a folder of their batch and bucket, which a retry overwrites.
+    Earlier batches alone are searched for duplicates, and of those only the
+    buckets of the batch's sessions: at most BUCKETS numbers reach the driver.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = spark.createDataFrame([], batch.schema)
+        keyed = cut(batch.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")))
+        stored = keyed.limit(0)
         if number > 0:
-            done = spark.read.option("basePath", path).schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(path)
-            stored = done.where(F.col("batch") < number).drop("batch")
-        fresh = append_once(stored, batch, order="ordinal").where("not duplicate").drop("duplicate")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            asked = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]
+            schema = StructType([*batch.schema.fields, StructField("batch", LongType()), StructField("bucket", IntegerType())])
+            done = spark.read.option("basePath", path).schema(schema).parquet(path)
+            stored = done.where((F.col("batch") < number) & F.col("bucket").isin(*asked)).drop("batch")
+        fresh = append_once(stored, keyed, order="ordinal").where("not duplicate").drop("duplicate")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     return run
 

@@ -7,7 +7,7 @@ from loomspan.api import Engine, RequestError
 from loomspan.operators.ranking import Request
 from loomspan.plans import report
 from loomspan.sources.adapters import memories, order_graph
-from loomspan.sources.store import Store, node_link_document
+from loomspan.sources.store import Store, id_map_faults, node_link_document, normalised_maps
 
 T0 = datetime(2025, 1, 1)
 EVENTS = "session_id string, event_id string, idempotency_key string, ordinal long, event_type string, message string, command string, tool_name string, file_path string, exit_code int, created_at timestamp"
@@ -99,3 +99,21 @@ def test_search_and_vectors(spark, sf, tmp_path):
     engine.store.upsert_vectors(items.where("id = 'a'").selectExpr("id", "memory_type", "embedding", "true as deleted"), 2, "p1")
     assert [r.id for r in engine.store.search_vectors([1.0, 0.1], 3).collect()] == ["b"]
     assert [r.id for r in engine.store.search_vectors([0.0, 1.0], 3, ["bug"], "p1").collect()] == ["b"]
+    before = sorted(map(str, engine.store.vectors().collect()))
+    engine.store.compact_vectors(2)
+    assert sorted(map(str, engine.store.vectors().collect())) == before
+    engine.store.upsert_vectors(items.where("id = 'a'"), 3, "p1")
+    assert {r.id for r in engine.store.get_vector("a").collect()} == {"a"} and engine.store.get_vector("b").count() == 1
+    with pytest.raises(ValueError):
+        engine.store.search_vectors([1.0, 0.0, 0.0], 3)
+
+
+def test_id_maps(spark):
+    u = [f"{i:08d}-0000-0000-0000-000000000000" for i in range(5)]
+    forward = spark.createDataFrame([(u[0], 1), (u[1], 2), (u[2], 3), ("odd", 9)], "uuid string, number int")
+    backward = spark.createDataFrame([(1, u[0]), (2, u[4]), (7, u[3]), (9, "odd")], "number int, uuid string")
+    records = spark.createDataFrame([(u[0], u[0]), (u[1], u[2])], "key string, id string")
+    got = {(r.fault, r.id) for r in id_map_faults(forward, backward, records).collect()}
+    assert got == {("not a uuid", "odd"), ("no reverse mapping", u[2]), ("maps to another uuid", u[1]), ("no forward mapping", u[3]), ("no forward mapping", u[4]), ("record key", u[1])}
+    f, b, n = normalised_maps(forward.limit(0), backward.limit(0), spark.createDataFrame([(4, u[0]), (6, u[0]), (5, u[1])], "number int, uuid string"))
+    assert {(r.uuid, r.number) for r in f.collect()} == {(u[0], 4), (u[1], 5)} and b.count() == 3 and n == 7
