@@ -21,7 +21,7 @@ ROWS, BANDS = 3, 22
 REGISTERS = ROWS * BANDS
 #: A candidate whose most likely similarity is this far below the threshold is not verified: over five standard errors.
 SLACK = 0.25
-#: Buckets with more members, or more bytes of sets, than this are compared in blocks; larger ones are ranked in parts.
+#: Buckets with more members, or more bytes of sets, than this are not compared in one task; larger ones are ranked in parts.
 BLOCK, BLOCK_BYTES = 8192, 1 << 24
 _WORDS = Splitter(BLANK, LOWER, seed=6)
 _RNG = np.random.default_rng(66)
@@ -211,9 +211,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
        likelihood estimate exclude a link go, the rest is verified on full sets.
     4. Verified links join members to components. A bucket whose members are
        then in one component is done, and of buckets with the same members one
-       is. In the others every pair across components is compared on full sets,
-       in blocks for large buckets; only links that join two components leave
-       the task, fewer than it has members, and no such link is left out.
+       is. In the others every pair across components that can be a link is
+       compared on full sets, in large buckets by a prefix filter; only links
+       that join two components are passed on, and no such link is left out.
     5. Components of all links give component_id.
 
     Null text is empty, and an empty document is linked with nothing. A row
@@ -248,7 +248,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
     open_ = members.where("members > 2").join(label, members.rep == label.node, "left").select("bucket", "rep", "members", "volume", F.coalesce("component", "rep").alias("component"))
     mixed = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     rest = cut(open_.join(mixed, "bucket"))
-    second = cut(_across(rest.join(_sets(docs, rest.select("rep"), classes, shingle), "rep"), percent))
+    second = cut(_across(rest, _sets(docs, rest.select("rep"), classes, shingle), percent))
     # Later links join whole components, so they are few: their ends are components' names.
     name = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_to"))
     ends = second.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
@@ -267,35 +267,26 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, percent: int = 85)
     return named.select("doc_id", "row_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join different components within each bucket, found on full sets.
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within each bucket, found on full sets (rep, shingles).
 
-    A bucket is dealt into blocks of about BLOCK members or BLOCK_BYTES of sets,
-    and each pair of blocks is a group, so a task holds the sets of two blocks. A group's links
-    are folded as they are found: each one joins two parts of its members.
+    A bucket of up to BLOCK members and BLOCK_BYTES of sets is compared in one
+    task, where links are folded as they are found: each one joins two parts of
+    its members. Larger ones go by ``_across_large``.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK), F.ceil(F.col("volume") * 8 / BLOCK_BYTES)).cast("int")
-    own = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.withColumn("other", other).select(
-        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "shingles"
-    )
+    large = (F.col("members") > BLOCK) | (F.col("volume") * 8 > BLOCK_BYTES)
 
     def links(key: tuple, rows: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
         n = np.array([len(x) for x in sets])
         at = np.concatenate([[0], np.cumsum(n)])
         known, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        rep, block = rows["rep"].to_numpy(), rows["block"].to_numpy()
+        rep = rows["rep"].to_numpy()
         part = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
         mark = np.zeros(len(known), bool)
         out = []
         for i in range(len(n)):
-            # Within one block each pair once; between two blocks from the lower one.
-            if low != high and block[i] != low:
-                continue
-            near = np.arange(i + 1, len(n)) if low == high else np.flatnonzero(block == high)
+            near = np.arange(i + 1, len(n))
             near = near[(part[near] != part[i]) & (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))]
             if not len(near):
                 continue
@@ -310,7 +301,56 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
                     part[part == part[j]] = part[i]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(links, "a long, b long").distinct()
+    members = rest.select("bucket", "rep", "component", large.alias("large"))
+    one = members.where("not large").drop("large").join(sets, "rep").select("bucket", "rep", "component", "shingles").groupBy("bucket").applyInArrow(links, "a long, b long")
+    beyond = members.where("large").drop("large")
+    # Without large buckets there is nothing to plan for them.
+    return one.distinct() if beyond.isEmpty() else one.unionByName(_across_large(beyond, sets, percent)).distinct()
+
+
+def _across_large(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The same for buckets beyond one task: a prefix filter in place of all pairs.
+
+    A link across components lies on shingles that two components of the bucket
+    hold. A set of n shingles must share ceil(percent * n / 100) of them, so if
+    its shared ones are put in order of their frequency, two linked sets have a
+    common one among the first of each that leave one less than that behind.
+    What only one component holds, and sets with too few shared shingles, drop
+    out; a text that many members have in common comes last, so pairs don't
+    grow with the bucket's square. Pairs are verified on full sets, and one
+    link of each pair of components is passed on.
+    """
+
+    def exploded(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
+            n = np.array([len(x) for x in sets], np.int64)
+            take = pa.array(np.repeat(np.arange(len(sets)), n))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(3)], pa.array(np.repeat(n, n)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["bucket", "rep", "component", "n", "t"])
+
+    each = mapped(rest.join(sets, "rep").select("bucket", "rep", "component", "shingles"), exploded, "bucket long, rep long, component long, n long, t long")
+    often = each.groupBy("bucket", "t").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "t", "df")
+    own = Window.partitionBy("bucket", "rep")
+    shared = each.join(often, ["bucket", "t"]).withColumns({"nth": F.row_number().over(own.orderBy("df", "t")), "held": F.count("*").over(own)})
+    first = cut(shared.where(F.col("nth") <= F.col("held") - F.ceil(F.col("n") * percent / 100) + 1).select("bucket", "t", "rep", "component", "n"))
+    side = lambda s: first.select("bucket", "t", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n")])
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = side("a").join(side("b"), ["bucket", "t"]).where((F.col("component_a") < F.col("component_b")) & sizes)
+    pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "component_a", "component_b").distinct()
+
+    def check(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    found = mapped(full.select("a", "b", "component_a", "component_b", "sa", "sb"), check, "a long, b long, component_a long, component_b long")
+    link = found.groupBy("component_a", "component_b").agg(F.min(F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("link"))
+    return link.select("link.a", "link.b")
 
 
 def op6_setsketch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ def test_against_brute_force(docs, corpus, size, percent):
     assert got == want
 
 
-def test_large_bucket_in_blocks(spark, monkeypatch):
-    """A bucket dealt into blocks finds chains that no pivot links."""
+def test_large_bucket_by_prefixes(spark, monkeypatch):
+    """A bucket beyond one task finds chains that no pivot links."""
     monkeypatch.setattr(sketches, "BLOCK", 4)
     words = [f"v{i}" for i in range(100)]
     rows = [(k, " ".join(words[:k] + [f"u{i}" for i in range(k)] + words[2 * k :])) for k in range(0, 30)]
@@ -47,6 +47,25 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c, _) in brute(rows, 1, 85).items()}
 
 
+def test_links_of_a_large_bucket(spark, monkeypatch):
+    """All that joins components of one bucket, as in one task: half a template, near copies and others."""
+    rng = np.random.default_rng(5)
+    template, sets = rng.integers(1, 2**63, 60), []
+    for g in range(25):
+        base = np.concatenate([template, rng.integers(1, 2**63, 60)])
+        sets += [np.unique(np.concatenate([base[rng.random(120) > 0.06], rng.integers(1, 2**63, rng.integers(0, 8))])) for _ in range(rng.integers(1, 4))]
+    rows = [(1, i, len(sets), 10**9, i, bytearray(x.astype(np.uint64).tobytes())) for i, x in enumerate(sets)]
+    rest = spark.createDataFrame(rows, "bucket long, rep long, members long, volume long, component long, shingles binary").repartition(3)
+    sets_ = rest.select("rep", "shingles")
+    rest = rest.drop("shingles")
+    linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert {(r.a, r.b) for r in sketches._across(rest, sets_, 85).collect()} == linked and len(linked) > 5
+    label = [i // 2 for i in range(len(sets))]
+    halves = rest.withColumn("component", (rest.component / 2).cast("long"))
+    got = {(label[r.a], label[r.b]) for r in sketches._across(halves, sets_, 85).collect()}
+    assert got == {(label[i], label[j]) for i, j in linked if label[i] != label[j]}
+
+
 def test_sketch():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**32, 3000, dtype=np.uint32)
