@@ -113,7 +113,7 @@ def line_number(text: Column, offset: Column) -> Column:
 
 
 def clean_nul(x: Column, most: int = 200_000) -> Column:
-    return F.left(F.regexp_replace(F.regexp_replace(x, "\\x00", ""), r"\\\\u0000", ""), F.lit(most))
+    return F.left(F.regexp_replace(F.regexp_replace(x, "\\x00", ""), r"\\u0000", ""), F.lit(most))
 
 
 def xml_text(x: Column) -> Column:

@@ -344,6 +344,17 @@ def statistics(nodes: DataFrame, edges: DataFrame, communities: int = 0) -> Data
     return both.select("node_count", "edge_count", F.lit(communities).alias("community_count"), "extracted", "inferred", "ambiguous", F.when(n > 0, F.round(F.col("total") / n, 2)).otherwise(0.0).alias("avg_degree"), density.alias("density"), "isolated_nodes")
 
 
+# Categories of node types in displays; other types are claims.
+CATEGORIES = {
+    "file": "files", "module": "files", "document": "docs", "section": "docs", "rationale": "docs", "summary": "docs", "change_log": "docs", "session": "sessions",
+    "episode": "episodes", "error": "errors", "bug": "errors", "risk": "errors", "command": "commands", "tool": "commands", "test": "commands",
+}
+
+
+def category(kind: Column) -> Column:
+    return lookup(kind, CATEGORIES, "claims")
+
+
 def hub_type(kind: Column, degree: Column) -> Column:
     return F.when(kind == "session", "session_hub").when(kind == "module", "import_hub").when(kind.isin("file", "document") & (degree > 50), "central_file").otherwise("domain_hub")
 

@@ -208,7 +208,7 @@ def nearest_typed(vectors: DataFrame, query: list[float], k: int, types: list, k
     """The k nearest of each asked partition, merged by distance, k in all. A partition that doesn't exist gives none."""
     part = vectors.where(F.col(kind).isin(*types)) if types else vectors
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = part.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.coalesce(cosine(F.col(vector), q), F.lit(0.0))), 9))
+    scored = part.withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.coalesce(cosine(F.col(vector), q), F.lit(0.0))), 9)).withColumn("distance", 1.0 - F.col("similarity"))
     w = Window.partitionBy(kind).orderBy(F.desc("similarity"), key)
     return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n").orderBy(F.desc("similarity"), key).limit(k)
 

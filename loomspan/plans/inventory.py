@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text
 from loomspan.operators import claims, components, context, events, graph, proofs, ranking, reconcile, relational, retrieval, traverse
-from loomspan.plans.catalog import CLASS_SQL, EPISODES_SQL, NOW, SEGMENTS_SQL, SIGNALS_SQL, TYPE_SQL, query, six
+from loomspan.plans.catalog import CANON, CLASS_SQL, EPISODES_SQL, ITEMS_SQL, NOW, SEARCH_SQL, SEGMENTS_SQL, SIGNALS_SQL, TYPE_SQL, _cover_sql, _items, _score_sql, query, six
 from loomspan.plans.lineage import read
 from loomspan.schemas import lookup
 from loomspan.scope import Scope, scoped, with_global_fallback
@@ -890,3 +890,502 @@ def n01(spark, sf):
 @query("H05_class_mix", f"WITH {TELEMETRY_SQL} SELECT {CLASS_SQL} AS event_class, count(*) AS n FROM ev GROUP BY 1")
 def h05_mix(spark, sf):
     return telemetry(spark, sf).groupBy(events.event_class().alias("event_class")).agg(F.count("*").alias("n"))
+
+
+# --- more rows -----------------------------------------------------------------------------------------
+
+
+@query("A13_image_sizes", "SELECT page_id, (page_id * 7 % 5000 + 1)::VARCHAR AS width, (page_id * 13 % 3000 + 1)::VARCHAR AS height FROM pages")
+def a13(spark, sf):
+    p = F.col("page_id")
+    size = lambda x: F.lpad(F.hex(x), 8, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size(p * 7 % 5000 + 1), size(p * 13 % 3000 + 1)))
+    files = read(spark, sf, "pages").select(p.cast("string").alias("path"), F.lit("image").alias("kind"), png.alias("content"))
+    return repository.extract(files).select(F.col("path").cast("long").alias("page_id"), F.col("facts")["width"].alias("width"), F.col("facts")["height"].alias("height"))
+
+
+@query("A14_wave_headers", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '44100' ELSE '8000' END AS sample_rate, (page_id * 1000 // CASE WHEN page_id % 2 = 0 THEN 88200 ELSE 16000 END)::VARCHAR AS duration_ms FROM pages")
+def a14(spark, sf):
+    p = F.col("page_id")
+    little = lambda x: F.concat(*[F.substring(F.lpad(F.hex(x), 8, "0"), k, 2) for k in (7, 5, 3, 1)])
+    rate = F.when(p % 2 == 0, 44100).otherwise(8000).cast("long")
+    wav = F.unhex(F.concat(F.lit("524946460000000057415645666D74201000000001000100"), little(rate), little(rate * 2), F.lit("0200100064617461"), little(p.cast("long"))))
+    files = read(spark, sf, "pages").select(p.cast("string").alias("path"), F.lit("media").alias("kind"), wav.alias("content"))
+    return repository.extract(files).select(F.col("path").cast("long").alias("page_id"), F.col("facts")["sample_rate"].alias("sample_rate"), F.col("facts")["duration_ms"].alias("duration_ms"))
+
+
+@query("A12_pdf_text", "SELECT page_id, 'Page ' || page_id || ' (of many)' AS text FROM pages")
+def a12(spark, sf):
+    p = F.col("page_id").cast("string")
+    files = read(spark, sf, "pages").select(p.alias("path"), F.lit("pdf").alias("kind"), F.concat(F.lit("%PDF-1.4 BT (Page "), p, F.lit(" \\(of many\\)) Tj ET")).cast("binary").alias("content"))
+    return repository.extract(files).select(F.col("path").cast("long").alias("page_id"), "text")
+
+
+@query("J24_diagnostics", "SELECT page_id, page_id % 3 <> 0 AS read FROM pages")
+def j24(spark, sf):
+    p = F.col("page_id")
+    body = F.when(p % 3 == 0, F.unhex(F.lit("FFFE80"))).otherwise(F.col("html").cast("binary"))
+    files = read(spark, sf, "pages").select(p.cast("string").alias("path"), F.lit("document").alias("kind"), body.alias("content"))
+    return repository.extract(files).select(F.col("path").cast("long").alias("page_id"), (F.col("diagnostic").isNull() & F.col("text").isNotNull()).alias("read"))
+
+
+@query("A16_sync_rules", "SELECT 'extension' AS rule, 'py' AS name, 'code' AS kind UNION ALL SELECT 'extension', 'docx', 'office_document' UNION ALL SELECT 'ignored_dir', 'node_modules', NULL")
+def a16(spark, sf):
+    return repository.sync_rules(spark).where(F.col("name").isin("py", "docx", "node_modules"))
+
+
+@query("A28_vector_by_id", "SELECT vec_id AS id, 2 AS version FROM embeddings WHERE vec_id = 6")
+def a28(spark, sf):
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit(1).alias("version"))
+    return relational.upsert(v, v.withColumn("version", F.lit(2)), ["id"], ["version"]).where("id = 6")
+
+
+@query("A34_newest_nodes", f"WITH {MEMORIES_SQL} SELECT 'memory:' || id AS id FROM (SELECT id FROM mem ORDER BY created_s DESC, id LIMIT 30)")
+def a34(spark, sf):
+    m = memories(spark, sf).orderBy(F.desc("created_at"), "id").limit(30)
+    return graph.memory_graph(m.select(F.col("id").alias("memory_id"), F.lit("s").alias("session_id"), "memory_type", "title"))[0].select("id")
+
+
+@query("A36_id_maps", "SELECT 'no reverse mapping' AS fault, count(*) AS n FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'record key', count(*) FROM customer WHERE c_custkey % 7 = 0")
+def a36(spark, sf):
+    from loomspan.sources.store import id_map_faults
+
+    uuid = F.concat(F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit("-0000-0000-0000-000000000000"))
+    m = read(spark, sf, "customer").select(uuid.alias("uuid"), F.col("c_custkey").alias("number"))
+    records = m.select(F.col("uuid").alias("key"), F.when(F.col("number") % 7 == 0, "x").otherwise(F.col("uuid")).alias("id"))
+    return id_map_faults(m, m.where("number % 10 <> 0").select("number", "uuid"), records).groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query("B21_claims_list", f"WITH {MEMORIES_SQL} SELECT m.id, coalesce(CASE WHEN m.id % 3 <> 0 THEN 'decision' END, m.memory_type) AS claim_type FROM mem m")
+def b21(spark, sf):
+    m = memories(spark, sf)
+    c = m.where("id % 3 <> 0").select("id", F.lit("decision").alias("claim_type"))
+    return m.join(c, "id", "left").select("id", F.coalesce("claim_type", "memory_type").alias("claim_type"))
+
+
+ASKED = ("src/main.rs", "main", "two words", "a\\b", "x.y", "ns::name", "café")
+
+
+@query("B23_query_kinds", "SELECT * FROM (VALUES ('src/main.rs', true, false), ('main', false, true), ('two words', false, false), ('a\\b', true, false), ('x.y', true, true), ('ns::name', false, true), ('café', false, false)) t(query, path_like, name_like)")
+def b23(spark, sf):
+    return spark.createDataFrame([(q, traverse.looks_like_path(q), traverse.looks_like_identifier(q)) for q in ASKED], "query string, path_like boolean, name_like boolean")
+
+
+@query("B19_clean_text", "SELECT doc_id, left(text, 30) || ' end' AS t FROM documents")
+def b19(spark, sf):
+    dirty = F.concat(F.left("text", F.lit(30)), F.lit("\\u0000"), F.lit("\x00 end"))
+    return read(spark, sf, "documents").select("doc_id", text.clean_nul(dirty).alias("t"))
+
+
+PAIRS_SQL = "t AS (SELECT page_id, page_id % 5 AS g, list_distinct(regexp_extract_all(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '[a-z0-9_]{3,}')) AS w FROM pages)"
+
+
+@query("C12_file_similarity", f"WITH {PAIRS_SQL} SELECT a.page_id AS l, b.page_id AS r, len(list_intersect(a.w, b.w))::INT AS shared FROM t a JOIN t b ON a.g = b.g AND a.page_id < b.page_id AND len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
+def c12(spark, sf):
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("html", "<[^>]*>", " ")), F.lit("([a-z0-9_]{3,})"), F.lit(1)))
+    p = read(spark, sf, "pages").select("page_id", (F.col("page_id") % 5).alias("g"), words.alias("w"))
+    return graph.similar_pairs(p, "page_id", "w", ["g"]).select(F.col("left").alias("l"), F.col("right").alias("r"), "shared")
+
+
+@query("C11_memory_similarity", f"WITH {MEMORIES_SQL}, t AS (SELECT id, project_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]{{3,}}')) AS w FROM mem WHERE id % 2 = 0) SELECT a.id AS l, b.id AS r FROM t a JOIN t b ON a.project_id = b.project_id AND a.id < b.id AND len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
+def c11(spark, sf):
+    m = memories(spark, sf).where("id % 2 = 0").withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z0-9_]{3,})"), F.lit(1))))
+    return graph.similar_pairs(m, "id", "w", ["project_id"]).select(F.col("left").alias("l"), F.col("right").alias("r"))
+
+
+@query("C13_candidate_sessions", f"WITH {TELEMETRY_SQL}, s AS (SELECT DISTINCT session_id, CAST(session_id AS INT) % 4 AS p FROM ev), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY session_id) AS r FROM s) SELECT a.session_id, count(b.session_id) AS candidates FROM n a LEFT JOIN n b ON a.p = b.p AND b.r < a.r AND b.r >= a.r - 20 GROUP BY 1 HAVING count(b.session_id) > 0")
+def c13(spark, sf):
+    s = telemetry(spark, sf).select("session_id").distinct().withColumns({"project_id": F.col("session_id").cast("int") % 4, "ended_at": F.lit(0), "files": F.array(F.lit("x"))})
+    return graph.continuity_edges(s).groupBy(F.substring("target", 9, 100).alias("session_id")).agg(F.count("*").alias("candidates"))
+
+
+CODE_SQL = "sym AS (SELECT DISTINCT 'f' || (c_custkey % 50) AS target, 'fn' || (c_custkey * 7 % 211) AS name FROM customer), imp AS (SELECT DISTINCT 'f' || (c_custkey % 50) AS path, 'f' || (c_custkey * 3 % 50) AS target FROM customer WHERE c_custkey % 4 = 0), cal AS (SELECT DISTINCT 'f' || (o_orderkey % 50) AS path, 'fn' || (o_orderkey % 300) AS name FROM orders)"
+
+
+@query("C16_call_resolution", f"WITH {CODE_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY name) AS k FROM sym), x AS (SELECT c.path, c.name, n.target, CASE WHEN c.path = n.target THEN 0 WHEN i.path IS NOT NULL THEN 1 WHEN k = 1 THEN 2 ELSE 3 END AS tier FROM cal c JOIN n USING (name) LEFT JOIN imp i ON i.path = c.path AND i.target = n.target) SELECT path, name, target, CASE WHEN tier <= 1 THEN 'resolved' WHEN tier = 2 THEN 'inferred' ELSE 'ambiguous' END AS evidence FROM x QUALIFY row_number() OVER (PARTITION BY path, name ORDER BY tier, target) = 1")
+def c16(spark, sf):
+    from loomspan.sources.code import resolve_calls
+
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    name = lambda lead, x: F.concat(F.lit(lead), x.cast("string"))
+    customers = read(spark, sf, "customer")
+    symbols = customers.select(name("f", c % 50).alias("path"), name("fn", c * 7 % 211).alias("name")).distinct()
+    imports = customers.where(c % 4 == 0).select(name("f", c % 50).alias("path"), name("f", c * 3 % 50).alias("target"))
+    calls = read(spark, sf, "orders").select(name("f", o % 50).alias("path"), F.lit(None).cast("string").alias("owner"), name("fn", o % 300).alias("name"))
+    return resolve_calls(calls, symbols, imports).select("path", "name", "target", "evidence")
+
+
+@query("C17_import_resolution", "WITH f AS (SELECT page_id, 'src/m' || page_id || (['', '.ts', '.py', '/index.js', '.go'])[CAST(page_id % 5 + 1 AS INT)] AS path FROM pages) SELECT 'src/m' || i.page_id AS name, f.path AS target FROM pages i JOIN f ON f.page_id = i.page_id WHERE i.page_id % 5 <> 4")
+def c17(spark, sf):
+    from loomspan.sources.code import resolve_imports
+
+    p = F.col("page_id")
+    ends = F.element_at(F.array(*map(F.lit, ("", ".ts", ".py", "/index.js", ".go"))), (p % 5 + 1).cast("int"))
+    base = F.concat(F.lit("src/m"), p.cast("string"))
+    pages = read(spark, sf, "pages")
+    imports = pages.select(F.lit("src/main.ts").alias("path"), F.concat(F.lit("./m"), p.cast("string")).alias("name"))
+    return resolve_imports(imports, pages.select(F.concat(base, ends).alias("path"))).select(F.concat(F.lit("src/"), F.substring("name", 3, 100)).alias("name"), "target")
+
+
+@query("C19_snapshot_heads", "SELECT o_custkey % 20 AS project_id, o_orderpriority AS layer, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS snapshot_id FROM orders GROUP BY 1, 2")
+def c19(spark, sf):
+    o = read(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("project_id"), F.col("o_orderpriority").alias("layer"), F.col("o_orderkey").alias("snapshot_id"), F.col("o_orderdate").alias("created_at"))
+    return relational.latest(o, ["project_id", "layer"], ["created_at", "snapshot_id"]).select("project_id", "layer", "snapshot_id")
+
+
+@query("D24_category_counts", f"WITH {PAGE_NODES_SQL} SELECT CASE kind WHEN 'file' THEN 'files' WHEN 'module' THEN 'files' WHEN 'document' THEN 'docs' WHEN 'section' THEN 'docs' WHEN 'rationale' THEN 'docs' ELSE 'claims' END AS category, count(*) AS n FROM pn GROUP BY 1")
+def d24(spark, sf):
+    return page_nodes(spark, sf).groupBy(graph.category(F.col("node_type")).alias("category")).agg(F.count("*").alias("n"))
+
+
+VARIANTS = "('quequ', 'queque', 'queques', 'quequed', 'quequing')"
+WORDS_SQL = "tok AS (SELECT doc_id, t, p FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents)))"
+
+
+def _documents(spark, sf):
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.lit("").alias("summary"), F.col("text").alias("content"))
+
+
+@query("E01_search_document", f"WITH {WORDS_SQL} SELECT doc_id AS id, 'content' AS field, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS positions FROM tok WHERE t IN {VARIANTS} GROUP BY 1")
+def e01(spark, sf):
+    found = retrieval.index(_documents(spark, sf)).where("term = 'quequ'")
+    return found.select("id", "field", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+@query("E04_cover_density", f"WITH {WORDS_SQL} SELECT doc_id AS id, round(count(*) * 0.2, 6)::DOUBLE AS rank FROM tok WHERE t IN {VARIANTS} GROUP BY 1")
+def e04(spark, sf):
+    return retrieval.match(_documents(spark, sf), "queque").select("id", "rank")
+
+
+@query("E50_index_search", f"WITH {WORDS_SQL} SELECT doc_id AS id, round(count(*) * 0.2, 6)::DOUBLE AS rank FROM tok WHERE t IN {VARIANTS} GROUP BY 1")
+def e50(spark, sf):
+    return retrieval.search_index(retrieval.index(_documents(spark, sf)), "queque")
+
+
+WEB = ("tables or rows", '"store the tables" -old', "the and", "a -b or c d")
+
+
+@query("E02_web_queries", "SELECT * FROM (VALUES ('tables or rows', 'tabl|row'), ('\"store the tables\" -old', 'store@1+tabl@3&!old'), ('the and', ''), ('a -b or c d', '!b|c&d')) t(query, parsed)")
+def e02(spark, sf):
+    def one(minus, placed):
+        return ("!" if minus else "") + ("+".join(f"{t}@{n}" for n, t in placed) if len(placed) > 1 else placed[0][1])
+
+    return spark.createDataFrame([(q, "|".join("&".join(one(*c) for c in a) for a in retrieval.parse_query(q))) for q in WEB], "query string, parsed string")
+
+
+@query("E10_scoped_search", "WITH s AS (SELECT e.vec_id AS id, greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q WHERE e.vec_id % 3 = 0) SELECT id, round(s, 6) AS similarity FROM s ORDER BY round(s, 9) DESC, id LIMIT 7")
+def e10(spark, sf):
+    e = read(spark, sf, "embeddings")
+    q = list(e.where("vec_id = 1").first()["embedding"])
+    return retrieval.nearest(e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), "embedding"), q, 7).select("id", six(F.col("similarity")).alias("similarity"))
+
+
+@query("E11_collection_search", "WITH s AS (SELECT e.vec_id AS id, greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 2) q WHERE e.label = 4) SELECT id, round(1 - round(s, 9), 6) AS distance FROM s ORDER BY round(s, 9) DESC, id LIMIT 5")
+def e11(spark, sf):
+    e = read(spark, sf, "embeddings")
+    q = list(e.where("vec_id = 2").first()["embedding"])
+    return retrieval.nearest_typed(e.select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("collection")), q, 5, [4]).select("id", six(F.col("distance")).alias("distance"))
+
+
+def _signal_sql(expression: str) -> str:
+    return f"WITH {MEMORIES_SQL} SELECT id, round(({expression})::DOUBLE, 6) AS score FROM mem"
+
+
+def _signal(spark, sf, request: ranking.Request, **values):
+    """Final scores of memories of which all but the given columns are neutral, less the recency of now."""
+    none, plain = F.lit(None).cast("double"), F.lit(None).cast("string")
+    neutral = {c: none for c in ("lexical_score", "semantic_score", "graph_proximity", "importance", "confidence", "community_score")} | {c: plain for c in ("authority", "verification", "governance", "superseded_by", "branch")}
+    neutral |= {"memory_type": F.lit("other"), "title": F.lit(""), "conflicts": F.lit(0), "created_at": F.lit(NOW), "session_ids": F.array().cast("array<string>")}
+    m = memories(spark, sf)
+    kept = {k: v if not isinstance(v, str) else F.col(v) for k, v in values.items()}
+    return ranking.fuse(m.withColumns({k: v for k, v in (neutral | kept).items() if not (k in values and values[k] == k)}), request).select("id", six(F.col("final_score") - 0.08).alias("score"))
+
+
+REPO = {"intent": "repository_only", "now": NOW}
+
+
+@query("E19_type_fit", _signal_sql("CASE WHEN memory_type IN ('fact', 'risk') THEN 0.25 ELSE -0.15 END + CASE memory_type WHEN 'decision' THEN 0.16 WHEN 'fact' THEN 0.16 WHEN 'implementation_detail' THEN 0.16 WHEN 'constraint' THEN 0.16 WHEN 'fix' THEN 0.16 WHEN 'task' THEN 0.08 WHEN 'open_question' THEN -0.04 WHEN 'summary' THEN -0.14 ELSE 0 END"))
+def e19(spark, sf):
+    return _signal(spark, sf, ranking.Request(types=("fact", "risk"), **REPO), memory_type="memory_type")
+
+
+@query("E20_community_boost", _signal_sql("community_score * 0.15"))
+def e20(spark, sf):
+    return _signal(spark, sf, ranking.Request(**REPO), community_score="community_score")
+
+
+@query("E22_governance_boost", _signal_sql("CASE governance WHEN 'pinned' THEN 0.20 WHEN 'rejected' THEN -0.80 ELSE 0 END"))
+def e22(spark, sf):
+    return _signal(spark, sf, ranking.Request(**REPO), governance="governance")
+
+
+@query("E26_session_relevance", _signal_sql("CASE WHEN session_ids[1] = '3' THEN 0.12 + 0.5 WHEN branch = 'b1' THEN 0.45 * 0.12 ELSE 0 END"))
+def e26(spark, sf):
+    return _signal(spark, sf, ranking.Request(session_id="3", branch="b1", **REPO), session_ids="session_ids", branch="branch")
+
+
+@query("E27_graph_proximity", _signal_sql("graph_proximity * 0.10"))
+def e27(spark, sf):
+    return _signal(spark, sf, ranking.Request(**REPO), graph_proximity="graph_proximity")
+
+
+@query("E29_freshness_penalty", _signal_sql("CASE WHEN (1767225600 - created_s) / 86400.0 <= 1 THEN 0.08 WHEN (1767225600 - created_s) / 86400.0 <= 7 THEN 0.068 WHEN (1767225600 - created_s) / 86400.0 <= 30 THEN 0.052 WHEN (1767225600 - created_s) / 86400.0 <= 90 THEN 0.032 ELSE 0.016 END - 0.08 - CASE WHEN (1767225600 - created_s) / 86400.0 > 90 THEN 0.02 ELSE 0 END"))
+def e29(spark, sf):
+    return _signal(spark, sf, ranking.Request(**REPO), created_at="created_at")
+
+
+@query("E36_diversity_keys", f"WITH {SEARCH_SQL}, s AS (SELECT id, label, kind, source_file, source_id, {_score_sql('blog')} AS score FROM low) SELECT coalesce(source_file, source_id) AS source, least(count(*), 2) AS kept FROM s WHERE score > 0 AND kind NOT IN ('file', 'document') GROUP BY 1")
+def e36(spark, sf):
+    n = page_nodes(spark, sf)
+    found = traverse.search_nodes(n.where(~F.col("node_type").isin("file", "document")), "blog", 1_000_000)
+    return found.groupBy(F.coalesce(F.col("metadata")["sourceFile"], "source_id").alias("source")).agg(F.count("*").alias("kept"))
+
+
+@query("E47_family_keys", f"WITH {MEMORIES_SQL} SELECT id, coalesce(nullif({CANON('title')}, ''), {CANON('summary')}) AS family FROM mem")
+def e47(spark, sf):
+    return memories(spark, sf).select("id", ranking.family_key(F.col("title"), F.col("summary")).alias("family"))
+
+
+@query("E38_continuations", "SELECT * FROM (VALUES ('where did we leave it', true), ('parquet tables', false), ('Continue the work', true), ('what is next', true)) t(query, asks)")
+def e38(spark, sf):
+    return spark.createDataFrame([(q, retrieval.is_continuation(q)) for q in ("where did we leave it", "parquet tables", "Continue the work", "what is next")], "query string, asks boolean")
+
+
+@query("F07_consecutive_pairs", f"WITH {TELEMETRY_SQL}, {EPISODES_SQL}, ep AS (SELECT DISTINCT session_id, episode FROM eps) SELECT 'episode:' || session_id || ':' || episode AS source, 'episode:' || session_id || ':' || nxt AS target FROM (SELECT *, lead(episode) OVER (PARTITION BY session_id ORDER BY episode) AS nxt FROM ep) WHERE nxt IS NOT NULL")
+def f07(spark, sf):
+    e = events.materialise_episodes(events.episodes_of(telemetry(spark, sf), gap_seconds=86400, cap=2))
+    return graph.episode_graph(e)[1].where("relation = 'related_to'").select("source", "target")
+
+
+@query("F11_top_communities", f"WITH {GRAPH_SQL}, m AS (SELECT id, node_type AS c FROM nodes), z AS (SELECT c, count(*) AS n FROM m GROUP BY 1) SELECT c AS community, n AS node_count FROM z ORDER BY n DESC, c LIMIT 8")
+def f11(spark, sf):
+    n, e = order_graph(spark, sf)
+    return graph.community_figures(n.select("id", F.col("node_type").alias("community")), n, e).orderBy(F.desc("node_count"), "community").limit(8).select("community", "node_count")
+
+
+@query("F17_relations_by_weight", f"WITH {GRAPH_SQL} SELECT source, target FROM edges WHERE relation <> 'places' ORDER BY weight DESC, source, target LIMIT 100")
+def f17(spark, sf):
+    n, e = order_graph(spark, sf)
+    return graph.inject(n, e.limit(0), e.where("relation <> 'places'"), 100).select("source", "target")
+
+
+@query("G06_set_once", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'first' ELSE 'second' END AS v FROM orders")
+def g06(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "first").alias("v"))
+    return relational.set_once(o, o.select("o_orderkey", F.lit("second").alias("v")), "o_orderkey", "v")
+
+
+@query("G08_two_sources", "SELECT doc_id AS id, doc_id % 2 = 0 AS lexical, doc_id % 3 = 0 AS semantic FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def g08(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    both = ranking.merge_hybrid(d.where("id % 2 = 0").withColumn("score", F.lit(0.5)), d.where("id % 3 = 0").withColumn("distance", F.lit(1.0)))
+    return both.select("id", F.col("lexical_score").isNotNull().alias("lexical"), F.col("semantic_score").isNotNull().alias("semantic"))
+
+
+@query("G13_edge_dedupe", f"WITH {GRAPH_SQL}, u AS (SELECT source, target, relation, weight FROM edges UNION ALL SELECT source, target, relation, weight + 1 FROM edges WHERE relation = 'located_in') SELECT source, target, relation, max(weight)::DOUBLE AS weight FROM u GROUP BY 1, 2, 3")
+def g13(spark, sf):
+    _, e = order_graph(spark, sf)
+    again = e.where("relation = 'located_in'").withColumn("weight", F.col("weight") + 1)
+    return graph.merge_edges(e.withColumn("position", F.lit(1)).unionByName(again.withColumn("position", F.lit(2)))).select("source", "target", "relation", "weight")
+
+
+@query("G12_object_merge", "SELECT event_id, 'own' AS a, 'patch' AS b, 'new' AS c FROM events")
+def g12(spark, sf):
+    m = relational.merge_maps(F.create_map(F.lit("a"), F.lit("own"), F.lit("b"), F.lit("own")), F.create_map(F.lit("b"), F.lit("patch"), F.lit("c"), F.lit("new")))
+    return read(spark, sf, "events").select("event_id", *[m[k].alias(k) for k in "abc"])
+
+
+@query("H17_derivations", f"WITH {MEMORIES_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'summary_claim' WHEN memory_type IN ('summary', 'risk', 'change_log') THEN 'claim' ELSE memory_type || '_claim' END AS derivation FROM mem")
+def h17(spark, sf):
+    return memories(spark, sf).select("id", claims.derivation(F.col("memory_type"), F.col("id") % 4 == 0).alias("derivation"))
+
+
+@query("I06_known_types", f"WITH {MEMORIES_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'fact' ELSE memory_type END AS memory_type FROM mem")
+def i06(spark, sf):
+    from loomspan.schemas import MEMORY_TYPES, known
+
+    return memories(spark, sf).select("id", known(F.when(F.col("id") % 3 == 0, "legacy_kind").otherwise(F.col("memory_type")), MEMORY_TYPES, "fact").alias("memory_type"))
+
+
+@query("J08_file_mentions", MENTION_SQL)
+def j08(spark, sf):
+    return c14(spark, sf)
+
+
+@query("J26_incremental_edges", f"WITH {GRAPH_SQL}, kept AS (SELECT id FROM nodes WHERE NOT (node_type = 'order' AND CAST(split_part(id, ':', 2) AS BIGINT) % 3 = 0)) SELECT source, target FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)")
+def j26(spark, sf):
+    n, e = order_graph(spark, sf)
+    number = F.split_part("id", F.lit(":"), F.lit(2)).cast("long")
+    n = n.withColumn("source_file", F.when((F.col("node_type") == "order") & (number % 3 == 0), "old.py").otherwise(F.col("id")))
+    e = e.withColumn("source_file", F.col("source"))
+    return graph.incremental_sync(n, e, n.limit(0), e.limit(0), spark.createDataFrame([("old.py",)], "path string"))[1].select("source", "target")
+
+
+@query("K07_goal_coverage", "SELECT page_id, array_to_string(list_filter([CASE WHEN contains(url, 'en') THEN '0' END, CASE WHEN contains(url, 'blog') THEN '1' END, CASE WHEN contains(url, 'http') THEN '2' END, CASE WHEN contains(url, 'zzz') THEN '3' END], lambda x: x IS NOT NULL), ',') AS covered FROM pages")
+def k07(spark, sf):
+    return read(spark, sf, "pages").select("page_id", F.array_join(F.transform(traverse.coverage(F.col("url"), ["en", "blog", "http", "zzz"]), lambda x: x.cast("string")), ",").alias("covered"))
+
+
+@query("K15_subset_components", f"WITH RECURSIVE {GRAPH_SQL}, s AS (SELECT id FROM nodes WHERE node_type IN ('nation', 'region')), l AS (SELECT source AS a, target AS b FROM edges WHERE source IN (SELECT id FROM s) AND target IN (SELECT id FROM s) UNION SELECT target, source FROM edges WHERE source IN (SELECT id FROM s) AND target IN (SELECT id FROM s)), reach AS (SELECT DISTINCT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.seen) SELECT node, min(seen) AS component FROM reach GROUP BY 1")
+def k15(spark, sf):
+    n, e = order_graph(spark, sf)
+    return components.components(traverse.induced(e, n.where("node_type in ('nation', 'region')")), "source", "target")
+
+
+@query("K17_hub_types", f"WITH {GRAPH_SQL} SELECT id, CASE WHEN node_type = 'session' THEN 'session_hub' WHEN node_type = 'module' THEN 'import_hub' WHEN node_type IN ('file', 'document') AND degree > 50 THEN 'central_file' ELSE 'domain_hub' END AS hub FROM (SELECT id, CASE node_type WHEN 'region' THEN 'session' WHEN 'nation' THEN 'file' WHEN 'customer' THEN 'module' ELSE node_type END AS node_type, degree FROM degree)")
+def k17(spark, sf):
+    n, e = order_graph(spark, sf)
+    kind = lookup(F.col("node_type"), {"region": "session", "nation": "file", "customer": "module", "order": "order"}, None)
+    return n.join(graph.degrees(n, e).select("id", "degree"), "id").select("id", graph.hub_type(kind, F.col("degree")).alias("hub"))
+
+
+@query("K14_partition_quality", f"WITH {GRAPH_SQL}, m AS (SELECT id, CASE WHEN node_type IN ('nation', 'region') THEN 0 ELSE 1 END AS c FROM nodes), b AS (SELECT source AS a, target AS b, weight AS w FROM edges UNION ALL SELECT target, source, weight FROM edges), t AS (SELECT x.c, sum(w) AS tot, sum(CASE WHEN x.c = y.c THEN w ELSE 0 END) AS inn FROM b JOIN m x ON x.id = b.a JOIN m y ON y.id = b.b GROUP BY 1) SELECT round(sum(inn / s - (tot / s) ** 2), 6)::DOUBLE AS modularity FROM t, (SELECT sum(tot) AS s FROM t)")
+def k14(spark, sf):
+    from loomspan.operators import cluster
+
+    n, e = order_graph(spark, sf)
+    return cluster.modularity(e, n.select("id", F.when(F.col("node_type").isin("nation", "region"), 0).otherwise(1).alias("community")))
+
+
+@query("L03_buckets_and_quotas", f"WITH {ITEMS_SQL} SELECT item_id, CASE WHEN source_class = 'memory' THEN 'memory:' || memory_type ELSE source_class END AS bucket, CASE source_class WHEN 'repository' THEN 4 ELSE 2 END AS quota FROM items")
+def l03(spark, sf):
+    return _items(spark, sf).select("item_id", context.bucket().alias("bucket"), context.quota("hybrid").alias("quota"))
+
+
+@query("L09_filler", f"WITH RECURSIVE {_cover_sql(500, ('decisions', 'active_tasks', 'facts'))} SELECT request_id, item_id, place FROM chosen WHERE stage = 'filler'")
+def l09(spark, sf):
+    return context.compile_cover(_items(spark, sf).withColumn("goals", context.goals_of(F.lit("x"))), 500).where("stage = 'filler'").select("request_id", "item_id", "place")
+
+
+@query("L11_conflict_split", f"WITH {MEMORIES_SQL} SELECT id, CASE WHEN conflicts > 0 THEN 'conflict' ELSE 'memory' END AS source_class FROM mem")
+def l11(spark, sf):
+    own, bad = context.conflict_split(memories(spark, sf).select("id", "conflicts", "verification"))
+    return own.unionByName(bad).select("id", "source_class")
+
+
+@query("L12_node_items", f"WITH {PAGE_NODES_SQL} SELECT id AS item_id, label || '; type ' || kind || '; from repository' AS summary FROM pn")
+def l12(spark, sf):
+    return context.graph_items(page_nodes(spark, sf)).select("item_id", "summary")
+
+
+@query("M04_regex_replace", "SELECT doc_id, regexp_replace(left(text, 200), '[0-9]+', '#', 'g') AS t FROM documents")
+def m04(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.regexp_replace(F.left("text", F.lit(200)), "[0-9]+", "#").alias("t"))
+
+
+@query("M10_times", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS s FROM events")
+def m10(spark, sf):
+    e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    said = F.when(F.col("event_id") % 5 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return e.select("event_id", F.unix_timestamp(text.instant(said, F.timestamp_seconds(F.lit(0)))).alias("s"))
+
+
+@query("M12_rounding", "SELECT o_orderkey, round(o_totalprice / 7, 2)::DOUBLE AS two FROM (SELECT o_orderkey, o_totalprice::DOUBLE AS o_totalprice FROM orders)")
+def m12(spark, sf):
+    return read(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice").cast("double") / 7, 2).alias("two"))
+
+
+@query("M13_arithmetic", "SELECT p_partkey, least(p_size, 20) AS low, round(sqrt(p_size), 6) AS root, round(ln(p_size + 1), 6) AS log, p_size ** 2 AS square FROM (SELECT p_partkey, p_size::DOUBLE AS p_size FROM part)")
+def m13(spark, sf):
+    s = F.col("p_size").cast("double")
+    return read(spark, sf, "part").select("p_partkey", F.least(s, F.lit(20.0)).alias("low"), six(F.sqrt(s)).alias("root"), six(F.log(s + 1)).alias("log"), F.pow(s, F.lit(2.0)).alias("square"))
+
+
+@query("M14_bits", "SELECT event_id, xor(event_id, 255) AS x, event_id & 15 AS low, event_id >> 2 AS half FROM events")
+def m14(spark, sf):
+    e = F.col("event_id")
+    return read(spark, sf, "events").select("event_id", e.bitwiseXOR(F.lit(255)).alias("x"), e.bitwiseAND(F.lit(15)).alias("low"), F.shiftright(e, 2).alias("half"))
+
+
+@query("M16_json", "SELECT n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' AS j FROM nation")
+def m16(spark, sf):
+    return read(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("j"))
+
+
+@query("M18_uuid_shape", "SELECT count(*) AS n, count(*) AS distinct_ids, true AS all_valid FROM customer")
+def m18(spark, sf):
+    c = read(spark, sf, "customer").withColumn("u", F.expr("uuid()"))
+    from loomspan.plans.lineage import cut
+
+    c = cut(c.select("u"))
+    return c.agg(F.count("*").alias("n"), F.countDistinct("u").alias("distinct_ids"), F.bool_and(F.col("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")).alias("all_valid"))
+
+
+@query("M19_null_rules", "SELECT event_id, coalesce(nullif(event_type, 'view'), 'seen') AS a, TRY_CAST(props AS INT) AS b FROM events")
+def m19(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.coalesce(F.nullif("event_type", F.lit("view")), F.lit("seen")).alias("a"), F.col("props").try_cast("int").alias("b"))
+
+
+@query("M20_percentages", "SELECT p_partkey, printf('%.0f%%', p_size::DOUBLE) AS share FROM part")
+def m20(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", F.format_string("%.0f%%", F.col("p_size").cast("double")).alias("share"))
+
+
+@query("N06_once_per_key", "SELECT user_id AS session_id, event_id // 2 AS k, min(event_id) AS first FROM events GROUP BY 1, 2")
+def n06(spark, sf):
+    e = read(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.expr("event_id div 2").alias("idempotency_key"), F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("position"))
+    kept = events.append_once(e.limit(0), e).where("not duplicate")
+    return kept.select("session_id", F.col("idempotency_key").alias("k"), F.col("position").alias("first"))
+
+
+@query("N11_heavy_limit", f"WITH {QUEUE_SQL}, x AS (SELECT * FROM (SELECT * FROM q WHERE status = 'pending' AND job_type = 'sync_vectors' ORDER BY priority, i, job_id LIMIT 9) UNION ALL SELECT * FROM (SELECT * FROM q WHERE status = 'pending' AND job_type <> 'sync_vectors' ORDER BY priority, i, job_id LIMIT 1)), y AS (SELECT * FROM x ORDER BY priority, i, job_id LIMIT 9) SELECT count(*) FILTER (job_type <> 'sync_vectors') AS heavy, count(*) AS claimed FROM y")
+def n11(spark, sf):
+    got = jobs.claim(_queue(spark, sf), F.timestamp_seconds(F.lit(1767325600)), 9)
+    return got.agg(F.count_if(F.col("job_type").isin(*jobs.HEAVY)).alias("heavy"), F.count("*").alias("claimed"))
+
+
+@query("N17_worker_limit", f"WITH {TELEMETRY_SQL} SELECT session_id, least(count(*), 30) AS n FROM ev GROUP BY 1")
+def n17(spark, sf):
+    top = relational.top_per_key(telemetry(spark, sf), ["session_id"], [F.asc("created_at"), F.asc("ordinal")], 30)
+    return top.groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("O11_scope_override", "SELECT * FROM (VALUES ('none', 'p1', 'p1'), ('p1', 'p1', 'p1'), ('p1', 'none', 'p1'), ('p1', 'p2', 'refused')) t(bound, asked, result)")
+def o11(spark, sf):
+    from loomspan.scope import ScopeError
+
+    def one(bound, asked):
+        try:
+            return Scope("o", "t", None if bound == "none" else bound).override(None if asked == "none" else asked).project_id
+        except ScopeError:
+            return "refused"
+
+    return spark.createDataFrame([(b, a, one(b, a)) for b, a in (("none", "p1"), ("p1", "p1"), ("p1", "none"), ("p1", "p2"))], "bound string, asked string, result string")
+
+
+@query("O02_tool_names", "SELECT unnest(['session_start', 'session_event_append', 'session_end', 'repository_sync', 'health_check', 'mem_search', 'context_build', 'context_compile_v2', 'graph_snapshot', 'knowledge_graph_export', 'knowledge_report', 'knowledge_query', 'knowledge_communities', 'memory_get_batch', 'memory_get', 'claim_govern']) AS name")
+def o02(spark, sf):
+    from loomspan.tools import definitions
+
+    return spark.createDataFrame([(d["name"],) for d in definitions()], "name string")
+
+
+@query("E14_scope_suffixes", "SELECT * FROM (VALUES ('p1', 'project_p1'), ('a b', 'project_a_b_' || left(sha256('a b'), 12))) t(project, suffix)")
+def e14(spark, sf):
+    return spark.createDataFrame([(p, retrieval.scope_suffix(p)) for p in ("p1", "a b")], "project string, suffix string")
+
+
+@query("J30_file_nodes", f"WITH {PATHS_SQL} SELECT 'file:' || path AS id, split_part(path, '/', 2) AS label FROM pth")
+def j30(spark, sf):
+    from loomspan.sources.code import code_graph, parts_of
+
+    p = _paths(spark, sf).select("path", F.lit(None).cast("string").alias("language"), F.lit("").alias("text"))
+    return code_graph(p.select("path"), parts_of(p))[0].where("node_type = 'file'").select("id", "label")
+
+
+@query("J17_rationale_comments", "SELECT page_id, 'TODO' AS tag, 'mend page ' || page_id AS body FROM pages WHERE page_id % 2 = 0")
+def j17(spark, sf):
+    from loomspan.sources.code import parts_of
+
+    note = F.concat(F.lit("x = 1\n"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("# TODO: mend page "), F.col("page_id").cast("string"))).otherwise("# nothing"))
+    files = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("python").alias("language"), note.alias("text"))
+    return parts_of(files).where("part = 'rationale'").select(F.col("path").cast("long").alias("page_id"), F.col("kind").alias("tag"), F.col("name").alias("body"))
+
+
+@query("J14_python_symbols", "SELECT page_id, 'run' || page_id AS name, 'function' AS kind FROM pages UNION ALL SELECT page_id, 'Box', 'class' FROM pages UNION ALL SELECT page_id, 'open', 'method' FROM pages")
+def j14(spark, sf):
+    from loomspan.sources.code import parts_of
+
+    code = F.concat(F.lit("def run"), F.col("page_id").cast("string"), F.lit("(x: int) -> str:\n    return helper(x)\n\nclass Box:\n    def open(self):\n        pass\n"))
+    files = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("python").alias("language"), code.alias("text"))
+    return parts_of(files).where("part = 'symbol'").select(F.col("path").cast("long").alias("page_id"), "name", "kind")
