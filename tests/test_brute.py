@@ -272,3 +272,58 @@ def test_claims_in_order_against_plain(spark):
     got = reconcile.reconcile_in_order(df.repartition(5)).collect()
     assert {(r.claim_id, r.prior_claim_id, r.relation) for r in got} == plain_fold(rows) and len(got) > 500
     assert reconcile.reconcile_in_order(df.limit(0)).collect() == []
+
+
+def test_display_projection_against_plain(spark):
+    """Seeds by degree and type, their neighbours, then the rest by degree."""
+    rng = random.Random(3)
+    nodes = [(f"n{i:02}", rng.choice(["file", "symbol", "section"])) for i in range(40)]
+    edges = sorted({(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(45)})
+    degree = {n: sum(a == n for a, _ in edges) + sum(b == n for _, b in edges) for n, _ in nodes}
+    best = lambda rows: sorted(rows, key=lambda n: (-degree[n], n))
+    seeds = {n for kind in ("file", "symbol", "section") for n in best([n for n, k in nodes if k == kind])[:3]}
+    near = {b for a, b in edges if a in seeds} | {a for a, b in edges if b in seeds}
+    want = sorted((n for n, _ in nodes), key=lambda n: (0 if n in seeds else 1 if n in near else 2, -degree[n], n))[:25]
+    n = spark.createDataFrame([(i, "l", k, "t", "s") for i, k in nodes], "id string, label string, node_type string, source_type string, source_id string")
+    got = graph.project_for_display(n, spark.createDataFrame(edges, "source string, target string"), 25, 3)
+    assert [r.id for r in got.collect()] == want
+
+
+def test_leiden_parts_are_connected_and_no_worse(spark):
+    rng = random.Random(9)
+    pairs = sorted({tuple(sorted((f"c{c}n{rng.randrange(9)}", f"c{c}n{rng.randrange(9)}"))) for c in range(4) for _ in range(40)} | {(f"c{c}n0", f"c{(c + 1) % 4}n0") for c in range(4)})
+    pairs = [(a, b) for a, b in pairs if a != b]
+    edges = spark.createDataFrame([(a, b, "r", "extracted", 1.0) for a, b in pairs], "source string, target string, relation string, evidence string, weight double")
+    nodes = spark.createDataFrame([(i, "file") for i in sorted({x for p in pairs for x in p})], "id string, node_type string")
+    quality, member = {}, {}
+    for method in ("greedy", "leiden"):
+        found = cluster.communities(nodes, edges, method)
+        member[method] = {r.id: r.community for r in found.collect()}
+        quality[method] = cluster.modularity(edges, found).first().modularity
+    assert quality["leiden"] >= quality["greedy"] - 1e-9 and quality["leiden"] > 0.4
+    for c in set(member["leiden"].values()):
+        own = {i for i, k in member["leiden"].items() if k == c}
+        reached, open_ = set(), [min(own)]
+        while open_:
+            x = open_.pop()
+            if x not in reached:
+                reached.add(x)
+                open_ += [b if a == x else a for a, b in pairs if x in (a, b) and a in own and b in own]
+        assert reached == own
+
+
+def test_hybrid_search_end_to_end(spark):
+    """Words and vectors meet, signals rank, families count once, a type filter holds where a hit of it is left."""
+    from loomspan.plans.search import hybrid_search
+
+    now = datetime(2026, 1, 1)
+    rows = [(1, "fact", "Parquet tables", "we store tables", 1), (2, "decision", "Use parquet", "parquet for all tables", 2), (3, "fact", "Parquet 2 tables!", "another copy of the family", 3), (4, "risk", "nothing", "unrelated words", 1), (5, "task", "only by vector", "words", 1)]
+    m = spark.createDataFrame([(i, k, t, c, "", now - timedelta(days=d), "verified", "repository") for i, k, t, c, d in rows], "id long, memory_type string, title string, content string, summary string, created_at timestamp, verification string, authority string")
+    vectors = spark.createDataFrame([(5, [1.0, 0.0]), (4, [0.0, 1.0])], "id long, embedding array<double>")
+    found = hybrid_search(m, ranking.Request(query="parquet tables", now=now), 5, [1.0, 0.1], vectors).collect()
+    ids = [r.id for r in sorted(found, key=lambda r: r["rank"])]
+    # By hand: 4 has 0.158 of its vector, 0.08 of its kind and 0.08 of its age; 2 has 0.021 of its words, 0.22 and 0.068.
+    assert ids == [1, 5, 4, 2] and sorted(r["rank"] for r in found) == [1, 2, 3, 4] and {r.level for r in found} == {"overview"}
+    typed = hybrid_search(m, ranking.Request(query="parquet tables", now=now, types=("decision",)), 5).collect()
+    assert [r.id for r in typed] == [2]
+    assert len(hybrid_search(m, ranking.Request(query="parquet", now=now, types=("open_question",)), 5).collect()) >= 1
