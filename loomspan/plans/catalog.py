@@ -426,9 +426,9 @@ def e07(spark, sf):
     return retrieval.batch_nearest(e, q, 3, "vec_id").select("query_id", "vec_id", six(F.col("similarity")).alias("similarity"))
 
 
-@query("E15_hybrid_merge", "WITH l AS (SELECT doc_id AS id, (doc_id % 9) / 9.0::DOUBLE AS s FROM documents WHERE doc_id % 2 = 0), v AS (SELECT vec_id AS id, (label + 1) / 10.0::DOUBLE AS d FROM embeddings) SELECT coalesce(l.id, v.id) AS id, round(greatest(coalesce(s, 0), coalesce(1.0 / (1.0 + d), 0)), 6)::DOUBLE AS score FROM l FULL JOIN v ON l.id = v.id")
+@query("E15_hybrid_merge", "WITH l AS (SELECT doc_id AS id, (doc_id % 9) / 9.0::DOUBLE AS s FROM documents), v AS (SELECT vec_id AS id, (label + 1) / 10.0::DOUBLE AS d FROM embeddings) SELECT coalesce(l.id, v.id) AS id, round(greatest(coalesce(s, 0), coalesce(1.0 / (1.0 + d), 0)), 6)::DOUBLE AS score FROM l FULL JOIN v ON l.id = v.id")
 def e15(spark, sf):
-    lexical = read(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), ((F.col("doc_id") % 9) / 9.0).alias("score"))
+    lexical = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), ((F.col("doc_id") % 9) / 9.0).alias("score"))
     near = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), ((F.col("label") + 1) / 10.0).alias("distance"))
     return ranking.merge_hybrid(lexical, near).select("id", six(F.col("score")).alias("score"))
 
@@ -841,9 +841,9 @@ def m06(spark, sf):
     return read(spark, sf, "pages").select("page_id", text.fnv1a(F.col("url")).alias("h"))
 
 
-@query("M08_line_numbers", "SELECT doc_id, length(left(text, 100)) - length(replace(left(text, 100), chr(10), '')) + 1 AS line FROM documents")
+@query("M08_line_numbers", "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS line FROM documents")
 def m08(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.line_number(F.col("text"), F.lit(100)).cast("long").alias("line"))
+    return read(spark, sf, "documents").select("doc_id", text.line_number(F.col("text"), F.length("text")).cast("long").alias("line"))
 
 
 @query("Q18_estimate_tokens", "SELECT doc_id, greatest(1, octet_length(encode(text)) // 4)::INT AS tokens FROM documents")

@@ -312,14 +312,14 @@ def d05(spark, sf):
     return relational.either_end_max(e, "a", "b", "w").select("id", F.round("weight", 2).alias("weight"))
 
 
-MENTION_SQL = "WITH f AS (SELECT DISTINCT 'src/' || w || '.py' AS path, w || '.py' AS name FROM (SELECT left(text, 3) AS w FROM documents WHERE doc_id % 10 = 0 AND length(trim(left(text, 3))) = 3 AND NOT contains(left(text, 3), '/'))), m AS (SELECT doc_id, left(coalesce(text, ''), 3) || '.py and ' || coalesce(text, '') AS t FROM documents) SELECT 'memory:' || doc_id AS source, 'file:' || path AS target FROM m JOIN f ON contains(t, name)"
+MENTION_SQL = "WITH f AS (SELECT DISTINCT 'src/' || w || '.py' AS path, w || '.py' AS name FROM (SELECT left(text, 3) AS w FROM documents WHERE length(trim(left(text, 3))) = 3 AND NOT contains(left(text, 3), '/'))), m AS (SELECT doc_id, left(coalesce(text, ''), 3) || '.py and ' || coalesce(text, '') AS t FROM documents) SELECT 'memory:' || doc_id AS source, 'file:' || path AS target FROM m JOIN f ON contains(t, name)"
 
 
 @query("C14_contains_join", MENTION_SQL)
 def c14(spark, sf):
     d = read(spark, sf, "documents")
     w = F.left("text", F.lit(3))
-    files = d.where((F.col("doc_id") % 10 == 0) & (F.length(F.trim(w)) == 3) & ~F.contains(w, F.lit("/"))).select(F.concat(F.lit("src/"), w, F.lit(".py")).alias("path")).distinct()
+    files = d.where((F.length(F.trim(w)) == 3) & ~F.contains(w, F.lit("/"))).select(F.concat(F.lit("src/"), w, F.lit(".py")).alias("path")).distinct()
     m = d.select(F.col("doc_id").alias("memory_id"), F.lit("").alias("title"), F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(3)), F.lit(".py and "), F.coalesce("text", F.lit(""))).alias("content"))
     return graph.mention_edges(m, files).select("source", "target")
 
@@ -671,9 +671,9 @@ def j09(spark, sf):
     return graph.structural_graph(telemetry(spark, sf))[0].where("node_type = 'tool'").select("id", "source_id")
 
 
-@query("K08_component_labels", f"WITH RECURSIVE {TELEMETRY_SQL}, e AS (SELECT DISTINCT 's' || session_id AS a, file_path AS b FROM ev WHERE file_path IS NOT NULL AND CAST(session_id AS INT) % 3 = 0), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT DISTINCT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.seen) SELECT node, min(seen) AS component FROM reach GROUP BY 1")
+@query("K08_component_labels", f"WITH RECURSIVE {TELEMETRY_SQL}, e AS (SELECT DISTINCT 's' || session_id AS a, file_path AS b FROM ev WHERE file_path IS NOT NULL), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT DISTINCT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.seen) SELECT node, min(seen) AS component FROM reach GROUP BY 1")
 def k08_labels(spark, sf):
-    e = telemetry(spark, sf).where("file_path is not null and cast(session_id as int) % 3 = 0").select(F.concat(F.lit("s"), "session_id").alias("a"), F.col("file_path").alias("b"))
+    e = telemetry(spark, sf).where("file_path is not null").select(F.concat(F.lit("s"), "session_id").alias("a"), F.col("file_path").alias("b"))
     return components.components(e.distinct())
 
 
@@ -756,9 +756,9 @@ def l08(spark, sf):
     return m.select("id", (context.authority_factor() * context.proof_density() * context.freshness()).alias("weight"))
 
 
-@query("M01_trims", "SELECT doc_id, lower(trim(left(text, 40))) AS t, starts_with(lower(text), 'the') AS s, ends_with(trim(text), '.') AS e FROM documents")
+@query("M01_trims", "SELECT doc_id, lower(trim(text)) AS t, starts_with(lower(text), 'the') AS s, ends_with(trim(text), '.') AS e FROM documents")
 def m01(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.lower(F.trim(F.left("text", F.lit(40)))).alias("t"), F.lower("text").startswith("the").alias("s"), F.trim("text").endswith(".").alias("e"))
+    return read(spark, sf, "documents").select("doc_id", F.lower(F.trim("text")).alias("t"), F.lower("text").startswith("the").alias("s"), F.trim("text").endswith(".").alias("e"))
 
 
 @query("M02_truncate", "SELECT doc_id, CASE WHEN length(text) > 50 THEN left(text, 50) || '...' ELSE text END AS cut FROM documents")
@@ -971,9 +971,9 @@ def b23(spark, sf):
     return spark.createDataFrame([(q, traverse.looks_like_path(q), traverse.looks_like_identifier(q)) for q in ASKED], "query string, path_like boolean, name_like boolean")
 
 
-@query("B19_clean_text", "SELECT doc_id, left(text, 30) || ' end' AS t FROM documents")
+@query("B19_clean_text", "SELECT doc_id, text || ' end' AS t FROM documents")
 def b19(spark, sf):
-    dirty = F.concat(F.left("text", F.lit(30)), F.lit("\\u0000"), F.lit("\x00 end"))
+    dirty = F.concat(F.col("text"), F.lit("\\u0000"), F.lit("\x00 end"))
     return read(spark, sf, "documents").select("doc_id", text.clean_nul(dirty).alias("t"))
 
 
@@ -987,9 +987,9 @@ def c12(spark, sf):
     return graph.similar_pairs(p, "page_id", "w", ["g"]).select(F.col("left").alias("l"), F.col("right").alias("r"), "shared")
 
 
-@query("C11_memory_similarity", f"WITH {MEMORIES_SQL}, t AS (SELECT id, project_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]{{3,}}')) AS w FROM mem WHERE id % 2 = 0) SELECT a.id AS l, b.id AS r FROM t a JOIN t b ON a.project_id = b.project_id AND a.id < b.id AND len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
+@query("C11_memory_similarity", f"WITH {MEMORIES_SQL}, t AS (SELECT id, project_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]{{3,}}')) AS w FROM mem) SELECT a.id AS l, b.id AS r FROM t a JOIN t b ON a.project_id = b.project_id AND a.id < b.id AND len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
 def c11(spark, sf):
-    m = memories(spark, sf).where("id % 2 = 0").withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z0-9_]{3,})"), F.lit(1))))
+    m = memories(spark, sf).withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z0-9_]{3,})"), F.lit(1))))
     return graph.similar_pairs(m, "id", "w", ["project_id"]).select(F.col("left").alias("l"), F.col("right").alias("r"))
 
 
@@ -1073,11 +1073,11 @@ def e02(spark, sf):
     return spark.createDataFrame([(q, "|".join("&".join(one(*c) for c in a) for a in retrieval.parse_query(q))) for q in WEB], "query string, parsed string")
 
 
-@query("E10_scoped_search", "WITH s AS (SELECT e.vec_id AS id, greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q WHERE e.vec_id % 3 = 0) SELECT id, round(s, 6) AS similarity FROM s ORDER BY round(s, 9) DESC, id LIMIT 7")
+@query("E10_scoped_search", "WITH s AS (SELECT e.vec_id AS id, greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q) SELECT id, round(s, 6) AS similarity FROM s ORDER BY round(s, 9) DESC, id LIMIT 7")
 def e10(spark, sf):
     e = read(spark, sf, "embeddings")
     q = list(e.where("vec_id = 1").first()["embedding"])
-    return retrieval.nearest(e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), "embedding"), q, 7).select("id", six(F.col("similarity")).alias("similarity"))
+    return retrieval.nearest(e.select(F.col("vec_id").alias("id"), "embedding"), q, 7).select("id", six(F.col("similarity")).alias("similarity"))
 
 
 @query("E11_collection_search", "WITH s AS (SELECT e.vec_id AS id, greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 2) q WHERE e.label = 4) SELECT id, round(1 - round(s, 9), 6) AS distance FROM s ORDER BY round(s, 9) DESC, id LIMIT 5")
@@ -1268,9 +1268,9 @@ def l12(spark, sf):
     return context.graph_items(page_nodes(spark, sf)).select("item_id", "summary")
 
 
-@query("M04_regex_replace", "SELECT doc_id, regexp_replace(left(text, 200), '[0-9]+', '#', 'g') AS t FROM documents")
+@query("M04_regex_replace", "SELECT doc_id, regexp_replace(text, '[0-9]+', '#', 'g') AS t FROM documents")
 def m04(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.regexp_replace(F.left("text", F.lit(200)), "[0-9]+", "#").alias("t"))
+    return read(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[0-9]+", "#").alias("t"))
 
 
 @query("M10_times", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS s FROM events")
