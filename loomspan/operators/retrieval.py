@@ -132,7 +132,7 @@ def match(docs: DataFrame, query: str, key: str = "id", fields: dict[str, float]
     names, weights = list(fields), list(fields.values())
     columns = [c for c in docs.columns if c != "rank"]
     source = docs.select(*columns, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_text_{f}") for f in names])
-    stems = _terms_of(parsed, True)
+    stems, positive = _terms_of(parsed, True), _terms_of(parsed, False)
 
     def run(batches):
         wanted = Wanted(stems)
@@ -143,7 +143,7 @@ def match(docs: DataFrame, query: str, key: str = "id", fields: dict[str, float]
                 at: dict[str, list[int]] = {}
                 for pos, _, term in placed:
                     at.setdefault(term, []).append(pos)
-                ranks.append(round(cover_density(parsed, [(p, weights[f], t) for p, f, t in placed]), 6) if _accepts(parsed, at) else None)
+                ranks.append(round(cover_density(parsed, [(p, weights[f], t) for p, f, t in placed if t in positive]), 6) if _accepts(parsed, at) else None)
             kept = pa.array(ranks, pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], kept], [*columns, "rank"]).filter(kept.is_valid())
 
@@ -151,12 +151,38 @@ def match(docs: DataFrame, query: str, key: str = "id", fields: dict[str, float]
     return source.mapInArrow(run, schema)
 
 
+def match_all(docs: DataFrame, queries: list[str], key: str = "id", fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+    """key, ranks: the documents that match any of the queries, with a rank for each that they match, else null. One pass over the texts."""
+    parsed = [parse_query(q) for q in queries]
+    names, weights = list(fields), list(fields.values())
+    stems = set().union(*[_terms_of(p, True) for p in parsed])
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        wanted = Wanted(stems)
+        for batch in batches:
+            out = []
+            for texts in zip(*(batch.column(1 + k).to_pylist() for k in range(len(names))), strict=True):
+                placed = placed_terms(texts, wanted)
+                at: dict[str, list[int]] = {}
+                for pos, _, term in placed:
+                    at.setdefault(term, []).append(pos)
+                places = [(p, weights[f], t) for p, f, t in placed]
+                ranks = [round(cover_density(p, [x for x in places if x[2] in _terms_of(p, False)]), 6) if p and _accepts(p, at) else None for p in parsed]
+                out.append(ranks if any(r is not None for r in ranks) else None)
+            found = pa.array(out, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], [key, "ranks"]).filter(found.is_valid())
+
+    return docs.select(key, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in names]).mapInArrow(run, f"{key} {kind}, ranks array<double>")
+
+
 def search_index(indexed: DataFrame, query: str, key: str = "id") -> DataFrame:
     """key, rank of the documents that match, from an index: only the query's terms are read, a document's rows meet in one shuffle."""
     parsed = parse_query(query)
     kind = indexed.schema[key].dataType.simpleString()
     if not parsed:
         return indexed.limit(0).select(key, F.lit(0.0).alias("rank"))
+    positive = _terms_of(parsed, False)
     rows = indexed.where(F.col("term").isin(*sorted(_terms_of(parsed, True)))).groupBy(key).agg(F.collect_list(F.struct("term", "weight", "positions")).alias("_rows"))
 
     def run(batches):
@@ -167,7 +193,7 @@ def search_index(indexed: DataFrame, query: str, key: str = "id") -> DataFrame:
                 at: dict[str, list[int]] = {}
                 for p, _, t in places:
                     at.setdefault(t, []).append(p)
-                ranks.append(round(cover_density(parsed, places), 6) if _accepts(parsed, at) else None)
+                ranks.append(round(cover_density(parsed, [x for x in places if x[2] in positive]), 6) if _accepts(parsed, at) else None)
             kept = pa.array(ranks, pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), kept], [key, "rank"]).filter(kept.is_valid())
 
@@ -299,27 +325,29 @@ def fan_out(items: DataFrame, scope: str = "") -> DataFrame:
     return items.withColumn("collection", F.explode(F.array_distinct(F.array(*parts))))
 
 
-# Cues of a query's intent, and of continuation.
-REPOSITORY_CUES = ("file", "function", "class", "module", "repository", "repo", "code", "implementation", "symbol", "import")
-HISTORY_CUES = ("session", "history", "timeline", "last time", "previously")
-MEMORY_CUES = ("decision", "decided", "task", "todo", "constraint", "remember", "memory", "why did")
+# Cues of an objective's intent, and of continuation.
+MEMORY_CUES = ("continue", "continuation", "previous", "prior", "last session", "what did we decide", "open task", "open loop", "recent decision")
+HISTORY_CUES = ("session history", "debugging history", "what happened in prior sessions", "past sessions", "session graph")
+REPOSITORY_CUES = ("codebase", "repository", "repo", "file", "symbol", "module", "import", "architecture", "api", "doc", "section", "heading", "class", "function", "struct")
+REWRITE_CUES = ("rewrite", "rephrase", "summarize", "translate", "format", "fix grammar", "clean up wording")
 CONTINUATION = (
-    "continue", "resume", "pick up where", "where we left off", "where did we leave", "what was i doing", "what were we doing", "what's next",
-    "what is next", "next steps", "carry on", "keep going", "last session", "previous session", "left off", "catch me up", "status update",
+    "continue", "continuation", "resume", "pick up where", "where we left off", "what were we", "what was i", "prior work", "previous session", "last session", "open task",
+    "open loop", "unfinished", "follow up", "what's next", "what is next", "next step",
 )
 
 
-def intent_of(query: str) -> str:
-    """none, memory_only, repository_only, session_graph_only or hybrid, by the query's cues."""
-    low = query.lower().strip()
-    if not low:
-        return "none"
-    repo, past, mem = (any(c in low for c in cues) for cues in (REPOSITORY_CUES, HISTORY_CUES, MEMORY_CUES))
-    if repo and not past and not mem:
-        return "repository_only"
+def intent_of(objective: str, has_files: bool = False) -> str:
+    """none, memory_only, repository_only, session_graph_only or hybrid, by the objective's cues and whether files are named."""
+    low = objective.lower()
+    mem, past, repo, only = (any(c in low for c in cues) for cues in (MEMORY_CUES, HISTORY_CUES, REPOSITORY_CUES, REWRITE_CUES))
+    repo = repo or has_files
     if past and not repo and not mem:
         return "session_graph_only"
-    return "memory_only" if mem and not repo and not past else "hybrid"
+    if repo:
+        return "hybrid" if mem else "repository_only"
+    if mem:
+        return "memory_only"
+    return "none" if only and not past else "hybrid"
 
 
 def is_continuation(query: str) -> bool:

@@ -32,7 +32,7 @@ def a06(spark, sf):
     return _paths(spark, sf).select("page_id", repository.file_kind(F.col("path")).alias("kind"))
 
 
-@query("A07_ignored_files", f"WITH {PATHS_SQL} SELECT page_id FROM pth WHERE starts_with(path, 'node_modules/') OR ends_with(path, '.lock') OR ends_with(path, '.min.js')")
+@query("A07_ignored_files", f"WITH {PATHS_SQL} SELECT page_id FROM pth WHERE starts_with(path, 'node_modules/') OR ends_with(path, '.min.js')")
 def a07(spark, sf):
     return _paths(spark, sf).where(repository.is_ignored(F.col("path"))).select("page_id")
 
@@ -47,10 +47,13 @@ def a17(spark, sf):
     return repository.manifest(_paths(spark, sf).select("path", F.col("html").cast("binary").alias("content")))
 
 
-@query("A04_file_dates", "WITH f AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'notes.jsonl' ELSE 'rollout-' || strftime(ts, '%Y-%m-%dT%H') || '.jsonl' END AS name, ts FROM events) SELECT event_id FROM f WHERE name = 'notes.jsonl' OR (CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')")
+@query("A04_file_dates", "WITH f AS (SELECT event_id, event_id % 11 = 0 AS undated, CASE WHEN event_id % 11 = 1 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS moment FROM events) SELECT event_id FROM f WHERE undated OR moment BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:30:00'")
 def a04(spark, sf):
-    name = F.when(F.col("event_id") % 11 == 0, "notes.jsonl").otherwise(F.concat(F.lit("rollout-"), F.date_format("ts", "yyyy-MM-dd'T'HH"), F.lit(".jsonl")))
-    return read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("name", name).where(sessions.in_date_range(F.col("name"), "2024-01-05", "2024-01-20")).select("event_id")
+    i = F.col("event_id")
+    rollout = F.concat(F.lit("a/rollout-"), F.date_format("ts", "yyyy-MM-dd'T'HH-mm-ss"), F.lit("-x.jsonl"))
+    session = F.concat(F.lit("session-"), F.date_format("ts", "yyyy-MM-dd'T'HH-mm"), F.lit(".json"))
+    name = F.when(i % 11 == 0, "notes.jsonl").when(i % 11 == 1, session).otherwise(rollout)
+    return read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).where(sessions.in_date_range(name, "2024-01-05 00:00:00", "2024-01-20 12:30:00")).select("event_id")
 
 
 @query("A02_last_messages", "WITH m AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE text IS NOT NULL) SELECT CAST(conv_id AS VARCHAR) AS session_id, left(string_agg(text, chr(10) ORDER BY turn), 1500) AS summary FROM m WHERE n <= 5 GROUP BY 1")
@@ -59,11 +62,34 @@ def a02(spark, sf):
     return sessions.last_messages(c)
 
 
-@query("A32_exit_codes", f"WITH {TELEMETRY_SQL} SELECT event_id, exit_code, CASE WHEN ordinal % 3 = 0 THEN 'line ' || ordinal ELSE 'Exit code: ' || exit_code || ' done' END AS body FROM ev")
+@query("A32_exit_codes", f"WITH {TELEMETRY_SQL} SELECT event_id, CASE WHEN ordinal % 3 = 0 THEN exit_code END AS exit_code, CASE WHEN ordinal % 3 = 0 THEN 'ls -l ' || ordinal END AS command, CASE WHEN ordinal % 3 = 0 THEN 'line ' || ordinal WHEN ordinal % 3 = 1 THEN 'plain' END AS body FROM ev")
 def a32(spark, sf):
-    out = F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("Process exited with code "), F.col("exit_code").cast("string"), F.lit("\nOutput:\nline "), F.col("ordinal").cast("string"))).otherwise(F.concat(F.lit("Exit code: "), F.col("exit_code").cast("string"), F.lit(" done")))
-    e = telemetry(spark, sf).withColumn("raw", out)
-    return e.select("event_id", sessions.exit_code_of(F.col("raw")).alias("exit_code"), sessions.output_body(F.col("raw")).alias("body"))
+    n, code = F.col("ordinal").cast("string"), F.col("exit_code").cast("string")
+    whole = F.concat(F.lit("Command: ls -l "), n, F.lit("\nProcess exited with code "), code, F.lit("\nOutput:\nOutput:\nline "), n, F.lit("\n"))
+    e = telemetry(spark, sf).withColumn("raw", F.when(F.col("ordinal") % 3 == 0, whole).when(F.col("ordinal") % 3 == 1, " plain\n").otherwise("\t\n"))
+    return e.select("event_id", sessions.exit_code_of(F.col("raw")).alias("exit_code"), sessions.command_of(F.col("raw")).alias("command"), F.regexp_replace(sessions.output_body(F.col("raw")), "^Output:\n", "").alias("body"))
+
+
+@query("H03_record_messages", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a' || chr(10) || 'b' || event_id WHEN 1 THEN 'said' WHEN 2 THEN 'out' END AS message FROM events")
+def h03(spark, sf):
+    i, n = F.col("event_id"), F.col("event_id").cast("string")
+    parts = F.concat(F.lit('[{"text":"a"},{"other":1},{"text":"b'), n, F.lit('"}]'))
+    content = F.when(i % 4 == 0, parts).when(i % 4 == 1, "said").when(i % 4 == 3, "[]")
+    return read(spark, sf, "events").select("event_id", F.when(i % 4 == 2, sessions.output_body(F.lit("x\nOutput:\nout"))).otherwise(sessions.content_text(content)).alias("message"))
+
+
+RECORDS = (
+    ("response_item", "message", "user", "{}", "prompt"), ("response_item", "message", "assistant", "{}", "response"), ("response_item", "message", "developer", "{}", "annotation"),
+    ("response_item", "function_call", None, "{}", "tool_call"), ("response_item", "custom_tool_call_output", None, "{}", "tool_result"), ("response_item", "reasoning", None, "{}", "reasoning"),
+    ("response_item", "odd", None, "{}", None), ("event_msg", "agent_message", None, "{}", "agent_message"), ("event_msg", "token_count", None, "{}", None), ("event_msg", "x", None, '{"a":"it FAILED"}', "error"),
+    ("event_msg", "x", None, '{"a":"a test"}', "test_result"), ("event_msg", "x", None, '{"a":"b"}', "annotation"), ("turn_context", None, None, "{}", "turn_context"),
+)
+
+
+@query("H02_record_types", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in RECORDS) + ") t(top, kind, role, payload, event_type)")
+def h02_records(spark, sf):
+    r = spark.createDataFrame([x[:4] for x in RECORDS], "top string, kind string, role string, payload string")
+    return r.withColumn("event_type", sessions.record_type(F.col("top"), F.col("kind"), F.col("role"), F.col("payload")))
 
 
 @query("A19_batch_duplicates", "WITH b AS (SELECT event_id, user_id AS s, CAST(event_id // 2 AS VARCHAR) AS k, event_id AS p FROM events), st AS (SELECT DISTINCT user_id AS s, CAST(event_id // 2 AS VARCHAR) AS k FROM events WHERE event_id % 7 = 0) SELECT event_id, (row_number() OVER (PARTITION BY b.s, b.k ORDER BY p) > 1 OR st.k IS NOT NULL) AS duplicate FROM b LEFT JOIN st ON b.s = st.s AND b.k = st.k")
@@ -442,12 +468,47 @@ def e33(spark, sf):
     return ranking.disclose(memories(spark, sf).withColumn("final_score", F.col("importance")), 20).select("id", "rank", "level")
 
 
-QUERY_CUES = {"none": "", "repository_only": "which function", "session_graph_only": "last session history", "memory_only": "the decision", "hybrid": "decision in file"}
+OBJECTIVES = (
+    ("", "hybrid"), ("which function", "repository_only"), ("what happened in prior sessions", "hybrid"), ("debugging history", "session_graph_only"), ("last session", "memory_only"), ("continue in the file", "hybrid"),
+    ("rephrase this", "none"), ("summarize the module", "repository_only"), ("anything else", "hybrid"),
+)
 
 
-@query("E37_query_intents", " UNION ALL ".join(f"SELECT '{q}' AS query, '{i}' AS intent" for i, q in QUERY_CUES.items()))
+@query("E37_query_intents", "SELECT * FROM (VALUES ('', 'hybrid'), ('which function', 'repository_only'), ('what happened in prior sessions', 'memory_only'), ('debugging history', 'session_graph_only'), ('last session', 'memory_only'), ('continue in the file', 'hybrid'), ('rephrase this', 'none'), ('summarize the module', 'repository_only'), ('anything else', 'hybrid')) t(query, intent)")
 def e37(spark, sf):
-    return spark.createDataFrame([(q, retrieval.intent_of(q)) for q in QUERY_CUES.values()], "query string, intent string")
+    return spark.createDataFrame([(q, retrieval.intent_of(q)) for q, _ in OBJECTIVES], "query string, intent string")
+
+
+@query("E44_type_scopes", "SELECT * FROM (VALUES ('anything', 6, 12), ('decide on the rule', 8, 20), ('continue the unfinished task', 12, 33), ('verified result', 7, 16)) t(objective, scopes, hits)")
+def e44(spark, sf):
+    from loomspan.plans.search import type_scopes
+
+    return spark.createDataFrame([(o, len(type_scopes(o)), sum(n for _, n in type_scopes(o))) for o in ("anything", "decide on the rule", "continue the unfinished task", "verified result")], "objective string, scopes int, hits int")
+
+
+POINTS_SQL = "CASE verification WHEN 'verified' THEN 40 WHEN 'inferred' THEN 10 ELSE -6 END + CASE authority WHEN 'repository' THEN 30 WHEN 'test_verified' THEN 28 WHEN 'tool_verified' THEN 24 WHEN 'user_confirmed' THEN 18 WHEN 'session_derived' THEN 5 ELSE -12 END + CASE memory_type WHEN 'constraint' THEN 24 WHEN 'decision' THEN 22 WHEN 'fix' THEN 20 WHEN 'fact' THEN 20 WHEN 'task' THEN 18 WHEN 'open_question' THEN 18 WHEN 'bug' THEN 16 WHEN 'implementation_detail' THEN -4 ELSE -18 END + round(importance * 100)::INT"
+
+
+@query("E45_hit_priority", f"WITH {MEMORIES_SQL} SELECT id, ({POINTS_SQL})::INT AS priority FROM mem")
+def e45(spark, sf):
+    from loomspan.plans.search import hit_priority
+
+    return memories(spark, sf).withColumn("final_score", F.col("importance")).select("id", hit_priority("what is open").alias("priority"))
+
+
+@query("E43_context_hits", f"WITH {MEMORIES_SQL} SELECT id FROM mem WHERE memory_type NOT IN ('summary', 'implementation_detail') ORDER BY ({POINTS_SQL}) DESC, importance DESC, id LIMIT 12")
+def e43(spark, sf):
+    from loomspan.plans.search import best_hits
+
+    m = memories(spark, sf).withColumn("final_score", F.col("importance"))
+    return best_hits(m.unionByName(m.withColumn("final_score", F.col("final_score") - 0.3)), "what is open").select("id")
+
+
+@query("E49_context_words", "SELECT * FROM (VALUES ('how does it work', true), ('the patch', true), ('what is open', false)) t(objective, detail)")
+def e49(spark, sf):
+    from loomspan.plans.search import wants_detail
+
+    return spark.createDataFrame([(o, wants_detail(o)) for o in ("how does it work", "the patch", "what is open")], "objective string, detail boolean")
 
 
 @query("E46_bag_cosine", "WITH a AS (SELECT item_id AS id, t, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark) GROUP BY 1, 2), b AS (SELECT doc_id AS id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)) GROUP BY 1, 2), d AS (SELECT a.id, sum(a.n * b.n) AS dot, count(*) AS k FROM a JOIN b ON a.id = b.id AND a.t = b.t GROUP BY 1), x AS (SELECT id, sqrt(sum(n * n)) AS v FROM a GROUP BY 1), y AS (SELECT id, sqrt(sum(n * n)) AS v FROM b GROUP BY 1) SELECT coalesce(x.id, y.id) AS id, round(coalesce(dot / (x.v * y.v), 0), 6)::DOUBLE AS cosine, coalesce(k, 0) AS overlap FROM x FULL JOIN y ON x.id = y.id LEFT JOIN d ON d.id = coalesce(x.id, y.id)")
@@ -858,9 +919,9 @@ def n10(spark, sf):
     return jobs.collapse(_queue(spark, sf)).select("job_id", "status")
 
 
-@query("N12_job_plan", "SELECT CAST(c_custkey AS VARCHAR) AS session_id, unnest(['session_replay', 'reconcile_claims', 'derive_session', 'build_graph', 'sync_vectors']) AS job_type, unnest([20, 40, 50, 60, 70]) AS priority FROM customer")
+@query("N12_job_plan", "WITH p AS (SELECT c_custkey, unnest(['session_replay', 'reconcile_claims', 'derive_session', 'build_graph', 'sync_vectors']) AS job_type, unnest([20, 40, 50, 60, 70]) AS priority FROM customer) SELECT CAST(c_custkey AS VARCHAR) AS session_id, job_type, priority FROM p WHERE job_type <> 'session_replay' OR c_custkey % 3 = 0")
 def n12(spark, sf):
-    return jobs.plan(read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("session_id"))).select("session_id", "job_type", "priority")
+    return jobs.plan(read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("session_id"), (F.col("c_custkey") % 3 == 0).alias("unresolved_risk"))).select("session_id", "job_type", "priority")
 
 
 @query("N13_replay_states", "SELECT CAST(c_custkey AS VARCHAR) AS session_id, CASE WHEN c_custkey % 3 = 0 THEN 'failed' WHEN c_custkey % 2 = 0 THEN 'ready' ELSE 'queued' END AS status FROM customer")
@@ -1146,9 +1207,9 @@ def e47(spark, sf):
     return memories(spark, sf).select("id", ranking.family_key(F.col("title"), F.col("summary")).alias("family"))
 
 
-@query("E38_continuations", "SELECT * FROM (VALUES ('where did we leave it', true), ('parquet tables', false), ('Continue the work', true), ('what is next', true)) t(query, asks)")
+@query("E38_continuations", "SELECT * FROM (VALUES ('where did we leave it', false), ('parquet tables', false), ('Continue the work', true), ('what is next', true), ('prior work', true), ('open loops', true)) t(query, asks)")
 def e38(spark, sf):
-    return spark.createDataFrame([(q, retrieval.is_continuation(q)) for q in ("where did we leave it", "parquet tables", "Continue the work", "what is next")], "query string, asks boolean")
+    return spark.createDataFrame([(q, retrieval.is_continuation(q)) for q in ("where did we leave it", "parquet tables", "Continue the work", "what is next", "prior work", "open loops")], "query string, asks boolean")
 
 
 @query("F07_consecutive_pairs", f"WITH {TELEMETRY_SQL}, {EPISODES_SQL}, ep AS (SELECT DISTINCT session_id, episode FROM eps) SELECT 'episode:' || session_id || ':' || episode AS source, 'episode:' || session_id || ':' || nxt AS target FROM (SELECT *, lead(episode) OVER (PARTITION BY session_id ORDER BY episode) AS nxt FROM ep) WHERE nxt IS NOT NULL")
@@ -1377,7 +1438,7 @@ def j30(spark, sf):
 def j17(spark, sf):
     from loomspan.sources.code import parts_of
 
-    note = F.concat(F.lit("x = 1\n"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("# TODO: mend page "), F.col("page_id").cast("string"))).otherwise("# nothing"))
+    note = F.concat(F.lit("x = 1\n"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("y = 2  # TODO: mend page "), F.col("page_id").cast("string"))).otherwise("# BUG: not a tag, nor TODO without its colon"))
     files = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("python").alias("language"), note.alias("text"))
     return parts_of(files).where("part = 'rationale'").select(F.col("path").cast("long").alias("page_id"), F.col("kind").alias("tag"), F.col("name").alias("body"))
 

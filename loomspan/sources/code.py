@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RATIONALE = re.compile(r"(?:#|//|--|/\*|\*)\s*(TODO|FIXME|HACK|NOTE|WHY|XXX|BUG|OPTIMIZE)\b[:\s]*(.*)")
+# Tags of rationale comments, and those that count without a colon where a language has no parser here.
+TAGS, PLAIN_TAGS = ("WHY", "NOTE", "IMPORTANT", "RATIONALE", "HACK", "FIXME", "TODO", "XXX"), ("WHY", "NOTE", "IMPORTANT", "RATIONALE")
+_COMMENT = re.compile(r"(?:#|//|--|/\*|^\s*\*|<!--)(.*)")
+_PLAIN = re.compile(rf"(?://|#|/\*)\s*({'|'.join(PLAIN_TAGS)})\s*:?\s*(.+)$")
 # Declarations by language family.
 _C = r"^\s*(?:[\w:<>*&~\[\]]+\s+)+[*&]*(?P<name>\w+)\s*\([^;{]*\)\s*(?:const\s*)?\{"
 SYMBOLS = {
@@ -41,14 +44,26 @@ def parse(language: str | None, text: str) -> list[tuple]:
     """Parts of a file: (part, name, kind, line, owner, detail)."""
     if language == "python":
         try:
-            return _python(text) + _rationales(text)
+            return _python(text) + _rationales(language, text)
         except (SyntaxError, ValueError, RecursionError):
             pass
-    return _by_pattern(language, text) + _rationales(text)
+    return _by_pattern(language, text) + _rationales(language, text)
 
 
-def _rationales(text: str) -> list[tuple]:
-    return [("rationale", m[2].strip()[:200], m[1], n, None, None) for n, line in enumerate(text.split("\n"), 1) if (m := RATIONALE.search(line))]
+def _rationales(language: str | None, text: str) -> list[tuple]:
+    """What follows a tag and its colon in a comment, for each tag; without a language what follows one of four tags."""
+    out = []
+    for n, line in enumerate(text.split("\n"), 1):
+        if language is None:
+            if (m := _PLAIN.search(line)) and m[2].strip():
+                out.append(("rationale", m[2].strip(), m[1], n, None, None))
+        elif m := _COMMENT.search(line):
+            for tag in TAGS:
+                if f"{tag}:" in m[1]:
+                    body = m[1].split(f"{tag}:", 1)[1].strip().removesuffix("*/").removesuffix("-->").strip()
+                    if body:
+                        out.append(("rationale", body, tag, n, None, None))
+    return out
 
 
 def _python(text: str) -> list[tuple]:
@@ -126,7 +141,7 @@ def headings(docs: DataFrame, key: str = "path") -> DataFrame:
 
 def heading_kind(title: Column) -> Column:
     low = F.lower(title)
-    return F.when(low.rlike("decision|decided|adr"), "decision").when(low.rlike("todo|task|next step|roadmap"), "task").when(low.rlike("why|rationale|motivation|background"), "rationale").otherwise("section")
+    return F.when(low.rlike("decision"), "decision").when(low.rlike("task|todo"), "task").when(low.rlike("why|rationale"), "rationale").otherwise("section")
 
 
 def path_mentions(docs: DataFrame, known: DataFrame, key: str = "path") -> DataFrame:
@@ -139,9 +154,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """path, name, target: the first of an import's candidate paths that is a file.
 
     Relative names go from the file's folder, dotted ones are folders; ten
-    suffixes are tried in order.
+    suffixes are tried in order, then those of Python and Rust.
     """
-    suffixes = ("", ".ts", ".tsx", ".js", ".jsx", ".py", ".rs", "/index.ts", "/index.js", "/__init__.py")
+    suffixes = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", ".py", ".rs", "/__init__.py")
     from loomspan.functions.text import normal_path
 
     folder = F.regexp_replace("path", "[^/]*$", "")

@@ -17,18 +17,25 @@ from loomspan.schemas import lookup
 
 # Fixed values.
 CODE = (
-    "py pyi js jsx ts tsx mjs cjs rs go java kt kts scala c h cc cpp cxx hpp cs rb php swift m mm lua r jl ex exs erl hs ml sh bash zsh ps1 sql vue svelte dart zig"
+    "ts tsx js jsx mjs cjs py go rs java c cc cpp h hpp cxx hxx rb cs kt kts scala php swift lua zig ps1 sh sql css scss sass less vue svelte astro ex exs m mm jl dart"
 ).split()
-DOCUMENTS = "md mdx txt rst adoc toml yaml yml json xml".split()
-IMAGES, MEDIA = "png jpg jpeg gif webp".split(), "mp3 mp4 wav m4a mov".split()
+DOCUMENTS = "md mdx html htm txt rst yaml yml json jsonc".split()
+IMAGES, MEDIA = "png jpg jpeg webp gif".split(), "mp4 mov m4v mp3 wav".split()
 KINDS = {**dict.fromkeys(CODE, "code"), **dict.fromkeys(DOCUMENTS, "document"), "docx": "office_document", "xlsx": "spreadsheet", "pptx": "presentation", "pdf": "pdf", **dict.fromkeys(IMAGES, "image"), **dict.fromkeys(MEDIA, "media")}
 LANGUAGES = {
-    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "tsx", "rs": "rust",
-    "go": "go", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "kt": "kotlin", "kts": "kotlin",
-    "scala": "scala", "swift": "swift", "lua": "lua", "jl": "julia", "ex": "elixir", "exs": "elixir", "sh": "bash", "bash": "bash", "zig": "zig", "hs": "haskell",
+    "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go", "rs": "rust", "java": "java",
+    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "mm": "cpp", "rb": "ruby", "cs": "csharp", "kt": "kotlin", "kts": "kotlin",
+    "scala": "scala", "sc": "scala", "php": "php", "swift": "swift", "lua": "lua", "zig": "zig", "ex": "elixir", "exs": "elixir", "jl": "julia", "m": "c",
 }
-IGNORED_DIRS = (".git", "node_modules", "dist", "build", ".next", "coverage", "target", "vendor", "__pycache__", ".venv", ".idea", ".cache")
-IGNORED_NAMES = r"(^\.env)|(\.(pem|key|lock|map|min\.js|min\.css)$)|(^(package-lock\.json|pnpm-lock\.yaml|yarn\.lock|cargo\.lock|poetry\.lock|id_rsa|id_ed25519)$)|(\.generated\.)"
+IGNORED_DIRS = (
+    ".git", ".svn", ".hg", "node_modules", ".pnp", ".yarn", "dist", "build", "out", ".output", ".next", ".nuxt", ".vercel", ".netlify", ".turbo", ".parcel-cache", ".cache", ".rollup.cache",
+    "target", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "venv", ".venv", "bin", "obj", ".idea", ".vscode", ".vs", "coverage", ".nyc_output", ".docusaurus", "secrets",
+)
+IGNORED_FILES = (
+    ".DS_Store", "Thumbs.db", ".env", ".env.local", ".env.development", ".env.production", ".env.staging", ".env.test", "credentials.json", "serviceAccountKey.json",
+    "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "composer.lock", "Cargo.lock", "Gemfile.lock",
+)
+IGNORED_ENDS = (".pem", ".key", ".p12", ".pfx", ".secret", ".secrets", ".min.js", ".min.css", ".map", ".tsbuildinfo", ".d.ts", ".generated.ts", ".generated.js")
 TEXT_CAP, BINARY_CAP, OFFICE_BUDGET = 256 * 1024, 16 * 1024 * 1024, 2_000_000
 
 
@@ -42,13 +49,17 @@ def language(path: Column) -> Column:
 
 def is_ignored(path: Column) -> Column:
     """Secrets, locks, minified and generated files, and whatever is in an ignored folder."""
-    parts = F.split(path, "/")
-    return F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_DIRS))) | F.lower(basename(path)).rlike(IGNORED_NAMES)
+    folders, name = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), basename(path)
+    secret = (name.startswith(".env") & (name != ".env.example")) | (name.contains("credentials") & name.endswith(".json")) | name.startswith("__generated__")
+    out = F.arrays_overlap(folders, F.array(*map(F.lit, IGNORED_DIRS))) | name.isin(*IGNORED_FILES) | secret
+    for end in IGNORED_ENDS:
+        out = out | name.endswith(end)
+    return out
 
 
 def sync_rules(spark: SparkSession) -> DataFrame:
     """The extensions and ignored names that clients go by."""
-    rows = [("extension", k, v) for k, v in KINDS.items()] + [("ignored_dir", d, None) for d in IGNORED_DIRS]
+    rows = [("extension", k, v) for k, v in KINDS.items()] + [("ignored_dir", d, None) for d in IGNORED_DIRS] + [("ignored_file", d, None) for d in (*IGNORED_FILES, *IGNORED_ENDS)] + [("ignored_file", d, None) for d in (*IGNORED_FILES, *IGNORED_ENDS)]
     return spark.createDataFrame(rows, "rule string, name string, kind string")
 
 

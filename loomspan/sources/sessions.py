@@ -8,38 +8,71 @@ from pyspark.sql import functions as F
 from loomspan.functions.text import clean_nul, clip, stable_id
 from loomspan.operators.events import event_type
 
+_PAYLOAD = (
+    "type:string,id:string,cwd:string,role:string,message:string,text:string,command:string,cmd:string,arguments:string,name:string,tool_name:string,file_path:string,"
+    "exit_code:int,output:string,summary:string,content:string,event_type:string,git:struct<branch:string>"
+)
 _LINE = (
     "type string, timestamp string, session_id string, sessionId string, role string, text string, message string, command string, tool_name string, "
-    "name string, file_path string, exit_code int, output string, payload struct<type:string,id:string,cwd:string,role:string,message:string,text:string,"
-    "command:string,name:string,file_path:string,exit_code:int,output:string,git:struct<branch:string>>"
+    f"name string, file_path string, exit_code int, output string, subtype string, content string, payload struct<{_PAYLOAD}>"
 )
 
 
-def file_date(path: Column) -> Column:
-    """The date in a file's name, if it has one."""
-    found = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})", 0)
-    return F.to_date(F.regexp_replace(F.nullif(found, F.lit("")), "[-_]", ""), "yyyyMMdd")
+def file_time(path: Column) -> Column:
+    """The time in a file's name: rollout-YYYY-MM-DDTHH-MM-SS- or session-YYYY-MM-DDTHH-MM; null without one."""
+    name = F.element_at(F.split(path, "/"), -1)
+    day = r"(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})"
+    rollout, session = rf"rollout-{day}-(\d{{2}})-", rf"session-{day}"
+    part = lambda pattern, *k: [F.regexp_extract(name, pattern, i) for i in k]
+    full = F.concat(*[x for d, t in zip(part(rollout, 1, 2, 3, 4), (" ", ":", ":", ""), strict=True) for x in (d, F.lit(t))])
+    short = F.concat(*[x for d, t in zip(part(session, 1, 2, 3), (" ", ":", ":00"), strict=True) for x in (d, F.lit(t))])
+    return F.coalesce(F.when(name.rlike(rollout), F.try_to_timestamp(full)), F.when(name.rlike(session), F.try_to_timestamp(short)))
 
 
 def in_date_range(path: Column, since: str | None, until: str | None) -> Column:
-    """Files whose date is in the range; undated names pass."""
-    day = file_date(path)
+    """Files whose time is in the range; names without one pass."""
+    at = file_time(path)
     out = F.lit(True)
     if since:
-        out = out & (day.isNull() | (day >= F.lit(since).cast("date")))
+        out = out & (at.isNull() | (at >= F.lit(since).cast("timestamp")))
     if until:
-        out = out & (day.isNull() | (day <= F.lit(until).cast("date")))
+        out = out & (at.isNull() | (at <= F.lit(until).cast("timestamp")))
     return out
 
 
 def exit_code_of(output: Column) -> Column:
-    return F.nullif(F.regexp_extract(output, r"(?i)exit(?:ed with)? code:?\s*(-?[0-9]+)", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(output, r"(?:^|\n)Process exited with code\s+(-?\d+)", 1), F.lit("")).cast("int")
+
+
+def command_of(output: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(output, r"(?:^|\n)Command:\s*(.+)", 1)), F.lit(""))
 
 
 def output_body(output: Column) -> Column:
-    """What follows an Output: line, else all."""
-    body = F.regexp_extract(output, r"(?s)\bOutput:\s*\n(.*)$", 1)
-    return F.coalesce(F.nullif(body, F.lit("")), output)
+    """What follows the last line that is Output: alone, else all; without blanks around it, null if that is nothing."""
+    body = F.when(F.contains(output, F.lit("\nOutput:\n")), F.regexp_extract(output, r"(?s)^.*\nOutput:\n(.*)$", 1)).otherwise(output)
+    return F.nullif(F.btrim(body, F.lit(" \t\n\v\f\r")), F.lit(""))
+
+
+def record_type(top: Column, payload_type: Column, role: Column, payload: Column) -> Column:
+    """The event type of a record of provider logs by its kind, its payload's type and role, and words of the payload; null is no event.
+
+    Kinds that providers don't wrap go by their names, see ``event_type``.
+    """
+    low = lambda x: F.lower(F.coalesce(x, F.lit("")))
+    top_, kind, who, said = low(top), low(payload_type), low(role), low(payload)
+    item = (
+        F.when(kind == "message", F.when(who == "user", "prompt").when(who == "assistant", "response").otherwise("annotation"))
+        .when(kind.isin("function_call", "custom_tool_call"), "tool_call").when(kind.isin("function_call_output", "custom_tool_call_output"), "tool_result").when(kind == "reasoning", "reasoning")
+    )
+    notice = F.when(kind == "agent_message", "agent_message").when(kind == "token_count", None).when(said.contains("error") | said.contains("failed"), "error").when(said.contains("test"), "test_result").otherwise("annotation")
+    return F.when(top_ == "response_item", item).when(top_ == "event_msg", notice).when(top_ == "turn_context", "turn_context").otherwise(event_type(F.coalesce(top, role)))
+
+
+def content_text(content: Column) -> Column:
+    """A message's text: the content itself, or the texts of its parts, a line each."""
+    parts = F.filter(F.transform(F.from_json(content, "array<struct<text:string>>"), lambda x: x["text"]), lambda t: t.isNotNull() & (t != ""))
+    return F.when(F.ltrim(content).startswith("["), F.nullif(F.array_join(parts, "\n"), F.lit(""))).otherwise(content)
 
 
 def read_jsonl(spark: SparkSession, roots: list[str], since: str | None = None, until: str | None = None) -> DataFrame:
@@ -51,7 +84,7 @@ def read_jsonl(spark: SparkSession, roots: list[str], since: str | None = None,
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(roots, wholetext=True)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     kept = lines.where(~F.col("path").contains("logs.json")).where(in_date_range(F.col("path"), since, until)).where("trim(line) <> ''")
-    parsed = kept.withColumn("j", F.from_json("line", _LINE)).where("j is not null and (j.type is not null or j.role is not null)")
+    parsed = kept.withColumn("j", F.from_json("line", _LINE)).withColumn("raw", F.get_json_object("line", "$.payload")).where("j is not null and (j.type is not null or j.role is not null)")
     return _events(parsed)
 
 
@@ -59,7 +92,7 @@ def read_json(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Events of .json documents with a messages array."""
     docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(roots, wholetext=True)
     docs = docs.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", f"sessionId string, messages array<struct<{_LINE.replace(' ', ':').replace(',:', ',')}>>").alias("d"))
-    rows = docs.where(~F.col("path").contains("logs.json") & F.col("d").isNotNull()).select("path", F.col("d.sessionId").alias("sid"), F.posexplode("d.messages").alias("pos", "j"))
+    rows = docs.where(~F.col("path").contains("logs.json") & F.col("d").isNotNull()).select("path", F.col("d.sessionId").alias("sid"), F.lit(None).cast("string").alias("raw"), F.posexplode("d.messages").alias("pos", "j"))
     return _events(rows.withColumn("j", F.col("j").withField("sessionId", F.coalesce("j.sessionId", "sid"))).drop("sid"))
 
 
@@ -67,13 +100,19 @@ def _events(parsed: DataFrame) -> DataFrame:
     j, p = (lambda c: F.col(f"j.{c}")), (lambda c: F.col(f"j.payload.{c}"))
     head = F.first(F.when(j("type") == "session_meta", p("id")), True).over(Window.partitionBy("path"))
     output = F.coalesce(j("output"), p("output"))
+    top, wrapped = F.lower(F.coalesce(j("type"), F.lit(""))), F.lower(F.coalesce(p("type"), F.lit("")))
+    trimmed = lambda x: F.nullif(F.trim(x), F.lit(""))
+    plain = F.coalesce(j("text"), j("message"), content_text(j("content")), p("text"), p("message"), output_body(output))
+    item = F.when(wrapped == "function_call_output", output_body(p("output"))).otherwise(F.coalesce(content_text(p("content")), p("output"), p("summary")))
+    said = F.when(top == "event_msg", trimmed(p("message"))).when(top == "response_item", item).otherwise(plain)
+    asked = F.coalesce(trimmed(F.get_json_object(p("arguments"), "$.cmd")), trimmed(p("arguments")))
     out = parsed.select(
         "path", "pos", F.coalesce(j("session_id"), j("sessionId"), head, stable_id(F.col("path"))).alias("session_id"), F.col("pos").cast("long").alias("ordinal"),
-        event_type(F.coalesce(p("type"), j("type"), j("role"), p("role"))).alias("event_type"), j("type").alias("raw_type"),
-        clean_nul(F.coalesce(j("text"), j("message"), p("text"), p("message"), output_body(output))).alias("message"), F.coalesce(j("command"), p("command")).alias("command"),
-        F.coalesce(j("tool_name"), j("name"), p("name")).alias("tool_name"), F.coalesce(j("file_path"), p("file_path")).alias("file_path"),
-        F.coalesce(j("exit_code"), p("exit_code"), exit_code_of(output)).alias("exit_code"), F.try_to_timestamp(j("timestamp")).alias("created_at"),
-    ).where("raw_type is null or raw_type <> 'session_meta'")
+        record_type(F.coalesce(j("type"), j("role")), p("type"), F.coalesce(p("role"), j("role")), F.col("raw")).alias("event_type"), j("type").alias("raw_type"),
+        clean_nul(said).alias("message"), F.coalesce(command_of(output), trimmed(p("cmd")), asked, j("command"), p("command")).alias("command"),
+        F.coalesce(p("name"), p("tool_name"), j("tool_name"), j("name")).alias("tool_name"), F.coalesce(j("file_path"), p("file_path")).alias("file_path"),
+        F.coalesce(exit_code_of(output), j("exit_code"), p("exit_code")).alias("exit_code"), F.try_to_timestamp(j("timestamp")).alias("created_at"),
+    ).where("(raw_type is null or raw_type <> 'session_meta') and event_type is not null")
     ident = stable_id(F.concat_ws("\x01", "path", F.col("pos").cast("string")))
     return out.withColumn("event_id", ident).withColumn("idempotency_key", ident).drop("path", "pos", "raw_type")
 

@@ -13,9 +13,11 @@ BASE_SECONDS, MOST_SECONDS, MAX_ATTEMPTS = 5, 60, 5
 
 
 def plan(sessions: DataFrame) -> DataFrame:
-    """The jobs of completed sessions."""
+    """The jobs of completed sessions; where ``unresolved_risk`` is told, only sessions that have one are replayed."""
     jobs = F.array(*[F.struct(F.lit(k).alias("job_type"), F.lit(p).alias("priority")) for k, p in PLAN])
-    return sessions.select("session_id", F.explode(jobs).alias("j")).select("session_id", "j.job_type", "j.priority", F.concat_ws(":", "j.job_type", "session_id").alias("dedupe_key"))
+    risky = F.coalesce("unresolved_risk", F.lit(False)) if "unresolved_risk" in sessions.columns else F.lit(True)
+    each = sessions.select("session_id", risky.alias("_risk"), F.explode(jobs).alias("j")).where((F.col("j.job_type") != "session_replay") | F.col("_risk"))
+    return each.select("session_id", "j.job_type", "j.priority", F.concat_ws(":", "j.job_type", "session_id").alias("dedupe_key"))
 
 
 def enqueue(queue: DataFrame, fresh: DataFrame) -> DataFrame:

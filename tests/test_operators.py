@@ -164,8 +164,9 @@ def test_governance_and_as_of(spark):
 
 
 def test_query_cues():
-    assert [retrieval.intent_of(q) for q in ("", "which function", "last session history", "the decision", "decision in file")] == ["none", "repository_only", "session_graph_only", "memory_only", "hybrid"]
-    assert retrieval.is_continuation("Where did we leave it?") and not retrieval.is_continuation("parquet")
+    assert [retrieval.intent_of(q) for q in ("", "which function", "past sessions", "last session", "continue in the file", "rephrase it")] == ["hybrid", "repository_only", "session_graph_only", "memory_only", "hybrid", "none"]
+    assert retrieval.intent_of("rephrase it", True) == "repository_only"
+    assert retrieval.is_continuation("Where we left off?") and not retrieval.is_continuation("parquet")
     assert ranking.Request().intent == "hybrid"
 
 

@@ -8,11 +8,11 @@ from loomspan.sources import code, repository, sessions
 
 def test_jsonl(spark, tmp_path):
     lines = [
-        {"type": "session_meta", "payload": {"id": "S1"}}, {"type": "user", "message": "hello", "timestamp": "2025-01-02T03:04:05Z"}, "broken {", {"type": "shell", "command": "ls", "output": "Exit code: 2\nOutput:\nno such file"},
+        {"type": "session_meta", "payload": {"id": "S1"}}, {"type": "user", "message": "hello", "timestamp": "2025-01-02T03:04:05Z"}, "broken {", {"type": "shell", "command": "ls", "output": "Process exited with code 2\nOutput:\nno such file"},
     ]
     (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "run-2025-01-02.jsonl").write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
-    (tmp_path / "a" / "run-2024-01-02.jsonl").write_text(json.dumps({"role": "user", "text": "old", "sessionId": "S0"}))
+    (tmp_path / "a" / "rollout-2025-01-02T03-04-05-x.jsonl").write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
+    (tmp_path / "a" / "rollout-2024-01-02T03-04-05-x.jsonl").write_text(json.dumps({"role": "user", "text": "old", "sessionId": "S0"}))
     rows = sessions.read_jsonl(spark, [str(tmp_path)], since="2025-01-01").orderBy("ordinal").collect()
     assert [(r.session_id, r.event_type, r.message, r.exit_code) for r in rows] == [("S1", "prompt", "hello", None), ("S1", "command", "no such file", 2)]
     every = sessions.read_jsonl(spark, [str(tmp_path)])
@@ -20,6 +20,17 @@ def test_jsonl(spark, tmp_path):
     assert {r.session_id: r.summary for r in sessions.last_messages(every).collect()} == {"S0": "old", "S1": "hello\nno such file"}
 
 
+def test_records_of_provider_logs(spark, tmp_path):
+    lines = [
+        {"type": "session_meta", "payload": {"id": "R"}}, {"type": "turn_context", "payload": {"cwd": "/"}}, {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"text": "one"}, {"text": "two"}]}},
+        {"type": "response_item", "payload": {"type": "function_call", "name": "shell", "arguments": json.dumps({"cmd": "ls -l"})}}, {"type": "response_item", "payload": {"type": "function_call_output", "output": "Command: ls\nProcess exited with code 3\nOutput:\nnothing"}},
+        {"type": "event_msg", "payload": {"type": "token_count"}}, {"type": "event_msg", "payload": {"type": "notice", "message": " it failed "}},
+    ]
+    (tmp_path / "rollout.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = [(r.event_type, r.message, r.command, r.tool_name, r.exit_code) for r in sessions.read_jsonl(spark, [str(tmp_path)]).orderBy("ordinal").collect()]
+    assert got == [("turn_context", None, None, None, None), ("prompt", "one\ntwo", None, None, None), ("tool_call", None, "ls -l", "shell", None), ("tool_result", "nothing", "ls", None, 3), ("error", "it failed", None, None, None)]
+
+
 def test_json(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"sessionId": "J", "messages": [{"role": "user", "text": "one"}, {"role": "assistant", "text": "two"}]}))
     rows = sessions.read_json(spark, [str(tmp_path)]).orderBy("ordinal").collect()
