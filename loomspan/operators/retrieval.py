@@ -301,27 +301,29 @@ def quantise(vector: Column, bits: int = 4) -> Column:
 
 
 def collection_name(kind: Column) -> Column:
-    """A partition's name of a type: aliases, unsafe characters as _, empty as all."""
-    name = F.trim(F.lower(F.coalesce(kind, F.lit(""))))
-    name = F.when(name == "impl_detail", "implementation_detail").when(name == "open_q", "open_question").otherwise(name)
-    return F.when(name == "", "all").otherwise(F.regexp_replace(name, "[^a-z0-9_-]+", "_"))
+    """A partition's name of a type: lower case with _ for each character that is unsafe, short names of two types, all for none."""
+    name = F.regexp_replace(F.translate(F.coalesce(kind, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9_]", "_")
+    return F.when(name == "", "all").when(name == "implementation_detail", "impl_detail").when(name == "open_question", "open_q").otherwise(name)
 
 
-def safe_component(x: str, most: int = 40) -> str:
-    """A name part of safe characters; a changed or long one ends in a piece of its SHA-256."""
-    bare = re.sub(r"[^A-Za-z0-9_-]+", "_", x)
-    return bare if bare == x and len(x) <= most else f"{bare[: most - 13]}_{hashlib.sha256(x.encode()).hexdigest()[:12]}"
+def safe_component(x: str) -> str:
+    """A name part in lower case with _ for unsafe characters; a changed one ends in the first bytes of its SHA-256."""
+    plain = x.strip().translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    bare = re.sub("[^a-z0-9_-]", "_", plain).strip("_") or "value"
+    return bare if bare == plain else f"{bare}_{hashlib.sha256(x.encode()).hexdigest()[:8]}"
 
 
 def scope_suffix(project: str | None = None, user: str | None = None, namespace: str | None = None) -> str:
-    given = (("project", project), ("user", user), ("namespace", namespace))
-    return "_".join(f"{k}_{safe_component(v)}" for k, v in given if v)
+    """project_, user_ and namespace_ of those that are given, ids without dashes; global without any."""
+    short = lambda x: x.replace("-", "").lower() if re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", x) else safe_component(x)
+    parts = [f"{k}_{short(v)}" for k, v in (("project", project), ("user", user)) if v] + ([f"namespace_{safe_component(namespace)}"] if namespace else [])
+    return "_".join(parts) or "global"
 
 
 def fan_out(items: DataFrame, scope: str = "") -> DataFrame:
-    """Each item in the partitions all, its type, the scope, and scope and type."""
+    """Each item in the partitions all, its type, the scope's all, and scope and type."""
     kind = collection_name(F.col("memory_type"))
-    parts = [F.lit("all"), kind] + ([F.lit(f"all_{scope}"), F.concat(kind, F.lit(f"_{scope}"))] if scope else [])
+    parts = [F.lit("all"), kind] + ([F.lit(f"{scope}_all"), F.concat(F.lit(f"{scope}_"), kind)] if scope else [])
     return items.withColumn("collection", F.explode(F.array_distinct(F.array(*parts))))
 
 

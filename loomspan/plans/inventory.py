@@ -108,16 +108,16 @@ def a25(spark, sf):
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("json")).alias("chars"))
 
 
-KIND_SQL = "(['Fact', ' decision', 'impl_detail', 'open_q', '', 'a b/c'])[CAST(label % 6 + 1 AS INT)]"
-COLLECTION_SQL = f"CASE trim(lower({KIND_SQL})) WHEN '' THEN 'all' WHEN 'impl_detail' THEN 'implementation_detail' WHEN 'open_q' THEN 'open_question' ELSE regexp_replace(trim(lower({KIND_SQL})), '[^a-z0-9_-]+', '_', 'g') END"
+KIND_SQL = "(['Fact', ' decision', 'implementation_detail', 'open_question', '', 'a b-c'])[CAST(label % 6 + 1 AS INT)]"
+COLLECTION_SQL = f"CASE {KIND_SQL} WHEN '' THEN 'all' WHEN 'implementation_detail' THEN 'impl_detail' WHEN 'open_question' THEN 'open_q' ELSE regexp_replace(lower({KIND_SQL}), '[^a-z0-9_]', '_', 'g') END"
 
 
 def _typed_vectors(spark, sf):
-    kind = F.element_at(F.array(*map(F.lit, ("Fact", " decision", "impl_detail", "open_q", "", "a b/c"))), (F.col("label") % 6 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("Fact", " decision", "implementation_detail", "open_question", "", "a b-c"))), (F.col("label") % 6 + 1).cast("int"))
     return read(spark, sf, "embeddings").where("label >= 0").select(F.col("vec_id").alias("id"), kind.alias("memory_type"))
 
 
-@query("A35_vector_fan_out", f"WITH v AS (SELECT vec_id AS id, {COLLECTION_SQL} AS c FROM embeddings WHERE label >= 0) SELECT DISTINCT id, unnest(['all', c, 'all_project_p1', c || '_project_p1']) AS collection FROM v")
+@query("A35_vector_fan_out", f"WITH v AS (SELECT vec_id AS id, {COLLECTION_SQL} AS c FROM embeddings WHERE label >= 0) SELECT DISTINCT id, unnest(['all', c, 'project_p1_all', 'project_p1_' || c]) AS collection FROM v")
 def a35(spark, sf):
     return retrieval.fan_out(_typed_vectors(spark, sf), retrieval.scope_suffix("p1")).select("id", "collection")
 
@@ -901,7 +901,7 @@ def n07(spark, sf):
     return jobs.enqueue(q, fresh).select("job_id", "priority")
 
 
-@query("N08_claimed_jobs", f"WITH {QUEUE_SQL}, r AS (SELECT * FROM q WHERE status = 'pending' AND available_s <= 1767226100), x AS (SELECT * FROM (SELECT * FROM r WHERE job_type = 'sync_vectors' ORDER BY priority, i, job_id LIMIT 20) UNION ALL SELECT * FROM (SELECT * FROM r WHERE job_type <> 'sync_vectors' ORDER BY priority, i, job_id LIMIT 1)) SELECT job_id FROM x ORDER BY priority, i, job_id LIMIT 20")
+@query("N08_claimed_jobs", f"WITH {QUEUE_SQL}, r AS (SELECT * FROM q WHERE status = 'pending' AND available_s <= 1767226100), x AS (SELECT * FROM (SELECT * FROM r WHERE job_type <> 'build_graph' ORDER BY priority, i, job_id LIMIT 20) UNION ALL SELECT * FROM (SELECT * FROM r WHERE job_type = 'build_graph' ORDER BY priority, i, job_id LIMIT 1)) SELECT job_id FROM x ORDER BY priority, i, job_id LIMIT 20")
 def n08(spark, sf):
     return jobs.claim(_queue(spark, sf), F.timestamp_seconds(F.lit(1767226100)), 20).select("job_id")
 
@@ -1060,19 +1060,20 @@ def c13(spark, sf):
     return graph.continuity_edges(s).groupBy(F.substring("target", 9, 100).alias("session_id")).agg(F.count("*").alias("candidates"))
 
 
-CODE_SQL = "sym AS (SELECT DISTINCT 'f' || (c_custkey % 50) AS target, 'fn' || (c_custkey * 7 % 211) AS name FROM customer), imp AS (SELECT DISTINCT 'f' || (c_custkey % 50) AS path, 'f' || (c_custkey * 3 % 50) AS target FROM customer WHERE c_custkey % 4 = 0), cal AS (SELECT DISTINCT 'f' || (o_orderkey % 50) AS path, 'fn' || (o_orderkey % 300) AS name FROM orders)"
+CODE_SQL = "sym AS (SELECT DISTINCT 'd' || (c_custkey % 7) || '/f' || (c_custkey % 50) AS target, 'fn' || (c_custkey * 7 % 211) AS name FROM customer), imp AS (SELECT DISTINCT 'd' || (c_custkey % 7) || '/f' || (c_custkey % 50) AS path, 'd' || (c_custkey * 3 % 7) || '/f' || (c_custkey * 3 % 50) AS target FROM customer WHERE c_custkey % 4 = 0), cal AS (SELECT DISTINCT 'd' || (o_orderkey % 7) || '/f' || (o_orderkey % 50) AS path, 'fn' || (o_orderkey % 300) AS name FROM orders)"
 
 
-@query("C16_call_resolution", f"WITH {CODE_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY name) AS k FROM sym), x AS (SELECT c.path, c.name, n.target, CASE WHEN c.path = n.target THEN 0 WHEN i.path IS NOT NULL THEN 1 WHEN k = 1 THEN 2 ELSE 3 END AS tier FROM cal c JOIN n USING (name) LEFT JOIN imp i ON i.path = c.path AND i.target = n.target) SELECT path, name, target, CASE WHEN tier <= 1 THEN 'resolved' WHEN tier = 2 THEN 'inferred' ELSE 'ambiguous' END AS evidence FROM x QUALIFY row_number() OVER (PARTITION BY path, name ORDER BY tier, target) = 1")
+@query("C16_call_resolution", f"WITH {CODE_SQL}, x AS (SELECT c.path, c.name, s.target, i.path IS NOT NULL AS near, split_part(c.path, '/', 1) = split_part(s.target, '/', 1) AS beside FROM cal c JOIN sym s USING (name) LEFT JOIN imp i ON i.path = c.path AND i.target = s.target), g AS (SELECT path, name, count(*) AS n, min(target) AS first, count(*) FILTER (near) AS ni, min(target) FILTER (near) AS ti, count(*) FILTER (beside) AS nb, min(target) FILTER (beside) AS tb FROM x GROUP BY 1, 2) SELECT path, name, CASE WHEN n = 1 THEN first WHEN ni = 1 THEN ti WHEN nb = 1 THEN tb ELSE first END AS target, CASE WHEN n = 1 OR ni = 1 THEN 'resolved' WHEN nb = 1 THEN 'inferred' ELSE 'ambiguous' END AS evidence FROM g")
 def c16(spark, sf):
     from loomspan.sources.code import resolve_calls
 
     c, o = F.col("c_custkey"), F.col("o_orderkey")
-    name = lambda lead, x: F.concat(F.lit(lead), x.cast("string"))
+    path = lambda x: F.concat(F.lit("d"), (x % 7).cast("string"), F.lit("/f"), (x % 50).cast("string"))
+    name = lambda x: F.concat(F.lit("fn"), x.cast("string"))
     customers = read(spark, sf, "customer")
-    symbols = customers.select(name("f", c % 50).alias("path"), name("fn", c * 7 % 211).alias("name")).distinct()
-    imports = customers.where(c % 4 == 0).select(name("f", c % 50).alias("path"), name("f", c * 3 % 50).alias("target"))
-    calls = read(spark, sf, "orders").select(name("f", o % 50).alias("path"), F.lit(None).cast("string").alias("owner"), name("fn", o % 300).alias("name"))
+    symbols = customers.select(path(c).alias("path"), name(c * 7 % 211).alias("name")).distinct()
+    imports = customers.where(c % 4 == 0).select(path(c).alias("path"), path(c * 3).alias("target"))
+    calls = read(spark, sf, "orders").select(path(o).alias("path"), F.lit(None).cast("string").alias("owner"), name(o % 300).alias("name"))
     return resolve_calls(calls, symbols, imports).select("path", "name", "target", "evidence")
 
 
@@ -1389,7 +1390,7 @@ def n06(spark, sf):
     return kept.select("session_id", F.col("idempotency_key").alias("k"), F.col("position").alias("first"))
 
 
-@query("N11_heavy_limit", f"WITH {QUEUE_SQL}, x AS (SELECT * FROM (SELECT * FROM q WHERE status = 'pending' AND job_type = 'sync_vectors' ORDER BY priority, i, job_id LIMIT 9) UNION ALL SELECT * FROM (SELECT * FROM q WHERE status = 'pending' AND job_type <> 'sync_vectors' ORDER BY priority, i, job_id LIMIT 1)), y AS (SELECT * FROM x ORDER BY priority, i, job_id LIMIT 9) SELECT count(*) FILTER (job_type <> 'sync_vectors') AS heavy, count(*) AS claimed FROM y")
+@query("N11_heavy_limit", f"WITH {QUEUE_SQL}, x AS (SELECT * FROM (SELECT * FROM q WHERE status = 'pending' AND job_type <> 'build_graph' ORDER BY priority, i, job_id LIMIT 9) UNION ALL SELECT * FROM (SELECT * FROM q WHERE status = 'pending' AND job_type = 'build_graph' ORDER BY priority, i, job_id LIMIT 1)), y AS (SELECT * FROM x ORDER BY priority, i, job_id LIMIT 9) SELECT count(*) FILTER (job_type = 'build_graph') AS heavy, count(*) AS claimed FROM y")
 def n11(spark, sf):
     got = jobs.claim(_queue(spark, sf), F.timestamp_seconds(F.lit(1767325600)), 9)
     return got.agg(F.count_if(F.col("job_type").isin(*jobs.HEAVY)).alias("heavy"), F.count("*").alias("claimed"))
@@ -1421,9 +1422,9 @@ def o02(spark, sf):
     return spark.createDataFrame([(d["name"],) for d in definitions()], "name string")
 
 
-@query("E14_scope_suffixes", "SELECT * FROM (VALUES ('p1', 'project_p1'), ('a b', 'project_a_b_' || left(sha256('a b'), 12))) t(project, suffix)")
+@query("E14_scope_suffixes", "SELECT * FROM (VALUES ('p1', 'namespace_p1'), ('A b/', 'namespace_a_b_' || left(sha256('A b/'), 8)), (' ', 'namespace_value_' || left(sha256(' '), 8)), ('UP', 'namespace_up')) t(namespace, suffix)")
 def e14(spark, sf):
-    return spark.createDataFrame([(p, retrieval.scope_suffix(p)) for p in ("p1", "a b")], "project string, suffix string")
+    return spark.createDataFrame([(p, retrieval.scope_suffix(namespace=p)) for p in ("p1", "A b/", " ", "UP")], "namespace string, suffix string")
 
 
 @query("J30_file_nodes", f"WITH {PATHS_SQL} SELECT 'file:' || path AS id, split_part(path, '/', 2) AS label FROM pth")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.schemas import lookup
+
 # Tags of rationale comments, and those that count without a colon where a language has no parser here.
 TAGS, PLAIN_TAGS = ("WHY", "NOTE", "IMPORTANT", "RATIONALE", "HACK", "FIXME", "TODO", "XXX"), ("WHY", "NOTE", "IMPORTANT", "RATIONALE")
 _COMMENT = re.compile(r"(?:#|//|--|/\*|^\s*\*|<!--)(.*)")
@@ -168,20 +170,31 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return found.groupBy("path", "name").agg(F.min_by("target", "_pos").alias("target"))
 
 
+# Weights of calls by how they were resolved.
+CALL_WEIGHTS = {"resolved": 0.9, "inferred": 0.5, "ambiguous": 0.3}
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """path, owner, name, target, evidence: calls to symbols by bare name, in four tiers.
 
-    A symbol of the same file wins, then of an imported file, then a name that
-    is unique in the repository; the least path of others is ambiguous.
+    A name with one symbol in the repository is resolved; else one symbol among
+    the imported files resolves it; else one in the caller's folder is
+    inferred; else the symbol of the least path is ambiguous. Symbols that
+    nothing defines give no row. Each tier is an equi-join on its own counts, so
+    a call meets no list of symbols.
     """
-    table = symbols.select(F.col("path").alias("target"), "name").distinct()
-    counts = table.withColumn("_all", F.count("*").over(Window.partitionBy("name")))
-    near = imports.select("path", "target").distinct().withColumn("_imported", F.lit(True))
-    rows = calls.select("path", "owner", "name").distinct().join(counts, "name").join(near, ["path", "target"], "left")
-    tier = F.when(F.col("path") == F.col("target"), 0).when(F.col("_imported"), 1).when(F.col("_all") == 1, 2).otherwise(3)
-    best = rows.withColumn("_tier", tier).groupBy("path", "owner", "name").agg(F.min(F.struct("_tier", "target")).alias("_b"))
-    evidence = F.when(F.col("_b._tier") <= 1, "resolved").when(F.col("_b._tier") == 2, "inferred").otherwise("ambiguous")
-    return best.select("path", "owner", "name", F.col("_b.target").alias("target"), evidence.alias("evidence"))
+    own = [F.col("owner") if "owner" in symbols.columns else F.lit(None).cast("string").alias("owner")]
+    table = symbols.select(F.col("path").alias("target"), F.element_at(F.split("name", r"\."), -1).alias("name"), *own).distinct()
+    folder = lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1)
+    asked = calls.select("path", "owner", "name").distinct()
+    every = table.groupBy("name").agg(F.count("*").alias("_n"), F.min("target").alias("_first"))
+    near = imports.select("path", "target").distinct().join(table, "target").groupBy("path", "name").agg(F.count("*").alias("_i"), F.min("target").alias("_imported"))
+    beside = table.withColumn("_d", folder(F.col("target"))).groupBy("_d", "name").agg(F.count("*").alias("_b"), F.min("target").alias("_beside"))
+    rows = asked.join(every, "name").join(near, ["path", "name"], "left").withColumn("_d", folder(F.col("path"))).join(beside, ["_d", "name"], "left")
+    one, imported, close = F.col("_n") == 1, F.coalesce(F.col("_i") == 1, F.lit(False)), F.coalesce(F.col("_b") == 1, F.lit(False))
+    target = F.when(one, F.col("_first")).when(imported, F.col("_imported")).when(close, F.col("_beside")).otherwise(F.col("_first"))
+    evidence = F.when(one | imported, "resolved").when(close, "inferred").otherwise("ambiguous")
+    return rows.select("path", "owner", "name", target.alias("target"), evidence.alias("evidence"))
 
 
 def code_graph(files: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -198,7 +211,8 @@ def code_graph(files: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame
         .union(row(r, why, F.col("name"), "rationale")).union(row(imports, F.concat(F.lit("module:"), "name"), F.col("name"), "module"))
         .union(row(types, F.concat(F.lit("type:"), "name"), F.col("name"), "type"))
     )
-    edge = lambda df, a, b, rel, ev="extracted": df.select(a.alias("source"), b.alias("target"), (F.lit(rel) if isinstance(rel, str) else rel).alias("relation"), (F.lit(ev) if isinstance(ev, str) else ev).alias("evidence"), F.lit(1.0).alias("weight"), F.col("path").alias("source_file"))
+    weight = lambda ev: F.lit(1.0) if isinstance(ev, str) else lookup(ev, CALL_WEIGHTS, 1.0)
+    edge = lambda df, a, b, rel, ev="extracted": df.select(a.alias("source"), b.alias("target"), (F.lit(rel) if isinstance(rel, str) else rel).alias("relation"), (F.lit(ev) if isinstance(ev, str) else ev).alias("evidence"), weight(ev).alias("weight"), F.col("path").alias("source_file"))
     found = resolve_imports(imports, files)
     calls = resolve_calls(parts.where("part = 'call'"), s, found)
     caller = F.when(F.col("owner").isNull(), file(F.col("path"))).otherwise(symbol(F.col("path"), F.col("owner")))

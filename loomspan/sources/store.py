@@ -89,7 +89,7 @@ class Store:
     def search_vectors(self, query: list[float], k: int, types: list[str] | None = None, scope: str = "") -> DataFrame:
         """The k nearest of the asked collections; vectors of another size than the query's are an error."""
         names = types or ["all"]
-        asked = [f"{n}_{scope}" for n in names] if scope else names
+        asked = [f"{scope}_{n}" for n in names] if scope else names
         live = self.vectors().where(F.col("collection").isin(*asked))
         other = live.where(F.size("embedding") != len(query)).first()
         if other is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 ACTIVE = ("pending", "running")
 # Jobs of a completed session and their priorities, lower first.
 PLAN = (("session_replay", 20), ("reconcile_claims", 40), ("derive_session", 50), ("build_graph", 60), ("sync_vectors", 70))
-HEAVY = ("build_graph", "derive_session")
+HEAVY = ("build_graph",)
 BASE_SECONDS, MOST_SECONDS, MAX_ATTEMPTS = 5, 60, 5
 
 
