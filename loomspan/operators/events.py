@@ -129,6 +129,11 @@ def append_once(stored: DataFrame, batch: DataFrame, order: str = "position", se
     return marked.withColumn("duplicate", duplicate).select(*batch.columns, "duplicate")
 
 
+def merge_staged(stored: DataFrame, staged: DataFrame, order: str = "position") -> DataFrame:
+    """Stored events and those of a staging table whose keys are neither stored nor staged before: a bulk load in one merge."""
+    return stored.unionByName(append_once(stored, staged, order).where("not duplicate").select(*stored.columns))
+
+
 def turn_ids(events: DataFrame, key: str = "session_id", order: tuple[str, ...] = ("ordinal",)) -> DataFrame:
     """``turn``: counts turn_context events where a session has any, else prompts; 0 before the first."""
     whole = Window.partitionBy(key)

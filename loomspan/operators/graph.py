@@ -452,6 +452,48 @@ def project_for_display(nodes: DataFrame, edges: DataFrame, limit: int = 1200, p
     return tier.orderBy(F.coalesce("_seed", "_near", F.lit(2)), F.desc("degree"), "id").limit(limit).drop("_seed", "_near")
 
 
+def projected(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame]:
+    """At most so many nodes of a graph for a display, and of the edges among them the heaviest."""
+    kept = cut(project_for_display(nodes, edges, most_nodes).select(*nodes.columns))
+    ids = kept.select("id")
+    inside = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
+    return kept, cut(inside.orderBy(F.desc("weight"), "source", "target", "relation").limit(most_edges))
+
+
+def merged(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Two graphs as one: of a node that both have the right one's, edges by ``merge_edges``."""
+    (n, e), (m, f) = left, right
+    nodes = n.join(m.select("id"), "id", "left_anti").select(*n.columns).unionByName(m.select(*n.columns))
+    columns = ("source", "target", "relation", "evidence", "weight")
+    both = e.select(*columns, F.lit(1).alias("position")).unionByName(f.select(*columns, F.lit(2).alias("position")))
+    return nodes, merge_edges(both)
+
+
+def merged_projects(graphs: list[tuple[DataFrame, DataFrame]], most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame] | None:
+    """Graphs of several projects as one for a display: each is projected to what the ones before left over, one node and edge at least, until both bounds are reached."""
+    out = None
+    for nodes, edges in graphs:
+        have = (0, 0) if out is None else (out[0].count(), out[1].count())
+        if have[0] >= most_nodes and have[1] >= most_edges:
+            break
+        part = projected(nodes, edges, max(1, most_nodes - have[0]), max(1, most_edges - have[1]))
+        out = part if out is None else tuple(cut(x) for x in merged(out, part))
+    return out
+
+
+def layered(repository: list[tuple[DataFrame, DataFrame]], session: list[tuple[DataFrame, DataFrame]], most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame] | None:
+    """Both layers of all projects as one graph for a display, half of the bounds for the repository's, the rest for the sessions'."""
+    half = max(1, most_nodes // 2), max(1, most_edges // 2)
+    parts = [g for g in (merged_projects(repository, *half), merged_projects(session, max(1, most_nodes - half[0]), max(1, most_edges - half[1]))) if g is not None]
+    return merged(*parts) if len(parts) == 2 else parts[0] if parts else None
+
+
+def memory_communities(members: DataFrame) -> DataFrame:
+    """memory_id, community of the members (id, community) that are memories of uuid ids and have a community."""
+    uuid = "^memory:[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    return members.where(F.col("id").rlike(uuid) & F.col("community").isNotNull()).select(F.substring("id", 8, 36).alias("memory_id"), "community")
+
+
 def interleave(nodes: DataFrame, category: str = "node_type") -> DataFrame:
     """``place``: the best-linked of each category by turns."""
     nth = F.row_number().over(Window.partitionBy(category).orderBy(F.desc("degree"), "id"))

@@ -300,6 +300,15 @@ def quantise(vector: Column, bits: int = 4) -> Column:
     return F.transform(vector, lambda x: F.round((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) + 1) / 2 * top).cast("tinyint"))
 
 
+def nearest_quantised(vectors: DataFrame, query: list[float], k: int, bits: int = 4, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """The k nearest by the cosine of quantised components, taken back to -1 to 1."""
+    top = (1 << bits) - 1
+    back = lambda x: F.transform(x, lambda c: c / F.lit(top / 2) - 1)
+    q = quantise(F.array(*[F.lit(float(x)) for x in query]), bits)
+    similarity = F.greatest(F.lit(0.0), F.coalesce(cosine(back(quantise(F.col(vector), bits)), back(q)), F.lit(0.0)))
+    return vectors.withColumn("similarity", F.round(similarity, 9)).withColumn("distance", 1.0 - F.col("similarity")).orderBy(F.desc("similarity"), key).limit(k)
+
+
 def collection_name(kind: Column) -> Column:
     """A partition's name of a type: lower case with _ for each character that is unsafe, short names of two types, all for none."""
     name = F.regexp_replace(F.translate(F.coalesce(kind, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9_]", "_")

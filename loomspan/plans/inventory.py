@@ -1451,3 +1451,34 @@ def j14(spark, sf):
     code = F.concat(F.lit("def run"), F.col("page_id").cast("string"), F.lit("(x: int) -> str:\n    return helper(x)\n\nclass Box:\n    def open(self):\n        pass\n"))
     files = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("python").alias("language"), code.alias("text"))
     return parts_of(files).where("part = 'symbol'").select(F.col("path").cast("long").alias("page_id"), "name", "kind")
+
+
+BITS_SQL = "list_transform({v}, lambda x: round((greatest(-1.0, least(1.0, x::DOUBLE)) + 1) / 2 * 15) / 7.5 - 1)"
+
+
+@query("E12_quantised_search", f"WITH v AS (SELECT vec_id AS id, {BITS_SQL.format(v='embedding')} AS e FROM embeddings), s AS (SELECT v.id, round(greatest(0, list_cosine_similarity(v.e, q.e)), 9) AS s FROM v, (SELECT e FROM v WHERE id = 3) q) SELECT id, round(s, 6) AS similarity FROM s ORDER BY s DESC, id LIMIT 6")
+def e12_search(spark, sf):
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.nearest_quantised(e, list(e.where("id = 3").first()["embedding"]), 6).select("id", six(F.col("similarity")).alias("similarity"))
+
+
+@query("A20_staged_merge", "SELECT event_id FROM (SELECT event_id, user_id, event_id // 3 AS k FROM events) WHERE event_id % 5 = 0 UNION SELECT min(event_id) FROM (SELECT event_id, user_id, event_id // 3 AS k FROM events) e WHERE event_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 5 = 0 AND s.user_id = e.user_id AND s.event_id // 3 = e.k) GROUP BY user_id, k")
+def a20(spark, sf):
+    i = F.col("event_id")
+    e = read(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.expr("event_id div 3").alias("idempotency_key"), i.cast("string").alias("event_id"), i.alias("position"))
+    return events.merge_staged(e.where("position % 5 = 0"), e.where("position % 5 <> 0")).select(F.col("position").alias("event_id"))
+
+
+@query("E40_memory_communities", "SELECT c_custkey AS community, lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '-0000-0000-0000-000000000000' AS memory_id FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 5 <> 0")
+def e40(spark, sf):
+    c = F.col("c_custkey")
+    uuid = F.concat(F.lpad(c.cast("string"), 8, "0"), F.lit("-0000-0000-0000-000000000000"))
+    m = read(spark, sf, "customer").select(F.concat(F.when(c % 4 == 0, "file:").otherwise("memory:"), uuid).alias("id"), F.when(c % 5 != 0, c).alias("community"))
+    return graph.memory_communities(m)
+
+
+@query("G14_graph_merge", f"WITH {GRAPH_SQL} SELECT source, target, relation, CASE WHEN relation = 'located_in' THEN 2.0 ELSE weight END::DOUBLE AS weight, CASE WHEN relation = 'located_in' THEN 'extracted' ELSE evidence END AS evidence FROM edges")
+def g14(spark, sf):
+    n, e = order_graph(spark, sf)
+    again = e.where("relation = 'located_in'").withColumns({"weight": F.lit(2.0), "evidence": F.lit("extracted")})
+    return graph.merged((n, e), (n.where("node_type = 'nation'"), again))[1].select("source", "target", "relation", "weight", "evidence")

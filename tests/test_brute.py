@@ -327,3 +327,22 @@ def test_hybrid_search_end_to_end(spark):
     typed = hybrid_search(m, ranking.Request(query="parquet tables", now=now, types=("decision",)), 5).collect()
     assert [r.id for r in typed] == [2]
     assert len(hybrid_search(m, ranking.Request(query="parquet", now=now, types=("open_question",)), 5).collect()) >= 1
+
+
+def test_projects_share_a_display(spark):
+    """Each project gets what is left over, layers get half each, and of a node in two graphs the later one stays."""
+    node, edge = "id string, label string, node_type string, source_type string, source_id string", "source string, target string, relation string, evidence string, weight double"
+
+    def ring(name, n):
+        nodes = [(f"{name}{i}", f"{name} {i}", "file", "t", "s") for i in range(n)] + [("shared", name, "file", "t", "s")]
+        return spark.createDataFrame(nodes, node), spark.createDataFrame([(f"{name}{i}", f"{name}{(i + 1) % n}", "r", "extracted", 1.0 + i) for i in range(n)], edge)
+
+    a, b = ring("a", 4), ring("b", 6)
+    nodes, edges = graph.merged_projects([a, b], 8, 7)
+    assert nodes.count() <= 8 and edges.count() <= 7 and {r.id[0] for r in nodes.collect()} >= {"a", "b"}
+    nodes, edges = graph.merged_projects([a, b], 100, 100)
+    assert nodes.count() == 11 and edges.count() == 10 and nodes.where("id = 'shared'").first().label == "b"
+    assert graph.merged_projects([a, b], 5, 4)[0].where("id like 'b%'").isEmpty()
+    nodes, _ = graph.layered([a], [b], 8, 8)
+    assert 0 < nodes.where("id like 'a%'").count() <= 4 and 0 < nodes.where("id like 'b%'").count() <= 4
+    assert graph.layered([], [], 5, 5) is None and graph.layered([], [b], 50, 50)[0].count() == 7
