@@ -443,21 +443,35 @@ def incremental_sync(nodes: DataFrame, edges: DataFrame, fresh_nodes: DataFrame,
     return kept, links.select(*edges.columns)
 
 
-def project_for_display(nodes: DataFrame, edges: DataFrame, limit: int = 1200, per_type: int = 100) -> DataFrame:
-    """Nodes for a display of ``limit``: the best-linked of each type first, then their neighbours, then the rest by degree."""
-    d = nodes.join(degrees(nodes, edges).select("id", "degree"), "id")
-    seeds = d.withColumn("_r", F.row_number().over(Window.partitionBy("node_type").orderBy(F.desc("degree"), "id"))).where(F.col("_r") <= per_type)
-    near = both_ways(edges).join(seeds.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-    tier = d.join(seeds.select("id", F.lit(0).alias("_seed")), "id", "left").join(near.withColumn("_near", F.lit(1)), "id", "left")
-    return tier.orderBy(F.coalesce("_seed", "_near", F.lit(2)), F.desc("degree"), "id").limit(limit).drop("_seed", "_near")
-
-
-def projected(nodes: DataFrame, edges: DataFrame, most_nodes: int, most_edges: int) -> tuple[DataFrame, DataFrame]:
-    """At most so many nodes of a graph for a display, and of the edges among them the heaviest."""
-    kept = cut(project_for_display(nodes, edges, most_nodes).select(*nodes.columns))
-    ids = kept.select("id")
+# Buckets of node types that share a display; other types are symbols.
+BUCKETS = {"file": "files", "module": "files", "document": "docs", "section": "docs", "rationale": "docs"}
+
+
+def project_for_display(nodes: DataFrame, edges: DataFrame, most_nodes: int = 1200, most_edges: int = 3000) -> tuple[DataFrame, DataFrame]:
+    """A graph for a display of so many nodes and edges; one within both bounds as it is.
+
+    A third of the nodes at most are the first files, documents and symbols each,
+    then come neighbours of these in the order of their edges, then the rest in
+    order. Of the edges among them the first stay. Nodes come in order of
+    ``position`` or id, edges of ``position`` or their ends and relation.
+    """
+    if nodes.limit(most_nodes + 1).count() <= most_nodes and edges.limit(most_edges + 1).count() <= most_edges:
+        return nodes, edges
+    n_order = F.col("position") if "position" in nodes.columns else F.col("id")
+    e_order = F.struct("position") if "position" in edges.columns else F.struct("source", "target", "relation")
+    ranked = nodes.select("id", n_order.alias("_a"), lookup(F.col("node_type"), BUCKETS, "symbols").alias("_bucket"))
+    first = F.row_number().over(Window.partitionBy("_bucket").orderBy("_a"))
+    seeds = cut(ranked.withColumn("_n", first).where(F.col("_n") <= max(1, most_nodes // 3)).select("id", "_a"))
+    numbered = edges.select("source", "target", e_order.alias("_e"))
+    ends = numbered.select(F.col("source").alias("id"), F.col("target").alias("to"), "_e").unionByName(numbered.select(F.col("target").alias("id"), F.col("source").alias("to"), "_e"))
+    near = ends.join(seeds, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.struct("_a", "_e")).alias("_k"))
+    places = ranked.select("id", "_a").join(seeds.select("id", F.lit(0).alias("_seed")), "id", "left").join(near, "id", "left")
+    tier = F.when(F.col("_seed").isNotNull(), 0).when(F.col("_k").isNotNull(), 1).otherwise(2)
+    chosen = places.withColumn("_t", tier).orderBy("_t", F.when(F.col("_t") == 1, F.col("_k._a")).otherwise(F.col("_a")), F.when(F.col("_t") == 1, F.col("_k._e"))).limit(most_nodes)
+    ids = cut(chosen.select("id"))
+    kept = nodes.join(ids, "id", "left_semi").select(*nodes.columns)
     inside = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*edges.columns)
-    return kept, cut(inside.orderBy(F.desc("weight"), "source", "target", "relation").limit(most_edges))
+    return kept, inside.orderBy(e_order).limit(most_edges)
 
 
 def merged(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -476,7 +490,7 @@ def merged_projects(graphs: list[tuple[DataFrame, DataFrame]], most_nodes: int,
         have = (0, 0) if out is None else (out[0].count(), out[1].count())
         if have[0] >= most_nodes and have[1] >= most_edges:
             break
-        part = projected(nodes, edges, max(1, most_nodes - have[0]), max(1, most_edges - have[1]))
+        part = tuple(cut(x) for x in project_for_display(nodes, edges, max(1, most_nodes - have[0]), max(1, most_edges - have[1])))
         out = part if out is None else tuple(cut(x) for x in merged(out, part))
     return out
 

@@ -525,9 +525,15 @@ def f14(spark, sf):
     return graph.interleave(n.join(graph.degrees(n, e).select("id", "degree"), "id")).select("id", F.col("turn").cast("long").alias("turn"))
 
 
-@query("F15_display_projection")
+F15_SQL = f"""WITH {GRAPH_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM nodes ORDER BY id), seeds AS (SELECT * FROM r WHERE n <= 33), en AS (SELECT source, target, row_number() OVER (ORDER BY source, target, relation) AS e FROM edges),
+  near AS (SELECT t AS id, min(struct_pack(a := s.n, b := e)) AS k FROM (SELECT source AS f, target AS t, e FROM en UNION ALL SELECT target, source, e FROM en) x JOIN seeds s ON s.id = x.f GROUP BY 1),
+  placed AS (SELECT r.id, CASE WHEN s.id IS NOT NULL THEN 0 WHEN near.id IS NOT NULL THEN 1 ELSE 2 END AS tier, r.n, near.k FROM r LEFT JOIN seeds s ON s.id = r.id LEFT JOIN near ON near.id = r.id)
+  SELECT id FROM placed ORDER BY tier, CASE WHEN tier = 1 THEN k.a ELSE n END, CASE WHEN tier = 1 THEN k.b END LIMIT 100"""
+
+
+@query("F15_display_projection", F15_SQL)
 def f15(spark, sf):
-    return graph.project_for_display(*order_graph(spark, sf), limit=100, per_type=10).select("id", "degree")
+    return graph.project_for_display(*order_graph(spark, sf), 100, 150)[0].select("id")
 
 
 # --- G: sets, upserts ---------------------------------------------------------------

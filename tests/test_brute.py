@@ -274,19 +274,27 @@ def test_claims_in_order_against_plain(spark):
     assert reconcile.reconcile_in_order(df.limit(0)).collect() == []
 
 
-def test_display_projection_against_plain(spark):
-    """Seeds by degree and type, their neighbours, then the rest by degree."""
+@pytest.mark.parametrize(("most", "kinds"), [(15, ["file", "symbol", "section", "module", "bug"]), (21, ["file", "module"])])
+def test_display_projection_against_plain(spark, most, kinds):
+    """Seeds of each bucket in order, their neighbours in the order of edges, then the rest in order."""
     rng = random.Random(3)
-    nodes = [(f"n{i:02}", rng.choice(["file", "symbol", "section"])) for i in range(40)]
-    edges = sorted({(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(45)})
-    degree = {n: sum(a == n for a, _ in edges) + sum(b == n for _, b in edges) for n, _ in nodes}
-    best = lambda rows: sorted(rows, key=lambda n: (-degree[n], n))
-    seeds = {n for kind in ("file", "symbol", "section") for n in best([n for n, k in nodes if k == kind])[:3]}
-    near = {b for a, b in edges if a in seeds} | {a for a, b in edges if b in seeds}
-    want = sorted((n for n, _ in nodes), key=lambda n: (0 if n in seeds else 1 if n in near else 2, -degree[n], n))[:25]
-    n = spark.createDataFrame([(i, "l", k, "t", "s") for i, k in nodes], "id string, label string, node_type string, source_type string, source_id string")
-    got = graph.project_for_display(n, spark.createDataFrame(edges, "source string, target string"), 25, 3)
-    assert [r.id for r in got.collect()] == want
+    nodes = [(f"n{i:02}", rng.choice(kinds)) for i in range(40)]
+    edges = sorted({(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}", "r") for _ in range(60)})
+    chosen, count = [], {}
+    for n, k in nodes:
+        bucket = {"file": 0, "module": 0, "section": 1}.get(k, 2)
+        if count.get(bucket, 0) < most // 3:
+            count[bucket] = count.get(bucket, 0) + 1
+            chosen.append(n)
+    near = [y for s in list(chosen) for a, b, _ in edges for x, y in ((a, b), (b, a)) if x == s]
+    for n in [*near, *[n for n, _ in nodes]]:
+        if n not in chosen and len(chosen) < most:
+            chosen.append(n)
+    n, e = spark.createDataFrame([(i, "l", k) for i, k in nodes], "id string, label string, node_type string"), spark.createDataFrame(edges, "source string, target string, relation string")
+    got = graph.project_for_display(n, e, most, 7)
+    assert {r.id for r in got[0].collect()} == set(chosen) and len(chosen) == most
+    assert [tuple(r) for r in got[1].collect()] == [x for x in edges if {x[0], x[1]} <= set(chosen)][:7]
+    assert graph.project_for_display(n, e, 40, 100)[0].count() == 40
 
 
 def test_leiden_parts_are_connected_and_no_worse(spark):
@@ -344,5 +352,5 @@ def test_projects_share_a_display(spark):
     assert nodes.count() == 11 and edges.count() == 10 and nodes.where("id = 'shared'").first().label == "b"
     assert graph.merged_projects([a, b], 5, 4)[0].where("id like 'b%'").isEmpty()
     nodes, _ = graph.layered([a], [b], 8, 8)
-    assert 0 < nodes.where("id like 'a%'").count() <= 4 and 0 < nodes.where("id like 'b%'").count() <= 4
+    assert 0 < nodes.where("id like 'a%'").count() <= 4 and 0 < nodes.where("id like 'b%'").count() <= 4 and nodes.count() <= 8
     assert graph.layered([], [], 5, 5) is None and graph.layered([], [b], 50, 50)[0].count() == 7
