@@ -116,6 +116,13 @@ def _step1b(w: str, r1: int) -> str:
     return w
 
 
+def prefix(stemmed: str) -> str:
+    """What every word of a stem begins with: suffixes change its last two letters at most, but for the words of SPECIAL."""
+    if stemmed in ("die", "lie", "tie"):
+        return stemmed[0]
+    return stemmed[: max(1, len(stemmed) - (2 if len(stemmed) > 3 else 1))]
+
+
 def lexemes(text: str) -> list[tuple[int, str]]:
     """(position, stem) of the words of a text that are no stop words; positions, from 1, count all words."""
     return [(n, stem(w)) for n, w in enumerate(_WORD.findall(text.lower()), 1) if w not in STOPWORDS]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomspan.functions.stemming import Wanted, lexemes
+from loomspan.functions.stemming import Wanted, lexemes, prefix
 from loomspan.functions.text import EMBEDDING_SIZE, embedding_terms
 
 # Weights of the fields title, summary and content.
@@ -118,6 +119,19 @@ def cover_density(parsed: list[list[Condition]], places: list[tuple[int, float,
     return total
 
 
+def _possible(parsed: list[list[Condition]], fields: list[str]) -> Column:
+    """Whether a document can match: of some alternative, words begin as each of its lexemes must. Null fields hold nothing."""
+    out = F.lit(False)
+    for conditions in parsed:
+        one = F.lit(True)
+        for minus, placed in conditions:
+            for _, t in [] if minus else placed:
+                begins = rf"(?iu)(?<![\p{{L}}\p{{N}}_]){re.escape(prefix(t))}"
+                one = one & functools.reduce(lambda x, y: x | y, [F.coalesce(F.col(f).cast("string").rlike(begins), F.lit(False)) for f in fields])
+        out = out | one
+    return out
+
+
 def match(docs: DataFrame, query: str, key: str = "id", fields: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
     """Matching documents, all their columns, with ``rank``, their cover density.
 
@@ -131,7 +145,7 @@ def match(docs: DataFrame, query: str, key: str = "id", fields: dict[str, float]
         return docs.limit(0).withColumn("rank", F.lit(0.0))
     names, weights = list(fields), list(fields.values())
     columns = [c for c in docs.columns if c != "rank"]
-    source = docs.select(*columns, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_text_{f}") for f in names])
+    source = docs.where(_possible(parsed, names)).select(*columns, *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_text_{f}") for f in names])
     stems, positive = _terms_of(parsed, True), _terms_of(parsed, False)
 
     def run(batches):

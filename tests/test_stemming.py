@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.functions.stemming import STOPWORDS, lexemes, stem
+from loomspan.functions.stemming import SPECIAL, STOPWORDS, lexemes, prefix, stem
 from loomspan.operators import retrieval
 
 PAIRS = """consign consign|consigned consign|consigning consign|consignment consign|consist consist|consisted consist|consistency consist|consistent consist|consistently consist|consisting consist|consists consist
@@ -22,6 +22,12 @@ def test_published_stems():
         assert stem(word) == want, word
 
 
+def test_words_begin_with_the_prefix_of_their_stem():
+    ends = ["", "s", "es", "ed", "ing", "ly", "ness", "ational", "ization", "fulness", "ousli", "ability", "ities", "ies", "y", "ement", "ically", "iveness", "logy", "'s", "eedly", "ied"]
+    words = [w + e for w in ["rel", "hop", "happ", "cr", "sens", "form", "gener", "agr", "tabl", "kn", "possib", "bio", "a", "be", "sk", "d", "triv"] for e in ends] + [x.split()[0] for x in PAIRS.replace("\n", "|").split("|")]
+    assert all(w.startswith(prefix(stem(w))) for w in [*words, *SPECIAL])
+
+
 def test_lexemes():
     assert lexemes("The tables, and the RUNNING 12") == [(2, "tabl"), (5, "run"), (6, "12")] and "the" in STOPWORDS
     assert lexemes("") == [] and lexemes("ÜBER straße") == [(1, "über"), (2, "straße")]
