@@ -134,10 +134,12 @@ def similar_pairs(items: DataFrame, id_: str, tokens: str, block: list[str], lea
     after the shared one are enough. Counts are exact on the
     hashed sets of the pairs that met; token texts are fetched for what is left.
     """
-    exploded = items.select(*block, F.col(id_).alias("_id"), F.explode(F.array_distinct(tokens)).alias("_w")).withColumn("_t", F.xxhash64("_w"))
+    # Tokens are made once, and dealt by item, so that what follows does not hang on how the items came.
+    own_ = cut(items.select(*block, F.col(id_).alias("_id"), F.array_distinct(tokens).alias("_w")).repartition("_id"))
+    exploded = own_.select(*block, "_id", F.explode(F.transform("_w", lambda w: F.xxhash64(w))).alias("_t"))
     frequency = exploded.groupBy(*block, "_t").agg(F.count("*").alias("_df"))
     ranked = exploded.join(frequency, [*block, "_t"]).groupBy(*block, "_id").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_s"))
-    sets = ranked.select(*block, "_id", F.transform("_s", lambda x: x["_t"]).alias("_set"), F.size("_s").alias("_n"))
+    sets = cut(ranked.select(*block, "_id", F.transform("_s", lambda x: x["_t"]).alias("_set"), F.size("_s").alias("_n")))
     reach = F.greatest(F.lit(1), F.col("_n") - F.ceil(F.col("_n") * least).cast("int") + 1)
     prefix = sets.select(*block, "_id", "_n", F.posexplode(F.slice("_set", F.lit(1), reach)).alias("_p", "_t"))
     a = prefix.select(*block, "_t", F.col("_id").alias("left"), F.col("_n").alias("_na"), F.col("_p").alias("_pa"))
@@ -151,7 +153,7 @@ def similar_pairs(items: DataFrame, id_: str, tokens: str, block: list[str], lea
     both = near.join(own.withColumnsRenamed({"_id": "left", "_set": "_sa"}), "left").join(own.withColumnsRenamed({"_id": "right", "_set": "_sb"}), "right")
     counted = both.withColumn("shared", F.size(F.array_intersect("_sa", "_sb"))).withColumn("similarity", F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared")))
     kept = counted.where((F.col("shared") >= shared) & (F.col("similarity") >= least)).select(*block, "left", "right", "shared", "similarity")
-    texts = items.select(F.col(id_).alias("_id"), F.array_distinct(tokens).alias("_w"))
+    texts = own_.select("_id", "_w")
     named = kept.join(texts.withColumnsRenamed({"_id": "left", "_w": "_wa"}), "left").join(texts.withColumnsRenamed({"_id": "right", "_w": "_wb"}), "right")
     return named.select(*block, "left", "right", "shared", F.array_sort(F.array_intersect("_wa", "_wb")).alias("shared_tokens"), "similarity")
 
