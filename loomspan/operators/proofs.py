@@ -100,6 +100,28 @@ def backfill(memories: DataFrame, claims: DataFrame, events: DataFrame) -> tuple
     return made, proof_rows(missing.withColumn("claim_id", claim_id), events)
 
 
+def persist(drafts: DataFrame, events: DataFrame, claims: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
+    """What a session's memory drafts leave in the store: memories, embeddings, provenance, claims, proofs and jobs.
+
+    drafts: memory_id, session_id, memory_type, title, content, metadata,
+    provenance_event_ids. Drafts that the belief gate did not let in leave
+    nothing; of drafts of one session, type, claim key and title the least
+    memory_id stays. Memories that have a claim already keep it. sessions:
+    session_id of those whose claims are to be reconciled and vectors synced.
+    """
+    from loomspan.operators.retrieval import hash_embedding
+    from loomspan.streaming.jobs import plan
+
+    same = Window.partitionBy("session_id", "memory_type", F.coalesce(F.col("metadata")["claimKey"], F.lit("")), "title").orderBy("memory_id")
+    kept = drafts.where(belief_admitted(F.col("metadata"))).withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    made, rows = backfill(kept, claims, events)
+    text = kept.select("memory_id", F.concat_ws(" ", "title", "content").alias("text"))
+    return {
+        "memories": kept, "embeddings": hash_embedding(text, "memory_id", "text"), "provenance": provenance_rows(kept, events), "claims": made, "proofs": rows,
+        "jobs": plan(sessions).where(F.col("job_type").isin("reconcile_claims", "sync_vectors")),
+    }
+
+
 def belief_admitted(metadata: Column) -> Column:
     """Whether a draft's belief gate let it in; where it says nothing, it did."""
     return F.coalesce(metadata["belief.admit"].try_cast("boolean"), F.lit(True))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import cluster, context, graph, ranking, reconcile, relational, retrieval, traverse
+from loomspan.operators import cluster, context, graph, proofs, ranking, reconcile, relational, retrieval, traverse
 
 ITEM = "request_id string, item_id string, source_class string, memory_type string, claim_key string, title string, verification string, authority string, tokens int, valid_to string, superseded_by string, proofs int, goals array<string>"
 
@@ -354,3 +354,18 @@ def test_projects_share_a_display(spark):
     nodes, _ = graph.layered([a], [b], 8, 8)
     assert 0 < nodes.where("id like 'a%'").count() <= 4 and 0 < nodes.where("id like 'b%'").count() <= 4 and nodes.count() <= 8
     assert graph.layered([], [], 5, 5) is None and graph.layered([], [b], 50, 50)[0].count() == 7
+
+
+def test_drafts_are_persisted(spark):
+    """Admitted drafts, each once, with provenance of stored events, a claim, proofs, embeddings and jobs; again nothing new."""
+    kind = "memory_id string, session_id string, memory_type string, title string, content string, metadata map<string,string>, provenance_event_ids array<string>"
+    rows = [("m1", "s", "fact", "One", "a b", {"claimKey": "fact:k"}, ["e1", "gone"]), ("m2", "s", "fact", "One", "a b", {"claimKey": "fact:k"}, ["e2"]), ("m3", "s", "bug", "Two", "c", {"belief.admit": "false"}, []), ("m4", "s", "task", "Three", "d", {}, [])]
+    events = spark.createDataFrame([("s", f"e{i}", "said", None, None, None, datetime(2025, 1, i)) for i in (1, 2)], "session_id string, event_id string, message string, command string, tool_name string, file_path string, created_at timestamp")
+    none, sessions = spark.createDataFrame([], "memory_id string"), spark.createDataFrame([("s",)], "session_id string")
+    got = proofs.persist(spark.createDataFrame(rows, kind), events, none, sessions)
+    ids = lambda name: sorted(r.memory_id for r in got[name].select("memory_id").distinct().collect())
+    assert ids("memories") == ids("claims") == ids("proofs") == ids("embeddings") == ["m1", "m4"] and ids("provenance") == ["m1"]
+    assert sorted((r.memory_id, r.source_ref, r.excerpt) for r in got["proofs"].collect()) == [("m1", "session_event:e1", "said"), ("m1", "session_event:gone", None), ("m4", "memory", None)]
+    assert sorted(r.job_type for r in got["jobs"].collect()) == ["reconcile_claims", "sync_vectors"]
+    again = proofs.persist(spark.createDataFrame(rows, kind), events, got["claims"].select("memory_id"), sessions)
+    assert again["claims"].collect() == [] and again["proofs"].collect() == []
