@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from dataclasses import dataclass
 from datetime import datetime
@@ -146,6 +147,21 @@ class Engine:
         self.build_graph("repository", f"sync-{at.isoformat()}", nodes, edges, at)
         return nodes, edges
 
+    def save_artifacts(self, layer: str, manifest: DataFrame | None = None) -> list[str]:
+        """A layer's graph as node-link lines, its report as markdown and as a page, and a manifest (path, hash) of its files; their names.
+
+        Lines and manifest are written by the tasks; the report is small.
+        """
+        nodes, edges = self.graph(layer)
+        report, folder = knowledge_report(nodes, edges), f"artifacts/{self.project}-{layer}"
+        tables = {"node_link": node_link(nodes, edges)} | ({"manifest": manifest.select("path", "hash")} if manifest is not None else {})
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(self.store.path(f"{folder}/{name}"))
+        page = f"<!doctype html><meta charset='utf-8'><title>{html.escape(self.project)}</title><pre>{html.escape(report)}</pre>"
+        for name, body in (("report", report), ("page", page)):
+            self.store.save_artifact(f"{self.project}-{layer}/{name}", body)
+        return [f"{folder}/{name}" for name in (*tables, "report", "page")]
+
     def dashboard_graph(self, layer: str, memories: DataFrame, links: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
         """A layer's graph; where there is none, the newest memories as nodes, with the links (source, target, relation, weight) among them."""
         found = self.store.load_snapshot(self.project, layer)
@@ -157,14 +173,15 @@ class Engine:
         inside = links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
         return nodes, inside.orderBy(F.desc("weight"), "source", "target").limit(most)
 
-    def context_for(self, memories: DataFrame, objective: str, budget: int, intent: str = "hybrid", now: datetime | None = None, queries: tuple[str, ...] = (), compiled: bool = False) -> DataFrame:
+    def context_for(self, memories: DataFrame, objective: str, budget: int, intent: str = "hybrid", now: datetime | None = None, queries: tuple[str, ...] = (), compiled: bool = False, scopes: bool = True) -> DataFrame:
         """From an objective to the sections of its pack: memories that answer it, nodes of the repository's graph, conflicts apart.
 
-        ``compiled`` takes the smallest proof set in place of the pack by priority.
+        ``compiled`` takes the smallest proof set in place of the pack by priority;
+        without ``scopes`` the objective alone is searched for.
         """
         need(bool(objective.strip()) and budget > 0, "an objective and a budget")
         request = ranking.Request(query=objective, intent=intent, now=now or datetime(1970, 1, 1))
-        hits = search.context_hits(memories, request, queries)
+        hits = search.context_hits(memories, request, queries, scopes=scopes)
         own, bad = context.conflict_split(hits)
         columns = ["item_id", "source_class", "memory_type", "claim_key", "title", "summary", "verification", "authority", "tokens", "valid_to", "superseded_by", "proofs"]
         none = F.lit(None).cast("string")

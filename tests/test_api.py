@@ -58,6 +58,9 @@ def test_tools_by_name(spark, sf, tmp_path):
     assert run("knowledge_query", {"query": "communities", "layer": "repository"}).count() == run("knowledge_communities", {"layer": "repository"}).count() > 0
     assert run("graph_snapshot", {}).count() == 1 and run("knowledge_graph_export", {"layer": "repository"}).count() > 3
     assert "### Architectural Hubs" in run("knowledge_report", {"layer": "unified"}) and run("knowledge_report", {"layer": "repository"}).startswith("# ")
+    made = engine.save_artifacts("repository", spark.createDataFrame([("a/main.py", "1")], "path string, hash string"))
+    assert [m.rsplit("/", 1)[1] for m in made] == ["node_link", "manifest", "report", "page"] and all(engine.store.exists(m) for m in made)
+    assert engine.store.read(made[0]).count() == run("knowledge_graph_export", {"layer": "repository"}).count() and "&lt;" not in engine.store.read(made[2]).first().body
     assert run("health_check", {})["project"] == "p1" and "events" in run("health_check", {})["tables"]
     with pytest.raises(RequestError):
         run("knowledge_report", {"layer": "repository", "projectId": "other"})
@@ -70,7 +73,7 @@ def test_tools_by_name(spark, sf, tmp_path):
     pack = {"provider": "cli", "objective": "fix the bug", "maxTokenBudget": 200}
     assert 0 < run("context_build", pack, items=items)[0].count() <= 4 and run("context_compile_v2", pack, items=items)[0].count() <= 4
     for compiled in (False, True):
-        one = engine.context_for(m, "queque or main.py helper", 2000, now=datetime(2026, 1, 1), compiled=compiled).collect()
+        one = engine.context_for(m.limit(80), "queque or main.py helper", 2000, now=datetime(2026, 1, 1), compiled=compiled, scopes=compiled).collect()
         assert len(one) == 1 and any(x.startswith("file:a/main.py") for x in one[0].repository_knowledge) and set(one[0].repository_knowledge) <= set(one[0].current_truth)
 
 
