@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomspan.llm import audit, bpe, collocations, decontaminate, lines, quality, secrets, shards, sketches, substrings, tiff, urls
+from loomspan.llm import audit, bpe, collocations, decontaminate, lines, quality, runindex, secrets, shards, sketches, substrings, tiff, urls
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op9_byte_bpe": bpe.op9_byte_bpe,
         "op10_minimax_shards": shards.op10_minimax_shards,
         "op11_collocations": collocations.op11_collocations,
+        "op12_run_index": runindex.op12_run_index,
         "op13_filter_audit": audit.op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
@@ -32,5 +33,6 @@ def oracle_sql():
         "op6_setsketch_groups": sketches.OP6_SQL,
         "op8_substring_dedup": substrings.OP8_SQL,
         "op11_collocations": collocations.OP11_SQL,
+        "op12_run_index": runindex.OP12_SQL,
         "op13_filter_audit": audit.OP13_SQL,
     }
