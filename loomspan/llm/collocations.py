@@ -164,8 +164,8 @@ def _hot_buckets(passed: DataFrame, least: int, buckets: int) -> np.ndarray:
     rows = passed.where("segment is not null").select("segment", "counts").repartition("segment").sortWithinPartitions("segment")
     out = np.zeros(1 << buckets >> 3, np.uint8)
     step = 1 << _SEGMENT >> 3
-    # A bitmap of 1 KB a segment, at most 32 MB together, one at a time.
-    for r in mapped(rows, run, "segment int, bits binary").toLocalIterator():
+    # 1 KB a segment, at most 32 MB together.
+    for r in mapped(rows, run, "segment int, bits binary").collect():
         out[r["segment"] * step : (r["segment"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -194,7 +194,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, buckets:
         found = kept if found is None else found.unionByName(kept)
         if size == longest or kept.isEmpty():
             break
-        frequent = context.broadcast(flags(kept, bit=lambda n: F.pmod(F.col("key"), F.lit(1 << n))))
+        frequent = context.broadcast(flags(kept, bit=lambda n: F.pmod(F.col("key"), F.lit(1 << n)), parts=4))
         hot = context.broadcast(_hot_buckets(passed, least, buckets))
     return _by_salt(found, cut(totals), ["lang"], ["lang"]).select("lang", "phrase", "size", "n", "n_lang")
 
