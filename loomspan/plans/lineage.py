@@ -48,3 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "loomspan-checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """``cut``, and forget what the planner made of the plan before it.
+
+    A checkpoint keeps its plan's estimate of bytes. Joins multiply estimates, so
+    a loop that joins its state to itself doubles or triples the digits of the
+    number each round, until planning takes longer than the work. Here the size
+    is unknown to the planner, and joins go by the sizes of shuffles as they run.
+    """
+    spark, done = df.sparkSession, cut(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.toJavaRDD(), done._jdf.schema()), spark)

@@ -225,19 +225,92 @@ def test_greedy_clusters_against_plain(spark):
     assert groups(lambda i: found[index[i]]) == groups(lambda i: want[i])
 
 
+def blocks(groups, size, rng, within, across):
+    """Random graph of groups with many links inside and few between, as edges."""
+    name = lambda g, i: f"g{g:02}n{i:03}"
+    pairs = {(name(g, i), name(g, j)) for g in range(groups) for i in range(size) for j in rng.sample(range(size), within) if i < j}
+    pairs |= {(name(g, i), name(g, i + 1)) for g in range(groups) for i in range(size - 1)}
+    for _ in range(across * groups):
+        a, b = rng.sample(range(groups), 2)
+        pairs.add(tuple(sorted((name(a, rng.randrange(size)), name(b, rng.randrange(size))))))
+    return sorted(pairs)
+
+
+def graph_of(spark, pairs, extra=()):
+    edges = spark.createDataFrame([(a, b, "r", "extracted", 1.0) for a, b in pairs], "source string, target string, relation string, evidence string, weight double")
+    nodes = spark.createDataFrame([(i,) for i in sorted({x for p in pairs for x in p} | set(extra))], "id string").withColumn("node_type", F.lit("file"))
+    return nodes, edges
+
+
+def connected(own, pairs):
+    reached, open_ = set(), [min(own)]
+    near: dict = {}
+    for a, b in pairs:
+        if a in own and b in own:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    while open_:
+        x = open_.pop()
+        if x not in reached:
+            reached.add(x)
+            open_ += near.get(x, [])
+    return reached == own
+
+
 @pytest.mark.parametrize("method", ["greedy", "leiden"])
-def test_components_beyond_the_bound_are_left(spark, method):
-    ring = [(f"a{i:02}", f"a{(i + 1) % 30:02}") for i in range(30)] + [(f"b{i:02}", f"b{i + 1:02}") for i in range(24)] + [("c0", "c1")]
-    edges = spark.createDataFrame([(a, b, "r", "extracted", 1.0) for a, b in ring], "source string, target string, relation string, evidence string, weight double")
-    nodes = spark.createDataFrame([(i,) for i in sorted({x for p in ring for x in p} | {"lone"})], "id string").withColumn("node_type", F.lit("file"))
+def test_components_beyond_the_bound_are_clustered_in_rounds(spark, method):
+    """A ring and a path, larger and smaller than the bound, small components and a lone node: none is left without a community."""
+    pairs = [(f"a{i:02}", f"a{(i + 1) % 30:02}") for i in range(30)] + [(f"b{i:02}", f"b{i + 1:02}") for i in range(24)] + [("c0", "c1")]
+    nodes, edges = graph_of(spark, pairs, {"lone"})
     got = {r.id: (r.community, r.parent) for r in cluster.communities(nodes, edges, method, max_nodes=28).collect()}
-    assert all(got[f"a{i:02}"] == (None, None) for i in range(30)) and len(got) == 58
-    assert got["c0"][0] == got["c1"][0] is not None and got["lone"][0] not in (None, got["c0"][0]) and got["b00"][0] is not None
-    kept = {c for c, _ in got.values() if c is not None}
+    assert len(got) == 58 and all(c is not None and p is not None for c, p in got.values())
+    assert got["c0"][0] == got["c1"][0] and got["lone"][0] != got["c0"][0]
+    kept = {c for c, _ in got.values()}
     assert kept == set(range(len(kept)))
+    for c in kept:
+        own = {i for i, (k, _) in got.items() if k == c}
+        assert len({i[0] for i in own}) == 1 and (method == "greedy" or connected(own, pairs))
     assert cluster.communities(nodes.limit(0), edges.limit(0), method).collect() == []
 
 
+def test_rounds_are_as_good_as_one_task(spark):
+    """Modularity of distributed moves, to the last level and with the last levels in one task, against that of the moves in order."""
+    pairs = blocks(6, 16, random.Random(4), 4, 4)
+    nodes, edges = graph_of(spark, pairs)
+    quality, members = {}, {}
+    for name, bound in (("task", 10_000), ("rounds", 0), ("both", 40)):
+        found = cluster.communities(nodes, edges, "leiden", max_nodes=bound)
+        members[name] = {r.id: r.community for r in found.collect()}
+        quality[name] = cluster.modularity(edges, found).first().modularity
+    assert quality["rounds"] >= 0.99 * quality["task"] and quality["both"] >= 0.99 * quality["task"] and quality["task"] > 0.6
+    for c in set(members["rounds"].values()):
+        assert connected({i for i, k in members["rounds"].items() if k == c}, pairs)
+
+
+def test_two_cliques_and_resolution(spark):
+    """Two cliques with one link between them are two communities, one at a resolution of nearly nothing."""
+    clique = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(12) for j in range(i + 1, 12)] + [("a0", "b0")]
+    nodes, edges = graph_of(spark, clique)
+    own = nodes.withColumn("component", F.lit("a0"))
+    links = graph.both_ways(edges, "weight")
+    groups = lambda df: sorted(sorted(i for i, k in df.items() if k == c) for c in set(df.values()))
+    found = {r.id: r.label for r in cluster.moved_labels(own, links, max_nodes=0).collect()}
+    assert groups(found) == [sorted(f"{g}{i}" for i in range(12)) for g in "ab"]
+    assert len(set(r.label for r in cluster.moved_labels(own, links, resolution=0.001, max_nodes=100).collect())) == 1
+
+
+def test_no_two_neighbours_move_at_once(spark):
+    pairs = blocks(3, 20, random.Random(6), 3, 4)
+    nodes, edges = graph_of(spark, pairs)
+    links = graph.both_ways(edges, "weight")
+    k = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
+    state = k.select("id", "k", F.lit(float(2 * len(pairs))).alias("m2"), F.col("id").alias("label"))
+    for turn in range(3):
+        state = spark.createDataFrame(cluster._round(links, state, 1.0, turn).collect())
+        moved = {r.id for r in state.collect() if r.label != r.before}
+        assert moved and not any(a in moved and b in moved for a, b in pairs)
+
+
 def plain_fold(rows):
     """Every claim against all before it, as dicts."""
     names = ("claim_id", "project_id", "claim_key", "subject", "claim_type", "polarity", "authority", "verification", "admitted", "valid_from", "created_at")
