@@ -253,7 +253,7 @@ def nearest_typed(vectors: DataFrame, query: list[float], k: int, types: list, k
     return scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n").orderBy(F.desc("similarity"), key).limit(k)
 
 
-def _packed(rows: DataFrame, key: str, vector: str, block: str) -> DataFrame:
+def packed(rows: DataFrame, key: str, vector: str, block: str) -> DataFrame:
     """block, keys, matrix: up to 4096 unit vectors a row, map-side."""
     kind = dict(rows.dtypes)[key]
 
@@ -283,10 +283,14 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id
     """
     known = queries.where(F.col(query_key).isNotNull() & F.col(vector).isNotNull())
     blocks = max(1, -(-known.count() // block))
-    asked = _packed(known.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(blocks))).repartition("_b"), query_key, vector, "_b").withColumnsRenamed({"keys": "asked", "matrix": "q"})
-    held = _packed(vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).withColumn("_b", F.lit(0)), key, vector, "_b")
+    asked = packed(known.withColumn("_b", F.pmod(F.xxhash64(query_key), F.lit(blocks))).repartition("_b"), query_key, vector, "_b").withColumnsRenamed({"keys": "asked", "matrix": "q"})
+    held = packed(vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).withColumn("_b", F.lit(0)), key, vector, "_b")
     pairs = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block").select("keys", "matrix", "asked", "q")
-    kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)[query_key]
+    return top_of_blocks(pairs, k, key, query_key, (dict(vectors.dtypes)[key], dict(queries.dtypes)[query_key]))
+
+
+def top_of_blocks(pairs: DataFrame, k: int, key: str, query_key: str, kinds: tuple[str, str]) -> DataFrame:
+    """The k nearest of each query over packed rows of vectors (keys, matrix), each with a packed row of queries (asked, q)."""
 
     def run(batches):
         for batch in batches:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text
 from loomspan.operators import claims, cluster, components, context, events, graph, ranking, reconcile, relational, retrieval, traverse
-from loomspan.plans.lineage import read
+from loomspan.plans.lineage import read, shared_folder
 from loomspan.schemas import lookup
 from loomspan.sources.adapters import CHAT_SQL, GRAPH_SQL, MEMORIES_SQL, PAGE_NODES_SQL, TELEMETRY_SQL, chat, memories, order_graph, page_nodes, telemetry
+from loomspan.sources.vectors import VectorIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -419,13 +420,27 @@ def e09(spark, sf):
     return retrieval.nearest_typed(read(spark, sf, "embeddings"), _vector(spark, sf), 5, [1, 3, 99], "vec_id", "label").select("vec_id", "label", six(F.col("similarity")).alias("similarity"))
 
 
-@query("E07_batch_nearest", "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS raw FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) <= 3")
+NEAREST_SQL = "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS raw FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) <= 3"
+
+
+@query("E07_batch_nearest", NEAREST_SQL)
 def e07(spark, sf):
     e = read(spark, sf, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.batch_nearest(e, q, 3, "vec_id").select("query_id", "vec_id", six(F.col("similarity")).alias("similarity"))
 
 
+@query("E10_cell_search", NEAREST_SQL)
+def e10_cells(spark, sf):
+    """An index by cells is written beside the checkpoints; the few nearest cells, then those whose bounds leave a chance."""
+    e = read(spark, sf, "embeddings")
+    index = VectorIndex(spark, shared_folder(spark, "vectors"), "vec_id")
+    index.build(e)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.search(q, 3, probes=4, exact=True).select("query_id", "vec_id", six(F.col("similarity")).alias("similarity"))
+
+
+
 @query("E15_hybrid_merge", "WITH l AS (SELECT doc_id AS id, (doc_id % 9) / 9.0::DOUBLE AS s FROM documents), v AS (SELECT vec_id AS id, (label + 1) / 10.0::DOUBLE AS d FROM embeddings) SELECT coalesce(l.id, v.id) AS id, round(greatest(coalesce(s, 0), coalesce(1.0 / (1.0 + d), 0)), 6)::DOUBLE AS score FROM l FULL JOIN v ON l.id = v.id")
 def e15(spark, sf):
     lexical = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), ((F.col("doc_id") % 9) / 9.0).alias("score"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from loomspan.functions import text
 from loomspan.operators import claims, components, context, events, graph, proofs, ranking, reconcile, relational, retrieval, traverse
 from loomspan.plans.catalog import CANON, CLASS_SQL, EPISODES_SQL, ITEMS_SQL, NOW, SEARCH_SQL, SEGMENTS_SQL, SIGNALS_SQL, TYPE_SQL, _cover_sql, _items, _score_sql, query, six
-from loomspan.plans.lineage import read
+from loomspan.plans.lineage import read, shared_folder
 from loomspan.schemas import lookup
 from loomspan.scope import Scope, scoped, with_global_fallback
 from loomspan.sources import repository, sessions
 from loomspan.sources.adapters import GRAPH_SQL, MEMORIES_SQL, PAGE_NODES_SQL, TELEMETRY_SQL, memories, order_graph, page_nodes, telemetry
+from loomspan.sources.vectors import VectorIndex
 from loomspan.streaming import jobs
 
 # --- A: sources and sinks ---------------------------------------------------------
@@ -78,20 +79,6 @@ def h03(spark, sf):
     return read(spark, sf, "events").select("event_id", F.when(i % 4 == 2, sessions.output_body(F.lit("x\nOutput:\nout"))).otherwise(sessions.content_text(content)).alias("message"))
 
 
-RECORDS = (
-    ("response_item", "message", "user", "{}", "prompt"), ("response_item", "message", "assistant", "{}", "response"), ("response_item", "message", "developer", "{}", "annotation"),
-    ("response_item", "function_call", None, "{}", "tool_call"), ("response_item", "custom_tool_call_output", None, "{}", "tool_result"), ("response_item", "reasoning", None, "{}", "reasoning"),
-    ("response_item", "odd", None, "{}", None), ("event_msg", "agent_message", None, "{}", "agent_message"), ("event_msg", "token_count", None, "{}", None), ("event_msg", "x", None, '{"a":"it FAILED"}', "error"),
-    ("event_msg", "x", None, '{"a":"a test"}', "test_result"), ("event_msg", "x", None, '{"a":"b"}', "annotation"), ("turn_context", None, None, "{}", "turn_context"),
-)
-
-
-@query("H02_record_types", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in RECORDS) + ") t(top, kind, role, payload, event_type)")
-def h02_records(spark, sf):
-    r = spark.createDataFrame([x[:4] for x in RECORDS], "top string, kind string, role string, payload string")
-    return r.withColumn("event_type", sessions.record_type(F.col("top"), F.col("kind"), F.col("role"), F.col("payload")))
-
-
 @query("A19_batch_duplicates", "WITH b AS (SELECT event_id, user_id AS s, CAST(event_id // 2 AS VARCHAR) AS k, event_id AS p FROM events), st AS (SELECT DISTINCT user_id AS s, CAST(event_id // 2 AS VARCHAR) AS k FROM events WHERE event_id % 7 = 0) SELECT event_id, (row_number() OVER (PARTITION BY b.s, b.k ORDER BY p) > 1 OR st.k IS NOT NULL) AS duplicate FROM b LEFT JOIN st ON b.s = st.s AND b.k = st.k")
 def a19(spark, sf):
     e = read(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.expr("cast(event_id div 2 as string)").alias("idempotency_key"), F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("position"))
@@ -286,9 +273,12 @@ def b08(spark, sf):
     return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
-@query("B18_provider_ids", "WITH t AS (SELECT doc_id, lower(trim(left(text, 12), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS name FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(name, '[a-z0-9._-]{1,64}') THEN name END AS provider FROM t")
+ID_SQL = "CASE WHEN regexp_full_match(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '[a-z0-9._-]{{1,64}}') THEN lower(trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) END"
+
+
+@query("B18_provider_ids", f"SELECT doc_id, {ID_SQL.format(c='text')} AS provider, {ID_SQL.format(c='source')} AS source_provider FROM documents")
 def b18(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", events.provider_id(F.left("text", F.lit(12))).alias("provider"))
+    return read(spark, sf, "documents").select("doc_id", events.provider_id(F.col("text")).alias("provider"), events.provider_id(F.col("source")).alias("source_provider"))
 
 
 @query("B22_noisy_paths", f"WITH {PAGE_NODES_SQL} SELECT page_id FROM pn WHERE contains(lower(p), 'build/')")
@@ -338,15 +328,15 @@ def d05(spark, sf):
     return relational.either_end_max(e, "a", "b", "w").select("id", F.round("weight", 2).alias("weight"))
 
 
-MENTION_SQL = "WITH f AS (SELECT DISTINCT 'src/' || w || '.py' AS path, w || '.py' AS name FROM (SELECT left(text, 3) AS w FROM documents WHERE length(trim(left(text, 3))) = 3 AND NOT contains(left(text, 3), '/'))), m AS (SELECT doc_id, left(coalesce(text, ''), 3) || '.py and ' || coalesce(text, '') AS t FROM documents) SELECT 'memory:' || doc_id AS source, 'file:' || path AS target FROM m JOIN f ON contains(t, name)"
+MENTION_SQL = "WITH w AS (SELECT doc_id, text, regexp_extract(coalesce(text, ''), '^[A-Za-z0-9]+') AS w FROM documents), f AS (SELECT DISTINCT 'src/' || w || '.py' AS path, w || '.py' AS name FROM w WHERE w <> ''), m AS (SELECT doc_id, w || '.py and ' || coalesce(text, '') AS t FROM w) SELECT 'memory:' || doc_id AS source, 'file:' || path AS target FROM m JOIN f ON contains(t, name)"
 
 
 @query("C14_contains_join", MENTION_SQL)
 def c14(spark, sf):
-    d = read(spark, sf, "documents")
-    w = F.left("text", F.lit(3))
-    files = d.where((F.length(F.trim(w)) == 3) & ~F.contains(w, F.lit("/"))).select(F.concat(F.lit("src/"), w, F.lit(".py")).alias("path")).distinct()
-    m = d.select(F.col("doc_id").alias("memory_id"), F.lit("").alias("title"), F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(3)), F.lit(".py and "), F.coalesce("text", F.lit(""))).alias("content"))
+    text_ = F.coalesce("text", F.lit(""))
+    d = read(spark, sf, "documents").withColumn("w", F.regexp_extract(text_, "^[A-Za-z0-9]+", 0))
+    files = d.where("w <> ''").select(F.concat(F.lit("src/"), "w", F.lit(".py")).alias("path")).distinct()
+    m = d.select(F.col("doc_id").alias("memory_id"), F.lit("").alias("title"), F.concat("w", F.lit(".py and "), text_).alias("content"))
     return graph.mention_edges(m, files).select("source", "target")
 
 
@@ -468,24 +458,6 @@ def e33(spark, sf):
     return ranking.disclose(memories(spark, sf).withColumn("final_score", F.col("importance")), 20).select("id", "rank", "level")
 
 
-OBJECTIVES = (
-    ("", "hybrid"), ("which function", "repository_only"), ("what happened in prior sessions", "hybrid"), ("debugging history", "session_graph_only"), ("last session", "memory_only"), ("continue in the file", "hybrid"),
-    ("rephrase this", "none"), ("summarize the module", "repository_only"), ("anything else", "hybrid"),
-)
-
-
-@query("E37_query_intents", "SELECT * FROM (VALUES ('', 'hybrid'), ('which function', 'repository_only'), ('what happened in prior sessions', 'memory_only'), ('debugging history', 'session_graph_only'), ('last session', 'memory_only'), ('continue in the file', 'hybrid'), ('rephrase this', 'none'), ('summarize the module', 'repository_only'), ('anything else', 'hybrid')) t(query, intent)")
-def e37(spark, sf):
-    return spark.createDataFrame([(q, retrieval.intent_of(q)) for q, _ in OBJECTIVES], "query string, intent string")
-
-
-@query("E44_type_scopes", "SELECT * FROM (VALUES ('anything', 6, 12), ('decide on the rule', 8, 20), ('continue the unfinished task', 12, 33), ('verified result', 7, 16)) t(objective, scopes, hits)")
-def e44(spark, sf):
-    from loomspan.plans.search import type_scopes
-
-    return spark.createDataFrame([(o, len(type_scopes(o)), sum(n for _, n in type_scopes(o))) for o in ("anything", "decide on the rule", "continue the unfinished task", "verified result")], "objective string, scopes int, hits int")
-
-
 POINTS_SQL = "CASE verification WHEN 'verified' THEN 40 WHEN 'inferred' THEN 10 ELSE -6 END + CASE authority WHEN 'repository' THEN 30 WHEN 'test_verified' THEN 28 WHEN 'tool_verified' THEN 24 WHEN 'user_confirmed' THEN 18 WHEN 'session_derived' THEN 5 ELSE -12 END + CASE memory_type WHEN 'constraint' THEN 24 WHEN 'decision' THEN 22 WHEN 'fix' THEN 20 WHEN 'fact' THEN 20 WHEN 'task' THEN 18 WHEN 'open_question' THEN 18 WHEN 'bug' THEN 16 WHEN 'implementation_detail' THEN -4 ELSE -18 END + round(importance * 100)::INT"
 
 
@@ -504,13 +476,6 @@ def e43(spark, sf):
     return best_hits(m.unionByName(m.withColumn("final_score", F.col("final_score") - 0.3)), "what is open").select("id")
 
 
-@query("E49_context_words", "SELECT * FROM (VALUES ('how does it work', true), ('the patch', true), ('what is open', false)) t(objective, detail)")
-def e49(spark, sf):
-    from loomspan.plans.search import wants_detail
-
-    return spark.createDataFrame([(o, wants_detail(o)) for o in ("how does it work", "the patch", "what is open")], "objective string, detail boolean")
-
-
 @query("E46_bag_cosine", "WITH a AS (SELECT item_id AS id, t, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark) GROUP BY 1, 2), b AS (SELECT doc_id AS id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)) GROUP BY 1, 2), d AS (SELECT a.id, sum(a.n * b.n) AS dot, count(*) AS k FROM a JOIN b ON a.id = b.id AND a.t = b.t GROUP BY 1), x AS (SELECT id, sqrt(sum(n * n)) AS v FROM a GROUP BY 1), y AS (SELECT id, sqrt(sum(n * n)) AS v FROM b GROUP BY 1) SELECT coalesce(x.id, y.id) AS id, round(coalesce(dot / (x.v * y.v), 0), 6)::DOUBLE AS cosine, coalesce(k, 0) AS overlap FROM x FULL JOIN y ON x.id = y.id LEFT JOIN d ON d.id = coalesce(x.id, y.id)")
 def e46(spark, sf):
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
@@ -990,11 +955,6 @@ def j24(spark, sf):
     return repository.extract(files).select(F.col("path").cast("long").alias("page_id"), (F.col("diagnostic").isNull() & F.col("text").isNotNull()).alias("read"))
 
 
-@query("A16_sync_rules", "SELECT 'extension' AS rule, 'py' AS name, 'code' AS kind UNION ALL SELECT 'extension', 'docx', 'office_document' UNION ALL SELECT 'ignored_dir', 'node_modules', NULL")
-def a16(spark, sf):
-    return repository.sync_rules(spark).where(F.col("name").isin("py", "docx", "node_modules"))
-
-
 @query("A28_vector_by_id", "SELECT vec_id AS id, 2 AS version FROM embeddings WHERE vec_id = 6")
 def a28(spark, sf):
     v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit(1).alias("version"))
@@ -1024,14 +984,6 @@ def b21(spark, sf):
     return m.join(c, "id", "left").select("id", F.coalesce("claim_type", "memory_type").alias("claim_type"))
 
 
-ASKED = ("src/main.rs", "main", "two words", "a\\b", "x.y", "ns::name", "café")
-
-
-@query("B23_query_kinds", "SELECT * FROM (VALUES ('src/main.rs', true, false), ('main', false, true), ('two words', false, false), ('a\\b', true, false), ('x.y', true, true), ('ns::name', false, true), ('café', false, false)) t(query, path_like, name_like)")
-def b23(spark, sf):
-    return spark.createDataFrame([(q, traverse.looks_like_path(q), traverse.looks_like_identifier(q)) for q in ASKED], "query string, path_like boolean, name_like boolean")
-
-
 @query("B19_clean_text", "SELECT doc_id, text || ' end' AS t FROM documents")
 def b19(spark, sf):
     dirty = F.concat(F.col("text"), F.lit("\\u0000"), F.lit("\x00 end"))
@@ -1124,17 +1076,6 @@ def e50(spark, sf):
     return retrieval.search_index(retrieval.index(_documents(spark, sf)), "queque")
 
 
-WEB = ("tables or rows", '"store the tables" -old', "the and", "a -b or c d")
-
-
-@query("E02_web_queries", "SELECT * FROM (VALUES ('tables or rows', 'tabl|row'), ('\"store the tables\" -old', 'store@1+tabl@3&!old'), ('the and', ''), ('a -b or c d', '!b|c&d')) t(query, parsed)")
-def e02(spark, sf):
-    def one(minus, placed):
-        return ("!" if minus else "") + ("+".join(f"{t}@{n}" for n, t in placed) if len(placed) > 1 else placed[0][1])
-
-    return spark.createDataFrame([(q, "|".join("&".join(one(*c) for c in a) for a in retrieval.parse_query(q))) for q in WEB], "query string, parsed string")
-
-
 @query("E10_scoped_search", "WITH s AS (SELECT e.vec_id AS id, greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q) SELECT id, round(s, 6) AS similarity FROM s ORDER BY round(s, 9) DESC, id LIMIT 7")
 def e10(spark, sf):
     e = read(spark, sf, "embeddings")
@@ -1208,11 +1149,6 @@ def e47(spark, sf):
     return memories(spark, sf).select("id", ranking.family_key(F.col("title"), F.col("summary")).alias("family"))
 
 
-@query("E38_continuations", "SELECT * FROM (VALUES ('where did we leave it', false), ('parquet tables', false), ('Continue the work', true), ('what is next', true), ('prior work', true), ('open loops', true)) t(query, asks)")
-def e38(spark, sf):
-    return spark.createDataFrame([(q, retrieval.is_continuation(q)) for q in ("where did we leave it", "parquet tables", "Continue the work", "what is next", "prior work", "open loops")], "query string, asks boolean")
-
-
 @query("F07_consecutive_pairs", f"WITH {TELEMETRY_SQL}, {EPISODES_SQL}, ep AS (SELECT DISTINCT session_id, episode FROM eps) SELECT 'episode:' || session_id || ':' || episode AS source, 'episode:' || session_id || ':' || nxt AS target FROM (SELECT *, lead(episode) OVER (PARTITION BY session_id ORDER BY episode) AS nxt FROM ep) WHERE nxt IS NOT NULL")
 def f07(spark, sf):
     e = events.materialise_episodes(events.episodes_of(telemetry(spark, sf), gap_seconds=86400, cap=2))
@@ -1402,31 +1338,6 @@ def n17(spark, sf):
     return top.groupBy("session_id").agg(F.count("*").alias("n"))
 
 
-@query("O11_scope_override", "SELECT * FROM (VALUES ('none', 'p1', 'p1'), ('p1', 'p1', 'p1'), ('p1', 'none', 'p1'), ('p1', 'p2', 'refused')) t(bound, asked, result)")
-def o11(spark, sf):
-    from loomspan.scope import ScopeError
-
-    def one(bound, asked):
-        try:
-            return Scope("o", "t", None if bound == "none" else bound).override(None if asked == "none" else asked).project_id
-        except ScopeError:
-            return "refused"
-
-    return spark.createDataFrame([(b, a, one(b, a)) for b, a in (("none", "p1"), ("p1", "p1"), ("p1", "none"), ("p1", "p2"))], "bound string, asked string, result string")
-
-
-@query("O02_tool_names", "SELECT unnest(['session_start', 'session_event_append', 'session_end', 'repository_sync', 'health_check', 'mem_search', 'context_build', 'context_compile_v2', 'graph_snapshot', 'knowledge_graph_export', 'knowledge_report', 'knowledge_query', 'knowledge_communities', 'memory_get_batch', 'memory_get', 'claim_govern']) AS name")
-def o02(spark, sf):
-    from loomspan.tools import definitions
-
-    return spark.createDataFrame([(d["name"],) for d in definitions()], "name string")
-
-
-@query("E14_scope_suffixes", "SELECT * FROM (VALUES ('p1', 'namespace_p1'), ('A b/', 'namespace_a_b_' || left(sha256('A b/'), 8)), (' ', 'namespace_value_' || left(sha256(' '), 8)), ('UP', 'namespace_up')) t(namespace, suffix)")
-def e14(spark, sf):
-    return spark.createDataFrame([(p, retrieval.scope_suffix(namespace=p)) for p in ("p1", "A b/", " ", "UP")], "namespace string, suffix string")
-
-
 @query("J30_file_nodes", f"WITH {PATHS_SQL} SELECT 'file:' || path AS id, split_part(path, '/', 2) AS label FROM pth")
 def j30(spark, sf):
     from loomspan.sources.code import code_graph, parts_of
@@ -1456,12 +1367,26 @@ def j14(spark, sf):
 BITS_SQL = "list_transform({v}, lambda x: round((greatest(-1.0, least(1.0, x::DOUBLE)) + 1) / 2 * 15) / 7.5 - 1)"
 
 
-@query("E12_quantised_search", f"WITH v AS (SELECT vec_id AS id, {BITS_SQL.format(v='embedding')} AS e FROM embeddings), s AS (SELECT v.id, round(greatest(0, list_cosine_similarity(v.e, q.e)), 9) AS s FROM v, (SELECT e FROM v WHERE id = 3) q) SELECT id, round(s, 6) AS similarity FROM s ORDER BY s DESC, id LIMIT 6")
+CODES_SQL = f"WITH v AS (SELECT vec_id AS id, {BITS_SQL.format(v='embedding')} AS e FROM embeddings), s AS (SELECT v.id, round(greatest(0, list_cosine_similarity(v.e, q.e)), 9) AS s FROM v, (SELECT e FROM v WHERE id = 3) q) SELECT id, round(s, 6) AS similarity FROM s ORDER BY s DESC, id LIMIT 6"
+
+
+@query("E12_quantised_search", CODES_SQL)
 def e12_search(spark, sf):
     e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return retrieval.nearest_quantised(e, list(e.where("id = 3").first()["embedding"]), 6).select("id", six(F.col("similarity")).alias("similarity"))
 
 
+@query("E12_code_search", CODES_SQL)
+def e12_codes(spark, sf):
+    """The same ranking from stored codes: the index is written once, a search reads keys, codes and lengths."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex(spark, shared_folder(spark, "codes"))
+    index.build(e)
+    q = e.where("id = 3").select(F.col("id").alias("query_id"), "embedding")
+    return index.search_codes(q, 6, quantised_query=True).select("id", six(F.col("similarity")).alias("similarity"))
+
+
+
 @query("A20_staged_merge", "SELECT event_id FROM (SELECT event_id, user_id, event_id // 3 AS k FROM events) WHERE event_id % 5 = 0 UNION SELECT min(event_id) FROM (SELECT event_id, user_id, event_id // 3 AS k FROM events) e WHERE event_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 5 = 0 AND s.user_id = e.user_id AND s.event_id // 3 = e.k) GROUP BY user_id, k")
 def a20(spark, sf):
     i = F.col("event_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _shared(spark: SparkSession) -> None:
+    """Set the folder of checkpoints where it is not set yet."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "loomspan-checkpoints"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the checkpoints, for tables that a query writes and reads again."""
+    _shared(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and continue from a reliable checkpoint in the shared folder.
 
@@ -40,13 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
     a local session, as in tests, uses a folder under the local temporary
     directory; on a cluster, whose machines do not share that, it is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "loomspan-checkpoints"))
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
