@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.components import components
+from loomspan.plans.lineage import fresh
 from loomspan.schemas import lookup
 
 # Fixed values.
@@ -73,61 +75,97 @@ def apply_edges(claims: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("superseded_by", F.coalesce("superseded_by", "_by")).withColumn("verification", F.when(F.col("_lost"), "contradicted").otherwise(F.col("verification"))).drop("_by", "_lost")
 
 
-def reconcile_in_order(claims: DataFrame, order: tuple[str, ...] = ("valid_from", "claim_id")) -> DataFrame:
+def _earlier(admitted: DataFrame, column: str, order: tuple[str, ...]) -> DataFrame:
+    """claim_id, prior_claim_id: for each claim the newest CANDIDATES of those before it with its key or subject.
+
+    Claims of one are sorted, where Spark's sort spills, and streamed; what a
+    task holds are the ids and times of the newest ones.
+    """
+    times = ("valid_from", "created_at", "claim_id")
+    rows = admitted.select("project_id", F.col(column).alias("_k"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], *times)
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            claims, priors = [], []
+            columns = [batch.column(c).to_pylist() for c in ("project_id", "_k", *times)]
+            for project, key, *own in zip(*columns, strict=True):
+                if (project, key) != at:
+                    at, held = (project, key), []
+                claims += [own[2]] * len(held)
+                priors += [x[-1][1] for x in held]
+                insort(held, tuple((v is not None, v if v is not None else 0) for v in own))
+                del held[:-CANDIDATES]
+            yield pa.RecordBatch.from_arrays([pa.array(claims, pa.string()), pa.array(priors, pa.string())], ["claim_id", "prior_claim_id"])
+
+    dealt = rows.repartition("project_id", "_k").sortWithinPartitions("project_id", "_k", *[f"_o{k}" for k in range(len(order))])
+    return dealt.mapInArrow(run, "claim_id string, prior_claim_id string")
+
+
+def _meetings(pairs: DataFrame, lost: DataFrame) -> DataFrame:
+    """claim_id, at, lost and met, its meetings in order, if claims are contradicted at the times in ``lost``.
+
+    A claim that loses a meeting goes into its next ones with what that leaves it.
+    """
+    both = pairs.join(lost.select(F.col("claim_id").alias("prior_claim_id"), F.col("at").alias("_lost")), "prior_claim_id", "left")
+    power = F.col("prior_authority") + F.when(F.col("_lost") < F.col("at"), VERIFICATION_SCORE["contradicted"]).otherwise(F.col("prior_verification"))
+    meeting = F.struct("nth", "prior_claim_id", "may", "opposite", power.alias("power"))
+    each = both.groupBy("claim_id").agg(F.first("at").alias("at"), F.first("authority").alias("authority"), F.first("verification").alias("verification"), F.array_sort(F.collect_list(meeting)).alias("m"))
+    edge = "array<struct<prior_claim_id: string, supersedes: boolean, opposite: boolean, wins: boolean>>"
+
+    def step(acc, m):
+        mine = F.col("authority") + F.when(acc["lost"], VERIFICATION_SCORE["contradicted"]).otherwise(F.col("verification"))
+        one = F.struct(m["prior_claim_id"].alias("prior_claim_id"), (m["may"] & (mine >= m["power"])).alias("supersedes"), m["opposite"].alias("opposite"), (m["opposite"] & (mine > m["power"])).alias("wins"))
+        return F.struct((acc["lost"] | (m["opposite"] & (mine < m["power"]))).alias("lost"), F.concat(acc["met"], F.array(one)).alias("met"))
+
+    folded = F.aggregate("m", F.struct(F.lit(False).alias("lost"), F.array().cast(edge).alias("met")), step)
+    return each.select("claim_id", "at", folded.alias("_f")).select("claim_id", "at", "_f.lost", "_f.met")
+
+
+def reconcile_in_order(claims: DataFrame, order: tuple[str, ...] = ("valid_from", "claim_id"), max_rounds: int = 1000) -> DataFrame:
     """Exact sequential reconciliation: each claim sees what the ones before it changed.
 
-    Only claims linked by key or subject can meet, so each connected group of
-    keys and subjects is folded on its own, in order. Groups are sorted within
-    partitions, where Spark's sort spills, and streamed: a task holds the newest
-    claims of each key and subject of the group at hand, and no more. The fold
-    itself is one after another by its meaning; ``reconcile_edges`` is the
-    set-based pass, which sees the state before it only.
+    Whom a claim meets hangs on the order alone: the newest CANDIDATES of the
+    claims before it with its key or subject. What changes on the way is when a
+    claim is contradicted. Those times are a fixpoint, found in rounds: all
+    meetings are judged at once with the times known so far, a claim's own few
+    in order, which gives new times; once they stay, each claim has met the
+    others as they were. A time is right as soon as all earlier ones that bear
+    on it are, so rounds are as many as contradictions follow from one another,
+    not as claims. A round shuffles the meetings, at most CANDIDATES a claim, by
+    prior claim and by claim; a claim is met by some CANDIDATES later ones a key,
+    so no group of claims comes together in one task but to be sorted.
+
+    ``claim_id`` is unique; null keys and subjects are equal; only admitted
+    claims count. No claims give no edges.
     """
     admitted = claims.where("admitted")
-    ends = admitted.select(F.concat_ws("\x01", F.lit("k"), "project_id", "claim_key").alias("a"), F.concat_ws("\x01", F.lit("s"), "project_id", "subject").alias("b"))
-    group = components(ends.distinct())
-    keyed = admitted.withColumn("node", F.concat_ws("\x01", F.lit("k"), "project_id", "claim_key")).join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    need = ["component", "claim_id", "claim_key", "subject", "claim_type", "polarity", "authority", "verification", "valid_from", "created_at"]
-
-    def power(r: dict) -> int:
-        return AUTHORITY_SCORE.get(r["authority"], 10) + VERIFICATION_SCORE.get(r["verification"], 1)
-
-    def newest(r: dict) -> tuple:
-        return tuple((r[c] is not None, r[c]) if r[c] is not None else (False, 0) for c in ("valid_from", "created_at", "claim_id"))
-
-    def meet(r: dict, p: dict, out: list[tuple]) -> None:
-        mine, other = power(r), power(p)
-        if (r["claim_type"], p["claim_type"]) in SUPERSEDES and mine >= other:
-            out.append((r["claim_id"], p["claim_id"], "supersedes", WEIGHTS["supersedes"]))
-        if r["polarity"] and p["polarity"] and r["polarity"] != p["polarity"]:
-            out.append((r["claim_id"], p["claim_id"], "contradicts", WEIGHTS["contradicts"]))
-            if mine > other:
-                p["verification"] = "contradicted"
-            elif mine < other:
-                r["verification"] = "contradicted"
-        else:
-            out.append((r["claim_id"], p["claim_id"], "confirms", WEIGHTS["confirms"]))
-
-    def fold(batches):
-        at, held = None, {}
-        for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                if r["component"] != at:
-                    at, held = r["component"], {}
-                lists = [held.setdefault((c, r[c]), []) for c in ("claim_key", "subject")]
-                near = {id(p): p for own in lists for p in own}.values()
-                for p in sorted(near, key=newest, reverse=True)[:CANDIDATES]:
-                    meet(r, p, out)
-                for own in lists:
-                    own.append(r)
-                    if len(own) > CANDIDATES:
-                        own.remove(min(own, key=newest))
-            columns = zip(*out, strict=True) if out else [[] for _ in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], ["claim_id", "prior_claim_id", "relation", "weight"])
-
-    rows = keyed.select(*need).repartition("component").sortWithinPartitions("component", *order)
-    return rows.mapInArrow(fold, "claim_id string, prior_claim_id string, relation string, weight double")
+    score = lambda c: (lookup(F.col(f"{c}authority"), AUTHORITY_SCORE, 10).alias(f"{c}authority"), lookup(F.col(f"{c}verification"), VERIFICATION_SCORE, 1).alias(f"{c}verification"))
+    found = _earlier(admitted, "claim_key", order).unionByName(_earlier(admitted, "subject", order)).distinct()
+    prior = admitted.select(*[F.col(c).alias(f"prior_{c}") for c in ("claim_id", "claim_type", "polarity", "authority", "verification", "valid_from", "created_at")])
+    both = found.join(prior, "prior_claim_id").join(admitted.select("claim_id", "claim_type", "polarity", "authority", "verification", F.struct(*order).alias("at")), "claim_id")
+    nth = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("prior_valid_from"), F.desc("prior_created_at"), F.desc("prior_claim_id")))
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    opposite = said("polarity") & said("prior_polarity") & (F.col("polarity") != F.col("prior_polarity"))
+    may = F.coalesce(may_supersede(F.col("claim_type"), F.col("prior_claim_type")), F.lit(False))
+    pairs = fresh(both.withColumn("nth", nth).where(F.col("nth") <= CANDIDATES).select("claim_id", "at", "nth", "prior_claim_id", may.alias("may"), F.coalesce(opposite, F.lit(False)).alias("opposite"), *score(""), *score("prior_")))
+    # A pair that agrees changes nothing: rounds go over claims with an opposite one.
+    opposed = fresh(pairs.join(pairs.where("opposite").select("claim_id").distinct(), "claim_id", "left_semi"))
+    lost = fresh(opposed.select("claim_id", "at").limit(0))
+    for _ in range(max_rounds):
+        met = _meetings(opposed, lost)
+        events = met.select(F.when(F.col("lost"), F.col("claim_id")).alias("claim_id"), "at").where("claim_id is not null")
+        events = events.unionByName(met.select(F.explode(F.filter("met", lambda m: m["wins"])).alias("m"), "at").select(F.col("m.prior_claim_id").alias("claim_id"), "at"))
+        now = fresh(events.groupBy("claim_id").agg(F.min("at").alias("at")))
+        same = now.join(lost.withColumnRenamed("at", "_was"), "claim_id", "full").where("not (at <=> _was)").isEmpty()
+        lost = now
+        if same:
+            break
+    else:
+        raise RuntimeError(f"contradictions still move after {max_rounds} rounds")
+    each = _meetings(pairs, lost).select("claim_id", F.explode("met").alias("m"))
+    kinds = F.array_compact(F.array(F.when(F.col("m.supersedes"), "supersedes"), F.when(F.col("m.opposite"), "contradicts").otherwise("confirms")))
+    return each.select("claim_id", F.col("m.prior_claim_id").alias("prior_claim_id"), F.explode(kinds).alias("relation")).withColumn("weight", lookup(F.col("relation"), WEIGHTS, None))
 
 
 def outcome(edges: DataFrame) -> DataFrame:
