@@ -50,16 +50,15 @@ def test_runs_of_a_repetitive_text_are_few():
     assert len(r.RunIndex(text).symbols) < len(text) / 20
 
 
-@pytest.mark.parametrize(("size", "anchor", "block"), [(100, 32, 1 << 20), (100, 32, 1000), (30, 8, 5000), (12, 12, 1 << 20)])
-def test_against_brute_force(spark, docs, corpus, size, anchor, block):
+@pytest.mark.parametrize(("size", "anchor", "block", "batch"), [(100, 32, 1 << 20, 10_000), (100, 32, 20_000, 30), (30, 8, 5000, 10_000)])
+def test_against_brute_force(spark, docs, corpus, size, anchor, block, batch):
     want = brute(corpus, size)
     assert sum(x[1] for x in want.values()) > 0
-    for conf in ("10000", "7"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", conf)
-        try:
-            assert result(r.dedup_bytes(docs, size, anchor, block)) == want
-        finally:
-            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert result(r.dedup_bytes(docs, size, anchor, block)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_repeats_within_a_document(spark):
