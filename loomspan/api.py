@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -107,7 +108,7 @@ class Engine:
         need(layer in ("repository", "session"), "a layer is repository or session")
         members = cluster.communities(nodes, edges)
         figures = graph.community_figures(members.select("id", "community"), nodes, edges)
-        self.store.save_snapshot(self.project, layer, snapshot, nodes, edges, figures, at)
+        self.store.save_snapshot(self.project, layer, snapshot, nodes, edges, figures, at, members.select("id", "community"))
 
     def graph(self, layer: str) -> tuple[DataFrame, DataFrame]:
         found = self.store.load_snapshot(self.project, layer)
@@ -128,6 +129,47 @@ class Engine:
         need(found is not None, f"no {layer} graph")
         return found.orderBy(F.desc("node_count"), F.desc("cohesion_score"), "community")
 
+    def memory_communities(self, at: datetime, layer: str = "session", seconds: int = 300) -> DataFrame | None:
+        """memory_id, community by the layer's head; None where it has no graph.
+
+        The map is kept with the snapshot for so many seconds: a request within
+        them reads it alone, neither nodes nor edges. A head that has moved, or a
+        map that is older, makes a new one from the snapshot's members, or, of a
+        snapshot without, from its graph.
+        """
+        head = self.store.head(self.project, layer)
+        if head is None:
+            return None
+        kept = self.store.kept_map(self.project, layer, head, at, seconds)
+        if kept is None:
+            members = self.store.load_part(self.project, layer, "members")
+            if members is None or members.isEmpty():
+                members = cluster.communities(*self.graph(layer)).select("id", "community")
+            self.store.keep_map(self.project, layer, head, graph.memory_communities(members), at)
+            kept = self.store.kept_map(self.project, layer, head, at, seconds)
+        return kept
+
+    def project_resolve(self, name: str | None = None, project_id: str | None = None) -> dict:
+        """The project of an id, or else of a name, and whether it was made now. The global project is never found by either.
+
+        A blank or missing name is ``unnamed-project``; a new project takes the
+        given id or a random one, and its slug from that. Of projects of one
+        name the first made is found.
+        """
+        name = (name or "").strip() or "unnamed-project"
+        if project_id is not None:
+            project_id = str(uuid.UUID(project_id))
+        if self.store.exists("projects"):
+            own = self.store.read("projects").where("slug <> 'global'")
+            found = own.where(F.col("id") == project_id if project_id else F.col("name") == name).orderBy("nth", "id").first()
+            if found is not None:
+                return {"project_id": found["id"], "name": found["name"], "created": False}
+        made = project_id or str(uuid.uuid4())
+        nth = self.store.read("projects").count() if self.store.exists("projects") else 0
+        row = (made, name, f"project-{made.replace('-', '')[:12]}", nth)
+        self.store.append("projects", self.store.spark.createDataFrame([row], "id string, name string, slug string, nth long"))
+        return {"project_id": made, "name": name, "created": True}
+
     def unified_report(self) -> str:
         """A report across layers, of those that there are."""
         return unified_report(*[self.store.load_snapshot(self.project, layer) for layer in ("repository", "session")])

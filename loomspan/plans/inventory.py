@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.functions import text
+from loomspan.functions import catalogue, text
 from loomspan.operators import claims, components, context, events, graph, proofs, ranking, reconcile, relational, retrieval, traverse
 from loomspan.plans.catalog import CANON, CLASS_SQL, EPISODES_SQL, ITEMS_SQL, NOW, SEARCH_SQL, SEGMENTS_SQL, SIGNALS_SQL, TYPE_SQL, _cover_sql, _items, _score_sql, query, six
 from loomspan.plans.lineage import read, shared_folder
@@ -1407,3 +1407,19 @@ def g14(spark, sf):
     n, e = order_graph(spark, sf)
     again = e.where("relation = 'located_in'").withColumns({"weight": F.lit(2.0), "evidence": F.lit("extracted")})
     return graph.merged((n, e), (n.where("node_type = 'nation'"), again))[1].select("source", "target", "relation", "weight", "evidence")
+
+
+@query("O05_sql_texts", f"SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z_]+', ' ', 'g'))) AS canonical, array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1), lambda t: length(t) >= 3)[:10], '_') AS words, left(sha256(coalesce(text, '')), 32) AS id, len(list_filter(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_./:+-]+)', 1), lambda t: length(t) >= 3)), lambda t: NOT list_contains([{', '.join(repr(w) for w in text.GOAL_STOPWORDS)}], t)))::BIGINT AS goals FROM documents")
+def o05_texts(spark, sf):
+    catalogue.register(spark)
+    read(spark, sf, "documents").selectExpr("doc_id", "coalesce(text, '') AS text").createOrReplaceTempView("o05_documents")
+    return spark.sql("SELECT doc_id, md5(canonical_text(text)) AS canonical, claim_text(text) AS words, stable_id(text) AS id, (SELECT count(*) FROM goals_in(text)) AS goals FROM o05_documents")
+
+
+@query("O05_sql_scope", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 5 = 3 AND (c_custkey % 3 = 0 OR c_custkey % 2 = 1)")
+def o05_scope(spark, sf):
+    """The rows of a team's project, and those of no project, by the scope predicate."""
+    catalogue.register(spark)
+    catalogue.bind(spark, organization_id="BUILDING", team_id="3", project_id="1")
+    read(spark, sf, "customer").createOrReplaceTempView("o05_customers")
+    return spark.sql("SELECT c_custkey, c_name FROM o05_customers WHERE app_is_scoped_to_row(c_mktsegment, string(c_nationkey % 5), CASE WHEN c_custkey % 3 <> 0 THEN string(c_custkey % 2) END)")

@@ -37,10 +37,10 @@ class Store:
 
     # --- graph snapshots ---
 
-    def save_snapshot(self, project: str, layer: str, snapshot: str, nodes: DataFrame, edges: DataFrame, communities: DataFrame, created_at) -> None:
-        """An immutable snapshot of a layer, and its head: the head is the row of the latest time."""
+    def save_snapshot(self, project: str, layer: str, snapshot: str, nodes: DataFrame, edges: DataFrame, communities: DataFrame, created_at, members: DataFrame | None = None) -> None:
+        """An immutable snapshot of a layer, with its nodes' communities if given, and its head: the head is the row of the latest time."""
         tag = lambda df: df.withColumns({"project_id": F.lit(project), "layer": F.lit(layer), "snapshot_id": F.lit(snapshot)})
-        for name, df in (("nodes", nodes), ("edges", edges), ("communities", communities)):
+        for name, df in (("nodes", nodes), ("edges", edges), ("communities", communities), *([("members", members)] if members is not None else [])):
             self.append(f"graph_{name}", tag(df), ["project_id", "layer", "snapshot_id"])
         head = self.spark.createDataFrame([(project, layer, snapshot, created_at)], "project_id string, layer string, snapshot_id string, created_at timestamp")
         self.append("graph_heads", head)
@@ -53,14 +53,37 @@ class Store:
         nodes = self.load_part(project, layer, "nodes")
         return None if nodes is None else (nodes, self.load_part(project, layer, "edges"))
 
+    def head(self, project: str, layer: str) -> str | None:
+        """The snapshot that a layer's head names."""
+        found = self.heads().where((F.col("project_id") == project) & (F.col("layer") == layer)).first() if self.exists("graph_heads") else None
+        return None if found is None else found["snapshot_id"]
+
     def load_part(self, project: str, layer: str, part: str) -> DataFrame | None:
-        """The head's nodes, edges or communities: partition filters, so other snapshots are not read."""
-        head = self.heads().where((F.col("project_id") == project) & (F.col("layer") == layer)).first() if self.exists("graph_heads") else None
-        if head is None:
+        """The head's nodes, edges, communities or members: partition filters, so other snapshots are not read."""
+        head = self.head(project, layer)
+        if head is None or not self.exists(f"graph_{part}"):
             return None
-        at = (F.col("project_id") == project) & (F.col("layer") == layer) & (F.col("snapshot_id") == head["snapshot_id"])
+        at = (F.col("project_id") == project) & (F.col("layer") == layer) & (F.col("snapshot_id") == head)
         return self.read(f"graph_{part}").where(at).drop("project_id", "layer", "snapshot_id")
 
+    # --- communities of memories, kept for a time ---
+
+    def keep_map(self, project: str, layer: str, snapshot: str, rows: DataFrame, at) -> None:
+        """A snapshot's map (memory_id, community) as of a time; it is seen once its row in ``community_map_heads`` is."""
+        name = f"{int(at.timestamp() * 1e6)}"
+        tag = {"project_id": F.lit(project), "layer": F.lit(layer), "snapshot_id": F.lit(snapshot), "made": F.lit(name)}
+        self.append("community_maps", rows.withColumns(tag), ["project_id", "layer", "snapshot_id", "made"])
+        self.append("community_map_heads", self.spark.createDataFrame([(project, layer, snapshot, name, at)], "project_id string, layer string, snapshot_id string, made string, made_at timestamp"))
+
+    def kept_map(self, project: str, layer: str, snapshot: str, at, seconds: int) -> DataFrame | None:
+        """The last map of a snapshot that is not older than so many seconds, by partition filters."""
+        if not self.exists("community_map_heads"):
+            return None
+        same = (F.col("project_id") == project) & (F.col("layer") == layer) & (F.col("snapshot_id") == snapshot)
+        fresh = (F.col("made_at") <= F.lit(at)) & (F.col("made_at") >= F.lit(at) - F.make_dt_interval(secs=F.lit(seconds)))
+        found = self.read("community_map_heads").where(same & fresh).agg(F.max_by("made", "made_at")).first()[0]
+        return None if found is None else self.read("community_maps").where(same & (F.col("made").cast("string") == found)).select("memory_id", "community")
+
     # --- vectors ---
 
     def upsert_vectors(self, items: DataFrame, version: int, scope: str = "") -> None:

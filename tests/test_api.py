@@ -120,3 +120,38 @@ def test_id_maps(spark):
     assert got == {("not a uuid", "odd"), ("no reverse mapping", u[2]), ("maps to another uuid", u[1]), ("no forward mapping", u[3]), ("no forward mapping", u[4]), ("record key", u[1])}
     f, b, n = normalised_maps(forward.limit(0), backward.limit(0), spark.createDataFrame([(4, u[0]), (6, u[0]), (5, u[1])], "number int, uuid string"))
     assert {(r.uuid, r.number) for r in f.collect()} == {(u[0], 4), (u[1], 5)} and b.count() == 3 and n == 7
+
+
+def test_map_of_communities_is_kept(spark, tmp_path):
+    """A second request reads the kept map alone; a moved head or a time gone by makes a new one."""
+    engine = Engine(Store(spark, str(tmp_path / "maps")))
+    assert engine.memory_communities(T0) is None
+    uid = lambda i: f"memory:{i:08}-0000-0000-0000-000000000000"
+    edges = spark.createDataFrame([(uid(i), uid(i + 1), "r", "extracted", 1.0) for i in (0, 1, 3)], "source string, target string, relation string, evidence string, weight double")
+    nodes = spark.createDataFrame([(uid(i), "n", "memory") for i in range(5)] + [("file:x", "n", "file")], "id string, label string, node_type string")
+    engine.build_graph("session", "one", nodes, edges, T0)
+    first = {r.memory_id: r.community for r in engine.memory_communities(T0).collect()}
+    assert len(first) == 5 and len(set(first.values())) == 2
+    again = engine.memory_communities(T0 + timedelta(seconds=200))
+    plan = "".join(str(f) for f in again.inputFiles())
+    assert "community_maps" in plan and "graph_" not in plan and {r.memory_id: r.community for r in again.collect()} == first
+    heads = lambda: engine.store.read("community_map_heads").count()
+    assert heads() == 1
+    engine.memory_communities(T0 + timedelta(seconds=301))
+    assert heads() == 2
+    engine.build_graph("session", "two", nodes.limit(2), edges.limit(1), T0 + timedelta(seconds=302))
+    assert engine.memory_communities(T0 + timedelta(seconds=303)).count() == 2 and heads() == 3
+
+
+def test_projects(spark, tmp_path):
+    engine = Engine(Store(spark, str(tmp_path / "projects")))
+    one = engine.project_resolve("  web  ")
+    assert one["created"] and one["name"] == "web" and engine.project_resolve("web") == {**one, "created": False}
+    assert engine.project_resolve("other", one["project_id"]) == {**one, "created": False}
+    own = "12345678-1234-1234-1234-123456789abc"
+    assert engine.project_resolve(None, own) == {"project_id": own, "name": "unnamed-project", "created": True}
+    assert engine.store.read("projects").where(f"id = '{own}'").first().slug == "project-123456781234"
+    engine.store.append("projects", spark.createDataFrame([("g", "everything", "global", 9)], "id string, name string, slug string, nth long"))
+    assert engine.project_resolve("everything")["created"]
+    with pytest.raises(ValueError):
+        engine.project_resolve("x", "no id")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions import catalogue, text
 from loomspan.operators import retrieval, traverse
 from loomspan.plans.search import type_scopes, wants_detail
 from loomspan.scope import Scope, ScopeError
@@ -85,3 +86,27 @@ def test_scope_override(bound, asked, result):
             Scope("o", "t", bound).override(asked)
     else:
         assert Scope("o", "t", bound).override(asked).project_id == result
+
+
+def test_sql_functions(spark):
+    """They give what the column functions give, see the session's scope, and are pushed down."""
+    names = catalogue.register(spark)
+    rows = spark.createDataFrame([(1, "Fix THE parser's 2nd Error in src/main.rs"), (2, ""), (3, None), (4, "deadbeef01  failed:\n\t at 0x12")], "id int, x string")
+    rows.createOrReplaceTempView("texts")
+    got = spark.sql("SELECT id, canonical_text(x) a, claim_text(x) b, stable_id(x) c, error_signature(x) d, claim_key('bug', 'parser', x) e FROM texts")
+    want = rows.select("id", text.canonical(F.col("x")).alias("a"), text.claim_text(F.col("x")).alias("b"), text.stable_id(F.col("x")).alias("c"), text.error_signature(F.col("x")).alias("d"), F.concat_ws(":", F.lit("bug"), F.lit("parser"), text.claim_text(F.col("x"))).alias("e"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    goals = {r.id: r.g for r in rows.select("id", F.coalesce(text.sub_goals(F.col("x")), F.array().cast("array<string>")).alias("g")).collect()}
+    found: dict = {}
+    for r in spark.sql("SELECT id, position, goal FROM texts, LATERAL goals_in(x) ORDER BY id, position").collect():
+        found.setdefault(r.id, []).append(r.goal)
+    assert found == {i: g for i, g in goals.items() if g}
+    catalogue.bind(spark, organization_id="o", team_id="t", team_role="admin")
+    scope = "SELECT o, t, p FROM VALUES ('o', 't', 'p'), ('o', 't', NULL), ('o', 'u', 'p'), ('q', 't', 'p'), ('o', 't', 'r') AS v(o, t, p) WHERE app_is_scoped_to_row(o, t, p)"
+    assert spark.sql(scope).count() == 3 and spark.sql("SELECT app_is_team_admin()").first()[0]
+    catalogue.bind(spark, organization_id="o", team_id="t", project_id="r")
+    assert {r.p for r in spark.sql(scope).collect()} == {None, "r"} and not spark.sql("SELECT app_is_team_admin()").first()[0]
+    catalogue.bind(spark)
+    assert spark.sql(scope).count() == 0 and len(names) == len(catalogue.FUNCTIONS)
+    with pytest.raises(ValueError):
+        catalogue.bind(spark, tenant="x")
