@@ -106,7 +106,7 @@ class Engine:
 
     def build_graph(self, layer: str, snapshot: str, nodes: DataFrame, edges: DataFrame, at: datetime) -> None:
         need(layer in ("repository", "session"), "a layer is repository or session")
-        members = cluster.communities(nodes, edges)
+        members = cut(cluster.communities(nodes, edges))
         figures = graph.community_figures(members.select("id", "community"), nodes, edges)
         self.store.save_snapshot(self.project, layer, snapshot, nodes, edges, figures, at, members.select("id", "community"))
 
