@@ -17,7 +17,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose Bradley-Terry score reaches the threshold stay, unchanged."""
+    """Documents whose Bradley-Terry score reaches the threshold stay, unchanged.
+
+    Each row is judged by its text alone: a null text as an empty one, repeated
+    rows and null ids like all others. No rows give no rows; columns beside
+    those of documents go.
+    """
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
     return quality.score_documents(docs.select(*COLUMNS), model).where(F.col("quality_score") >= quality.AT_THRESHOLD).select(*COLUMNS)
 
@@ -52,7 +57,11 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the decoded text."""
+    """Token counts and digests of ids and of the decoded text.
+
+    A row each, also of null and repeated ids; a null text is empty and has no
+    tokens. No rows give no rows.
+    """
     return bpe.encode_documents(docs)
 
 
