@@ -12,6 +12,7 @@ from loomspan.schemas import lookup
 from loomspan.scope import Scope, scoped, with_global_fallback
 from loomspan.sources import repository, sessions
 from loomspan.sources.adapters import GRAPH_SQL, MEMORIES_SQL, PAGE_NODES_SQL, TELEMETRY_SQL, memories, order_graph, page_nodes, telemetry
+from loomspan.sources.postings import PostingIndex
 from loomspan.sources.vectors import VectorIndex
 from loomspan.streaming import jobs
 
@@ -1076,6 +1077,14 @@ def e50(spark, sf):
     return retrieval.search_index(retrieval.index(_documents(spark, sf)), "queque")
 
 
+@query("E50_top_search", f"WITH {WORDS_SQL} SELECT doc_id AS id, round(count(*) * 0.2, 6)::DOUBLE AS rank FROM tok WHERE t IN {VARIANTS} GROUP BY 1 ORDER BY rank DESC, id LIMIT 20")
+def e50_top(spark, sf):
+    """The first 20 from a written index: levels of the term's count are read from the highest down."""
+    index = PostingIndex(spark, shared_folder(spark, "postings"))
+    index.build(_documents(spark, sf))
+    return index.top("queque", 20).rows
+
+
 @query("E10_scoped_search", "WITH s AS (SELECT e.vec_id AS id, greatest(0, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q) SELECT id, round(s, 6) AS similarity FROM s ORDER BY round(s, 9) DESC, id LIMIT 7")
 def e10(spark, sf):
     e = read(spark, sf, "embeddings")
