@@ -75,15 +75,30 @@ def content_text(content: Column) -> Column:
     return F.when(F.ltrim(content).startswith("["), F.nullif(F.array_join(parts, "\n"), F.lit(""))).otherwise(content)
 
 
+def numbered(lines: DataFrame, path: str, block: str, at: str) -> DataFrame:
+    """``lines`` with ``pos``, the line's number in its file from 0, for files that are read in blocks.
+
+    ``at`` orders the lines of a block. A long file is many blocks, and a block
+    is what is sorted in a task; before it come as many lines as the blocks
+    ahead of it count.
+    """
+    counts = lines.groupBy(path, block).agg(F.count("*").alias("_lines"))
+    ahead = Window.partitionBy(path).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(path, block, F.coalesce(F.sum("_lines").over(ahead), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy(path, block).orderBy(at)) - 1
+    return lines.withColumn("_nth", nth).join(starts, [path, block]).withColumn("pos", (F.col("_start") + F.col("_nth")).cast("int")).drop("_start", "_nth", block, at)
+
+
 def read_jsonl(spark: SparkSession, roots: list[str], since: str | None = None, until: str | None = None) -> DataFrame:
     """Events of .jsonl files below the roots, one a line; malformed lines are skipped, headers give the session.
 
     Names that hold logs.json are left out. Lines keep their order by the
     file's line number, so turns can be counted.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(roots, wholetext=True)
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    kept = lines.where(~F.col("path").contains("logs.json")).where(in_date_range(F.col("path"), since, until)).where("trim(line) <> ''")
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(roots, lineSep="\n")
+    lines = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    lines = lines.where(~F.col("path").contains("logs.json")).where(in_date_range(F.col("path"), since, until))
+    kept = numbered(lines, "path", "block", "at").where("trim(line) <> ''")
     parsed = kept.withColumn("j", F.from_json("line", _LINE)).withColumn("raw", F.get_json_object("line", "$.payload")).where("j is not null and (j.type is not null or j.role is not null)")
     return _events(parsed)
 
@@ -98,7 +113,9 @@ def read_json(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 def _events(parsed: DataFrame) -> DataFrame:
     j, p = (lambda c: F.col(f"j.{c}")), (lambda c: F.col(f"j.payload.{c}"))
-    head = F.first(F.when(j("type") == "session_meta", p("id")), True).over(Window.partitionBy("path"))
+    # The first header of a file, by an aggregate of the headers: no file's events meet in one task.
+    heads = parsed.where((j("type") == "session_meta") & p("id").isNotNull()).groupBy("path").agg(F.min_by(p("id"), "pos").alias("_head"))
+    parsed, head = parsed.join(heads, "path", "left"), F.col("_head")
     output = F.coalesce(j("output"), p("output"))
     top, wrapped = F.lower(F.coalesce(j("type"), F.lit(""))), F.lower(F.coalesce(p("type"), F.lit("")))
     trimmed = lambda x: F.nullif(F.trim(x), F.lit(""))

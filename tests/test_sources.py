@@ -31,6 +31,20 @@ def test_records_of_provider_logs(spark, tmp_path):
     assert got == [("turn_context", None, None, None, None), ("prompt", "one\ntwo", None, None, None), ("tool_call", None, "ls -l", "shell", None), ("tool_result", "nothing", "ls", None, 3), ("error", "it failed", None, None, None)]
 
 
+def test_long_logs_are_read_in_blocks(spark, tmp_path):
+    lines = [json.dumps({"type": "session_meta", "payload": {"id": "L"}})] + [json.dumps({"type": "user", "message": f"m{i}"}) if i % 7 else "" for i in range(1, 400)]
+    (tmp_path / "long.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = sessions.read_jsonl(spark, [str(tmp_path)]).select("ordinal", "message", "session_id").collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.ordinal, r.message) for r in rows) == [(i, f"m{i}") for i in range(1, 400) if i % 7]
+    assert {r.session_id for r in rows} == {"L"}
+
+
 def test_json(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"sessionId": "J", "messages": [{"role": "user", "text": "one"}, {"role": "assistant", "text": "two"}]}))
     rows = sessions.read_json(spark, [str(tmp_path)]).orderBy("ordinal").collect()
