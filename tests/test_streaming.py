@@ -2,7 +2,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from loomspan.operators.events import episodes_of
+import pytest
+
+from loomspan.operators.events import episodes_of, turn_ids
 from loomspan.streaming import jobs, sessions
 
 T0 = datetime(2025, 1, 1)
@@ -37,6 +39,45 @@ def test_stateful_episodes_match_batch(spark, tmp_path):
     assert {r.event_id: r.episode for r in got.collect()} == want
 
 
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_sessions_as_state_match_batch(spark, tmp_path, rocks):
+    data = sorted(rows(24), key=lambda r: r[-1])
+    data = [(*r[:3], i, *r[4:]) for i, r in enumerate(data)]
+    # The same key again in the other batch, the same event id under a new key, and what follows a duplicate only.
+    late = T0 + timedelta(hours=8)
+    more = [("s0", "other", data[0][2], 24), ("s0", data[2][1], "fresh", 25), ("s0", "third", "fresh", 26), ("s1", None, None, 27), ("s1", None, None, 28)]
+    df, live = stream(spark, tmp_path, data + [(*m, "prompt", "more", None, None, None, None, late) for m in more])
+    q = sessions.ingest(live, str(tmp_path / "out"), str(tmp_path / "check"), cap=3).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert set(df.columns) < set(got.columns) and "duplicate" not in got.columns
+    fresh = df.where("ordinal not in (24, 25)")
+    want = turn_ids(episodes_of(fresh, cap=3))
+    pick = lambda d: sorted((r.ordinal, r.session_id, r.episode_type, r.episode, r.turn) for r in d.collect())
+    assert pick(got) == pick(want)
+
+
+def test_idle_sessions_lose_their_state(spark, tmp_path, rocks):
+    at = lambda k, days, key="k": ("s0", f"e{k}", key, k, "prompt", "text", None, None, None, None, T0 + timedelta(days=days))
+    # The watermark of a batch is that of the batches before it, and an empty batch follows it.
+    data = [at(0, 0), ("s1", "x", "x", 1, "prompt", "", None, None, None, None, T0 + timedelta(days=9)), at(2, 9.5)]
+    _, live = stream(spark, tmp_path, data, files=3)
+    q = sessions.ingest(live, str(tmp_path / "out"), str(tmp_path / "check"), idle_seconds=86400).start()
+    q.processAllAvailable()
+    q.stop()
+    kept = {r.event_id: r.episode for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert kept == {"e0": 1, "x": 1, "e2": 1}
+
+
 def test_dedupe_and_active(spark, tmp_path):
     df, live = stream(spark, tmp_path, rows() + rows()[:4], 1)
     assert drain(sessions.deduplicated(live), spark, "dedupe_out").count() == 20
