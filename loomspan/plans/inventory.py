@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions import catalogue, text
-from loomspan.operators import claims, components, context, events, graph, proofs, ranking, reconcile, relational, retrieval, traverse
+from loomspan.operators import claims, components, context, events, graph, nesting, proofs, ranking, reconcile, relational, retrieval, traverse
 from loomspan.plans.catalog import CANON, CLASS_SQL, EPISODES_SQL, ITEMS_SQL, NOW, SEARCH_SQL, SEGMENTS_SQL, SIGNALS_SQL, TYPE_SQL, _cover_sql, _items, _score_sql, query, six
 from loomspan.plans.lineage import read, shared_folder
 from loomspan.schemas import lookup
@@ -1077,6 +1077,22 @@ def e50(spark, sf):
     return retrieval.search_index(retrieval.index(_documents(spark, sf)), "queque")
 
 
+TAGS = ("html", "head", "body", "nav", "ul", "li", "a", "article", "h1", "div", "footer", "title", "style", "script")
+OWNING_TAGS = ("html", "head", "body", "nav", "article", "div", "footer", "li")
+_TAGS_SQL = f"""WITH raw AS (SELECT page_id, unnest(g) AS g, generate_subscripts(g, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '</?(?:{'|'.join(TAGS)})\\b[^>]*>') AS g FROM pages)),
+walk AS (SELECT page_id, pos, g[2] <> '/' AS opens, regexp_extract(g, '^</?([a-z0-9]+)', 1) AS tag, sum(CASE WHEN g[2] = '/' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos) AS level FROM raw),
+op AS (SELECT * FROM walk WHERE opens),
+latest AS (SELECT c.page_id, c.pos, o.level, max(o.pos) AS at FROM op c JOIN op o ON c.page_id = o.page_id AND o.pos < c.pos AND o.level < c.level GROUP BY 1, 2, 3),
+own AS (SELECT l.page_id, l.pos, arg_max(o.tag, l.level) AS owner FROM latest l JOIN op o ON o.page_id = l.page_id AND o.pos = l.at WHERE o.tag IN {OWNING_TAGS} GROUP BY 1, 2)
+SELECT c.page_id, own.owner, c.tag, count(*) AS n FROM op c LEFT JOIN own ON own.page_id = c.page_id AND own.pos = c.pos WHERE c.tag IN {OWNING_TAGS} GROUP BY 1, 2, 3"""
+
+
+@query("J22_tag_owners", _TAGS_SQL)
+def j22(spark, sf):
+    tokens = nesting.tag_tokens(read(spark, sf, "pages"), "page_id", "html", TAGS, OWNING_TAGS)
+    return nesting.owners(tokens, "page_id").groupBy("page_id", "owner", F.col("name").alias("tag")).agg(F.count("*").alias("n"))
+
+
 @query("E50_top_search", f"WITH {WORDS_SQL} SELECT doc_id AS id, round(count(*) * 0.2, 6)::DOUBLE AS rank FROM tok WHERE t IN {VARIANTS} GROUP BY 1 ORDER BY rank DESC, id LIMIT 20")
 def e50_top(spark, sf):
     """The first 20 from a written index: levels of the term's count are read from the highest down."""
