@@ -59,29 +59,26 @@ def _first(header: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(header, pattern, group), F.lit(""))
 
 
-def declarations(files: DataFrame, id_: str = "path", text: str = "text", kind: str = "rust") -> DataFrame:
-    """Declarations of files in languages of braces: id_, at, line, kind, name, owner, depth, doc.
-
-    kind: ``rust``, or ``script`` for TypeScript, JavaScript and their like. A
-    text is cut into comments, strings, braces, semicolons and what is between;
-    what stands before a brace or semicolon is its header, which names what it
-    declares: functions, types, modules, implementations by their type, classes,
-    methods (of a declared block) and arrow functions. ``line`` is that of the
-    header's end, ``doc`` the doc comments in the header, ``owner`` the innermost
-    declared block around. Null texts declare nothing. No parser: macros and
-    regular expressions with braces may shift the nesting of their file.
-    """
-    along = Window.partitionBy("_id").orderBy("_p")
+def _pieces(files: DataFrame, id_: str, text: str, kind: str) -> DataFrame:
+    """Comments, strings, braces, semicolons and what is between, with the number of the statement and of the lines before."""
+    before = Window.partitionBy("_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     pieces = files.select(F.col(id_).alias("_id"), F.posexplode(F.regexp_extract_all(text, F.lit(_TOKENS[kind]), F.lit(0))).alias("_p", "_t"))
-    ends = F.col("_t").isin("{", "}", ";")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumns({"_at": F.coalesce(F.count_if(ends).over(before), F.lit(0)), "_lines": F.coalesce(F.sum(F.length("_t") - F.length(F.replace("_t", F.lit("\n")))).over(before), F.lit(0))})
-    grouped = pieces.groupBy("_id", "_at").agg(F.array_sort(F.collect_list(F.struct("_p", "_t"))).alias("_x"), F.max(F.when(ends, F.col("_t"))).alias("_end"), F.max("_lines").alias("_lines"))
+    lines = F.length("_t") - F.length(F.replace("_t", F.lit("\n")))
+    return pieces.withColumns({"_at": F.coalesce(F.count_if(_ends("_t")).over(before), F.lit(0)), "_lines": F.coalesce(F.sum(lines).over(before), F.lit(0)).cast("int")})
+
+
+def _ends(t: str) -> Column:
+    return F.col(t).isin("{", "}", ";")
+
+
+def _statements(pieces: DataFrame, kind: str) -> DataFrame:
+    """_id, _at, line, step, _what (kind and name of a declaration, else null), _head, doc: one row a brace or semicolon."""
+    grouped = pieces.groupBy("_id", "_at").agg(F.array_sort(F.collect_list(F.struct("_p", "_t"))).alias("_x"), F.max(F.when(_ends("_t"), F.col("_t"))).alias("_end"), F.max("_lines").alias("_lines"))
     comment = lambda x: x["_t"].startswith("//") | x["_t"].startswith("/*")
     doc = lambda x: x["_t"].startswith("///") | x["_t"].startswith("/**")
     said = lambda x: F.trim(F.regexp_replace(x["_t"], r"^(?:///|/\*\*)|\*/$|(?<=\n)[ \t]*\*(?!/)", ""))
     texts = grouped.select(
-        "_id", "_at", "_end", (F.col("_lines") + 1).cast("int").alias("line"),
+        "_id", "_at", "_end", (F.col("_lines") + 1).alias("line"),
         F.array_join(F.transform(F.filter("_x", lambda x: ~comment(x) & ~x["_t"].isin("{", "}", ";")), lambda x: x["_t"]), "").alias("_head"),
         F.nullif(F.array_join(F.transform(F.filter("_x", doc), said), "\n"), F.lit("")).alias("doc"),
     ).where("_end is not null")
@@ -100,8 +97,63 @@ def declarations(files: DataFrame, id_: str = "path", text: str = "text", kind:
     )
     t = texts.withColumn("_what", what).withColumn("step", F.when(opens, 1).when(F.col("_end") == "}", -1).otherwise(0))
     # The end of a block is no declaration, whatever stands before it.
-    t = t.withColumn("_what", F.when(F.col("step") >= 0, F.col("_what")))
+    return t.withColumn("_what", F.when(F.col("step") >= 0, F.col("_what")))
+
+
+def declarations(files: DataFrame, id_: str = "path", text: str = "text", kind: str = "rust") -> DataFrame:
+    """Declarations of files in languages of braces: id_, at, line, kind, name, owner, depth, doc, params, returns.
+
+    kind: ``rust``, or ``script`` for TypeScript, JavaScript and their like. A
+    text is cut into comments, strings, braces, semicolons and what is between;
+    what stands before a brace or semicolon is its header, which names what it
+    declares: functions, types, modules, implementations by their type, classes,
+    methods (of a declared block) and arrow functions. ``line`` is that of the
+    header's end, ``doc`` the doc comments in the header, ``owner`` the innermost
+    declared block around, ``params`` and ``returns`` a function's, as written.
+    Null texts declare nothing. No parser: macros and regular expressions with
+    braces may shift the nesting of their file.
+    """
+    t = _statements(_pieces(files, id_, text, kind), kind)
     placed = owners(t.select("_id", F.col("_at").alias("at"), "step", F.col("_what.name").alias("name")), "_id")
-    out = t.select("_id", F.col("_at").alias("at"), "line", F.col("_what.kind").alias("kind"), "doc").join(placed, ["_id", "at"])
+    # Parentheses within parameters and types: one level.
+    signature = rf"\(((?:[^()]++|\([^()]*+\))*+)\)\s*(?:(?:{'->' if kind == 'rust' else ':'})\s*((?:[^()=]++|\([^()]*+\)|=(?!>\s*$))++))?(?:=>)?\s*$"
+    bare = F.trim(F.regexp_replace("_head", r"\s+where\b[\s\S]*$", "") if kind == "rust" else F.col("_head"))
+    function = F.col("_what.kind").isin("fn", "function", "method")
+    shown = lambda g: F.when(function, F.nullif(F.trim(F.regexp_replace(F.regexp_extract(bare, signature, g), r"\s+", " ")), F.lit("")))
+    out = t.select("_id", F.col("_at").alias("at"), "line", F.col("_what.kind").alias("kind"), "doc", shown(1).alias("params"), shown(2).alias("returns")).join(placed, ["_id", "at"])
     kept = out.where((F.col("kind") != "method") | F.col("owner").isNotNull())
-    return kept.select(F.col("_id").alias(id_), "at", "line", "kind", "name", "owner", "depth", "doc")
+    return kept.select(F.col("_id").alias(id_), "at", "line", "kind", "name", "owner", "depth", "doc", "params", "returns")
+
+
+def calls(files: DataFrame, id_: str = "path", text: str = "text", kind: str = "rust") -> DataFrame:
+    """id_, line, name, owner: what is called on a line, once, and the innermost declared block around.
+
+    A call is a name before an opening parenthesis outside of comments, strings
+    and headers of declarations; key words are none.
+    """
+    pieces = _pieces(files, id_, text, kind)
+    t = _statements(pieces, kind)
+    code = pieces.where(~F.col("_t").rlike("^(?://|/\\*|[\"'`{};])")).select("_id", "_at", "_p", F.posexplode(F.split("_t", "\n")).alias("_k", "_line"), "_lines")
+    names = F.filter(F.array_distinct(F.regexp_extract_all("_line", F.lit(r"([A-Za-z_$][\w$]*)\s*(?:::<[^>]*>)?\("), F.lit(1))), lambda n: ~n.isin(*_NOT_METHODS))
+    found = code.select("_id", "_at", F.struct(F.col("_at").alias("at"), F.lit(0).alias("end"), "_p", "_k").alias("at"), (F.col("_lines") + F.col("_k") + 1).alias("line"), F.explode(names).alias("name"))
+    found = found.join(t.where("_what is not null").select("_id", "_at"), ["_id", "_at"], "left_anti")
+    said = lambda name, line, call: F.struct(name.alias("name"), line.alias("line"), F.lit(call).alias("call"))
+    # Calls stand before the brace or semicolon that ends their statement.
+    last = F.struct(F.col("_at").alias("at"), F.lit(1).alias("end"), F.lit(0).alias("_p"), F.lit(0).alias("_k"))
+    blocks = t.select("_id", last.alias("at"), "step", F.when(F.col("_what").isNotNull(), said(F.col("_what.name"), F.col("line"), False)).alias("name"))
+    placed = owners(blocks.unionByName(found.select("_id", "at", F.lit(0).alias("step"), said(F.col("name"), F.col("line"), True).alias("name"))), "_id").where("name.call")
+    return placed.groupBy(F.col("_id").alias(id_), F.col("name.line").alias("line"), F.col("name.name").alias("name")).agg(F.min_by("owner.name", "at").alias("owner"))
+
+
+def imports(files: DataFrame, id_: str = "path", text: str = "text", kind: str = "rust") -> DataFrame:
+    """id_, module: the distinct modules that files import; Rust's groups in braces of one level are a module each."""
+    if kind == "script":
+        patterns = (r"(?m)^\s*(?:import|export)\b[^;'\"]*?\bfrom\s*['\"]([^'\"\n]+)['\"]", r"(?m)^\s*import\s*['\"]([^'\"\n]+)['\"]", r"\b(?:require|import)\(\s*['\"]([^'\"\n]+)['\"]\s*\)")
+        found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
+        return files.select(id_, F.explode(F.array_distinct(found)).alias("module"))
+    used = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);"), F.lit(1))
+    flat = files.select(id_, F.explode(F.transform(used, lambda u: F.regexp_replace(u, r"\s+", " "))).alias("_u"))
+    group = F.regexp_extract("_u", r"^([^{}]*)\{([^{}]*)\}$", 2)
+    parts = F.filter(F.transform(F.split(group, ","), lambda x: F.trim(x)), lambda x: x != "")
+    stem = F.regexp_extract("_u", r"^([^{}]*)\{[^{}]*\}$", 1)
+    return flat.select(id_, F.explode(F.when(group != "", F.transform(parts, lambda x: F.concat(stem, x))).otherwise(F.array("_u"))).alias("module")).distinct()

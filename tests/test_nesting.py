@@ -46,6 +46,27 @@ def test_script(spark):
     assert rows[0].doc.startswith("The service.")
 
 
+def test_signatures(spark):
+    rust = spark.createDataFrame([("a", RUST + "pub fn wide<T>(a: T, b: (u8, u8)) -> Result<(), E> where T: Copy {}\nfn none();")], "path string, text string")
+    got = {r.name: (r.params, r.returns) for r in nesting.declarations(rust).where("kind = 'fn'").collect()}
+    assert got == {"draw": ("&self, f: impl Fn() -> u8", "String"), "inner": (None, None), "last": (None, None), "wide": ("a: T, b: (u8, u8)", "Result<(), E>"), "none": (None, None)}
+    script = {r.name: (r.params, r.returns) for r in nesting.declarations(spark.createDataFrame([("a", SCRIPT)], "path string, text string"), kind="script").collect()}
+    assert script["load"] == ("id: string", "Promise<void>") and script["go"] == ("a", None) and script["top"] == (None, None)
+
+
+def test_calls(spark):
+    text = 'fn a() {\n  b(1); b(2);\n  // c()\n  let s = "d()";\n  if (x) { y.e::<T>( ) }\n}\nfn f(x: impl Fn()) { g(\n h()); }\nb();'
+    rows = nesting.calls(spark.createDataFrame([("a", text), ("n", None)], "path string, text string")).collect()
+    assert sorted((r.line, r.name, r.owner) for r in rows) == sorted([(2, "b", "a"), (5, "e", "a"), (7, "g", "f"), (8, "h", "f"), (9, "b", None)], key=lambda r: r[:2])
+
+
+def test_imports(spark):
+    rust = spark.createDataFrame([("a", "use std::io;\npub use a::{b, c::d};\n  use x as\n y;\n// nothing\n"), ("n", None)], "path string, text string")
+    assert sorted(r.module for r in nesting.imports(rust).collect()) == ["a::b", "a::c::d", "std::io", "x as y"]
+    script = spark.createDataFrame([("a", "import {\n a,\n b } from './x';\nimport \"side\";\nexport * from 'y';\nconst z = require('z'), w = await import('w');")], "path string, text string")
+    assert sorted(r.module for r in nesting.imports(script, kind="script").collect()) == ["./x", "side", "w", "y", "z"]
+
+
 def test_owners_are_those_of_a_stack(spark):
     rng = random.Random(5)
     tokens, want = [], {}
