@@ -1096,7 +1096,7 @@ def j22(spark, sf):
 @query("E50_top_search", f"WITH {WORDS_SQL} SELECT doc_id AS id, round(count(*) * 0.2, 6)::DOUBLE AS rank FROM tok WHERE t IN {VARIANTS} GROUP BY 1 ORDER BY rank DESC, id LIMIT 20")
 def e50_top(spark, sf):
     """The first 20 from a written index: levels of the term's count are read from the highest down."""
-    index = PostingIndex(spark, shared_folder(spark, "postings"))
+    index = PostingIndex(spark, shared_folder(spark, "postings"), buckets=8)
     index.build(_documents(spark, sf))
     return index.top("queque", 20).rows
 

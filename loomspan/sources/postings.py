@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomspan.operators.retrieval import FIELD_WEIGHTS, _accepts, _terms_of, cover_density, parse_query, placed_terms
 from loomspan.plans.lineage import cut
 
-#: Folders of postings by hash of the term.
+#: Folders of postings by hash of the term: readers take the number that the index was built with.
 BUCKETS = 64
 
 
@@ -44,14 +44,15 @@ class PostingIndex:
     A level holds counts from 2**level to below 2**(level + 1). A block is what
     a term has in a level; ``blocks`` keeps its rows, the largest sum of a
     document's field weights, and the least and largest weight. A document gives all postings of a term in one row, so nothing
-    is grouped to build the index; rows are dealt by ranges of bucket, level,
-    term and key, so that a term in all documents is spread over many files.
+    is grouped to build the index; rows are dealt by bucket and level in parts of
+    an even size, so that a term in all documents is spread over many files.
     """
 
     spark: SparkSession
     path: str
     key: str = "id"
     fields: dict[str, float] = field(default_factory=lambda: dict(FIELD_WEIGHTS))
+    buckets: int = BUCKETS
 
     def build(self, docs: DataFrame) -> None:
         """Write the index of documents with distinct keys; documents without a key are left out, null fields are empty.
@@ -61,7 +62,7 @@ class PostingIndex:
         known = docs.where(F.col(self.key).isNotNull())
         if not known.groupBy(self.key).count().where("count > 1").isEmpty():
             raise ValueError(f"{self.key} must be distinct")
-        key, names, weights = self.key, list(self.fields), list(self.fields.values())
+        key, buckets, names, weights = self.key, self.buckets, list(self.fields), list(self.fields.values())
 
         def run(batches):
             for batch in batches:
@@ -73,7 +74,7 @@ class PostingIndex:
                         at.append(pos)
                         by.append(weights[of])
                     source += [i] * len(found)
-                    rows += [(term, at, by, zlib.crc32(term.encode()) % BUCKETS, len(at).bit_length() - 1) for term, (at, by) in found.items()]
+                    rows += [(term, at, by, zlib.crc32(term.encode()) % buckets, len(at).bit_length() - 1) for term, (at, by) in found.items()]
                 kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32(), pa.int32())
                 columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *columns], [key, "term", "positions", "weights", "bucket", "level"])
@@ -81,7 +82,7 @@ class PostingIndex:
         texts = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in names]
         kind = docs.schema[self.key].dataType.simpleString()
         rows = known.select(self.key, *texts).mapInArrow(run, f"{self.key} {kind}, term string, positions array<int>, weights array<double>, bucket int, level int")
-        dealt = rows.repartitionByRange("bucket", "level", "term", F.xxhash64(self.key)).sortWithinPartitions("bucket", "level", "term")
+        dealt = rows.hint("rebalance", F.col("bucket"), F.col("level")).sortWithinPartitions("bucket", "level", "term")
         dealt.write.mode("overwrite").partitionBy("bucket", "level").parquet(f"{self.path}/postings")
         # Read with its schema: an empty table writes no partition to infer it from.
         figures = self._postings(kind).groupBy("bucket", "term", "level").agg(F.count("*").alias("rows"), F.max(F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)).alias("most"), F.min(F.array_min("weights")).alias("low"), F.max(F.array_max("weights")).alias("top"))
@@ -93,7 +94,7 @@ class PostingIndex:
         return self.spark.read.schema(f"{self.key} {kind}, term string, positions array<int>, weights array<double>, bucket int, level int").parquet(f"{self.path}/postings")
 
     def _of(self, df: DataFrame, terms: set[str]) -> DataFrame:
-        return df.where(F.col("bucket").isin(*sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})) & F.col("term").isin(*sorted(terms)))
+        return df.where(F.col("bucket").isin(*sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})) & F.col("term").isin(*sorted(terms)))
 
     def postings(self, terms: set[str], least: int = 0) -> DataFrame:
         """The postings of terms from a level on; only their folders are listed for the scan."""
