@@ -133,30 +133,25 @@ def context_pack(items: DataFrame, chosen: DataFrame, truth: Column | None = Non
     sections |= {"repository_knowledge": F.col("source_class") == "repository", "session_continuity": F.col("source_class") == "session_graph"}
     sections |= {"conflicts": (F.col("source_class") == "conflict") | F.coalesce(F.col("verification") == "contradicted", F.lit(False))}
     listed = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("_place", "item_id")))), lambda x: x["item_id"])
-    columns = [listed(when).alias(name) for name, when in sections.items()]
+    out = own.groupBy(request).agg(*[listed(when).alias(name) for name, when in sections.items()])
     for name, keys in (("proof_handles", ("source_ref", "session_id", "session_event_id", "proof_type")), ("sources", ("session_id", "session_event_id"))):
         if name in items.columns:
-            columns.append(_last_by_key(name, keys).alias(name))
-    return own.groupBy(request).agg(*columns)
+            last = _last_by_key(own, request, name, keys).withColumnRenamed(request, "_request")
+            none = F.array().cast(items.schema[name].dataType)
+            out = out.join(last, F.col(request).eqNullSafe(F.col("_request")), "left").withColumn(name, F.coalesce(name, none)).drop("_request")
+    return out
 
 
 def verified_truth() -> Column:
     return F.coalesce(F.col("verification").isin("verified", "user_confirmed"), F.lit(False))
 
 
-def _last_by_key(name: str, keys: tuple[str, ...]) -> Column:
-    """Of an array column's structs, the last in item order of each key, by key."""
-    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_place", "item_id", F.coalesce(F.col(name), F.array()).alias("all")))), lambda x: x["all"]))
-    placed = F.array_sort(F.transform(in_order, lambda x, i: F.struct(*[x[k].alias(k) for k in keys], (-i).alias("back"), x.alias("x"))))
-    last = F.filter(placed, lambda x, i: (i == 0) | ~_same(x, F.get(placed, i - 1), keys))
-    return F.transform(last, lambda x: x["x"])
-
-
-def _same(a: Column, b: Column, keys: tuple[str, ...]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & a[k].eqNullSafe(b[k])
-    return out
+def _last_by_key(own: DataFrame, request: str, name: str, keys: tuple[str, ...]) -> DataFrame:
+    """request, name: of an array column's structs, the last in item order of each key, by key. Only one a key is gathered."""
+    each = own.select(request, "_place", "item_id", F.posexplode(name).alias("_i", "_x"))
+    last = each.groupBy(request, *[F.col("_x")[k].alias(f"_{k}") for k in keys]).agg(F.max_by("_x", F.struct("_place", "item_id", "_i")).alias("_x"))
+    listed = F.array_sort(F.collect_list(F.struct(*[f"_{k}" for k in keys], "_x")))
+    return last.groupBy(request).agg(F.transform(listed, lambda x: x["_x"]).alias(name))
 
 
 def goals_of(objective: Column) -> Column:

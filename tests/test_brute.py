@@ -94,6 +94,26 @@ def test_matching_against_going_through_all(spark):
     assert graph.matched(spark.createDataFrame([], "left int, right int, similarity double")).collect() == []
 
 
+def test_proofs_of_a_large_pack_are_the_last_of_each_key(spark):
+    """6,000 items a request, whose proofs were compared in time that grows with their square; a null request, and one without proofs."""
+    from loomspan.operators import context
+
+    kind = "array<struct<source_ref:string,session_id:string,session_event_id:string,proof_type:string,excerpt:string>>"
+    i = F.col("id")
+    proof = F.struct(F.concat(F.lit("r"), i % 7).alias("source_ref"), F.when(i % 3 > 0, "s").alias("session_id"), (i % 2).cast("string").alias("session_event_id"), F.lit("p").alias("proof_type"), i.cast("string").alias("excerpt"))
+    request = F.when(i % 2 == 0, "a").when(i < 11_990, "b").when(i < 11_998, "c")
+    items = spark.range(12_000).select(request.alias("request_id"), i.alias("item_id"), F.lit("memory").alias("source_class"), F.lit("fact").alias("memory_type"), F.lit("verified").alias("verification"), F.lit(None).cast("string").alias("authority"), F.when(i % 2 == 0, F.array(proof, proof)).when(i < 11_990, F.array(proof)).cast(kind).alias("proof_handles"))
+    chosen = items.select("request_id", "item_id", (-F.col("item_id")).alias("place"))
+    got = {r.request_id: r for r in context.context_pack(items, chosen).collect()}
+    for name, first in (("a", 0), ("b", 1)):
+        want: dict = {}
+        for k in range(first, 11_990 if name == "b" else 12_000, 2):
+            want.setdefault((f"r{k % 7}", "s" if k % 3 else None, str(k % 2)), str(k))
+        assert {(x.source_ref, x.session_id, x.session_event_id): x.excerpt for x in got[name].proof_handles} == want
+        assert [x.source_ref for x in got[name].proof_handles] == sorted(x.source_ref for x in got[name].proof_handles) and len(got[name].proof_handles) == len(want)
+    assert got["c"].proof_handles == [] and len(got["c"].project_facts) == 4 and set(got) == {"a", "b", "c"}
+
+
 def test_mentions_are_containment(spark):
     names = ["a/b/main.py", "lib/my file.rs", "x.c", "q", "über/straße.md", "deep/dir/", "main.py"]
     texts = {1: ("see main.pyc", "xmain.py!"), 2: ("my file.rs", None), 3: (None, "ax.cb"), 4: ("", "Quiet"), 5: ("straße.md", "q"), 6: (None, None)}
