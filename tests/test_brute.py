@@ -307,6 +307,26 @@ def test_rounds_are_as_good_as_one_task(spark):
         assert connected({i for i, k in members["rounds"].items() if k == c}, pairs)
 
 
+def test_nodes_with_one_neighbour_take_no_part_in_rounds(spark, monkeypatch):
+    """Stars, a path, pairs and loops: labels of all nodes, of rounds over those with several neighbours only."""
+    from loomspan.operators import components as parts
+
+    stars = [(f"h{g}", f"a{g}{i:02}") for g in range(4) for i in range(30)] + [("h0", "h1"), ("h1", "h2"), ("h2", "h0")]
+    pairs = stars + [("p1", "p2"), ("p2", "p3"), ("p3", "p4"), ("q2", "q1"), ("q1", "q2"), ("z", "z"), ("h3", "h3"), (None, "n")]
+    seen, own = [], parts._labels
+    monkeypatch.setattr(parts, "_labels", lambda both, most: seen.extend(r.a for r in both.collect()) or own(both, most))
+    got = {r.node: r.component for r in parts.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    least = lambda n: "a300" if n == "h3" or n[:2] == "a3" else "a000" if n[0] in "ah" else {"p": "p1", "q": "q1", "z": "z"}[n[0]]
+    assert got == {n: least(n) for p in pairs[:-1] for n in p} and set(seen) == {"h0", "h1", "h2", "p2", "p3"}
+    nodes, edges = graph_of(spark, stars)
+    moved, settled = [], cluster._settled
+    monkeypatch.setattr(cluster, "_settled", lambda links, state, *more: moved.append(state.count()) or settled(links, state, *more))
+    for method in ("greedy", "leiden"):
+        label = {r.id: r.label for r in cluster.moved_labels(nodes.withColumn("component", F.when(F.substring("id", 2, 1) == "3", "a300").otherwise("a000")), graph.both_ways(edges, "weight"), method, max_nodes=0).collect()}
+        assert set(label) == {r.id for r in nodes.collect()} and all(label[a] == label[h] for h, a in stars[:120]) and len(set(label.values())) == 4
+    assert max(moved) == 4
+
+
 def test_two_cliques_and_resolution(spark):
     """Two cliques with one link between them are two communities, one at a resolution of nearly nothing."""
     clique = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(12) for j in range(i + 1, 12)] + [("a0", "b0")]
