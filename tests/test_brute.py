@@ -125,6 +125,18 @@ def test_mentions_are_containment(spark):
     assert both.collect() == []
 
 
+def test_companions_of_large_episodes(spark):
+    """All pairs of an episode, whose targets go together as arrays; none of other episodes or without one."""
+    i = F.col("id")
+    kind = F.when(i % 3 == 0, "summary").when(i % 3 == 1, "bug").otherwise(F.when(i % 2 == 0, "implementation_detail").otherwise("fact"))
+    m = spark.range(600).select(i.alias("memory_id"), F.when(i > 9, (i % 2).cast("string")).alias("session_id"), F.when(i < 590, i % 5).alias("episode"), kind.alias("memory_type"))
+    rows = m.where("session_id is not null and episode is not null").collect()
+    want = sorted((f"memory:{a.memory_id}", f"memory:{b.memory_id}") for a in rows for b in rows if a.memory_type == "summary" and b.memory_type in ("bug", "implementation_detail") and (a.session_id, a.episode) == (b.session_id, b.episode))
+    found = graph.companion_edges(m)
+    assert sorted((r.source, r.target) for r in found.collect()) == want and len(want) > 1000
+    assert "explode(_targets" in found._jdf.queryExecution().toString()
+
+
 def test_continuity(spark):
     rows = [(f"s{i:02}", "p" if i % 2 else "q", i, ["a", "a", " ", "b"] if i % 3 else [" "]) for i in range(60)]
     got = graph.continuity_edges(spark.createDataFrame(rows, "session_id string, project_id string, ended_at int, files array<string>"), 3).collect()
