@@ -125,6 +125,20 @@ def test_mentions_are_containment(spark):
     assert both.collect() == []
 
 
+def test_names_meet_few_texts(spark, monkeypatch):
+    """Names whose runs of three characters are in all texts meet only the texts that hold a run of eight of theirs."""
+    stem = ["import", "portal", "talent", "lentil", "tilapi"]
+    texts = [(i, f"{stem[i % 5]}.py and import portal talent lentil tilapi import-s .py long_{i:03}_name.rs" if i % 7 else None) for i in range(200)]
+    names = [(f"{x}.py",) for x in stem] + [(f"long_{i:03}_name.rs",) for i in range(0, 300, 3)] + [("",), (None,), ("\U0001f600",), ("y",)]
+    seen, own = [], graph._runs
+    monkeypatch.setattr(graph, "_runs", lambda df, *more: seen.append(own(df, *more)) or seen[-1])
+    got = graph.mentions(spark.createDataFrame([*texts, (200, "\U0001f600"), (201, "x.p")], "id int, t string"), spark.createDataFrame(names, "n string"), "id", "t", "n").collect()
+    every = [*texts, (200, "\U0001f600")]
+    want = sorted((i, n) for i, t in every for (n,) in names if t and n and n in t)
+    assert sorted((r.id, r.n) for r in got) == want and len(want) > 300
+    assert seen[1].where("id = 1").count() <= 14
+
+
 def test_companions_of_large_episodes(spark):
     """All pairs of an episode, whose targets go together as arrays; none of other episodes or without one."""
     i = F.col("id")
