@@ -125,6 +125,20 @@ def test_mentions_are_containment(spark):
     assert both.collect() == []
 
 
+def test_similar_pairs_count_few_sets(spark, monkeypatch):
+    """Sets that share rare tokens and little else are left out by their parity bits; pairs are those of all against all, in each block."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        own = {f"w{rng.randrange(4000)}" for _ in range(60)} | {f"rare{k % 3}{i}" for i in range(3)}
+        rows += [(2 * k, "p", sorted(own)), (2 * k + 1, "p" if k % 4 else "q", sorted(set(sorted(own)[k % 30 :]) | {f"x{k}{i}" for i in range(k % 5)}))]
+    rows.append((0, "q", ["a", "b", "c", "d"]))
+    want = {(g, i, j) for i, g, x in rows for j, h, y in rows if g == h and i < j and len(set(x) & set(y)) >= 4 and 2 * len(set(x) & set(y)) >= len(set(x) | set(y))}
+    got = graph.similar_pairs(spark.createDataFrame(rows, "id int, g string, w array<string>"), "id", "w", ["g"])
+    assert {(r.g, r.left, r.right) for r in got.collect()} == want and len(want) > 30
+    assert "bit_count" in got._jdf.queryExecution().toString()
+
+
 def test_names_meet_few_texts(spark, monkeypatch):
     """Names whose runs of three characters are in all texts meet only the texts that hold a run of eight of theirs."""
     stem = ["import", "portal", "talent", "lentil", "tilapi"]
