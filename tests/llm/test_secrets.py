@@ -114,6 +114,79 @@ def test_threshold_holds_recall():
     assert (1 / (1 + np.exp(-odds[y == 1])) >= t).mean() >= secrets.RECALL
 
 
+def _words(rng, n):
+    return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(12, 16))) for _ in range(n)]
+
+
+def test_no_finding_is_left_out(spark, monkeypatch):
+    """All long words of all texts are findings; each distinct finding trains or calibrates once, beyond 3,000 a label, however rows are dealt or copied."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(_words(rng, 50)) + f" password={made}" for made in map(secrets.made_key, map(str, range(90)))]
+    want = set()
+    for text in texts:
+        for m in re.finditer(r"\S+", text):
+            if m[0].startswith("password="):
+                s, kind = m.start() + 9, secrets.BASE
+            else:
+                s, kind = m.start(), secrets.ORDINARY
+                before, key = text[max(0, s - secrets.CONTEXT) : s], secrets.made_key(m[0])
+                want.add((secrets.MADE, secrets.encode(before + key + text[m.end() :], len(before), len(before) + len(key)).tobytes()))
+            want |= {(kind, secrets.encode(text, s, m.end()).tobytes()), (kind, secrets.encode(text[s : m.end()], 0, m.end() - s).tobytes())}
+    assert min(sum((k > 0) == y for k, _ in want) for y in (0, 1)) > 3000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.kind, bytes(r.codes)) for r in secrets.labelled_findings(docs).collect()} == want
+    seen = []
+
+    def noted(f):
+        def run(found, *args):
+            seen.append([(r.kind, bytes(r.codes)) for r in found.select("kind", "codes").collect()])
+            return f(found, *args)
+
+        return run
+
+    monkeypatch.setattr(secrets, "_round", noted(secrets._round))
+    monkeypatch.setattr(secrets, "_tally", noted(secrets._tally))
+    net = secrets.learn(docs, part=1000)
+    assert len(seen) > 3 and len(seen[-1]) > 1000
+    assert sorted(x for part in seen for x in part) == sorted(want)
+    other = secrets.learn(docs.union(docs).repartition(7), part=1000)
+    assert all(np.array_equal(x, y) for x, y in zip(vars(net).values(), vars(other).values(), strict=True))
+
+
+def test_each_finding_is_in_a_batch(monkeypatch):
+    rng = np.random.default_rng(6)
+    codes, kinds = rng.integers(0, 12, (500, secrets.WIDTH)).astype(np.uint8), np.repeat([0, 1, 2], [300, 30, 170])
+    seen, forward = set(), secrets.CharNet.forward
+    monkeypatch.setattr(secrets.CharNet, "forward", lambda net, x: seen.update(r.tobytes() for r in x) or forward(net, x))
+    start = secrets.begin()
+    end = secrets.descend(start, codes, kinds, 1, 0.01, 3)
+    assert seen == {r.tobytes() for r in codes} and end.batches == 7 and start.batches == 0
+    back = start.filled(end.flat())
+    assert all(np.allclose(x, y, rtol=1e-5) for a in ("weights", "first", "second") for x, y in zip(vars(back)[a], vars(end)[a], strict=True))
+
+
+def test_threshold_from_counts():
+    """Counts of levels give what the findings one by one give, and each kind of secret has its recall."""
+    rng = np.random.default_rng(8)
+    kinds = np.repeat([0, 1, 2], [4000, 60, 2000])
+    odds = rng.normal(np.array([-3, 1, 4])[kinds], 1.2)
+    levels = np.floor(odds * 4).astype(int)
+    (kind, level), n = np.unique(np.stack([kinds, levels]), axis=1, return_counts=True)
+    got = secrets._threshold(level / 4, kind, n, 1 / 4)
+    taken = 1 / (1 + np.exp(-odds)) >= got
+    assert all(taken[kinds == k].mean() >= secrets.RECALL for k in (1, 2))
+    best = max((kinds[at] > 0).mean() for t in set(levels.tolist()) for at in [levels >= t] if all(at[kinds == k].mean() >= secrets.RECALL for k in (1, 2)))
+    assert (kinds[taken] > 0).mean() == best
+    assert np.allclose(secrets._platt((level + 0.5) / 4, (kind > 0) * 1.0, n * 1.0), secrets._platt((levels + 0.5) / 4, (kinds > 0) * 1.0, np.ones(len(kinds))))
+
+
+def test_findings_of_one_label(spark):
+    for text in ("password=aB3dE9fGh1Kq", "unremarkable-words only"):
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        kinds = {r.y for r in secrets.labelled_findings(docs).collect()}
+        assert (secrets.learn(docs).threshold > 1) == (len(kinds) < 2)
+
+
 def test_edges(empty, odd):
     net = secrets.train(np.zeros((0, secrets.WIDTH), np.uint8), np.zeros(0, int))
     assert secrets.scan(empty, net).collect() == [] and secrets.scan(odd, net).count() == 6
