@@ -996,14 +996,14 @@ PAIRS_SQL = "t AS (SELECT page_id, page_id % 5 AS g, list_distinct(regexp_extrac
 
 @query("C12_file_similarity", f"WITH {PAIRS_SQL} SELECT a.page_id AS l, b.page_id AS r, len(list_intersect(a.w, b.w))::INT AS shared FROM t a JOIN t b ON a.g = b.g AND a.page_id < b.page_id AND len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
 def c12(spark, sf):
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("html", "<[^>]*>", " ")), F.lit("([a-z0-9_]{3,})"), F.lit(1)))
+    words = text.word_tokens(F.regexp_replace("html", "<[^>]*>", " "))
     p = read(spark, sf, "pages").select("page_id", (F.col("page_id") % 5).alias("g"), words.alias("w"))
     return graph.similar_pairs(p, "page_id", "w", ["g"]).select(F.col("left").alias("l"), F.col("right").alias("r"), "shared")
 
 
 @query("C11_memory_similarity", f"WITH {MEMORIES_SQL}, t AS (SELECT id, project_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]{{3,}}')) AS w FROM mem) SELECT a.id AS l, b.id AS r FROM t a JOIN t b ON a.project_id = b.project_id AND a.id < b.id AND len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
 def c11(spark, sf):
-    m = memories(spark, sf).withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z0-9_]{3,})"), F.lit(1))))
+    m = memories(spark, sf).withColumn("w", text.word_tokens(F.col("content")))
     return graph.similar_pairs(m, "id", "w", ["project_id"]).select(F.col("left").alias("l"), F.col("right").alias("r"))
 
 

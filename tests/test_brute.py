@@ -139,6 +139,49 @@ def test_similar_pairs_count_few_sets(spark, monkeypatch):
     assert "bit_count" in got._jdf.queryExecution().toString()
 
 
+def _all_pairs(rows, least=0.5):
+    """What the SQL's self-join gives: each two rows of a block, once for each row."""
+    keys = [(g, i, set(x or [])) for i, g, x in rows if g is not None and i is not None]
+    return sorted((g, i, j, len(x & y)) for g, i, x in keys for h, j, y in keys if g == h and i < j and len(x & y) >= 4 and len(x & y) / len(x | y) >= least)
+
+
+def test_similar_pairs_of_repeated_ids(spark):
+    """Rows that share an id, in a block or in two, are sets of their own; nulls and small sets meet nothing; whole-number bounds hold."""
+    w = [f"w{k}" for k in range(40)]
+    rows = [(1, "p", w[:10]), (1, "p", w[20:30]), (2, "p", w[:9]), (2, "p", w[20:29]), (2, "q", w[:8]), (1, "q", w[:8]), (3, "p", w[:10]), (None, "p", w[:10]), (4, None, w[:10]), (5, "p", None), (6, "p", []), (7, "q", w[:3]), (8, "q", w[:3])]
+    df = spark.createDataFrame(rows, "id int, g string, w array<string>")
+    got = graph.similar_pairs(df, "id", "w", ["g"]).collect()
+    want = _all_pairs(rows)
+    assert sorted((r.g, r.left, r.right, r.shared) for r in got) == want and len(want) == 5
+    # 11 of 20 tokens are 0.55, though 0.55 * 20 is above 11 in floating point.
+    close = [(1, "p", w[:20]), (2, "p", w[:11]), (3, "p", w[:10])]
+    got = graph.similar_pairs(spark.createDataFrame(close, "id int, g string, w array<string>"), "id", "w", ["g"], least=0.55).collect()
+    assert sorted((r.g, r.left, r.right, r.shared) for r in got) == _all_pairs(close, 0.55) == [("p", 1, 2, 11), ("p", 2, 3, 10)]
+
+
+def test_tokens_are_lower_case_as_in_sql(spark):
+    from loomspan.functions.text import similarity_tokens
+
+    text = "\u0130STANBUL \u212aELVIN ABC\u0130DEF"
+    assert spark.createDataFrame([(text,)], "t string").select(similarity_tokens(F.col("t"))).first()[0] == ["istanbul", "kelvin", "abcidef"]
+
+
+def test_similar_pairs_of_blocks_in_parts(spark, monkeypatch):
+    """A block taken apart, also where sets of one size are too many for a part, gives the pairs of all against all, each once; sets that met are no rows."""
+    rng, rows = random.Random(5), []
+    for k in range(50):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([6, 20, 20, 20, 45]))]
+        rows += [(len(rows) + d, "p" if k % 5 else "q", sorted(set(base[d:]) | {f"y{k}{d}{i}" for i in range(rng.randrange(3))})) for d in range(rng.randrange(1, 7))]
+    rows += [(1000 + k, "r", ["a", "b", "c", "d", "e"]) for k in range(12)] + [(3, "q", ["a", "b", "c", "d"])]
+    df, want = spark.createDataFrame(rows, "id int, g string, w array<string>"), _all_pairs(rows)
+    for part in (20, 150, 1 << 23):
+        monkeypatch.setattr(graph, "PART", part)
+        pairs = graph.similar_pairs(df, "id", "w", ["g"])
+        assert sorted((r.g, r.left, r.right, r.shared) for r in pairs.collect()) == want and len(want) > 200
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
+
+
 def test_names_meet_few_texts(spark, monkeypatch):
     """Names whose runs of three characters are in all texts meet only the texts that hold a run of eight of theirs."""
     stem = ["import", "portal", "talent", "lentil", "tilapi"]
