@@ -1003,8 +1003,13 @@ def c12(spark, sf):
 
 @query("C11_memory_similarity", f"WITH {MEMORIES_SQL}, t AS (SELECT id, project_id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]{{3,}}')) AS w FROM mem) SELECT a.id AS l, b.id AS r FROM t a JOIN t b ON a.project_id = b.project_id AND a.id < b.id AND len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
 def c11(spark, sf):
-    m = memories(spark, sf).withColumn("w", text.word_tokens(F.col("content")))
-    return graph.similar_pairs(m, "id", "w", ["project_id"]).select(F.col("left").alias("l"), F.col("right").alias("r"))
+    # A document is a memory once for each of its labels. Texts are not joined with labels for that: pairs, of which there are few, are multiplied.
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project_id"), text.word_tokens(F.col("text")).alias("w"))
+    pairs = graph.similar_pairs(d, "id", "w", ["project_id"]).select(F.col("left").alias("l"), F.col("right").alias("r"))
+    times = read(spark, sf, "labels").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    for side in ("l", "r"):
+        pairs = pairs.join(times.withColumnsRenamed({"doc_id": side, "n": "n_" + side}), side, "left")
+    return pairs.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n_l", F.lit(1)) * F.coalesce("n_r", F.lit(1))))).select("l", "r")
 
 
 @query("C13_candidate_sessions", f"WITH {TELEMETRY_SQL}, s AS (SELECT DISTINCT session_id, CAST(session_id AS INT) % 4 AS p FROM ev), n AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY session_id) AS r FROM s) SELECT a.session_id, count(b.session_id) AS candidates FROM n a LEFT JOIN n b ON a.p = b.p AND b.r < a.r AND b.r >= a.r - 20 GROUP BY 1 HAVING count(b.session_id) > 0")

@@ -182,6 +182,27 @@ def test_similar_pairs_of_blocks_in_parts(spark, monkeypatch):
     assert "MapInArrow" in plan and "Aggregate" not in plan
 
 
+def test_memory_similarity_joins_no_texts(spark, tmp_path, monkeypatch):
+    """A memory for each label of a document, as the SQL has it, while the texts are not joined with the labels."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    words = [f"word{k}" for k in range(12)]
+    docs = [(1, " ".join(words), "p"), (2, " ".join(words[:10]), "p"), (2, " ".join(words[1:]), "p"), (3, "Other Words " + " ".join(words[:9]), "p"), (4, " ".join(words), "q"), (5, None, "p"), (6, "\u0130ab \u0130cd \u0130ef \u0130gh", "q"), (7, "iab icd ief igh", "q")]
+    labels = [(1, 1, 0), (2, 1, 0), (2, 0, 1), (3, 0, 0), (3, 0, 0), (3, 1, 1), (9, 1, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, own = [], graph.similar_pairs
+    monkeypatch.setattr(graph, "similar_pairs", lambda df, *more: seen.append(df) or own(df, *more))
+    got = sorted(map(tuple, queries()["C11_memory_similarity"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert got == sorted(db.execute(oracle_sql()["C11_memory_similarity"]).fetchall()) and len(got) > 8
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_names_meet_few_texts(spark, monkeypatch):
     """Names whose runs of three characters are in all texts meet only the texts that hold a run of eight of theirs."""
     stem = ["import", "portal", "talent", "lentil", "tilapi"]
